@@ -56,14 +56,19 @@ def in_blocks(df: DataFrame, node: str, size: str, row: str, most: int) -> DataF
     )
 
 
-def pairs_within(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (left < right) of all pairs of rows with one key, for sorted keys."""
+def pairs_within(keys: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (left < right) of all pairs of rows with one key, for sorted keys, some ``most`` pairs at a time."""
     n = len(keys)
     if n < 2:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     count = ends - np.arange(n) - 1
-    left = np.repeat(np.arange(n), count)
-    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-    return left, right
+    total = np.cumsum(count)
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most)))
+        own = count[a:b]
+        left = np.repeat(np.arange(a, b), own)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        a = b

@@ -99,15 +99,18 @@ def _pairs_of(table: pa.Table, ok_of, least: float, num: int, den: int) -> pa.Re
     """Edges between rows of one ``group`` that ``ok_of`` (left and right row numbers) and the sizes admit and whose sketches may reach num / den."""
     key, doc, size = (table.column(c).to_numpy() for c in ("group", "doc", "n_shingles"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(key), COORDINATES)
-    left, right = pairs_within(key)
-    ok = ok_of(left, right) & (den * np.minimum(size[left], size[right]) >= num * np.maximum(size[left], size[right]))
-    left, right = left[ok], right[ok]
-    same = np.zeros(len(left), dtype=np.int16)
-    for i in range(0, len(left), 1 << 14):
-        same[i : i + (1 << 14)] = (sketch[left[i : i + (1 << 14)]] == sketch[right[i : i + (1 << 14)]]).sum(axis=1)
-    near = (same / COORDINATES - 1 / 256) / (1 - 1 / 256)
-    ok = near >= least
-    return _thinned(doc, left[ok], right[ok], near[ok])
+    found = []
+    for left, right in pairs_within(key):
+        ok = ok_of(left, right) & (den * np.minimum(size[left], size[right]) >= num * np.maximum(size[left], size[right]))
+        left, right = left[ok], right[ok]
+        same = np.zeros(len(left), dtype=np.int16)
+        for i in range(0, len(left), 1 << 14):
+            same[i : i + (1 << 14)] = (sketch[left[i : i + (1 << 14)]] == sketch[right[i : i + (1 << 14)]]).sum(axis=1)
+        near = (same / COORDINATES - 1 / 256) / (1 - 1 / 256)
+        ok = near >= least
+        found.append((left[ok], right[ok], near[ok]))
+    none = np.zeros(0, dtype=np.int64)
+    return _thinned(doc, *(np.concatenate([*x]) for x in zip((none, none, none.astype(float)), *found)))
 
 
 def _thinned(doc: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
@@ -331,7 +334,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: int = 100, trees: int = 4, branch: int = 2, leaf: int = 96, levels: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 85, den: int = 100, trees: int = 4, branch: int = 2, leaf: int = 768, levels: int = 8) -> DataFrame:
     """Classes of near-duplicates of (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked when den * |intersection| >= num * |union| of their

@@ -25,3 +25,44 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of documents by diagonal voting."""
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules with host verdicts, a document's source being its host."""
+    from .quality_rules import judge
+
+    return judge(_table(spark, sf_dir, "documents")).drop("host")
+
+
+@query
+def op7_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 8 shards of near equal bytes, equal texts together."""
+    from .sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents by Kneser-Ney character models."""
+    from .language_id import identify
+
+    out = identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.selectExpr("doc_id", "held_out", "lang_pred", "lang_score AS score", "bits", "rejected")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents by supervised subword embeddings."""
+    from .quality_classifier import classify
+
+    return classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")).drop("text")
