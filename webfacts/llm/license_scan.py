@@ -62,7 +62,8 @@ def spans(docs: DataFrame, texts: dict[str, str] | None = None, *, k: int = 3, s
     template words under its hits are at least ``coverage`` of the template's.
     """
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    grams = words.select("doc_id", F.posexplode(_grams(F.col("words"), k)).alias("at", "g")).select("doc_id", "at", "g.gram", "g.own")
+    # the outer form: for the plain one Spark would test the grams' number before the words are made, and split the text for each gram
+    grams = words.select("doc_id", F.posexplode_outer(_grams(F.col("words"), k)).alias("at", "g")).select("doc_id", "at", "g.gram", "g.own")
     wanted = templates(docs.sparkSession, texts, k)  # as many rows as the templates have words: Spark broadcasts it by its size
     # the words themselves confirm a hit, so that no two grams that share a hash are taken for one
     hits = grams.join(wanted, "gram").where("own = gram_words")
