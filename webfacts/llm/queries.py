@@ -82,3 +82,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_budget")
+
+
+@query
+def op3_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of documents by context-tree weighting."""
+    from .lm_scoring import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors by iterative quantisation."""
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
