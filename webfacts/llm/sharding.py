@@ -39,7 +39,7 @@ def _schedule(groups: DataFrame, shards: int) -> DataFrame:
 
 def schedule(groups: DataFrame, scratch: Scratch, shards: int = 8, chunk_rows: int = 50_000) -> DataFrame:
     """(item, shard) of (item, size), item being a distinct bigint."""
-    n = groups.count()
+    n, chunk_rows = groups.count(), max(chunk_rows, 4 * shards)  # a round must leave fewer bundles than it got
     chunks = -(-n // chunk_rows)
     if n == 0:
         return groups.select("item", F.lit(0).alias("shard"))
