@@ -30,6 +30,8 @@ TEMPLATES = {
     "public-domain": "This is free and unencumbered software released into the public domain",
 }
 
+#: Templates of up to so many characters in all are broadcast; more are joined by shuffle.
+BROADCAST_CHARS = 1_000_000
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -64,7 +66,10 @@ def spans(docs: DataFrame, texts: dict[str, str] | None = None, *, k: int = 3, s
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     # the outer form: for the plain one Spark would test the grams' number before the words are made, and split the text for each gram
     grams = words.select("doc_id", F.posexplode_outer(_grams(F.col("words"), k)).alias("at", "g")).select("doc_id", "at", "g.gram", "g.own")
-    wanted = templates(docs.sparkSession, texts, k)  # as many rows as the templates have words: Spark broadcasts it by its size
+    texts = TEMPLATES if texts is None else texts
+    wanted = templates(docs.sparkSession, texts, k)  # as many rows as the templates have words
+    if sum(map(len, texts.values())) <= BROADCAST_CHARS:  # so that the grams stay where they are made
+        wanted = F.broadcast(wanted)
     # the words themselves confirm a hit, so that no two grams that share a hash are taken for one
     hits = grams.join(wanted, "gram").where("own = gram_words")
     hits = hits.select("doc_id", "template", "template_words", "at", "template_at", (F.col("at") - F.col("template_at")).alias("diagonal"))
