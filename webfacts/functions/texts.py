@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Keywords in the order in which they are tried.
-CYCLES = [("monthly", r"(?i)/mo|month|/m\b"), ("annual", r"(?i)/yr|/year|annual|yearly"), ("quarterly", r"(?i)quarter")]
+CYCLES = [("monthly", r"(?i)month|/mo|per month"), ("annual", r"(?i)year|annual|/yr|per year"), ("quarterly", r"(?i)quarter|/qtr")]
 RESOURCES = [
-    ("whitepaper", "(?i)white.?paper"), ("case_study", "(?i)case.?stud"), ("webinar", "(?i)webinar"),
-    ("ebook", "(?i)e.?book|guide"), ("report", "(?i)report"), ("infographic", "(?i)infographic"),
+    ("whitepaper", r"(?i)whitepaper|white\s*paper"), ("case_study", r"(?i)case\s*stud|success\s*stor"), ("webinar", "(?i)webinar|on-demand"),
+    ("ebook", "(?i)ebook|e-book|guide"), ("report", "(?i)report|research"), ("infographic", "(?i)infographic"),
 ]
 
 

@@ -64,7 +64,7 @@ def crawl_domain(url: Column) -> Column:
 
 def listed_domain(value: Column) -> Column:
     """A domain as typed into a list: no blanks, quotes, scheme or path."""
-    return F.split_part(F.regexp_replace(F.trim(F.lit(" \"'"), value), "^(?i)https?://", ""), F.lit("/"), F.lit(1))
+    return F.split_part(F.regexp_replace(F.trim(value, F.lit(" \"'")), "^(?i)https?://", ""), F.lit("/"), F.lit(1))
 
 
 def is_domain(value: Column) -> Column:

@@ -15,7 +15,7 @@ def is_blocked(status: Column, html_length: Column) -> Column:
 
 
 def escalation_reason(blocked: Column, captcha: Column) -> Column:
-    return F.coalesce(F.nullif(F.concat_ws(",", F.when(blocked, "blocked"), F.when(captcha, "captcha")), F.lit("")), F.lit("none"))
+    return F.coalesce(F.nullif(F.concat_ws(", ", F.when(blocked, "blocked_flag"), F.when(captcha, "captcha")), F.lit("")), F.lit("none"))
 
 
 def next_tier(tier: Column, order: list[str] = TIERS) -> Column:
@@ -30,3 +30,27 @@ def adaptive_delay(log: DataFrame, key: str, status: str, order: str, default: f
     steps = F.transform(F.array_sort(F.collect_list(F.struct(order, status))), lambda x: x[status])
     fold = F.aggregate(steps, F.lit(float(default)), lambda d, s: F.when(s.isin(429, 503), F.least(d * 2, F.lit(MAX_DELAY))).when(s == 200, F.greatest(d * 0.9, F.lit(float(default)))).otherwise(d))
     return log.groupBy(key).agg(fold.alias("delay"))
+
+
+# Seconds to wait between tiers when a server limits the rate, and before giving up.
+WAITS, LAST_WAIT = {"lightpanda": 120, "playwright": 600}, 600
+
+
+def escalation_wait(tier: Column, following: Column, status: Column, proxy: bool = True) -> Column:
+    """Seconds before the next tier is tried: none unless the server said 429 or 503; a bound before giving up if there is a proxy."""
+    waits = F.when(tier == "lightpanda", WAITS["lightpanda"]).when(tier == "playwright", WAITS["playwright"]).otherwise(0)
+    return F.when(following.isNull(), LAST_WAIT if proxy else 0).when(status.isin(429, 503), waits).otherwise(0)
+
+
+def latency_average(log: DataFrame, key: str, latency: str, order: str) -> DataFrame:
+    """(key, avg_latency): the first latency as it is, then whole parts of 0.7 old + 0.3 new; 0 counts as unset."""
+    steps = F.transform(F.array_sort(F.collect_list(F.struct(order, latency))), lambda x: x[latency].cast("int"))
+    fold = F.aggregate(steps, F.lit(0), lambda a, x: F.when(a == 0, x).otherwise(F.floor(a * 0.7 + x * 0.3).cast("int")))
+    return log.groupBy(key).agg(fold.alias("avg_latency"))
+
+
+def recovered(jobs: DataFrame, as_of: Column, minutes: int = 10, retries: int = 2) -> DataFrame:
+    """Stale running jobs (id, retry_count, active_at) with next_status: pending for another try, failed after the last."""
+    stale = jobs.where((F.col("status") == "running") & (F.col("active_at") < as_of - F.make_dt_interval(mins=F.lit(minutes))))
+    again = F.coalesce("retry_count", F.lit(0)) < retries
+    return stale.select("id", F.when(again, "pending").otherwise("failed").alias("next_status"), (F.coalesce("retry_count", F.lit(0)) + again.cast("int")).alias("retry_count"))

@@ -135,7 +135,7 @@ def o02_minus(spark, sf_dir):
     return jobs.select("user_id").distinct().subtract(jobs.where(f"created_at >= {_WEEK}").select("user_id"))
 
 
-@query("p01_blocked", WITH + "SELECT id, status_code IN (403, 429, 503) OR latency < 20 AS blocked, CASE WHEN status_code IN (403, 429, 503) THEN CASE WHEN latency < 1 THEN 'blocked,captcha' ELSE 'blocked' END WHEN latency < 1 THEN 'captcha' ELSE 'none' END AS reason FROM v_jobs")
+@query("p01_blocked", WITH + "SELECT id, status_code IN (403, 429, 503) OR latency < 20 AS blocked, CASE WHEN status_code IN (403, 429, 503) THEN CASE WHEN latency < 1 THEN 'blocked_flag, captcha' ELSE 'blocked_flag' END WHEN latency < 1 THEN 'captcha' ELSE 'none' END AS reason FROM v_jobs")
 def p01_blocked(spark, sf_dir):
     """Block flags and escalation reasons of fetches, the latency standing in for lengths."""
     code, n = F.col("status_code"), F.col("latency")
