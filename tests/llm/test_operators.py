@@ -1,5 +1,6 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables and further columns."""
 
+import functools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,66 @@ def test_ctw_rows_are_distributions(docs):
     assert np.allclose((10.0 ** model.rows.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_ctw_scores_are_those_of_the_whole_tree(docs):
+    from webfacts.llm.lm_scoring import score
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    low = lambda x: b"\0\0\0" + bytes(y + 32 if 65 <= y <= 90 else y for y in (x or "").encode()) + b"\0"
+    seen, below = defaultdict(Counter), defaultdict(set)
+    for r in rows():
+        x = low(r[1])
+        for i in range(3, 0 if held(r[0]) else len(x)):
+            for d in range(4):
+                seen[x[i - d : i]][x[i]] += 1
+                if d:
+                    below[x[i - d + 1 : i]].add(x[i - d : i])
+
+    @functools.cache
+    def bits(context, k, prefix):
+        n = [0, 0]
+        for byte, m in seen[context].items():
+            if byte >> (8 - k) == prefix:
+                n[byte >> (7 - k) & 1] += m
+        return n
+
+    def block(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weighted(context, k, prefix):
+        own = block(*bits(context, k, prefix))
+        if len(context) == 3 or not sum(bits(context, k, prefix)):
+            return own
+        rest = sum(weighted(c, k, prefix) for c in below[context])
+        return max(own, rest) + math.log1p(math.exp(-abs(own - rest))) - math.log(2)
+
+    @functools.cache
+    def one(context, k, prefix):
+        mix, share, kt = 0.0, 1.0, 0.5
+        for d in range(4):
+            if d and context[3 - d :] not in seen:
+                break
+            a, b = bits(context[3 - d :], k, prefix)
+            kt, stay = (b + 0.5) / (a + b + 1), 1.0 if d == 3 else min(1.0, math.exp(block(a, b) - math.log(2) - weighted(context[3 - d :], k, prefix)))
+            mix, share = mix + share * stay * kt, share * (1 - stay)
+        return min(max(mix + share * kt, 1e-9), 1 - 1e-9)
+
+    want = defaultdict(list)
+    for r in [x for x in rows() if len(x[1] or "") < 400][:40]:
+        x, total = low(r[1]), 0.0
+        for i in range(3, len(x)):
+            for k in range(8):
+                p = one(x[i - 3 : i], k, x[i] >> (8 - k))
+                total += math.log10(p if x[i] >> (7 - k) & 1 else 1 - p)
+        want[r[0]].append(total)
+    for contexts in (0, 7, 12_288):
+        got = defaultdict(list)
+        for r in score(docs, contexts=contexts).collect():
+            got[r.doc_id].append(r.score)
+        for i, totals in want.items():
+            assert all(any(math.isclose(g, t, rel_tol=1e-4) for g in got[i]) for t in totals), (contexts, i, got[i], totals)
+
+
 def test_quality_rules(docs, none):
     from webfacts.llm.quality_rules import judge
 

@@ -4,11 +4,13 @@ A byte is eight binary decisions, each in the context of up to three bytes
 before it and the bits so far. Every context node has a Krichevsky-Trofimov
 estimate from the counts of all training documents, and context-tree weighting
 mixes the depths: a node's weight against its longer contexts is the share of
-its own block probability in the weighted one. The tree keeps the most frequent
-contexts (``contexts`` of depth 3, a third as many of depth 2, all shorter
-ones); what a kept context's children do not cover is one child more. Since the
-counts are fixed once learned, each kept context becomes one row of 256 byte
-probabilities.
+its own block probability in the weighted one. Since the counts are fixed once
+learned, each context becomes one row of 256 byte probabilities.
+
+The tree is whole: every context that training documents hold has its row, so it
+grows with the corpus. It is worked out in groups of the contexts that share
+their last two bytes. The rows of the most frequent contexts go to all tasks and
+score in place; what other contexts score is counted per document and joined.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import map_groups
 from .language_id import fold
 from .store import Scratch
 from .text import blocks, span_hashes, texts_of, words_of
@@ -90,88 +93,146 @@ def _block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
 
 
+_HALF = math.log(2)
+
+
+def _weigh(c: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """log of the weighted block probability of rows of byte counts whose longer contexts have ``below`` together."""
+    return np.logaddexp(_block(*_nodes(c)), below) - _HALF
+
+
+def _descend(c: np.ndarray, weighted: np.ndarray | None, passed: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is passed on to longer contexts, what is mixed so far, and log10 byte probabilities where the tree ends here.
+
+    ``weighted`` is None at the longest contexts. Where a byte isn't followed
+    further, what would be passed on stays.
+    """
+    zeros, ones = _nodes(c)
+    kt = (ones + 0.5) / (zeros + ones + 1)
+    stay = np.ones_like(kt) if weighted is None else np.minimum(1, np.exp(_block(zeros, ones) - _HALF - weighted))
+    mix, on = mixed + passed * stay * kt, passed * (1 - stay)
+    p1 = np.clip(mix + on * kt, 1e-9, 1 - 1e-9)
+    logs = np.zeros((len(kt), 256))
+    for k in range(8):
+        own = p1[:, (1 << k) - 1 : (2 << k) - 1]
+        logs += np.repeat(np.stack([np.log10(1 - own), np.log10(own)], axis=2).reshape(len(kt), 2 << k), 128 >> k, axis=1)
+    return on, mix, logs
+
+
+def _each(table: pa.Table, key: str):
+    """The groups of a table that is sorted by ``key``."""
+    keys = table.column(key).to_numpy()
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield table.slice(a, b - a)
+
+
+def _families(table: pa.Table):
+    """For every last two bytes: the contexts of three bytes with them, and their rows of byte counts, 256 at most."""
+    for part in _each(table, "family"):
+        key, n = part.column("key").to_numpy(), part.column("n").to_numpy()
+        contexts, at = np.unique(key >> 8, return_inverse=True)
+        c = np.zeros((len(contexts), 256))
+        c[at, key & 255] = n
+        yield contexts, c
+
+
+def _upward(rows: list) -> pa.RecordBatch:
+    context, counts, weighted = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(context, pa.int64()), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array([x.tobytes() for x in weighted], pa.binary())], ["context", "counts", "weighted"])
+
+
+def _climb(table: pa.Table) -> pa.RecordBatch:
+    """Counts and weighted probabilities of contexts of two bytes, with their last byte."""
+    rows = []
+    for contexts, c in _families(table):
+        whole = c.sum(axis=0, keepdims=True)
+        rows.append((int(contexts[0]) & 255, whole, _weigh(whole, _block(*_nodes(c)).sum(axis=0))))
+    return _upward(rows)
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """Rows of ``width`` doubles that have come as bytes."""
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(-1, width)
+
+
+def _climb_further(table: pa.Table) -> pa.RecordBatch:
+    """The same for contexts of one byte, from those of two."""
+    rows = []
+    for part in _each(table, "context"):
+        whole = _matrix(part.column("counts").to_pylist(), 256).sum(axis=0, keepdims=True)
+        rows.append((part.column("context")[0].as_py(), whole, _weigh(whole, _matrix(part.column("weighted").to_pylist(), 255).sum(axis=0))))
+    return _upward(rows)
+
+
 class Tree:
-    """Rows of log10 byte probabilities of the kept contexts, by depth; ``keys[d]`` are the sorted contexts of depth d."""
-
-    def __init__(self, kept: list[np.ndarray], tables: list[np.ndarray]):
-        self.keys, self.starts = kept, np.cumsum([0] + [len(k) for k in kept])
-        weighted, own = [None] * 4, [None] * 4
-        for d in (3, 2, 1, 0):  # block probabilities, the longest contexts first
-            weighted[d], own[d] = np.empty((len(kept[d]), 255), np.float32), np.empty((len(kept[d]), 255), np.float32)
-            for a in range(0, len(kept[d]), 1024):
-                c = tables[d][a : a + 1024]
-                e = _block(*_nodes(c))
-                own[d][a : a + 1024] = e
-                if d == 3:
-                    weighted[d][a : a + 1024] = e
-                    continue
-                below, part = np.zeros_like(e), np.zeros_like(c)
-                parents = kept[d + 1] & ((1 << (8 * d)) - 1) if d else np.zeros(len(kept[1]), kept[1].dtype)
-                at = np.searchsorted(kept[d], parents) - a
-                mine = np.flatnonzero((at >= 0) & (at < len(c)))
-                for i in range(0, len(mine), 1024):
-                    m = mine[i : i + 1024]
-                    np.add.at(below, at[m], weighted[d + 1][m])
-                    np.add.at(part, at[m], tables[d + 1][m])
-                below += _block(*_nodes(np.maximum(c - part, 0)))
-                weighted[d][a : a + 1024] = np.logaddexp(e, below) - math.log(2)
-        rows, passed, mixed = [], None, None
-        for d in range(4):  # probabilities, the shortest contexts first
-            up = None if d == 0 else np.searchsorted(kept[d - 1], kept[d] & ((1 << (8 * (d - 1))) - 1) if d > 1 else np.zeros(len(kept[1]), kept[1].dtype))
-            now_passed, now_mixed = np.empty((len(kept[d]), 255), np.float32), np.empty((len(kept[d]), 255), np.float32)
-            out = np.empty((len(kept[d]), 256), np.float32)
-            for a in range(0, len(kept[d]), 1024):
-                s = slice(a, a + 1024)
-                zeros, ones = _nodes(tables[d][s])
-                kt = (ones + 0.5) / (zeros + ones + 1)
-                stay = np.ones_like(kt) if d == 3 else np.minimum(1, np.exp(own[d][s] - math.log(2) - weighted[d][s]))
-                share = 1.0 if d == 0 else passed[up[s]]
-                mix = (0.0 if d == 0 else mixed[up[s]]) + share * stay * kt
-                now_mixed[s], now_passed[s] = mix, share * (1 - stay)
-                # where the tree ends here for a byte not followed further, what is passed on stays
-                p1 = np.clip(mix + now_passed[s] * kt, 1e-9, 1 - 1e-9)
-                logs = np.zeros((len(kt), 256))
-                for k in range(8):
-                    level = np.stack([np.log10(1 - p1[:, (1 << k) - 1 : (2 << k) - 1]), np.log10(p1[:, (1 << k) - 1 : (2 << k) - 1])], axis=2)
-                    logs += np.repeat(level.reshape(len(kt), 2 << k), 128 >> k, axis=1)
-                out[s] = logs
-            rows.append(out)
-            passed, mixed = now_passed, now_mixed
-        self.rows = np.concatenate(rows)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each code, in its longest kept context."""
-        byte, context = codes & 255, codes >> 8
-        row = np.zeros(len(codes), dtype=np.int64)
-        left = np.arange(len(codes))
-        for d in (3, 2, 1):
-            own = context[left] & np.uint32((1 << (8 * d)) - 1)
-            i = np.minimum(np.searchsorted(self.keys[d], own), max(0, len(self.keys[d]) - 1))
-            hit = self.keys[d][i] == own if len(self.keys[d]) else np.zeros(len(own), bool)
-            row[left[hit]] = self.starts[d] + i[hit]
-            left = left[~hit]
-        return self.rows[row, byte]
-
-
-def tree(grams: DataFrame, contexts: int = 12_288) -> Tree:
-    """Of byte 4-gram counts (key, n). At most 256 * (4 / 3 * contexts + 257) counts come to the driver."""
-    kept, tables = [np.zeros(1, np.uint32)], []
-    rows = grams.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("byte"), "n")
-    for d, most in ((0, 1), (1, 256), (2, contexts // 3), (3, contexts)):
-        at = F.col("context").bitwiseAND((1 << (8 * d)) - 1).alias("context")
-        level = rows.select(at, "byte", "n").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        best = level.groupBy("context").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "context").limit(most)
-        got = level.join(F.broadcast(best.select("context")), "context").toPandas()  # bounded by ``most``
-        keys = np.unique(got["context"].to_numpy(np.int64)).astype(np.uint32)
-        if d > 1:  # a kept context's shorter ones are kept
-            keys = keys[np.isin(keys & np.uint32((1 << (8 * (d - 1))) - 1), kept[d - 1])]
-        if d:
-            kept.append(keys)
-        table = np.zeros((len(kept[d]), 256), np.float32)
-        own = got[np.isin(got["context"].to_numpy(np.int64), kept[d])]
-        table[np.searchsorted(kept[d], own["context"].to_numpy(np.uint32)), own["byte"].to_numpy(np.int64)] = own["n"].to_numpy()
-        tables.append(table)
-    return Tree(kept, tables)
+    """log10 byte probabilities of contexts: ``rows`` those of the most frequent ones of three bytes, ``keys`` (sorted); ``short`` those of every last byte; ``long`` a table (depth, context, n, logs) of all of two and three bytes."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray, short: np.ndarray, long: DataFrame):
+        self.keys, self.rows, self.short, self.long = keys, rows, short, long
+
+    def resolve(self, codes: DataFrame) -> DataFrame:
+        """(key, value): log10 probability of the last byte of each code in (key), in its longest context that training has seen."""
+        spark = codes.sparkSession
+        short = spark.createDataFrame([(i, x) for i, x in enumerate(self.short.tolist())], "c1 long, l1 array<float>")
+        out = codes.select("key", F.shiftright("key", 8).alias("c3"), F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("c2"), F.shiftright("key", 8).bitwiseAND(0xFF).alias("c1"), (F.col("key").bitwiseAND(255) + 1).cast("int").alias("byte"))
+        out = out.join(self.long.where("depth = 3").select(F.col("context").alias("c3"), F.col("logs").alias("l3")), "c3", "left")
+        out = out.withColumn("v3", F.element_at("l3", F.col("byte"))).drop("l3")
+        out = out.join(self.long.where("depth = 2").select(F.col("context").alias("c2"), F.col("logs").alias("l2")), "c2", "left")
+        out = out.withColumn("v2", F.element_at("l2", F.col("byte"))).drop("l2").join(F.broadcast(short), "c1")  # 256 rows
+        return out.select("key", F.coalesce("v3", "v2", F.element_at("l1", F.col("byte"))).cast("double").alias("value"))
+
+
+def tree(grams: DataFrame, contexts: int = 12_288, scratch: Scratch | None = None) -> Tree:
+    """The whole tree of byte 4-gram counts (key, n); a task holds the counts of one context of two bytes at a time.
+
+    The driver gets the weights of contexts of one byte (256 rows) and the rows
+    of ``contexts`` contexts of three.
+    """
+    spark = grams.sparkSession
+    grams = grams.select("key", "n", F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("family"))
+    schema = "context long, counts binary, weighted binary"
+    ones = map_groups(map_groups(grams, "family", _climb, schema), "context", _climb_further, schema).toPandas()  # 256 rows at most
+    c1, w1 = _matrix(ones["counts"], 256), _matrix(ones["weighted"], 255)
+    root = c1.sum(axis=0, keepdims=True)
+    on, mix, logs = _descend(root, _weigh(root, w1.sum(axis=0)), np.ones((1, 255)), np.zeros((1, 255)))
+    short = np.repeat(logs.astype(np.float32), 256, axis=0)
+    passed, mixed = np.zeros((256, 255), np.float32), np.zeros((256, 255), np.float32)
+    if len(ones):
+        at = ones["context"].to_numpy(np.int64)
+        passed[at], mixed[at], short[at] = _descend(c1, w1, on, mix)
+    shared = spark.sparkContext.broadcast((passed, mixed))  # half a MB
+
+    def down(table: pa.Table) -> pa.RecordBatch:
+        depths, contexts, totals, rows = [], [], [], []
+        for names, c in _families(table):
+            last, whole = slice(int(names[0]) & 255, (int(names[0]) & 255) + 1), c.sum(axis=0, keepdims=True)
+            on, mix, own = _descend(whole, _weigh(whole, _block(*_nodes(c)).sum(axis=0)), shared.value[0][last], shared.value[1][last])
+            rows += [own.astype(np.float32), _descend(c, None, on, mix)[2].astype(np.float32)]
+            depths.append(np.array([2] + [3] * len(c), dtype=np.int8))
+            contexts += [names[:1] & 0xFFFF, names]
+            totals += [whole.sum(axis=1), c.sum(axis=1)]
+        logs = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate(depths)), pa.array(np.concatenate(contexts)), pa.array(np.concatenate(totals).astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1, dtype=np.int32) * 256), pa.array(logs.ravel())),
+        ], ["depth", "context", "n", "logs"])
+
+    long = map_groups(grams, "family", down, "depth byte, context long, n long, logs array<float>")
+    long = scratch.cut(long) if scratch else long
+    most = long.where("depth = 3").select("context", "n").orderBy(F.desc("n"), "context").limit(contexts).select("context")
+    top = long.where("depth = 3").join(F.broadcast(most), "context").select("context", "logs").toPandas().sort_values("context")  # bounded by ``contexts``
+    rows = np.array(top["logs"].tolist(), dtype=np.float32).reshape(-1, 256)
+    return Tree(top["context"].to_numpy(np.uint32), rows, short, long)
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted ``keys`` of those values that are there, and which are not."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.ones(len(values), bool)
+    i = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    hit = keys[i] == values
+    return i[hit], ~hit
 
 
 def score(docs: DataFrame, *, folds: int = 5, held_out: int = 1, contexts: int = 12_288, frequent: int = 200_000) -> DataFrame:
@@ -180,7 +241,9 @@ def score(docs: DataFrame, *, folds: int = 5, held_out: int = 1, contexts: int =
     ``score`` is the model's log10 probability of the text's bytes, A-Z
     lower-cased, and of its end. ``base_score`` is that of a smoothed unigram
     model over words and an end; its counts are exact over all training
-    documents, the ``frequent`` ones scored in place and the others joined.
+    documents. The ``frequent`` words and the ``contexts`` contexts of three
+    bytes that occur most are scored in place and all others joined: the two
+    bound what tasks hold and change no result.
     Null texts are empty: an end alone. Repeated rows count and come back each;
     further columns are ignored; an empty table gives an empty result, and
     without training documents all bytes are equally likely.
@@ -193,15 +256,15 @@ def score(docs: DataFrame, *, folds: int = 5, held_out: int = 1, contexts: int =
         words = known.where("kind = 0").select("key", "n")
         total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         top = words.orderBy(F.desc("n"), "key").limit(frequent).toPandas().sort_values("key")  # bounded by ``frequent``
-        model = tree(known.where("kind = 1").select("key", "n"), contexts)
-        shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), model))
+        model = tree(known.where("kind = 1").select("key", "n"), contexts, scratch)
+        shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), model.keys, model.rows))
         n_all, v_all = int(total["n"]), int(total["v"])
 
         def term(c):
             return np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
 
         def run(batches):
-            keys, n, model = shared.value
+            keys, n, kept, table = shared.value
             for batch, a, b, texts in _batched(batches, 1, 1 << 20):
                 own = texts[a:b]
                 w = words_of(own)
@@ -213,24 +276,35 @@ def score(docs: DataFrame, *, folds: int = 5, held_out: int = 1, contexts: int =
                 base = np.bincount(doc[hit], weights=term(n[i[hit]]), minlength=b - a)
                 seen = np.bincount(doc[hit], minlength=b - a)
                 codes, at = _bytes_of(own)
-                logs = np.concatenate([[0], np.cumsum(model.log10(codes), dtype=np.float64)])
-                rare, k = np.unique(np.stack([doc[~hit], h[~hit]], axis=1), axis=0, return_counts=True)
-                places = np.searchsorted(rare[:, 0], np.arange(b - a + 1))
-                lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(rare[:, 1]))
-                times = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(k.astype(np.int64)))
+                found, rare = _lookup(kept, codes >> 8)
+                logs = np.zeros(len(codes))
+                logs[~rare] = table[found, codes[~rare] & 255]
+                logs = np.concatenate([[0], np.cumsum(logs)])
+                # what isn't scored here: (document, kind, key), each with its count
+                lost = np.repeat(np.arange(b - a), np.diff(at))[rare]
+                whose, kind = np.concatenate([doc[~hit], lost]), np.concatenate([np.zeros(int((~hit).sum()), np.int8), np.ones(len(lost), np.int8)])
+                key = np.concatenate([h[~hit], codes[rare].astype(np.int64)])
+                order = np.lexsort((key, kind, whose))
+                whose, kind, key = whose[order], kind[order], key[order]
+                new = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+                places = pa.array(np.searchsorted(whose[new], np.arange(b - a + 1)), pa.int32())
+                kinds, rest, times = (pa.ListArray.from_arrays(places, pa.array(x)) for x in (kind[new], key[new], np.diff(np.append(new, len(key)))))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(w.first) + 1), pa.array(seen.astype(np.int64)), pa.array(base),
-                    pa.array(logs[at[1:]] - logs[at[:-1]]), pa.array(np.diff(at) - 1), lists, times,
-                ], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])
+                    pa.array(logs[at[1:]] - logs[at[:-1]]), pa.array(np.diff(at) - 1), kinds, rest, times,
+                ], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "kind", "key", "k"])
 
         rows = docs.select("doc_id", "text", "held_out").mapInArrow(
-            run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<long>")
+            run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, kind array<byte>, key array<long>, k array<long>")
         rows = scratch.cut(rows.withColumn("row", F.monotonically_increasing_id()))
-        rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("k"))
-        rare = rare.join(words, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-        part = F.col("k") * F.log10((F.col("c") + 0.5) / F.lit(n_all + 0.5 * (v_all + 1)))
-        rare = rare.groupBy("row").agg(F.sum(part).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also"))
-        out = rows.drop("rare", "times").join(rare, "row", "left")
+        rare = rows.select("row", F.explode(F.arrays_zip("kind", "key", "k")).alias("x")).select("row", "x.*")
+        values = model.resolve(rare.where("kind = 1").select("key").distinct())
+        values = words.select(F.lit(0).cast("byte").alias("kind"), "key", "n", F.lit(None).cast("double").alias("value")).unionByName(values.select(F.lit(1).cast("byte").alias("kind"), "key", F.lit(0).cast("long").alias("n"), "value"))
+        rare = rare.join(values, ["kind", "key"], "left").withColumn("c", F.coalesce("n", F.lit(0)))
+        part = F.when(F.col("kind") == 0, F.col("k") * F.log10((F.col("c") + 0.5) / F.lit(n_all + 0.5 * (v_all + 1))))
+        also = F.when((F.col("kind") == 0) & (F.col("c") > 0), F.col("k")).otherwise(0)
+        rare = rare.groupBy("row").agg(F.sum(part).alias("more"), F.sum(also).alias("also"), F.sum(F.col("k") * F.col("value")).alias("rest"))
+        out = rows.drop("kind", "key", "k").join(rare, "row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
         return scratch.keep(out.select(
             "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
