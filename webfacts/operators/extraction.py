@@ -6,13 +6,14 @@ records of a page come from one parse and no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom as D
-from ..functions import texts, urls
+from ..functions import html, texts, urls
 
 # Selectors, each list in the order in which it is tried.
 CARDS = [".team-member", ".staff-card", ".person", ".bio-card", ".team-card", ".leadership-card", ".member-card", ".about-team .card"]
@@ -271,3 +272,39 @@ def tables(dom: Column) -> Column:
         return D.let(parts, lambda t: F.struct(t["names"].alias("headers"), t["rows"].alias("rows"), score(t).alias("score")))
 
     return F.array_sort(F.filter(F.transform(D.select(dom, "table"), lambda table: D.let(D.below(dom, table), one)), lambda x: F.size(x["rows"]) >= 2), lambda a, b: F.signum(b["score"] - a["score"]).cast("int"))
+
+
+def page_records(pages: DataFrame, types: list[str], raw_only: bool = False) -> DataFrame:
+    """(page_id, data_type, url, title, metadata) of pages (page_id, url, html, dom): all records that a page gives, metadata as JSON.
+
+    Pages of under 100 characters and those with an error's title give none;
+    others a ``page`` record, and with ``raw_only`` nothing more. Of ``types``,
+    articles need 200 words, tech_stack the home page, the others the URL's class.
+    """
+    dom, url = F.col("dom"), F.col("url")
+    base = pages.where(F.length("html") >= 100).select("page_id", "url", "html", "dom", html.title(F.col("html")).alias("title"), urls.classify_url(url).alias("class"), F.rtrim(urls.part(url, 3), F.lit("/")).alias("path"))
+    base = base.where(~html.is_error_title(F.col("title"))).withColumn("meta", rich_metadata(dom, url)).withColumn("content", content(dom))
+    base = base.withColumn("words", texts.word_count(F.col("content")))
+
+    def record(kind: str, title: Column, metadata: Column, to: Column = url) -> Column:
+        return F.struct(F.lit(kind).alias("data_type"), to.alias("url"), title.alias("title"), metadata.cast("string").alias("metadata"))
+
+    def one(kind: str, ok: Column, metadata: Column) -> Column:
+        return F.filter(F.array(F.when(ok, record(kind, F.col("title"), metadata))), lambda x: x.isNotNull())
+
+    def many(kind: str, found: Column, make: Callable[[Column], Column]) -> Column:
+        return F.transform(F.when(F.col("class") == kind, found).otherwise(F.slice(found, 1, 0)), make)
+
+    links = article_links(dom, url)
+    article_meta = F.to_json(F.struct(F.col("meta")["author"].alias("author"), categories(dom).alias("categories"), F.col("meta")["description"].alias("excerpt"), "content", F.col("words").alias("word_count")))
+    parts = {
+        "blog_url": lambda: one("blog_url", F.col("class") == "blog_url", D.let(links, lambda x: F.to_json(F.struct(x.alias("article_urls"), F.size(x).alias("total_articles"))))),
+        "article": lambda: one("article", F.col("words") >= 200, article_meta),
+        "contact": lambda: many("contact", people(dom), lambda x: record("contact", texts.full_name(x["first_name"], x["last_name"]), F.to_json(x))),
+        "resource": lambda: many("resource", resources(dom, url), lambda x: record("resource", x["title"], F.to_json(x), x["url"])),
+        "pricing": lambda: many("pricing", plans(dom), lambda x: record("pricing", x["plan_name"], F.to_json(x))),
+        "tech_stack": lambda: one("tech_stack", F.col("path").isin("", "/index.html"), F.to_json(html.technologies(F.col("html")))),
+    }
+    page = one("page", F.lit(True), F.to_json(F.struct("meta", "content", F.col("words").alias("word_count"))))
+    wanted = [] if raw_only else [parts[t]() for t in parts if t in types]
+    return base.select("page_id", F.explode(F.concat(page, *wanted)).alias("r")).select("page_id", "r.*")

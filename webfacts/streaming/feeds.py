@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.records import upsert
 
@@ -40,3 +44,34 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str
 
 def current(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/v={version:08d}")
+
+
+def latency_states(stream: DataFrame, key: str = "domain", ttl: str = "24 hours", late: str = "10 minutes") -> DataFrame:
+    """(key, avg_latency, n, expired) for update mode, of a stream (key, ts, latency_ms): a running average per key, forgotten after ``ttl`` of event time without a row.
+
+    The first latency counts as it is, then whole parts of 0.7 old + 0.3 new, in
+    the order of ``ts`` within a batch. The row that says that a key has expired
+    has null figures. A key's state is two numbers, however many rows it has.
+    """
+    seconds = int(pd.Timedelta(ttl).total_seconds())
+
+    def run(keys, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [keys[0]], "avg_latency": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "expired": [True]})
+            return
+        average, n = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "latency_ms"])
+        for x in rows["latency_ms"]:
+            average, n = int(x) if not average else math.floor(average * 0.7 + int(x) * 0.3), n + 1
+        state.update((average, n))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
+        yield pd.DataFrame({key: [keys[0]], "avg_latency": [average], "n": [n], "expired": [False]})
+
+    known = stream.where(F.col("latency_ms").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late).select(key, "ts", "latency_ms")
+    return known.groupBy(key).applyInPandasWithState(run, f"{key} string, avg_latency long, n long, expired boolean", "average long, n long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_seen(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
+    """Rows whose keys no earlier row within ``late`` had; state older than that goes."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
