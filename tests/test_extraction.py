@@ -106,3 +106,32 @@ def test_schema(of):
 def test_tables(of):
     got = of(TABLE, X.tables(dom).alias("t"))["t"]
     assert [(t["headers"], t["rows"], t["score"]) for t in got] == [(["A", "A (2)", "Column"], [["1", "2", "3"], ["4", "5", "6"]], 30.0), (["k"], [["1"], ["2", "3"]], 20.0)]
+
+
+def test_other_patterns(spark, of):
+    html = '<dl><dt>a</dt><dd>1</dd><dt>b<dd>2</dl><dl><dt>x</dt></dl><div role="grid"><p role="row"><b role="columnheader">h</b></p><p role="row"><b role="gridcell">1</b></p><p role="row"></p></div>'
+    got = of(html, X.definitions(dom).alias("d"), X.grids(dom).alias("g"))
+    assert [tuple(x) for x in got["d"]] == [(["a", "b"], ["1", "2"], 14.0)]
+    assert [tuple(x) for x in got["g"]] == [([["h"], ["1"], []], 24.0)]
+    cards = "<ul>" + '<li class="b a"><i>x</i></li>' * 2 + '<li class="a b"><i>y</i></li><li class="c"></li></ul>' + "<p>bare</p>" * 4
+    pages = D.with_nodes(spark.createDataFrame([(1, cards)], "page_id int, html string"))
+    assert [tuple(r) for r in X.repeated(pages).collect()] == [(1, 0, "li", "a b", 3, 19.5)]
+
+
+def test_markdown(of):
+    html = '<body><nav>menu</nav><main><h2>Head  line</h2><p>Some <b>bold</b> and <a href="/x">a link</a>.</p><ul><li>one</li><li><em>two</em></li></ul><aside>ad</aside><div><script>1</script>end<br>line</div></main>'
+    assert of(html, X.markdown(dom).alias("m"))["m"] == "## Head line\n\nSome **bold** and [a link](/x).\n\n- one\n- *two*\n\nend\nline"
+    assert of("<p>no main</p>", X.markdown(dom).alias("m"))["m"] is None
+
+
+def test_page_records(spark):
+    page = "<title>%s</title><body>" + "word " * 210 + '<div class="plan"><h3>Solo</h3>$5/mo</div><div class="plan"><h3>Team</h3></div></body>'
+    rows = [(1, "https://x.org/pricing", page % "Prices"), (2, "https://x.org/", page % "Home"), (3, "https://x.org/gone", page % "404 not found"), (4, "https://x.org/s", "<p>short"), (5, None, None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("_raw", F.col("html"))
+    nodes = D.with_nodes(pages, "_raw", keep=["page_id", "url", "html"])
+    types = ["article", "pricing", "tech_stack", "contact"]
+    got = X.page_records(nodes, types).select("page_id", "data_type", "title").collect()
+    assert sorted(tuple(r) for r in got) == [
+        (1, "article", "Prices"), (1, "page", "Prices"), (1, "pricing", "Solo"), (1, "pricing", "Team"), (2, "article", "Home"), (2, "page", "Home"), (2, "tech_stack", "Home"),
+    ]
+    assert sorted(r["page_id"] for r in X.page_records(nodes, types, raw_only=True).collect()) == [1, 2]

@@ -1,7 +1,8 @@
 """Documents as node tables: a page is an array of nodes in document order, and selectors are expressions over it.
 
-A node is (at, last, depth, tag, attrs, text): its number, that of its last
-descendant, its level. ``b`` lies in ``a`` if a.at < b.at <= a.last, so nested
+A node is (at, last, up, kids, depth, tag, attrs, text): its number, that of
+its last descendant and of its parent (-1 at the top), how many elements are
+right below it, its level. ``b`` lies in ``a`` if a.at < b.at <= a.last, so nested
 selection is a comparison of numbers and a subtree is a slice. Only the
 splitting of HTML into nodes runs in Python, Arrow batch by Arrow batch.
 """
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "array<struct<at int, last int, depth int, tag string, attrs map<string,string>, text string>>"
-_ARROW = pa.list_(pa.struct([("at", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+NODES = "array<struct<at int, last int, up int, kids int, depth int, tag string, attrs map<string,string>, text string>>"
+_ARROW = pa.list_(pa.struct([("at", pa.int32()), ("last", pa.int32()), ("up", pa.int32()), ("kids", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
 
 # Fixed values of HTML: elements without an end; elements whose start ends an open one of the kinds beside them.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -33,8 +34,10 @@ class _Splitter(HTMLParser):
         self.nodes, self.open = [], []
 
     def _add(self, tag: str, attrs=(), text: str | None = None) -> None:
-        at = len(self.nodes)
-        self.nodes.append({"at": at, "last": at, "depth": len(self.open), "tag": tag, "attrs": attrs, "text": text})
+        at, up = len(self.nodes), self.open[-1] if self.open else -1
+        if self.open and text is None:
+            self.nodes[up]["kids"] += 1
+        self.nodes.append({"at": at, "last": at, "up": up, "kids": 0, "depth": len(self.open), "tag": tag, "attrs": attrs, "text": text})
 
     def _end(self, upto: int) -> None:
         for at in self.open[upto:]:

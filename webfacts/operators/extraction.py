@@ -25,6 +25,8 @@ RESOURCES = [".resource", ".resource-card", ".content-item", ".card", "article",
 RESOURCE_TITLES = ["h2", "h3", "h4", ".title", "a"]
 CATEGORIES = ["a[rel='tag']", ".category a", ".tag a", ".post-categories a", ".entry-categories a"]
 CONTENT = [".entry-content", ".post-content", ".post-body", ".article-content", ".blog-content", "article", "main", "#left_content", "#content", ".content", "#main-content", ".main-content", "body"]
+MAIN = ["main", "article", "[role='main']", "#content", ".content", ".post-content", ".entry-content", ".main-content", "#main-content", "body"]
+NOISE = "nav, footer, header, aside, .sidebar, .ads, script, style"
 FAVICONS = ["link[rel='icon'][type='image/png']", "link[rel='icon'][type='image/svg+xml']", "link[rel='icon']", "link[rel='shortcut icon']"]
 GENERIC_MAIL = "info support sales help admin contact hello noreply no-reply webmaster privacy legal".split()
 BLOG = {
@@ -274,6 +276,71 @@ def tables(dom: Column) -> Column:
     return F.array_sort(F.filter(F.transform(D.select(dom, "table"), lambda table: D.let(D.below(dom, table), one)), lambda x: F.size(x["rows"]) >= 2), lambda a, b: F.signum(b["score"] - a["score"]).cast("int"))
 
 
+def definitions(dom: Column) -> Column:
+    """Definition lists of two or more terms with one definition each: terms, definitions, score."""
+
+    def one(own: Column) -> Column:
+        parts = [F.transform(D.select(own, tag), lambda x: D.text_of(own, x)) for tag in ("dt", "dd")]
+        return F.struct(parts[0].alias("terms"), parts[1].alias("definitions"), (F.size(D.select(own, "dt")) * 7.0).alias("score"))
+
+    found = F.transform(D.select(dom, "dl"), lambda x: D.let(D.below(dom, x), one))
+    return F.filter(found, lambda x: (F.size(x["terms"]) >= 2) & (F.size(x["terms"]) == F.size(x["definitions"])))
+
+
+def grids(dom: Column) -> Column:
+    """Elements with the role of a grid or table and three rows or more: rows of cells, score."""
+
+    def one(own: Column) -> Column:
+        rows = F.transform(D.select(own, "[role='row']"), lambda x: _cells(own, x, "[role='gridcell'], [role='cell'], [role='columnheader'], [role='rowheader']"))
+        return D.let(rows, lambda r: F.struct(r.alias("rows"), (F.size(r) * 8.0).alias("score")))
+
+    found = F.transform(D.select(dom, "[role='grid'], [role='table']"), lambda x: D.let(D.below(dom, x), one))
+    return F.filter(found, lambda x: F.size(x["rows"]) >= 3)
+
+
+def repeated(pages: DataFrame, least: int = 3) -> DataFrame:
+    """(page_id, up, tag, classes, n, score): elements of one parent, tag and set of classes, ``least`` or more, with an element each on average.
+
+    A page's elements are grouped by keys, so a page of any size is spread and pre-aggregated.
+    """
+    nodes = pages.select("page_id", F.explode("dom").alias("x")).where(~F.col("x.tag").startswith("#"))
+    classes = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(F.col("x.attrs")["class"], F.lit("")), r"\s+"), lambda c: c != ""))), " ")
+    groups = nodes.groupBy("page_id", F.col("x.up").alias("up"), F.col("x.tag").alias("tag"), classes.alias("classes"))
+    found = groups.agg(F.count("*").alias("n"), F.sum("x.kids").alias("kids")).where((F.col("n") >= least) & (F.col("kids") >= F.col("n")))
+    return found.select("page_id", "up", "tag", "classes", "n", (F.col("n") * 5 * 1.3).alias("score"))
+
+
+def markdown(dom: Column) -> Column:
+    """The main content as Markdown without navigation and the like: headings, paragraphs, bullets, links, emphasis.
+
+    Every node's opening and closing marks are put in the order of the document and joined.
+    """
+    blocks = "p div section article main body ul ol table tr blockquote pre figure".split()
+    heads = ["h1", "h2", "h3", "h4", "h5", "h6"]
+    strong, weak = ("b", "strong"), ("i", "em")
+
+    def marks(x: Column, start: bool) -> Column:
+        tag, empty = x["tag"], F.lit("")
+        out = F.when(tag.isin(blocks), "\n\n").when(tag.isin(*strong), "**").when(tag.isin(*weak), "*")
+        if start:
+            out = out.when(tag == "#text", F.regexp_replace(x["text"], r"(?U)\s+", " ")).when(tag == "br", "\n").when(tag == "li", "\n- ").when(tag == "a", "[")
+            return out.when(tag.isin(heads), F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" "))).otherwise(empty)
+        out = out.when(tag.isin(heads), "\n\n").when(tag.isin("td", "th"), " | ")
+        return out.when(tag == "a", F.concat(F.lit("]("), F.coalesce(x["attrs"]["href"], empty), F.lit(")"))).otherwise(empty)
+
+    def joined(own: Column) -> Column:
+        step = lambda x, at, kind, order, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), order.alias("order"), text.alias("text"))
+        starts = F.transform(own, lambda x: step(x, x["at"], 0, F.lit(0), marks(x, True)))
+        ends = F.transform(F.filter(own, lambda x: ~x["tag"].startswith("#")), lambda x: step(x, x["last"], 1, -x["at"], marks(x, False)))
+        text = F.array_join(F.transform(F.array_sort(F.concat(starts, ends)), lambda x: x["text"]), "")
+        return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"), F.lit(" \n"))
+
+    node = F.coalesce(*[D.first(dom, s) for s in MAIN])
+    return D.let(D.below(dom, node), lambda own: D.let(D.select(own, NOISE), lambda noise: joined(
+        F.filter(own, lambda x: ~F.exists(noise, lambda y: (y["at"] <= x["at"]) & (x["at"] <= y["last"])))
+    )))
+
+
 def page_records(pages: DataFrame, types: list[str], raw_only: bool = False) -> DataFrame:
     """(page_id, data_type, url, title, metadata) of pages (page_id, url, html, dom): all records that a page gives, metadata as JSON.
 

@@ -85,3 +85,17 @@ def k13_cascade(spark, sf_dir):
     """Lines of orders that remain once the failed ones are deleted."""
     gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey AS l_orderkey")
     return edits.cascaded(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
+@query("h35_markdown")
+def h35_markdown(spark, sf_dir):
+    """The main content of each page as Markdown."""
+    nodes = dom.with_nodes(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return nodes.select("page_id", extraction.markdown(F.col("dom")).alias("markdown"))
+
+
+@query("h48_repeated", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<ul>(.*?)</ul>', 1)) AS ul FROM pages) WHERE len(regexp_extract_all(ul, '(?i)<li>')) >= 3 GROUP BY 1")
+def h48_repeated(spark, sf_dir):
+    """How many lists of a page have three or more items with a link each."""
+    nodes = dom.with_nodes(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return extraction.repeated(nodes).where("tag = 'li'").groupBy("page_id").agg(F.count("*").alias("n"))
