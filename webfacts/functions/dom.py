@@ -176,3 +176,15 @@ def some_text(dom: Column, selectors: list[str]) -> Column:
 def first_filled(lists: list[Column]) -> Column:
     """The first of the arrays that is not empty; an empty one if all are."""
     return F.flatten(F.slice(F.filter(F.array(*lists), lambda x: F.size(x) > 0), 1, 1))
+
+
+def first_yielding(dom: Column, selectors: list[str], make: Callable[[Column], Column], ok: Callable[[Column], Column], least: int = 1) -> Column:
+    """What ``make`` gives for the nodes of the first selector that has ``least`` of them and a result that is ``ok``; those results."""
+
+    def ranked(rank: int) -> Column:
+        some = F.flatten(F.filter(F.array(select(dom, selectors[rank])), lambda x: F.size(x) >= least))
+        return F.transform(some, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("node")))
+
+    made = F.transform(F.concat(*map(ranked, range(len(selectors)))), lambda x: F.struct(x["rank"].alias("rank"), make(x["node"]).alias("value")))
+    kept = let(F.filter(made, lambda x: ok(x["value"])), lambda all_: F.filter(all_, lambda x: x["rank"] == F.array_min(F.transform(all_, lambda y: y["rank"]))))
+    return F.transform(kept, lambda x: x["value"])

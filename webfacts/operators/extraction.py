@@ -50,6 +50,10 @@ def _name(value: Column) -> dict[str, Column]:
     return {"first_name": F.get(parts, F.lit(0)), "last_name": F.get(parts, F.lit(1))}
 
 
+def _opened(dom: Column, node: Column) -> Column:
+    return F.struct(D.below(dom, node).alias("own"), D.raw_text(dom, node).alias("text"))
+
+
 def people_from_data(dom: Column) -> Column:
     """Persons of embedded JSON-LD, single or in a list; what does not parse gives none."""
     scripts = F.transform(D.select(dom, "script[type='application/ld+json']"), lambda x: F.from_json(D.raw_text(dom, x, "#code"), _LD))
@@ -60,15 +64,12 @@ def people_from_data(dom: Column) -> Column:
 def people_from_cards(dom: Column) -> Column:
     """Named cards of the first selector that has any."""
 
-    def cards(selector: str) -> Column:
-        def one(own: Column) -> Column:
-            profile = F.get(F.filter(D.select(own, "a[href]"), lambda a: a["attrs"]["href"].contains("linkedin.com/in/")), F.lit(0))
-            person = lambda name: _person("team_page", **_name(name), job_title=D.some_text(own, CARD_TITLES), linkedin_url=profile["attrs"]["href"])
-            return D.let(D.some_text(own, CARD_NAMES), person)
-
-        return F.filter(F.transform(D.select(dom, selector), lambda card: D.let(D.below(dom, card), one)), lambda x: x["first_name"].isNotNull())
+    def one(own: Column) -> Column:
+        profile = F.get(F.filter(D.select(own, "a[href]"), lambda a: a["attrs"]["href"].contains("linkedin.com/in/")), F.lit(0))
+        person = lambda name: _person("team_page", **_name(name), job_title=D.some_text(own, CARD_TITLES), linkedin_url=profile["attrs"]["href"])
+        return D.let(D.some_text(own, CARD_NAMES), person)
 
-    return D.first_filled([cards(s) for s in CARDS])
+    return D.first_yielding(dom, CARDS, lambda card: D.let(D.below(dom, card), one), lambda x: x["first_name"].isNotNull())
 
 
 def people_from_text(dom: Column) -> Column:
@@ -108,37 +109,31 @@ def people(dom: Column) -> Column:
 def plans(dom: Column) -> Column:
     """Price plans: cards with a name of the first selector that has two cards or more."""
 
-    def cards(selector: str) -> Column:
-        def one(card: Column) -> Column:
-            own, text = card["own"], card["text"]
-            items = F.transform(F.filter(D.select(D.below(own, D.first(own, "ul")), "li"), lambda x: F.length(D.raw_text(own, x)) > 3), lambda x: F.trim(D.raw_text(own, x)))
-            return F.struct(
-                D.some_text(own, PLAN_NAMES).alias("plan_name"), texts.first_price(text).alias("price"), texts.first_keyword(text, texts.CYCLES).alias("billing_cycle"),
-                F.coalesce(F.slice(items, 1, 10), F.array()).alias("features"), text.rlike("(?i)free trial|try free").alias("has_free_trial"), D.some_text(own, ["button, .cta, a.btn"]).alias("cta_text"),
-            )
-
-        found = F.flatten(F.filter(F.array(D.select(dom, selector)), lambda x: F.size(x) >= 2))
-        return F.filter(F.transform(found, lambda card: D.let(F.struct(D.below(dom, card).alias("own"), D.raw_text(dom, card).alias("text")), one)), lambda x: F.length(x["plan_name"]) >= 2)
+    def one(card: Column) -> Column:
+        own, text = card["own"], card["text"]
+        items = F.transform(F.filter(D.select(D.below(own, D.first(own, "ul")), "li"), lambda x: F.length(D.raw_text(own, x)) > 3), lambda x: F.trim(D.raw_text(own, x)))
+        return F.struct(
+            D.some_text(own, PLAN_NAMES).alias("plan_name"), texts.first_price(text).alias("price"), texts.first_keyword(text, texts.CYCLES).alias("billing_cycle"),
+            F.coalesce(F.slice(items, 1, 10), F.array()).alias("features"), text.rlike("(?i)free trial|try free").alias("has_free_trial"), D.some_text(own, ["button, .cta, a.btn"]).alias("cta_text"),
+        )
 
-    return D.first_filled([cards(s) for s in PLANS])
+    return D.first_yielding(dom, PLANS, lambda card: D.let(_opened(dom, card), one), lambda x: F.length(x["plan_name"]) >= 2, least=2)
 
 
 def resources(dom: Column, url: Column) -> Column:
     """Resources of a known kind, of the first selector that has any, and links to files to download; each URL once."""
     names = ["url", "title", "resource_type", "description", "gated", "download_url"]
 
-    def items(selector: str) -> Column:
-        def one(item: Column) -> Column:
-            own, text = item["own"], item["text"]
-            href, file = D.first(own, "a")["attrs"]["href"], D.first(own, "a[href$='.pdf'], a[download]")["attrs"]["href"]
-            values = [
-                F.when(F.coalesce(href, F.lit("")) != "", urls.resolve_url(url, href)).otherwise(url), D.some_text(own, RESOURCE_TITLES), texts.first_keyword(text, texts.RESOURCES),
-                F.trim(F.substring(text, 1, 200)), F.size(D.select(own, "form, input[type='email'], .form-wrapper")) > 0, urls.resolve_url(url, file),
-            ]
-            return F.struct(*[v.alias(n) for v, n in zip(values, names)])
+    def one(item: Column) -> Column:
+        own, text = item["own"], item["text"]
+        href, file = D.first(own, "a")["attrs"]["href"], D.first(own, "a[href$='.pdf'], a[download]")["attrs"]["href"]
+        values = [
+            D.let(href, lambda x: F.when(F.coalesce(x, F.lit("")) != "", urls.resolve_url(url, x)).otherwise(url)), D.some_text(own, RESOURCE_TITLES), texts.first_keyword(text, texts.RESOURCES),
+            F.trim(F.substring(text, 1, 200)), F.size(D.select(own, "form, input[type='email'], .form-wrapper")) > 0, D.let(file, lambda x: urls.resolve_url(url, x)),
+        ]
+        return F.struct(*[v.alias(n) for v, n in zip(values, names)])
 
-        found = F.transform(D.select(dom, selector), lambda item: D.let(F.struct(D.below(dom, item).alias("own"), D.raw_text(dom, item).alias("text")), one))
-        return F.filter(found, lambda x: (F.length(x["title"]) >= 5) & (x["resource_type"] != "unknown"))
+    items = D.first_yielding(dom, RESOURCES, lambda item: D.let(_opened(dom, item), one), lambda x: (F.length(x["title"]) >= 5) & (x["resource_type"] != "unknown"))
 
     def link(a: Column) -> Column:
         to, text = urls.resolve_url(url, a["attrs"]["href"]), F.trim(D.raw_text(dom, a))
@@ -147,7 +142,7 @@ def resources(dom: Column, url: Column) -> Column:
         return F.struct(*[v.alias(n) for v, n in zip(values, names)])
 
     files = F.filter(D.select(dom, "a[href$='.pdf'], a[download], a[href*='download']"), lambda a: F.coalesce(a["attrs"]["href"], F.lit("")) != "")
-    found = F.concat(D.first_filled([items(s) for s in RESOURCES]), F.transform(files, link))
+    found = F.concat(items, F.transform(files, link))
     return D.let(found, lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y["url"]), x["url"]) == i + 1))
 
 

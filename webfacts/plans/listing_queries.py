@@ -44,11 +44,11 @@ def f04_by_domain(spark, sf_dir):
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(100).select("id", "domain", "status")
 
 
-@query("f05_due_domains", WITH + f"SELECT domain FROM v_jobs GROUP BY domain HAVING max(created_at) + INTERVAL 1 DAY <= {_NOW} AND bool_or(status = 'completed')")
+@query("f05_due_domains", WITH + f"SELECT domain FROM v_jobs GROUP BY domain HAVING max(created_at) + INTERVAL 3 HOUR <= {_NOW} AND bool_or(status = 'completed')")
 def f05_due_domains(spark, sf_dir):
-    """Active domains whose next run, a day after the last, is due."""
+    """Active domains whose next run, three hours after the last, is due."""
     last = views.jobs(spark, sf_dir).groupBy("domain").agg(F.max("created_at").alias("at"), F.bool_or(F.col("status") == "completed").alias("active"))
-    return last.where(F.col("active") & (F.col("at") + F.expr("INTERVAL 1 DAY") <= _now())).select("domain")
+    return last.where(F.col("active") & (F.col("at") + F.expr("INTERVAL 3 HOUR") <= _now())).select("domain")
 
 
 @query("f07_recent_domains", WITH + f"SELECT domain, max(created_at) AS last_at FROM v_jobs WHERE status = 'completed' GROUP BY domain HAVING max(created_at) >= {_NOW} - INTERVAL 2 DAY")
@@ -207,7 +207,7 @@ def o04_supplement(spark, sf_dir):
     return rows.groupBy("domain").agg(F.min("source").alias("source"))
 
 
-@query("o05_not_queued", WITH + "SELECT DISTINCT domain FROM v_jobs WHERE domain NOT IN (SELECT domain FROM v_jobs WHERE status = 'pending' AND user_id < 200)")
+@query("o05_not_queued", WITH + "SELECT DISTINCT domain FROM v_jobs WHERE domain NOT IN (SELECT domain FROM v_jobs WHERE status = 'pending' AND user_id < 20)")
 def o05_not_queued(spark, sf_dir):
     jobs = views.jobs(spark, sf_dir)
-    return jobs.select("domain").distinct().join(jobs.where("status = 'pending' AND user_id < 200").select("domain"), "domain", "left_anti")
+    return jobs.select("domain").distinct().join(jobs.where("status = 'pending' AND user_id < 20").select("domain"), "domain", "left_anti")

@@ -54,7 +54,7 @@ def a11_status_last_day(spark, sf_dir):
     return views.jobs(spark, sf_dir).where(f"created_at >= {_DAY}").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("a13_domain_reputation", WITH + "SELECT domain, count(*) AS total, count(*) FILTER (status_code = 200) AS successes, count(*) FILTER (status_code IN (403, 429, 503)) AS blocks, round(count(*) FILTER (status_code = 200) * 1.0 / count(*), 2)::DOUBLE AS success_rate FROM v_jobs GROUP BY 1")
+@query("a13_domain_reputation", WITH + "SELECT domain, count(*) AS total, count(*) FILTER (status_code = 200) AS successes, count(*) FILTER (status_code IN (403, 429, 503)) AS blocks, ((200 * count(*) FILTER (status_code = 200) + count(*)) // (2 * count(*))) / 100.0::DOUBLE AS success_rate FROM v_jobs GROUP BY 1")
 def a13_domain_reputation(spark, sf_dir):
     return views.jobs(spark, sf_dir).groupBy("domain").agg(
         F.count("*").alias("total"), F.count_if(F.col("status_code") == 200).alias("successes"), F.count_if(F.col("status_code").isin(fetch_policy.BLOCK_STATUS)).alias("blocks"),
