@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character trigram models.
 
-Gram counts of a bounded sample of labelled documents become, for each order, a
-sorted array of 64-bit gram codes with one row of log-probabilities per gram,
-one column per language; a text gets the language of the lowest cross-entropy
-per character. What calibration documents of each language reach sets the limit
+Gram counts of a bounded sample of each language's labelled documents become,
+for each order, a sorted array of 64-bit gram codes with one row of
+log-probabilities per gram, one column per language; a text gets the language of
+the lowest cross-entropy per character. What calibration documents of each language reach sets the limit
 beyond which a text is rejected.
 """
 
@@ -13,12 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import Scratch
 from .text import blocks, texts_of
 
 _SPACE = 32
+#: Labelled rows of a language are counted by so many ranges of a hash, so that its first rows are found without sorting all of them.
+BUCKETS = 4096
 _letters: np.ndarray | None = None
 
 
@@ -140,20 +143,39 @@ def _entropy(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndar
     return -(total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)[:, None], n, letter[first[1:]] > letter[first[:-1]]
 
 
-def train(docs: DataFrame, *, sample_docs: int = 4000, folds: int = 3, held_out: int = 1, slack: float = 3.0) -> Model | None:
-    """A model of at most ``sample_docs`` labelled documents outside the held-out fold, taken by a hash of doc_id.
+def labelled_sample(rows: DataFrame, per_lang: int, least: int) -> DataFrame:
+    """(lang, text, calibrates) of the first ``per_lang`` rows of each language of (doc_id, lang, text), by a hash of doc_id.
 
-    One in five of them calibrates: a language's limit is ``slack`` times the
-    largest excess over its mean that they show, as sqrt(characters) * bits.
-    None if there is no labelled document.
+    A fifth of a language's rows calibrates, but at least ``least`` or else half
+    of them. All rows are counted, by language and range of the hash; only those
+    up to the range where ``per_lang`` is reached are sorted.
+    """
+    h = F.xxhash64("doc_id")
+    rows = rows.select("doc_id", "lang", "text", h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(BUCKETS)).alias("bucket"))
+    by = Window.partitionBy("lang").orderBy("bucket")
+    sizes = rows.groupBy("lang", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(by) - F.col("n"))
+    last = sizes.where(F.col("before") < per_lang).groupBy("lang").agg(F.max("bucket").alias("last"), F.least(F.sum("n"), F.lit(per_lang)).alias("n"))
+    first = rows.join(F.broadcast(last), "lang").where("bucket <= last")  # a row a language
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("bucket", "h", "doc_id", "text"))).where(F.col("nth") <= per_lang)
+    own = F.least(F.floor(F.col("n") / 2), F.greatest(F.floor(F.col("n") / 5), F.lit(least)))
+    # spread evenly over the rows: where nth * own / n reaches the next whole number
+    return first.select("lang", "text", (F.floor(F.col("nth") * own / F.col("n")) > F.floor((F.col("nth") - 1) * own / F.col("n"))).alias("calibrates"))
+
+
+def train(docs: DataFrame, *, per_lang: int = 1000, least: int = 20, folds: int = 3, held_out: int = 1, slack: float = 3.0) -> Model | None:
+    """A model of every language that is labelled outside the held-out fold, of at most ``per_lang`` documents each.
+
+    See ``labelled_sample`` for which documents train and calibrate it. A
+    language's limit is ``slack`` times the largest excess over its mean that
+    its calibrating documents show, as sqrt(characters) * bits. None if no labelled document has a letter.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    ids = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_docs)
-    langs = sorted(r[0] for r in ids.select("lang").distinct().collect())
-    if not langs:
-        return None
-    part = (F.xxhash64(F.lit(5), "doc_id") % 5 == 0).alias("calibrates")
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text", part)  # bounded by sample_docs
+    with Scratch(docs.sparkSession) as scratch:
+        return _trained(scratch.cut(labelled_sample(rows.select("doc_id", "lang", "text"), per_lang, least)), least, slack)
+
+
+def _trained(sample: DataFrame, least: int, slack: float) -> Model | None:
+    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
 
     def count(batches):
         for batch in batches:
@@ -165,6 +187,8 @@ def train(docs: DataFrame, *, sample_docs: int = 4000, folds: int = 3, held_out:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
     counts = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    if counts.empty:
+        return None
     model = kneser_ney(np.searchsorted(langs, counts["lang"].to_numpy(str)), counts["code"].to_numpy().view(np.uint64), counts["n"].to_numpy(), langs)
 
     def measure(batches):
@@ -201,7 +225,7 @@ def identify(docs: DataFrame, *, folds: int = 3, held_out: int = 1, **options) -
     kept = [c for c in docs.columns if c not in [*names, "held_out"]]
     if model is None:
         return docs.select(*kept, held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(None).cast("double").alias("bits"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand grams of a bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the grams of a bounded sample of each language
     rows = docs.select(*kept, held.alias("held_out"))
     text_at = rows.columns.index("text")
 
