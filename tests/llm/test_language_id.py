@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -40,3 +41,37 @@ def test_sample_is_the_first_rows_by_hash(spark):
     assert [n(x) for x in "abcd"] == [50, 7, 50, 1]
     assert [n(x, [True]) for x in "abcd"] == [20, 3, 20, 0]
     assert sorted(map(tuple, got)) == sorted(map(tuple, labelled_sample(df.repartition(7), 50, 20).collect()))
+
+
+def test_long_clean_texts_and_short_gibberish(spark):
+    from webfacts.llm.language_id import identify
+
+    # one document among the labelled ones is long and mislabelled
+    plain = [(i, words(i, 12 + i % 60), "en") for i in range(600)]
+    wrong = [(i, words(i, 4000, RARE), "en") for i in range(600, 640)][:4]
+    shifted = words(1, 100_000) + " " + words(2, 100_000, [w[::-1] if k % 8 == 0 else w for k, w in enumerate(COMMON)])
+    assert len(shifted) > 800_000
+    r = random.Random(3)
+    junk = [(2000 + i, "".join(r.choice("qxzjvkwpb") for _ in range(30)), None) for i in range(20)]
+    out = {x.doc_id: x for x in identify(spark.createDataFrame([*plain, *wrong, (1000, shifted, None), *junk], SCHEMA)).collect()}
+    assert not out[1000].rejected
+    assert all(out[2000 + i].rejected for i in range(20))
+    assert not any(out[i].rejected for i in range(600))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_few_labelled_rows(spark, n):
+    """Languages too rare to calibrate take the deviations of the others, so gibberish is rejected all the same."""
+    from webfacts.llm.language_id import train
+
+    rows = [(i, words(i, 30), "en") for i in range(300)]
+    ids = [r.id for r in spark.range(500, 600).where("crc32(cast(id as string)) % 3 <> 1").limit(n).collect()]
+    model = train(spark.createDataFrame(rows + [(i, words(i, 40, RARE), "el") for i in ids], SCHEMA))
+    assert model.langs == ["el", "en"] and model.limit[0] == model.limit[1] < float("inf") and model.mean[0] > 0
+
+
+def test_labels_without_letters(spark):
+    from webfacts.llm.language_id import identify
+
+    out = identify(spark.createDataFrame([(i, "123 ...", "en") for i in range(9)], SCHEMA)).collect()
+    assert len(out) == 9 and all(r.lang_pred == "und" and r.rejected for r in out)

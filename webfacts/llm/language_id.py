@@ -3,8 +3,8 @@
 Gram counts of a bounded sample of each language's labelled documents become,
 for each order, a sorted array of 64-bit gram codes with one row of
 log-probabilities per gram, one column per language; a text gets the language of
-the lowest cross-entropy per character. What calibration documents of each language reach sets the limit
-beyond which a text is rejected.
+the lowest cross-entropy per character. How far calibration documents of each
+language stray from its mean sets the limit beyond which a text is rejected.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .text import blocks, texts_of
 _SPACE = 32
 #: Labelled rows of a language are counted by so many ranges of a hash, so that its first rows are found without sorting all of them.
 BUCKETS = 4096
+# Bits a character that documents differ by whatever their length, and that one character differs by (the limit is never tighter than with the first of each).
+_STYLES, _NOISES = np.geomspace(0.4, 3.2, 25), np.geomspace(3.0, 24.0, 25)
 _letters: np.ndarray | None = None
 
 
@@ -73,7 +75,13 @@ class Model:
     backs: list[np.ndarray]  # log2 of the weight left to shorter contexts, for orders 1 and 2 as contexts
     none: np.ndarray  # log2 P of a character never seen
     mean: np.ndarray
-    limit: np.ndarray
+    limit: np.ndarray  # how many deviations above the mean a text may lie
+    style: np.ndarray  # deviation of a document's bits a character that its length doesn't lessen
+    noise: np.ndarray  # deviation of one character's bits, which does average out
+
+    def far(self, lang: np.ndarray, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether texts of ``n`` characters lie beyond the limits of their languages (by number)."""
+        return bits - self.mean[lang] > self.limit[lang] * np.sqrt(self.style[lang] ** 2 + self.noise[lang] ** 2 / np.maximum(n, 1))
 
     def score(self, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
         """log2 P of each place, a column a language."""
@@ -131,7 +139,7 @@ def kneser_ney(lang: np.ndarray, code: np.ndarray, count: np.ndarray, langs: lis
     p2, back1 = level(n2, k2 >> np.uint64(21), k1, p1[np.searchsorted(k1, k2 & mask)])
     p3, back2 = level(c3, k3 >> np.uint64(21), k2, p2[np.searchsorted(k2, k3 & np.uint64((1 << 42) - 1))])
     log = lambda x: np.log2(np.maximum(x, 1e-30)).astype(np.float32)
-    return Model(langs, [k1, k2, k3], [log(p1), log(p2), log(p3)], [log(back1), log(back2)], log(spare / alphabet), np.zeros(n), np.full(n, np.inf))
+    return Model(langs, [k1, k2, k3], [log(p1), log(p2), log(p3)], [log(back1), log(back2)], log(spare / alphabet), np.zeros(n), np.full(n, np.inf), np.full(n, _STYLES[0]), np.full(n, _NOISES[0]))
 
 
 def _entropy(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +151,46 @@ def _entropy(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndar
     return -(total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)[:, None], n, letter[first[1:]] > letter[first[:-1]]
 
 
+def deviations(off: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(style, noise) such that ``off`` of texts of ``n`` characters scatters by sqrt(style ** 2 + noise ** 2 / n).
+
+    The likeliest pair of a grid under Student's t with 3 degrees of freedom, by
+    which single mislabelled documents weigh little.
+    """
+    var = _STYLES[:, None, None] ** 2 + _NOISES[None, :, None] ** 2 / n
+    cost = (0.5 * np.log(var) + 2 * np.log1p(off**2 / var / 3)).sum(axis=2)
+    i, j = np.unravel_index(cost.argmin(), cost.shape)
+    return float(_STYLES[i]), float(_NOISES[j])
+
+
+def calibrate(model: Model, lang: np.ndarray, bits: np.ndarray, n: np.ndarray, least: int, slack: float, quantile: float = 0.9) -> None:
+    """Sets mean, deviations and limits of a model by documents (language number, bits a character, characters).
+
+    The mean is a median and the limit ``slack`` times a quantile of the
+    deviations, so that no single document sets either. A language of fewer
+    than ``least`` documents has the deviations of all languages together about
+    its own mean, and one without any the highest mean of all.
+    """
+    known = np.unique(lang)
+    if not len(known):
+        return
+    for k in known:
+        model.mean[k] = np.median(bits[lang == k])
+    model.mean[np.setdiff1d(np.arange(len(model.langs)), known)] = model.mean[known].max()
+    off = bits - model.mean[lang]
+    order = np.argsort(n, kind="stable")
+    few = order[:: -(-len(order) // 4000)]  # all lengths alike; the fit of many languages together needs no more
+
+    def fit(off: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+        style, noise = deviations(off, n)
+        return style, noise, slack * max(float(np.quantile(off / np.sqrt(style**2 + noise**2 / n), quantile)), 1.5)
+
+    together = fit(off[few], n[few])
+    for k in range(len(model.langs)):
+        own = lang == k
+        model.style[k], model.noise[k], model.limit[k] = fit(off[own], n[own]) if own.sum() >= least else together
+
+
 def labelled_sample(rows: DataFrame, per_lang: int, least: int) -> DataFrame:
     """(lang, text, calibrates) of the first ``per_lang`` rows of each language of (doc_id, lang, text), by a hash of doc_id.
 
@@ -165,9 +213,8 @@ def labelled_sample(rows: DataFrame, per_lang: int, least: int) -> DataFrame:
 def train(docs: DataFrame, *, per_lang: int = 1000, least: int = 20, folds: int = 3, held_out: int = 1, slack: float = 3.0) -> Model | None:
     """A model of every language that is labelled outside the held-out fold, of at most ``per_lang`` documents each.
 
-    See ``labelled_sample`` for which documents train and calibrate it. A
-    language's limit is ``slack`` times the largest excess over its mean that
-    its calibrating documents show, as sqrt(characters) * bits. None if no labelled document has a letter.
+    See ``labelled_sample`` for which documents train and calibrate it, and
+    ``calibrate`` for the limits. None if no labelled document has a letter.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     with Scratch(docs.sparkSession) as scratch:
@@ -200,12 +247,7 @@ def _trained(sample: DataFrame, least: int, slack: float) -> Model | None:
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(bits[np.arange(b - a), own][ok]), pa.array(n[ok])], ["lang", "bits", "n"])
 
     seen = sample.where("calibrates").mapInArrow(measure, "lang long, bits double, n long").toPandas()
-    for k in range(len(langs)):
-        own = seen[seen["lang"] == k]
-        if len(own):
-            model.mean[k] = np.average(own["bits"], weights=own["n"])
-            excess = (own["bits"] - model.mean[k]) * np.sqrt(own["n"])
-            model.limit[k] = slack * max(excess.max(), 4.0)
+    calibrate(model, seen["lang"].to_numpy(), seen["bits"].to_numpy(), seen["n"].to_numpy(), least, slack)
     return model
 
 
@@ -239,7 +281,7 @@ def identify(docs: DataFrame, *, folds: int = 3, held_out: int = 1, **options) -
                 best = bits.argmin(axis=1)
                 low = bits[np.arange(b - a), best]
                 share = 1 / np.exp2(-(bits - low[:, None]) * np.minimum(n, 64)[:, None]).sum(axis=1)
-                far = (low - model.mean[best]) * np.sqrt(n) > model.limit[best]
+                far = model.far(best, low, n)
                 best[~ok] = len(model.langs)
                 share[~ok] = 0
                 new = [pa.array(names_of[best], pa.string()), pa.array(share), pa.array(low, mask=~ok), pa.array(far | ~ok)]
