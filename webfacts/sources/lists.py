@@ -47,17 +47,22 @@ def video_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"(?:youtube\.com/(?:watch\?(?:[^#]*&)?v=|embed/)|youtu\.be/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, checkpoint, most_rounds: int = 10) -> DataFrame:
-    """(url, depth) reachable from seeds (url) over edges (src, dst).
+def crawl(edges: DataFrame, seeds: DataFrame, checkpoint, most_rounds: int | None = None, guard: int = 10_000) -> DataFrame:
+    """(url, depth) reachable from seeds (url) over edges (src, dst), up to depth ``most_rounds`` if that is given.
 
     A round joins only the last frontier to the edges and takes off what is known; ``checkpoint`` writes a frame to
-    shared storage and reads it back, so that plans and lost executors stay cheap.
+    shared storage and reads it back, so that plans and lost executors stay cheap. Rounds end when none is new; a
+    frontier that is left after ``guard`` of them is an error.
     """
     seen = frontier = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most_rounds + 1):
+    depth = 0
+    while most_rounds is None or depth < most_rounds:
+        depth += 1
         new = frontier.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         frontier = checkpoint(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
+        if depth > guard:
+            raise RuntimeError(f"crawl did not end within {guard} rounds")
         seen = checkpoint(seen.unionByName(frontier))
     return seen
