@@ -28,9 +28,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each class of near-duplicates, that of its smallest doc_id.
+
+    Rows without words or of a null doc_id are rows like others: blank ones
+    stay, and a class of null doc_ids keeps one. Repeated rows (equal doc_id and
+    text) are one class, so one of them stays; blank ones do so too.
+    """
+    stays = near_duplicates(docs).where("stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    return with_rows(docs, stays)
+
+
+def with_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """One row of docs for each (_id, _mark), a doc_id and a hash of a text; only repeated rows are shuffled whole."""
+    marked = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
+    own = F.col("doc_id").cast("long")
+    times = marked.groupBy(own.alias("_id"), F.col("_own").alias("_mark")).agg((F.count("*") > 1).alias("_again"))
+    stays = stays.distinct().withColumnRenamed("_id", "_d").withColumnRenamed("_mark", "_m")
+    stays = stays.join(times, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))).select("_id", "_mark", "_again")
+    both = marked.join(stays, own.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
+    once = both.where("not _again").select(*docs.columns)
+    again = both.where("_again").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    return once.unionByName(again)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,8 +56,33 @@ def test_near_duplicates_split_nodes(spark):
         for k in range(i % 7):
             w[(i * 13 + k * 31) % 120] = f"w{i}x{k}"
         family.append((i, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(family, "doc_id long, text string"), leaf=8, levels=3).collect()}
-    assert got == brute.near_duplicates(family)
+    want = brute.near_duplicates(family)
+    for levels, block in ((3, 256), (3, 8), (1, 8)):  # whole clusters, and clusters in blocks
+        out = near_duplicates(spark.createDataFrame(family, "doc_id long, text string"), leaf=8, levels=levels, block=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+        assert sum(r.stays for r in out) == sum(r.kept for r in out) == len({c for _, c in want.values()})
+
+
+def test_near_duplicates_rows_are_documents(spark):
+    """Null and repeated doc_ids, with equal and with different texts."""
+    from webfacts.llm.minhash import near_duplicates
+
+    a, b, c = (text(i, 80) for i in (2, 3, 4))
+    data = [(7, a), (7, b), (7, a), (3, a), (None, b), (None, c), (None, c), (None, None), (9, ""), (9, ""), (2, c + " more")]
+    out = near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, r.n_shingles > 0, r.component_id or 0, r.kept) for r in out)
+    assert got == sorted([(7, True, 3, False)] * 2 + [(3, True, 3, True), (7, True, 7, True), (0, True, 7, False)] + [(0, True, 2, False)] * 2 + [(2, True, 2, True), (0, False, 0, False)] + [(9, False, 9, True)] * 2)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out if r.stays) == [(0, 0), (2, 2), (3, 3), (7, 7), (9, 9), (9, 9)]
+
+
+def test_near_dedup_stage(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (text(i, 80) for i in (2, 3, 4))
+    data = [(7, a, 1), (7, b, 2), (7, a, 3), (3, a, 4), (None, b, 5), (None, c, 6), (None, c, 7), (None, None, 8), (9, "", 9), (9, "", 9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    out = sorted((r.doc_id or 0, r.text or "") for r in p.near_dedup(spark, docs, "").collect())
+    assert out == sorted([(7, b), (3, a), (0, c), (0, ""), (9, "")])
 
 
 def test_license_scan(docs, none):

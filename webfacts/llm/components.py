@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, gathered
+
+#: Edges that one task works on; a table of fewer needs no shuffle.
+PER_TASK = 50_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,32 +17,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     The minimum is an aggregate with map-side partials and joined back, so that
     a vertex with very many neighbours does not gather them in one task.
     """
+    up, down, own = F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", "v"), F.struct("u", F.col("u").alias("v"))
     if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rows = edges.select(F.inline(F.array(up, down)))
+        least = rows.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        rows = rows.join(least, "u").where("v > u")
     else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        rows = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).select(F.inline(F.array(down, own)))
+        rows = rows.join(rows.groupBy("u").agg(F.min("v").alias("m")), "u")
+    return rows.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(id, component_id) of every vertex on an edge (u, v); component_id is the smallest id reachable.
 
     An empty edge table gives an empty result; self-loops and repeated or
-    reversed edges change nothing. Edges stay in written tables from round to
-    round; the driver sees only their number and a checksum.
+    reversed edges change nothing. ``rows`` bounds the number of edges. Edges stay in written tables from round to
+    round; the driver sees only their number and how many vertices point to one
+    that points on, or to two.
     """
-    edges = scratch.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    edges = scratch.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     for _ in range(rounds):
-        edges = scratch.cut(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == before:
+        dealt = gathered(edges, n := scratch.rows(edges), PER_TASK)
+        ends = dealt.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
-        before = tuple(now)
+        before, edges = edges, scratch.cut(gathered(_star(_star(dealt, True), False), n, PER_TASK))
+        scratch.free(before)
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import gathered
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Regroups sorted batches so that no key is split; holds one group over at most."""
@@ -29,14 +30,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """Applies ``fn`` to tables of whole groups of the bigint ``key``; the caller keeps groups small (see ``in_blocks``)."""
+def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch], schema: str, rows: int | None = None, per_task: int = 5_000) -> DataFrame:
+    """Applies ``fn`` to tables of whole groups of the bigint ``key``; the caller keeps groups small (see ``in_blocks``).
+
+    ``rows``, a bound of the number of rows, spares a small table tasks of less than ``per_task``.
+    """
 
     def run(batches):
         for table in whole_groups(batches, key):
             yield fn(table)
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return gathered(df.repartition(F.col(key)), rows, per_task).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def in_blocks(df: DataFrame, node: str, size: str, row: str, most: int) -> DataFrame:

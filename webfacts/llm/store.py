@@ -10,17 +10,23 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that one task of a small table works on; more partitions than that takes are put together.
+PER_TASK = 20_000
 
 _left: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder of a local session, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="webfacts-")
@@ -42,17 +48,22 @@ def _clear() -> None:
         _delete(*_left.pop())
 
 
+def gathered(df: DataFrame, rows: int | None, per_task: int = PER_TASK) -> DataFrame:
+    """``df`` in no more partitions than its number of rows needs, if that is known (or a bound of it)."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // per_task)))
+
+
 class Scratch:
     """Written tables of one operator: ``cut`` for those that go at its end, ``keep`` for what its result reads."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.tables = spark, []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        for path in self.paths:
+        for _, path, _ in self.tables:
             _delete(self.spark, path)
 
     def _write(self, df: DataFrame) -> str:
@@ -60,16 +71,25 @@ class Scratch:
         df.write.parquet(path, compression="zstd")
         return path
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.paths.append(path := self._write(df))
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        """Removes the tables cut so far."""
-        while self.paths:
-            _delete(self.spark, self.paths.pop())
-
-    def keep(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The table as written and read again, in files by ``rows``, a bound of its number of rows."""
+        seen = Observation()
+        path = self._write(gathered(df, rows).observe(seen, F.count(F.lit(1)).alias("rows")))
+        self.tables.append((out := self.spark.read.schema(df.schema).parquet(path), path, seen.get["rows"]))
+        return out
+
+    def rows(self, table: DataFrame) -> int:
+        """How many rows a cut table has, counted as it was written."""
+        return next(n for x, _, n in self.tables if x is table)
+
+    def free(self, *done: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        for table, path, _ in self.tables:
+            if any(table is x for x in done):
+                _delete(self.spark, path)
+        self.tables = [x for x in self.tables if not any(x[0] is y for y in done)]
+
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """A table that stays until the driver's process ends, as lazily read results need it."""
-        _left.append((self.spark, path := self._write(df)))
+        _left.append((self.spark, path := self._write(gathered(df, rows))))
         return self.spark.read.schema(df.schema).parquet(path)
