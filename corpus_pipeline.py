@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webfacts.llm.language_id import identify
 from webfacts.llm.minhash import near_duplicates
-from webfacts.llm.mixing import mix
+from webfacts.llm.mixing import mix, targets
 from webfacts.llm.packing import pack
 from webfacts.llm.quality_classifier import classify
 from webfacts.llm.store import Scratch
@@ -17,12 +17,15 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; rejected ones go."""
+    """Documents whose language is known; rejected ones go, and with them null and blank texts and those without a letter.
+
+    Repeated rows fare alike, and a text of any length is judged whole.
+    """
     return identify(docs).where("not rejected").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; blank ones have the score of no words at all, and repeated rows fare alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels).where("predicted = 1").select(*docs.columns)
 
@@ -44,7 +47,7 @@ def with_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
     own = F.col("doc_id").cast("long")
     times = marked.groupBy(own.alias("_id"), F.col("_own").alias("_mark")).agg((F.count("*") > 1).alias("_again"))
     stays = stays.distinct().withColumnRenamed("_id", "_d").withColumnRenamed("_mark", "_m")
-    stays = stays.join(times, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))).select("_id", "_mark", "_again")
+    stays = stays.join(times, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))).select("_id", "_mark", "_again").hint("merge")
     both = marked.join(stays, own.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
     once = both.where("not _again").select(*docs.columns)
     again = both.where("_again").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
@@ -52,12 +55,17 @@ def with_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, spread over domains, languages and sources by equal weights."""
-    return mix(docs, share=0.8).select(*docs.columns)
+    """Four fifths of the tokens to target weights over domains, languages and sources.
+
+    One epoch, as a text should not come back once near-duplicates are gone. A
+    leaf gives its documents in a seeded order until its budget is reached;
+    repeated rows go together.
+    """
+    return mix(docs, share=0.8, weights=targets(spark)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens."""
+    """Pieces of all documents in sequences of 1024 tokens, by the packing operator's columns; repeated rows are packed each."""
     return pack(docs)
 
 

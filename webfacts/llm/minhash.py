@@ -223,24 +223,21 @@ def proposals(heads: DataFrame, scratch: Scratch, num: int, den: int, trees: int
     bounds = (num / den - 5 * (num / den * (1 - num / den) / COORDINATES) ** 0.5, num, den)
     sketches, active = heads.select("doc", "n_shingles", "sketch"), heads.select("doc", "signature")
     todo, edges, deal = [], [], ["group", "side", "doc"]
-    total = 0
     for level in range(levels):
         children = scratch.cut(_branch(active, branch, 0 if level else trees))
         n = scratch.rows(children)
         nodes = scratch.cut(children.join(children.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path"), n)
         scratch.free(children)
         n = scratch.rows(nodes)
-        total += n
         todo.append(nodes.where(F.col("n") <= leaf).select(F.col("path").alias("group"), F.lit(0).alias("side"), "doc"))
         labels = _with_picks(nodes.where(F.col("n") > leaf), "path", "n", _parts(F.col("n"), block), picks)
-        labels = scratch.cut(_labelled(labels.join(sketches, "doc"), bounds, n), n)
+        labels = scratch.cut(_labelled(labels.join(sketches, "doc"), bounds, 2 * n), 2 * n)
         n = scratch.rows(labels)
         if not n:
             break
         edges.append(labels.where("doc <> label").select(F.col("doc").alias("u"), F.col("label").alias("v")))
         rest = scratch.cut(_minor(labels.where("path is not null"), "path", "label").select("path", "doc", "n", "m", "minor"), n)
         n = scratch.rows(rest)
-        total += n
         if not n:
             break
         done = F.col("n") - F.col("m") <= leaf
@@ -251,7 +248,8 @@ def proposals(heads: DataFrame, scratch: Scratch, num: int, den: int, trees: int
     rows = todo[0]
     for x in todo[1:]:
         rows = rows.union(x)
-    found = _compared(rows.join(sketches, "doc"), bounds, total)
+    rows = scratch.cut(rows)
+    found = _compared(rows.join(sketches, "doc"), bounds, scratch.rows(rows))
     for x in edges:
         found = found.union(x)
     return found
@@ -320,12 +318,12 @@ def linked(heads: DataFrame, docs: DataFrame, scratch: Scratch, *, shingle: int,
 
     def with_text(dealt: DataFrame) -> DataFrame:
         """Each of the rows once with its text, whichever of equal rows of the input that comes from."""
-        wanted = dealt.select("doc", "doc_id", "mark", "group", "side", "part")
+        wanted = dealt.select("doc", "doc_id", "mark", "group", "side", "part").hint("merge")
         both = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"]))
         return both.select("group", "side", "doc", "part", "text")
 
-    first = _with_picks(rows, "component_id", "n", parts, picks).withColumn("side", F.lit(0)).withColumn("part", F.col("doc"))
-    links = scratch.cut(_exact(with_text(first), shingle, num, den, n), n)
+    first = scratch.cut(_with_picks(rows, "component_id", "n", parts, picks).withColumn("side", F.lit(0)).withColumn("part", F.col("doc")))
+    links = scratch.cut(_exact(with_text(first), shingle, num, den, scratch.rows(first)), n)
     # what blocks of one cluster have in common, but for what is known to be one part
     large = scratch.cut(rows.where(parts > 1), n)
     n = scratch.rows(large)
@@ -340,7 +338,8 @@ def linked(heads: DataFrame, docs: DataFrame, scratch: Scratch, *, shingle: int,
     few = F.col("n") - F.col("m") <= leaf
     names = ["group", "side", "doc", "part", "doc_id", "mark"]
     dealt = _minor_in_blocks(rows.where(few), "component_id", parts).select(*names).union(_pairs_of_blocks(rows.where(~few), "component_id", parts).select(*names))
-    return links.union(scratch.cut(_exact(with_text(dealt), shingle, num, den, n), n))
+    dealt = scratch.cut(dealt)
+    return links.union(scratch.cut(_exact(with_text(dealt), shingle, num, den, scratch.rows(dealt))))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
