@@ -10,12 +10,15 @@ its budget is met.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch
 
 LEVELS = ["domain", "language", "source_name"]
+#: Target weights of the registered query and the pipeline (level, name, weight); every other node weighs 1.
+TARGETS = [("domain", "d0", 3.0), ("domain", "d1", 2.0), ("language", "en", 2.0), ("language", "de", 1.5), ("source_name", "src1", 0.5), ("source_name", "src2", 4.0)]
+_PLAN = "_mixing_plan_"
 
 
 def tokens_of(text: Column) -> Column:
@@ -62,50 +65,67 @@ def budgets(leaves: DataFrame, total: Column, weights: DataFrame | None = None)
     return above.select(*[F.when(F.col(c) != "\u0000", F.col(c)).alias(c) for c in LEVELS], F.col("above").alias("budget"))
 
 
+def targets(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    """(level, name, weight) of the target weights, ``TARGETS`` if no others are given."""
+    return spark.createDataFrame(TARGETS if rows is None else rows, "level string, name string, weight double")
+
+
+def domain_of(source: Column) -> Column:
+    """``d`` and the number at a source's end modulo 4, or the source itself where it ends in no number."""
+    number = F.regexp_extract(source, r"(\d+)$", 1)
+    return F.when(number != "", F.concat(F.lit("d"), F.pmod(number.try_cast("bigint"), F.lit(4)).cast("string"))).otherwise(source)
+
+
+def _order(seed: int, epoch: Column, key: Column) -> Column:
+    """A row's place in the order of an epoch: 60 bits of a hash of seed, epoch and row."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), epoch, key)), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, *, share: float = 0.5, weights: DataFrame | None = None, domain: Column | None = None, epochs: int = 1, seed: int = 7, per_bucket: int = 10_000) -> DataFrame:
     """Rows of documents (doc_id, text, lang, source, ...) with domain, n_tokens, epoch, leaf_budget.
 
-    The budget is ``share`` of the corpus's tokens. A leaf of supply S gives up
-    to ``epochs`` S: its documents in the order of a hash of seed, epoch and
-    row, until the budget is reached; the document that crosses it is taken.
-    Rows with one hash, such as repeated rows, go together. Null texts count
-    one token; null languages, sources and domains are nodes of their own. An
-    empty table gives an empty result. Input columns of the same names as the
-    new ones are replaced.
+    The budget is ``share`` of the corpus's tokens, at most ``epochs`` times all
+    of them. A leaf of supply S gives up to ``epochs`` S: its documents in the
+    order of a hash of seed, epoch and row, until the budget is reached; the
+    document that crosses it is taken. Rows with one hash, such as repeated
+    rows, go together. Null texts count one token; null languages, sources and
+    domains are nodes of their own. An empty table gives an empty result. Texts
+    of any length count whole. Input columns of the same names as the new ones
+    are replaced; any others, whatever their names, stay.
     """
     with Scratch(docs.sparkSession) as scratch:
         docs = docs.drop("domain", "n_tokens", "epoch", "leaf_budget")
-        group = F.regexp_extract(F.col("source"), r"(\d+)$", 1)
-        domain = F.when(group != "", F.concat(F.lit("d"), F.pmod(group.try_cast("bigint"), F.lit(4)).cast("string"))).otherwise(F.col("source")) if domain is None else domain
+        domain = domain_of(F.col("source")) if domain is None else domain
         leaf = [domain.alias("domain"), F.col("lang").alias("language"), F.col("source").alias("source_name")]
-        key = F.xxhash64(F.lit(seed), "doc_id", "text")
+        key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
         rows = scratch.cut(docs.select(*leaf, key.alias("key"), tokens_of(F.col("text")).alias("n_tokens")))
-        leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("own"), F.count("*").alias("n"))
-        leaves = scratch.cut(leaves)
+        n = scratch.rows(rows)
+        leaves = scratch.cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("own"), F.count("*").alias("n")), n)
         total = leaves.agg((F.coalesce(F.sum("own"), F.lit(0)) * share).alias("t")).first()["t"]
-        planned = scratch.cut(budgets(leaves.withColumn("supply", F.col("own") * epochs), F.lit(float(total)), weights))
+        planned = scratch.cut(budgets(leaves.withColumn("supply", F.col("own") * epochs), F.lit(float(total)), weights), scratch.rows(leaves))
         leaves = _joined(leaves, planned, LEVELS)
         # whole epochs first, then the prefix of one more
-        leaves = scratch.cut(leaves.withColumn("whole", F.floor(F.col("budget") / F.col("own")).cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("own")))
+        leaves = leaves.withColumn("whole", F.floor(F.col("budget") / F.col("own")).cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("own"))
+        leaves = scratch.cut(leaves, scratch.rows(planned))
         # tokens by bucket of the order show in which bucket the prefix ends; only that one is sorted
-        order = F.xxhash64(F.lit(seed), "whole", "key")
-        buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / per_bucket))
-        width = F.floor(F.lit(float(2**64)) / buckets)
-        placed = _joined(rows, leaves, LEVELS).withColumn("order", order)
-        placed = placed.withColumn("bucket", F.floor((F.col("order").cast("double") + float(2**63)) / width).cast("long"))
+        width = F.ceil(F.lit(float(1 << 60)) / F.greatest(F.lit(1), F.ceil(F.col("n") / per_bucket)))
+        placed = _joined(rows, leaves, LEVELS).withColumn("order", _order(seed, F.col("whole"), F.col("key")))
+        placed = placed.withColumn("bucket", F.floor(F.col("order") / width).cast("long"))
         sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
         before = F.coalesce(F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sums = sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest")))
         last = _joined(placed.drop("rest"), sums.select(*LEVELS, F.col("bucket").alias("b"), "before", "rest"), LEVELS).where("bucket = b")
         run = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
         cut = last.withColumn("upto", F.col("before") + run).where("upto >= rest").groupBy(*LEVELS).agg(F.min("order").alias("cut"))
-        plan = scratch.keep(_joined(leaves, cut, LEVELS, "left").select(*LEVELS, F.col("budget").alias("leaf_budget"), "whole", "rest", "cut"))
-    marked = docs.select("*", leaf[0], tokens_of(F.col("text")).alias("n_tokens"), key.alias("_key"))
-    both = marked.join(plan.withColumnRenamed("domain", "_d"), F.col("domain").eqNullSafe(F.col("_d")) & F.col("lang").eqNullSafe(F.col("language")) & F.col("source").eqNullSafe(F.col("source_name")))
-    partly = (F.col("rest") > 0) & (F.xxhash64(F.lit(seed), "whole", "_key") <= F.coalesce("cut", F.lit(2**63 - 1)))
-    n = F.col("whole") + F.when(partly, 1).otherwise(0)
+        plan = _joined(leaves, cut, LEVELS, "left").select(*LEVELS, F.col("budget").alias("leaf_budget"), "whole", "rest", "cut")
+        plan = scratch.keep(plan.select(*[F.col(c).alias(f"{_PLAN}{c}") for c in plan.columns]), scratch.rows(leaves))
+    plans = {c.removeprefix(_PLAN): F.col(c) for c in plan.columns}
+    marked = docs.select("*", domain.alias("domain"), tokens_of(F.col("text")).alias("n_tokens"), key.alias(f"{_PLAN}key"))
+    both = marked.join(plan, F.col("domain").eqNullSafe(plans["domain"]) & F.col("lang").eqNullSafe(plans["language"]) & F.col("source").eqNullSafe(plans["source_name"]))
+    partly = (plans["rest"] > 0) & (_order(seed, plans["whole"], F.col(f"{_PLAN}key")) <= F.coalesce(plans["cut"], F.lit(2**63 - 1)))
+    n = plans["whole"] + F.when(partly, 1).otherwise(0)
     out = both.where(n > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), n - 1)))
-    return out.select(*docs.columns, "domain", "n_tokens", "epoch", "leaf_budget")
+    return out.select(*[f"`{c}`" for c in docs.columns], "domain", "n_tokens", "epoch", plans["leaf_budget"].alias("leaf_budget"))
 
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

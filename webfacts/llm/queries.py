@@ -19,6 +19,38 @@ def query(fn):
     return fn
 
 
+def _op2_sql() -> str:
+    """The same scan in SQL, on the words of grams themselves."""
+    from .license_scan import PHRASES, TEMPLATES
+
+    words = lambda x: f"list_filter(regexp_split_to_array(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    given = ", ".join("('{}', '{}')".format(n, x.replace("'", "''")) for n, x in TEMPLATES.items())
+    stands = lambda p: " AND ".join(f"w[i + {d + 1}] = '{x}'" for d, x in enumerate(p.split(" ")))
+    places = ", ".join(f"list_filter(range(0, len(w)), lambda i: {stands(p)}) AS p{n}" for n, p in enumerate(PHRASES))
+    both = " || ".join(f"p{n}" for n in range(len(PHRASES)))
+    labels = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{x}' END" for n, x in enumerate(PHRASES.values()))
+    own = f"list_sort(list_distinct(list_filter([{labels}], lambda x: x IS NOT NULL)))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+b AS (SELECT r, doc_id, len(w) AS n_words, {places} FROM d),
+t AS (SELECT name, {words("x")} AS w FROM (VALUES {given}) AS v(name, x)),
+tg AS (SELECT name, len(w) AS n, j, w[j + 1] || ' ' || w[j + 2] || ' ' || w[j + 3] AS gram FROM (SELECT name, w, unnest(range(0, len(w) - 2)) AS j FROM t)),
+dg AS (SELECT r, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM d)),
+v AS (SELECT r, name, n, i - j AS diagonal, min(i) AS a, max(i) AS z, list(j) AS under FROM dg JOIN tg USING (gram) GROUP BY ALL),
+f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, name ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS fresh FROM v),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY r, name ORDER BY diagonal) AS run FROM f),
+s AS (SELECT r, name, min(a) AS a, max(z) + 3 AS z, len(list_distinct(flatten(list(flatten(list_transform(under, lambda j: [j, j + 1, j + 2])))))) AS m, n FROM g GROUP BY r, name, n, run),
+k AS (SELECT r, name, a, z, m, m::DOUBLE / n AS c FROM s WHERE m::DOUBLE / n >= 0.7),
+e AS (SELECT r, max(c) AS best, list(DISTINCT name) AS more FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.r = x.r AND y.name <> x.name AND y.a < x.z AND x.a < y.z
+  AND (y.m > x.m OR y.m = x.m AND (y.c > x.c OR y.c = x.c AND y.name < x.name))) GROUP BY r)
+SELECT doc_id, n_words, len({both}) AS n_base, list_min({both}) AS first_word, list_max({both}) AS last_word, array_to_string({own}, ',') AS base_labels,
+array_to_string(list_sort(list_distinct({own} || coalesce(more, []))), ',') AS labels, CASE WHEN len({both}) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM b LEFT JOIN e USING (r)"""
+
+
+ORACLE["op2_license_scan"] = _op2_sql()
+
+
 @query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents by a chosen-path join."""
@@ -76,12 +108,56 @@ def op5_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+#: Share of the corpus's tokens, epochs that a leaf may give, seed.
+MIXED, EPOCHS, SEED = 0.5, 2, 7
+
+
+def _op9_sql() -> str:
+    """The same budgets and prefixes in SQL."""
+    from .mixing import TARGETS
+
+    def level(n: int, name: str, parent: list[str], above: str) -> str:
+        keys = ", ".join([*parent, name])
+        by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        before = f"OVER ({by} ORDER BY supply / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        weights = " ".join(f"WHEN '{x}' THEN {w}" for l, x, w in TARGETS if l == name)
+        on = " AND ".join(f"s.{p} = a.{p}" for p in parent) or "true"
+        return f"""
+s{n} AS (SELECT {keys}, sum(supply) AS supply, CASE {name} {weights} ELSE 1.0 END::DOUBLE AS weight FROM tree GROUP BY {keys}),
+n{n} AS (SELECT s.*, a.above FROM s{n} s JOIN {above} a ON {on}),
+r{n} AS (SELECT *, (above - coalesce(sum(supply) {before}, 0.0)) / (sum(weight) OVER ({by}) - coalesce(sum(weight) {before}, 0.0)) AS rate FROM n{n}),
+f{n} AS (SELECT *, rate * weight >= supply AS whole FROM r{n}),
+l{n} AS (SELECT *, max(CASE WHEN NOT whole THEN {{'a': -(supply / weight), 'rate': rate}} END) OVER ({by}) AS top FROM f{n}),
+b{n} AS (SELECT {keys}, CASE WHEN whole THEN supply ELSE least(supply, top.rate * weight) END AS above FROM l{n})"""
+
+    number = "regexp_extract(source, '(\\d+)$', 1)"
+    order = lambda x: f"substr(md5('{SEED}|' || {x} || '|' || key), 1, 15)"
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, CASE WHEN {number} <> '' THEN 'd' || (CAST({number} AS BIGINT) % 4) ELSE source END AS domain,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS BIGINT) AS n_tokens, md5(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(text, ''))) AS key FROM documents),
+e AS (SELECT *, coalesce(lang, '~') AS language, coalesce(source, '~') AS source_name, coalesce(domain, '~') AS node FROM d),
+leaves AS (SELECT node, language, source_name, sum(n_tokens)::DOUBLE AS own FROM e GROUP BY ALL),
+tree AS (SELECT node AS domain, language, source_name, own * {EPOCHS} AS supply FROM leaves),
+a0 AS (SELECT least((SELECT sum(own) FROM leaves) * {MIXED}::DOUBLE, sum(supply)) AS above FROM tree),
+{level(0, "domain", [], "a0")}, {level(1, "language", ["domain"], "b0")}, {level(2, "source_name", ["domain", "language"], "b1")},
+p AS (SELECT l.*, b.above AS budget, floor(b.above / own)::INT AS whole, b.above - floor(b.above / own) * own AS rest FROM leaves l JOIN b2 b ON l.node = b.domain AND l.language = b.language AND l.source_name = b.source_name),
+o AS (SELECT e.*, budget, whole, rest, {order("whole")} AS place FROM e JOIN p USING (node, language, source_name)),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY node, language, source_name ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o),
+c AS (SELECT node, language, source_name, min(place) FILTER (upto >= rest) AS cut FROM u GROUP BY ALL)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, whole + CASE WHEN rest > 0 AND place <= coalesce(cut, 'g') THEN 1 ELSE 0 END)) AS INT) AS epoch, budget AS leaf_budget
+FROM o JOIN c USING (node, language, source_name)"""
+
+
+ORACLE["op9_mixing"] = _op9_sql()
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the corpus's tokens, over a tree of domains, languages and sources with equal weights."""
-    from .mixing import mix
+    """Half of the corpus's tokens to target weights over a tree of domains, languages and sources, of leaves that give two epochs at most."""
+    from .mixing import mix, targets
 
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_budget")
+    out = mix(_table(spark, sf_dir, "documents"), share=MIXED, epochs=EPOCHS, seed=SEED, weights=targets(spark))
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_budget")
 
 
 @query
