@@ -30,17 +30,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch], schema: str, rows: int | None = None, per_task: int = 5_000) -> DataFrame:
+def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch], schema: str, rows: int | None = None, per_task: int = 5_000, parts: int | None = None) -> DataFrame:
     """Applies ``fn`` to tables of whole groups of the bigint ``key``; the caller keeps groups small (see ``in_blocks``).
 
-    ``rows``, a bound of the number of rows, spares a small table tasks of less than ``per_task``.
+    ``rows``, a bound of the number of rows, spares a small table tasks of less than ``per_task``. ``parts`` is a number of
+    partitions that stays as it is, for groups that take long but are few bytes.
     """
 
     def run(batches):
         for table in whole_groups(batches, key):
             yield fn(table)
 
-    return gathered(df.repartition(F.col(key)), rows, per_task).sortWithinPartitions(key).mapInArrow(run, schema)
+    dealt = df.repartition(parts, F.col(key)) if parts else gathered(df.repartition(F.col(key)), rows, per_task)
+    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def in_blocks(df: DataFrame, node: str, size: str, row: str, most: int) -> DataFrame:

@@ -1,11 +1,13 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Pieces are dealt to islands of bounded size. On an island a population of
-packings evolves: crossover injects whole well-filled bins of one parent into
-the other, bins with pieces that are then double are dissolved, and displaced
-pieces are put back best-fit by descending length; sub-populations exchange
-their best packing. Between rounds, full bins are final and the pieces of the
-others migrate to other islands; the last round keeps every bin.
+Pieces are dealt to blocks of bounded size, and each block to several islands,
+groups of their own to Spark. On an island a population of packings of the
+block evolves: crossover injects whole well-filled bins of one parent into the
+other, bins with pieces that are then double are dissolved, and displaced pieces
+are put back best-fit by descending length. Between two spells the islands of a
+block exchange their elites round a ring, through a written table; at last the
+block takes the best packing of its islands. Between rounds, full bins are final
+and the pieces of the others go to new blocks; the last round keeps every bin.
 """
 
 from __future__ import annotations
@@ -101,81 +103,127 @@ class _Bins:
             self._list(k, self.free[k])
 
 
-def evolve(length: list[int], capacity: int, *, population: int = 4, generations: int = 4, seed: int = 0) -> list[list[int]]:
-    """Bins of item numbers by a grouping genetic algorithm; two sub-populations exchange their best every other generation."""
-    rng = random.Random(seed)
-
-    def fresh(order: list[int], whole: list[list[int]]) -> list[list[int]]:
-        b = _Bins(capacity)
-        for x in whole:
-            b.add(list(x), sum(length[i] for i in x))
-        b.put(order, length)
-        return b.bins
-
-    def worth(bins: list[list[int]]) -> tuple[int, float]:
-        return len(bins), -sum((sum(length[i] for i in x) / capacity) ** 2 for x in bins)
-
-    def cross(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-        full = [x for x in a if sum(length[i] for i in x) >= 0.99 * capacity]
-        whole = rng.sample(full, len(full) // 2) if len(full) > 1 else full
-        inside = {i for x in whole for i in x}
-        stay, loose = list(whole), []
-        for x in b:
-            if inside.isdisjoint(x) and sum(length[i] for i in x) >= 0.99 * capacity:
-                stay.append(x)
-            else:
-                loose += [i for i in x if i not in inside]
-        return fresh(loose, stay)
-
-    first = fresh(list(range(len(length))), [])
-    total = sum(length)
-    if len(first) <= -(-total // capacity):  # no packing has fewer bins
-        return first
-    islands = []
-    for _ in range(2):
-        pop = [first]
-        while len(pop) < population:
-            b = _Bins(capacity)
-            for i in rng.sample(range(len(length)), len(length)):
-                b.put([i], length)
-            pop.append(b.bins)
-        islands.append(pop)
-    for g in range(generations):
-        for pop in islands:
-            pop.sort(key=worth)
-            pop[-1] = min((cross(pop[0], rng.choice(pop[1:])), pop[-1]), key=worth)
-            pop[-2] = min((cross(rng.choice(pop[1:]), pop[0]), pop[-2]), key=worth)
-        if g % 2:
-            best = [min(pop, key=worth) for pop in islands]
-            islands[0][-1], islands[1][-1] = best[1], best[0]
-    return min((x for pop in islands for x in pop), key=worth)
-
-
-def _islands(items: DataFrame, capacity: int, islands: int, turn: int) -> DataFrame:
-    """(item, length, bin, used, place) of (item, length)."""
+def worth(bins: list[list[int]], length: list[int], capacity: int) -> tuple[int, float]:
+    """Less is better: the number of bins, then how evenly they are filled."""
+    return len(bins), -sum((sum(length[i] for i in x) / capacity) ** 2 for x in bins)
+
+
+def best_fit(length: list[int], capacity: int, order: list[int] | None = None, whole: list[list[int]] | None = None) -> list[list[int]]:
+    """Bins of item numbers, best-fit by descending length; with ``order``, one after the other in that order, and with ``whole``, besides bins that stay."""
+    b = _Bins(capacity)
+    for x in whole or []:
+        b.add(list(x), sum(length[i] for i in x))
+    if order is None or whole is not None:
+        b.put(list(range(len(length))) if order is None else order, length)
+    else:
+        for i in order:
+            b.put([i], length)
+    return b.bins
+
+
+def cross(a: list[list[int]], b: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+    """The second parent with whole well-filled bins of the first; what is then double or displaced is put back best-fit."""
+    fill = lambda x: sum(length[i] for i in x)
+    full = [x for x in a if fill(x) >= 0.99 * capacity] or sorted(a, key=fill, reverse=True)[: max(1, len(a) // 4)]
+    given = rng.sample(full, max(1, rng.randint(len(full) // 2, len(full))))
+    inside = {i for x in given for i in x}
+    stay, loose = list(given), []
+    for x in b:
+        if inside.isdisjoint(x) and fill(x) >= 0.99 * capacity:
+            stay.append(x)
+        else:
+            loose += [i for i in x if i not in inside]
+    if rng.random() < 0.5:  # displaced pieces of equal claim in another order
+        rng.shuffle(loose)
+        return best_fit(length, capacity, loose, stay)
+    out = _Bins(capacity)
+    for x in stay:
+        out.add(list(x), fill(x))
+    rng.shuffle(loose)
+    for i in loose:
+        out.put([i], length)
+    return out.bins
+
+
+def evolve(length: list[int], capacity: int, *, elites: list[list[list[int]]] = (), population: int = 6, generations: int = 6, seed: int = 0) -> list[list[int]]:
+    """The best packing of a population that starts with ``elites``, best fit by descending length and best fit in random orders."""
+    rng, value = random.Random(seed), lambda x: worth(x, length, capacity)
+    pop = [*elites, best_fit(length, capacity)]
+    least = -(-sum(length) // capacity)  # no packing has fewer bins
+    while len(pop) < population and min(map(len, pop)) > least:
+        pop.append(best_fit(length, capacity, rng.sample(range(len(length)), len(length))))
+    for _ in range(generations):
+        pop.sort(key=value)
+        if len(pop[0]) <= least:
+            break
+        # both orders of a pair, each in place of a worse one
+        other = rng.choice(pop[1:])
+        pop[-1] = min((cross(pop[0], other, length, capacity, rng), pop[-1]), key=value)
+        pop[-2] = min((cross(other, pop[0], length, capacity, rng), pop[-2]), key=value)
+    return min(pop, key=value)
+
+
+def _bins_of(numbers: list[int]) -> list[list[int]]:
+    bins: dict[int, list[int]] = {}
+    for i, k in enumerate(numbers):
+        bins.setdefault(k, []).append(i)
+    return list(bins.values())
+
+
+def _spell(rows: DataFrame, capacity: int, islands: int, blocks: int, spell: int, options: dict) -> DataFrame:
+    """(block, island, item, length, bin, bins, worth) of (block, island, item, length, own, guest): each island's elite after some generations.
+
+    ``own`` and ``guest`` number the bins of the island's elite so far and of its neighbour's, null in the first spell.
+    """
 
     def run(table: pa.Table) -> pa.RecordBatch:
-        key, item, length = (table.column(c).to_numpy() for c in ("island", "item", "length"))
-        out = []
+        key, item, length = (table.column(c).to_numpy() for c in ("group", "item", "length"))
+        before = [np.asarray(table.column(c).fill_null(-1)) for c in ("own", "guest")]
+        out = [(np.zeros(0, np.int64),) * 6 + (np.zeros(0),)]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         for a, b in zip(starts, np.append(starts[1:], len(key))):
             order = a + np.argsort(item[a:b])
             own = length[order].tolist()
-            for k, members in enumerate(evolve(own, capacity, seed=int(key[a]))):
-                used = 0
-                total = sum(own[i] for i in members)
-                for i in members:
-                    out.append((int(item[order[i]]), own[i], (turn << 56) | (int(key[a]) << 20) | k, total, used))
-                    used += own[i]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 5)], ["item", "length", "bin", "used", "place"])
-
-    dealt = items.withColumn("island", F.pmod(F.xxhash64(F.lit(turn), "item"), F.lit(islands)))
-    return map_groups(dealt.select("island", "item", "length"), "island", run, "item long, length long, bin long, used long, place long")
-
-
-def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2, capacity: int = 1024, island_rows: int = 4000, rounds: int = 3) -> DataFrame:
+            elites = [_bins_of(x[order].tolist()) for x in before if len(x) and x[a] >= 0]
+            bins = evolve(own, capacity, elites=elites, seed=int(key[a]) * 31 + spell, **options)
+            number = np.zeros(b - a, dtype=np.int64)
+            for k, members in enumerate(bins):
+                number[members] = k
+            count, even = worth(bins, own, capacity)
+            same = np.ones(b - a, dtype=np.int64)
+            out.append((same * (key[a] // islands), same * (key[a] % islands), item[order], length[order], number, same * count, same * even))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["block", "island", "item", "length", "bin", "bins", "worth"])
+
+    rows = rows.select((F.col("block") * islands + F.col("island")).alias("group"), "item", "length", "own", "guest")
+    schema = "block long, island long, item long, length long, bin long, bins long, worth double"
+    return map_groups(rows, "group", run, schema, parts=min(blocks * islands, 10_000))
+
+
+def _blocks(items: DataFrame, scratch: Scratch, capacity: int, blocks: int, turn: int, islands: int, spells: int, options: dict) -> DataFrame:
+    """(item, length, bin, used, place) of (item, length): the best packing of each block's islands."""
+    none = F.lit(None).cast("long")
+    rows = items.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "item"), F.lit(blocks)).cast("long")).withColumn("island", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(islands - 1).cast("long"))))
+    state = None
+    for spell in range(spells):
+        if state is None:
+            now = rows.withColumn("own", none).withColumn("guest", none)
+        else:  # each island gets the elite of the one before it in the ring
+            guests = state.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "item", F.col("bin").alias("guest"))
+            now = state.withColumnRenamed("bin", "own").join(guests, ["item", "island"])
+        before, state = state, scratch.cut(_spell(now, capacity, islands, blocks, spell, options))
+        scratch.free(before)
+    best = state.groupBy("block").agg(F.min(F.struct("bins", "worth", "island")).alias("best")).select("block", "best.island")
+    state = state.join(best, ["block", "island"])
+    own = Window.partitionBy("block", "bin")
+    before = F.sum("length").over(own.orderBy("item").rowsBetween(Window.unboundedPreceding, -1))
+    return state.select("item", "length", (F.lit(turn << 56) + F.col("block") * (1 << 20) + F.col("bin")).alias("bin"), F.sum("length").over(own).alias("used"), F.coalesce(before, F.lit(0)).alias("place"))
+
+
+def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2, capacity: int = 1024, island_rows: int = 4000, rounds: int = 3, islands: int = 3, spells: int = 2, **options) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    A block has some ``island_rows`` pieces and is packed by ``islands`` islands
+    in ``spells`` spells; further options are those of ``evolve``.
     A document is its ids and ``end``; a null or empty text is ``end`` alone.
     Only documents of more than ``capacity`` ids are cut. Repeated rows are
     packed each; further columns are ignored; an empty table gives an empty
@@ -187,8 +235,8 @@ def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2
         rows = scratch.cut(rows.withColumn("item", F.monotonically_increasing_id()))
         left, done = rows.where(F.col("length") < capacity).select("item", "length"), []
         for turn in range(1, rounds + 1):
-            n = left.count()
-            packed = scratch.cut(_islands(left, capacity, max(1, -(-n // island_rows)), turn))
+            n = left.count() if turn > 1 else scratch.rows(rows)
+            packed = scratch.cut(_blocks(left, scratch, capacity, max(1, -(-n // island_rows)), turn, islands, spells, options), n)
             if turn == rounds or n <= island_rows:
                 done.append(packed)
                 break
