@@ -75,3 +75,57 @@ def test_labels_without_letters(spark):
 
     out = identify(spark.createDataFrame([(i, "123 ...", "en") for i in range(9)], SCHEMA)).collect()
     assert len(out) == 9 and all(r.lang_pred == "und" and r.rejected for r in out)
+
+
+def test_model_is_kneser_ney(spark):
+    """Bits a character of a plain interpolated model with the same discount."""
+    import math
+    from collections import Counter, defaultdict
+
+    import numpy as np
+
+    from webfacts.llm.language_id import _entropy, grams_of, kneser_ney
+
+    def chars(x):
+        out = [" "]
+        for c in x.lower():
+            if c.isalpha() or out[-1] != " ":
+                out.append(c if c.isalpha() else " ")
+        return "".join(out)
+
+    own = {0: [words(1, 40), "ab, ba!"], 1: [words(2, 30, RARE), "Ünï  ab"]}
+    d, alphabet, models = 0.75, 1 << 12, []
+    for texts in own.values():
+        c3 = Counter()
+        for x in texts:
+            s = " " + chars(x)
+            c3.update(s[i : i + 3] for i in range(len(s) - 2))
+        c2, c1 = Counter(g[1:] for g in c3), Counter()
+        c1.update(g[1:] for g in c2)
+        after = {n: defaultdict(Counter) for n in (2, 3)}
+        for n, c in ((2, c2), (3, c3)):
+            for g, k in c.items():
+                after[n][g[:-1]][g[-1]] += k
+
+        def p(a, b, c, c1=c1, after=after):
+            out = max(c1[c] - d, 0) / sum(c1.values()) + (d * len(c1) / sum(c1.values()) + 1e-9) / alphabet
+            for n, context in ((2, b), (3, a + b)):
+                row = after[n].get(context)
+                if row:
+                    total = sum(row.values())
+                    out = max(row[c] - d, 0) / total + d * len(row) / total * out
+            return out
+
+        models.append(p)
+    code, lang, count = [], [], []
+    for k, texts in own.items():
+        x, n = np.unique(grams_of([t.encode() for t in texts])[2], return_counts=True)
+        code.append(x), count.append(n), lang.append(np.full(len(x), k))
+    model = kneser_ney(np.concatenate(lang), np.concatenate(code), np.concatenate(count), ["en", "el"])
+    for x in [words(5, 9), words(6, 9, RARE), "zzz q", "ab ünï δρ"]:
+        bits, n, _ = _entropy(model, [x.encode()])
+        s = " " + chars(x)
+        assert n[0] == len(s) - 2
+        for k, p in enumerate(models):
+            want = -sum(math.log2(p(s[i], s[i + 1], s[i + 2])) for i in range(len(s) - 2)) / n[0]
+            assert abs(bits[0, k] - want) < 1e-4, (x, k, bits[0, k], want)

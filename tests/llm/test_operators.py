@@ -104,12 +104,33 @@ def test_license_scan(docs, none):
 
 
 def test_license_spans_with_a_word_put_in(spark):
-    from webfacts.llm.license_scan import TEMPLATES, spans
+    from webfacts.llm.license_scan import TEMPLATES, scan
 
     w = TEMPLATES["bsd"].split()
     df = spark.createDataFrame([(1, "before it " + " ".join(w[:9] + ["oddly"] + w[9:]) + " after"), (2, " ".join(w[:6]))], "doc_id long, text string")
-    got = spans(df).collect()
-    assert [(r.doc_id, r.template, r.start_word) for r in got] == [(1, "bsd", 2)]
+    for limit in (1_000_000, 0):  # templates that are broadcast, and that are shuffled
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("webfacts.llm.license_scan.BROADCAST_CHARS", limit)
+            got = [(r.doc_id, x.template, x.start_word) for r in scan(df).collect() for x in r.spans or []]
+        assert got == [(1, "bsd", 2)]
+
+
+def test_license_rows_of_one_doc_id(spark):
+    """Each row has the labels of its own text."""
+    from webfacts.llm.license_scan import scan
+
+    rows = [(None, "nothing to see here at all"), (None, "Released under the MIT License"), (7, "plain words only"), (7, "Released under the MIT License"), (7, "Released under the MIT License")]
+    got = sorted((r.doc_id or 0, r.n_words, r.labels, r.score) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(0, 6, "", 0.0), (0, 5, "mit-notice", 1.0), (7, 3, "", 0.0)] + [(7, 5, "mit-notice", 1.0)] * 2)
+
+
+def test_license_rivals(spark):
+    """Two notices that differ by one word: each text has the label of the one that fits."""
+    from webfacts.llm.license_scan import TEMPLATES, scan
+
+    rows = [(1, TEMPLATES["cc-by-4.0"]), (2, TEMPLATES["cc-by-sa"]), (3, f"{TEMPLATES['cc-by-4.0']} and {TEMPLATES['cc-by-sa']}")]
+    got = {r.doc_id: r.labels for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "cc-by-4.0", 2: "cc-by-sa", 3: "cc-by-4.0,cc-by-sa"}
 
 
 def test_ctw(docs, none):
@@ -152,7 +173,7 @@ def test_ctw_scores_are_those_of_the_whole_tree(docs):
     from webfacts.llm.lm_scoring import score
 
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    low = lambda x: b"\0\0\0" + bytes(y + 32 if 65 <= y <= 90 else y for y in (x or "").encode()) + b"\0"
+    low = lambda x: b"\0\0\0" + bytes(y + 32 if 65 <= y <= 90 else y or 255 for y in (x or "").encode()) + b"\0"
     seen, below = defaultdict(Counter), defaultdict(set)
     for r in rows():
         x = low(r[1])
@@ -256,6 +277,48 @@ def test_packing(docs, none):
     assert len(evolve([6, 5, 5, 4, 3, 3, 2, 2], 10)) == 3
 
 
+def triplets(bins, capacity=1000, seed=1):
+    """Lengths that fill ``bins`` bins with three pieces each, and that best fit does not pack so."""
+    import random
+
+    r, out = random.Random(seed), []
+    for _ in range(bins):
+        a = r.randint(380, 490)
+        b = r.randint(255, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    return out
+
+
+def test_evolution_beats_best_fit():
+    from webfacts.llm.packing import best_fit, evolve
+
+    lengths = triplets(20)
+    plain = len(best_fit(lengths, 1000))
+    bins = evolve(lengths, 1000, population=20, generations=400)
+    assert sorted(i for x in bins for i in x) == list(range(60)) and all(sum(lengths[i] for i in x) <= 1000 for x in bins)
+    assert 20 <= len(bins) < plain
+
+
+def test_islands_exchange_elites(spark):
+    """More islands and spells never pack worse than one, and every piece has its place."""
+    from webfacts.llm.packing import _blocks, best_fit
+    from webfacts.llm.store import Scratch
+
+    lengths = triplets(20)
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    with Scratch(spark) as scratch:
+        packed = _blocks(items, scratch, 1000, 1, 1, 4, 3, {"population": 12, "generations": 80}).collect()
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r.bin].append((r.place, r.length, r.used))
+    assert sorted(r.item for r in packed) == list(range(60)) and len(bins) < len(best_fit(lengths, 1000))
+    for own in bins.values():
+        end = 0
+        for place, n, used in sorted(own):
+            assert place == end and used == sum(x[1] for x in own) <= 1000
+            end += n
+
+
 def test_tokenizer_files_agree():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -292,12 +355,38 @@ def test_embeddings(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall(spark):
+    """Pairs just above the bound in one hot label and a small one, against all pairs of the label."""
+    import numpy as np
+
+    from webfacts.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(2000):  # at cosines of 0.931 to 0.95
+        c = rng.uniform(0.931, 0.95)
+        y = rng.normal(size=48)
+        y -= (y @ x[i]) * x[i]
+        x[2000 + i] = c * x[i] + math.sqrt(1 - c * c) * y / np.linalg.norm(y)
+    labels = [0 if i % 2000 < 1900 else 1 for i in range(5000)]
+    df = spark.createDataFrame([(i, labels[i], v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+    want = np.zeros(5000, int)
+    for k in (0, 1):
+        own = [i for i in range(5000) if labels[i] == k]
+        want[own] = (x[own] @ x[own].T >= 0.93).sum(axis=1) - 1
+    assert want.sum() >= 4000 and all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.98 * want.sum()
+
+
 def test_sharding(docs, none):
     from webfacts.llm.sharding import shard
 
     for chunk in (50_000, 5):
         out = shard(docs, chunk_rows=chunk).collect()
-        assert sorted((r.doc_id or -1, r.size) for r in out) == sorted((r[0] if r[0] else -1 if r[0] is None else 0, len((r[1] or "").encode()) + 1) for r in rows()) or len(out) == len(rows())
+        none_last = lambda x: -1 if x is None else x
+        assert sorted((none_last(r.doc_id), r.size) for r in out) == sorted((none_last(r[0]), len((r[1] or "").encode()) + 1) for r in rows())
         texts, loads, slots = defaultdict(set), Counter(), defaultdict(list)
         for r in out:
             texts[r.text_crc32].add(r.shard)
@@ -305,6 +394,13 @@ def test_sharding(docs, none):
             slots[r.shard].append(r.slot)
         assert all(len(s) == 1 for s in texts.values())
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        if chunk == 50_000:  # the plain schedule: by descending size to the least-loaded shard
+            sizes, plain = Counter(), [0] * 8
+            for r in rows():
+                sizes[r[1] or ""] += len((r[1] or "").encode()) + 1
+            for n in sorted(sizes.values(), reverse=True):
+                plain[plain.index(min(plain))] += n
+            assert sorted(loads.get(k, 0) for k in range(8)) == sorted(plain)
     assert shard(none).count() == 0
 
 
@@ -333,6 +429,51 @@ def test_quality_classifier(docs, none, spark):
     assert held and all((r.score > 0.5) == bool(r.doc_id % 2) for r in held)
 
 
+def test_classifier_is_the_plain_one(spark):
+    """Scores of a plain version: vectors of words and character n-grams averaged, softmax, steps over one example at a time."""
+    import numpy as np
+
+    from webfacts.llm import quality_classifier as q
+
+    data = [(i, " ".join(["ünï", "###", "good", "bad", "a"][(i * k + k) % 5] for k in range(3 + i % 4)), i % 2) for i in range(24)]
+    data = [x for x in data if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+
+    def features(x):
+        out = [int(q.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), fold=False)[0]) >> 47 for w in x.split()]
+        for n in q.GRAMS:
+            for i in range(len(x) - n + 1):
+                h = 0
+                for c in x[i : i + n]:
+                    h = (h * 0x01000193 + ord(c) + n) % 2**32
+                h = h * 0x9E3779B1 % 2**32
+                h = (h ^ h >> 15) * 0x85EBCA77 % 2**32
+                out.append(h >> 15)
+        return out
+
+    rng = np.random.default_rng(11)
+    vectors = rng.uniform(-1 / 8, 1 / 8, (q.BUCKETS, 8)).astype(np.float32)
+    out, bias, step = rng.normal(0, 0.5, (2, 8)).astype(np.float32), np.zeros(2, np.float32), 0
+    for _ in range(5):
+        for r in rng.permutation(len(data)):
+            seen = Counter(features(data[r][1]))
+            n, now = sum(seen.values()), 0.2 * (1 - step / (5 * len(data)))
+            mean = sum(vectors[k] * (m / n) for k, m in seen.items())
+            z = np.exp(out @ mean + bias - (out @ mean + bias).max())
+            p = z / z.sum()
+            p[data[r][2]] -= 1
+            back, step = p @ out, step + 1
+            out = out - now * 0.1 * np.outer(p, mean)
+            bias = bias - now * 0.01 * p
+            for k, m in seen.items():
+                vectors[k] -= now * m / max(seen.values()) * back
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    got = q.classify(df.select("doc_id", "text"), df.select("doc_id", "quality")).collect()
+    for r in got:
+        x = features(r.text)
+        z = out @ (sum(vectors[k] for k in x) / len(x)) + bias
+        assert abs(r.score - 1 / (1 + math.exp(z[0] - z[1]))) < 1e-3
+
+
 def test_mixing(docs, none, spark):
     from webfacts.llm.mixing import budgets, mix
 
@@ -356,6 +497,49 @@ def test_mixing(docs, none, spark):
     assert {r.source_name: r.budget for r in budgets(tree, F.lit(160), shares).collect()} == pytest.approx({"s1": 10, "s2": 10, "s3": 20, "s4": 120})
 
 
+def test_mixing_columns_that_clash(docs, spark):
+    """Input columns of the plan's own names stay; those of the result's are replaced."""
+    from webfacts.llm.mixing import mix
+
+    names = ["language", "whole", "source_name", "rest", "cut", "key", "order", "epoch", "n_tokens"]
+    wide = docs.select("doc_id", "text", "lang", "source", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = mix(wide, share=0.5).collect()
+    assert len(out) == mix(docs, share=0.5).count() and all(r.language == "own language" and r.cut == "own cut" and r.epoch == 0 for r in out)
+
+
+def test_mixing_prefixes(docs):
+    """Every leaf gives whole epochs and then the shortest prefix of its seeded order that reaches its budget."""
+    import hashlib
+
+    from webfacts.llm.mixing import mix
+
+    leaves = defaultdict(list)
+    for r in rows():
+        name = "d" + str(int(r[3][3:]) % 4) if r[3] and r[3][:3] == "src" else r[3]
+        key = hashlib.md5("|".join([*([str(r[0])] if r[0] is not None else []), r[1] or ""]).encode()).hexdigest()
+        leaves[name, r[2], r[3]].append((r[0], key, len((r[1] or "").encode().split()) + 1))
+    for share, epochs, per_bucket in ((0.5, 1, 10_000), (1.7, 3, 4)):
+        got = defaultdict(Counter)
+        budget = {}
+        for r in mix(docs, share=share, epochs=epochs, per_bucket=per_bucket).collect():
+            got[r.domain, r.lang, r.source][r.doc_id] += 1
+            budget[r.domain, r.lang, r.source] = r.leaf_budget
+        for leaf, own in leaves.items():
+            want, all_of = Counter(), sum(n for *_, n in own)
+            whole = math.floor(budget.get(leaf, 0) / all_of)
+            left = budget.get(leaf, 0) - whole * all_of
+            place = lambda x: hashlib.md5(f"7|{whole}|{x[1]}".encode()).hexdigest()[:15]  # noqa: B023, E731
+            for x in own:
+                want[x[0]] += whole
+            last = None
+            for x in sorted(own, key=place):
+                if left <= 0 and place(x) != last:
+                    break
+                want[x[0]] += 1
+                left, last = left - x[2], place(x)
+            assert +want == +got[leaf], (leaf, want, got[leaf])
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as p
 

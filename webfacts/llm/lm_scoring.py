@@ -27,16 +27,19 @@ from .language_id import fold
 from .store import Scratch
 from .text import blocks, span_hashes, texts_of, words_of
 
-#: The key of the token that ends every document.
+#: The key of the token, and the byte, that ends every document.
 END = 0
 _fold_case = np.arange(256, dtype=np.uint8)
 _fold_case[ord("A") : ord("Z") + 1] += 32
+_fold_case[0] = 255  # a NUL in a text is no end; UTF-8 has no such byte
 
 
 def _bytes_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Codes (3 bytes of context, byte) at each place of the texts and their ends, and each text's first place; absent bytes are 0."""
     buf = _fold_case[np.frombuffer(b"\0\0\0".join([b"", *texts, b""]), dtype=np.uint8)].astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(x) + 3 for x in texts])]) + 3
+    for k in (3, 2, 1):  # the blanks between texts
+        buf[at - k] = END
     code = (buf[:-3] << 24) | (buf[1:-2] << 16) | (buf[2:-1] << 8) | buf[3:]
     first = at - 3  # the code of the text's first byte, after its three blanks
     n = np.array([len(x) + 1 for x in texts], dtype=np.int64)
@@ -221,9 +224,9 @@ def tree(grams: DataFrame, contexts: int = 12_288, scratch: Scratch | None = Non
     long = map_groups(grams, "family", down, "depth byte, context long, n long, logs array<float>")
     long = scratch.cut(long) if scratch else long
     most = long.where("depth = 3").select("context", "n").orderBy(F.desc("n"), "context").limit(contexts).select("context")
-    top = long.where("depth = 3").join(F.broadcast(most), "context").select("context", "logs").toPandas().sort_values("context")  # bounded by ``contexts``
-    rows = np.array(top["logs"].tolist(), dtype=np.float32).reshape(-1, 256)
-    return Tree(top["context"].to_numpy(np.uint32), rows, short, long)
+    top = long.where("depth = 3").join(F.broadcast(most), "context").select("context", "logs").toArrow().sort_by("context")  # bounded by ``contexts``
+    rows = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in [top.column("logs").combine_chunks()] if len(c)] or [np.zeros(0, np.float32)]).reshape(-1, 256)
+    return Tree(top.column("context").to_numpy().astype(np.uint32), rows, short, long)
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,9 +258,9 @@ def score(docs: DataFrame, *, folds: int = 5, held_out: int = 1, contexts: int =
         known = scratch.cut(counts(docs.where(~F.col("held_out"))))
         words = known.where("kind = 0").select("key", "n")
         total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        top = words.orderBy(F.desc("n"), "key").limit(frequent).toPandas().sort_values("key")  # bounded by ``frequent``
+        top = words.orderBy(F.desc("n"), "key").limit(frequent).select("key", "n").toArrow().sort_by("key")  # bounded by ``frequent``
         model = tree(known.where("kind = 1").select("key", "n"), contexts, scratch)
-        shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), model.keys, model.rows))
+        shared = spark.sparkContext.broadcast((top.column("key").to_numpy(), top.column("n").to_numpy(), model.keys, model.rows))
         n_all, v_all = int(total["n"]), int(total["v"])
 
         def term(c):

@@ -1,6 +1,6 @@
 """A quality classifier of supervised subword embeddings.
 
-Words and byte n-grams are hashed to learned vectors, averaged over a document
+Words and character n-grams are hashed to learned vectors, averaged over a document
 and put through a softmax; numpy stochastic gradient descent learns vectors and
 output layer from a bounded sample of labelled documents. As the output is
 linear in the average, scoring needs one number a bucket: the vector's
@@ -22,21 +22,23 @@ GRAMS = (3, 4)
 
 
 def _buckets(texts: list):
-    """Yields (bucket of each feature, first feature of each text and one more entry): words as they stand, then byte n-grams."""
+    """Yields (bucket of each feature, first feature of each text and one more entry): words as they stand, then character n-grams."""
     w = words_of(texts)
     h = span_hashes(w.buf, w.starts, w.ends, fold=False)
     yield (h >> np.uint64(47)).astype(np.int64), w.first
-    buf = w.buf.astype(np.uint32)
+    parts = [str(x, "utf-8", "replace") for x in texts]
+    chars = np.frombuffer(" ".join([*parts, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
+    first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])]).astype(np.int64)
     for n in GRAMS:
-        x = np.zeros(max(0, len(buf) - n + 1), dtype=np.uint32)
+        x = np.zeros(max(0, len(chars) - n + 1), dtype=np.uint32)
         for k in range(n):
-            x = x * np.uint32(0x01000193) + buf[k : len(buf) - n + 1 + k] + np.uint32(n)
+            x = x * np.uint32(0x01000193) + chars[k : len(chars) - n + 1 + k] + np.uint32(n)
         x *= np.uint32(0x9E3779B1)
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x85EBCA77)
-        lens = np.maximum(np.diff(w.doc_at) - n, 0)  # grams that end within the text
+        lens = np.maximum(np.diff(first) - n, 0)  # grams that end within the text
         at = np.concatenate([[0], np.cumsum(lens)])
-        own = np.repeat(w.doc_at[:-1], lens) + np.arange(at[-1]) - np.repeat(at[:-1], lens)
+        own = np.repeat(first[:-1], lens) + np.arange(at[-1]) - np.repeat(at[:-1], lens)
         yield (x[own] >> np.uint32(15)).astype(np.int64), at
 
 
@@ -95,7 +97,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: in
 
     ``score`` is the softmax's share of label 1, from the bias alone for null
     and empty texts, 0.5 if nothing is labelled; ``predicted`` is 1 from
-    ``least`` on. Repeated rows come back each; input columns of the same names
+    ``least`` on. Texts of any length are scored whole. Repeated rows come back each; input columns of the same names
     as the new ones are replaced; an empty table stays empty.
     """
     model = train(docs, labels, folds=folds, held_out=held_out, **options)
