@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
+_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?"
 
 # Extensions of files that are not pages.
-SKIPPED = "pdf jpg jpeg png gif svg ico css js woff woff2 ttf eot mp3 mp4 avi mov zip gz tar xml rss atom".split()
+SKIPPED = ["pdf", "jpg", "jpeg", "png", "gif", "svg", "ico", "css", "js", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "avi", "mov", "zip", "gz", "tar", "xml", "rss", "atom"]
+# Extensions of files that are not articles.
+NO_ARTICLE = ["doc", "docx", "zip", "png", "jpg", "jpeg", "gif", "svg", "webp", "mp3", "mp4", "avi"]
 # URL classes, tried in this order on the path.
 CLASSES = [
     ("pricing", r"(?i)/(pricing|plans?|packages?)\b"),
@@ -18,8 +20,10 @@ CLASSES = [
     ("contact", r"(?i)/(team|about|leadership|people|our-team|staff)\b"),
 ]
 # Throw-away and free mail providers.
-FREE_MAIL = "gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com mail.com protonmail.com zoho.com yandex.com".split()
-DISPOSABLE = "mailinator.com guerrillamail.com tempmail.com throwaway.email yopmail.com sharklasers.com trashmail.com 10minutemail.com temp-mail.org".split()
+FREE_MAIL = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "mail.com", "protonmail.com", "zoho.com", "yandex.com"]
+DISPOSABLE = ["mailinator.com", "guerrillamail.com", "tempmail.com", "throwaway.email", "temp-mail.org", "10minutemail.com", "yopmail.com", "sharklasers.com", "guerrillamailblock.com"]
+# A telephone number as it is written in the United States.
+PHONE = r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 
 
@@ -28,8 +32,10 @@ def part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, _SPLIT, k)
 
 
-def normalize_url(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no slash at the path's end but for the root."""
+def normalize_url(url: Column, base: Column | None = None) -> Column:
+    """Lower-case scheme and host, no fragment, no slash at the path's end but for the root; against a base unless it is http(s)."""
+    if base is not None:
+        url = F.when(url.startswith("http://") | url.startswith("https://"), url).otherwise(resolve_url(base, url))
     path = F.regexp_replace(part(url, 3), "/+$", "")
     scheme, host = F.lower(part(url, 1)), F.lower(part(url, 2))
     return F.concat(
@@ -37,12 +43,29 @@ def normalize_url(url: Column) -> Column:
         F.when(path == "", "/").otherwise(path), part(url, 4))
 
 
+def _without_dots(base: Column, path: Column) -> Column:
+    """A reference's path against a base's (RFC 3986, 5.2.4); blank segments of a relative one go, and a root stays a root."""
+    above = F.slice(F.split(base, "/"), F.lit(1), F.greatest(F.size(F.split(base, "/")) - 1, F.lit(0)))
+    whole = F.concat(above, F.split(path, "/"))
+    # the first and the last segment may be blank
+    inner = F.filter(F.transform(whole, lambda x, i: F.when((x != "") | (i == 0) | (i == F.size(whole) - 1), x)), lambda x: x.isNotNull())
+    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(inner)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(segments, none, lambda seen, x: F.when(x == "..", F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.concat(seen, F.array(x))))
+    ended = F.concat(kept, F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none))
+    joined = F.array_join(ended, "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
 def resolve_url(base: Column, href: Column) -> Column:
-    """An absolute, ``//host`` or ``/rooted`` reference against a base; others under the base's last directory."""
-    root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    """A reference against an absolute base (RFC 3986, 5.2); a blank one is the base itself."""
+    scheme = F.concat(part(base, 1), F.lit(":"))
+    root = F.concat(scheme, F.lit("//"), part(base, 2))
+    rest = F.concat(part(href, 4), part(href, 5))
+    query = F.when(part(href, 4) != "", part(href, 4)).otherwise(part(base, 4))
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(root, F.regexp_replace(part(base, 3), "[^/]*$", ""), href))
+        F.when(href == "", base).when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(scheme, href))
+        .when(part(href, 3) == "", F.concat(root, part(base, 3), query, part(href, 5))).otherwise(F.concat(root, _without_dots(part(base, 3), part(href, 3)), rest))
     )
 
 
@@ -94,3 +117,38 @@ def is_email(value: Column) -> Column:
 
 def is_business_email(value: Column) -> Column:
     return is_email(value) & ~F.lower(F.split_part(value, F.lit("@"), F.lit(2))).isin(FREE_MAIL)
+
+
+def is_article_link(link: Column, source: Column) -> Column:
+    """On the source's domain, with a path, and no file of an extension that articles don't have."""
+    path = F.regexp_replace(part(link, 3), "/+$", "")
+    return (path != "") & ~F.lower(path).rlike(rf"\.({'|'.join(NO_ARTICLE)})$") & (extract_domain(link) == extract_domain(source))
+
+
+def phones(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
+
+
+def file_name(domain: Column, job_id: Column, ending: str) -> Column:
+    """A file name of a domain's dots as underscores and the first 8 characters of a job's id."""
+    return F.concat(F.replace(domain, F.lit("."), F.lit("_")), F.lit("_"), F.substring(job_id.cast("string"), 1, 8), F.lit(f".{ending}"))
+
+
+def slug(name: Column) -> Column:
+    """Lower case, blanks and underscores as hyphens."""
+    return F.translate(F.lower(name), " _", "--")
+
+
+def key_hash(key: Column) -> Column:
+    """Of an API key: SHA-256 in hex."""
+    return F.sha2(key, 256)
+
+
+def proxy_hash(url: Column) -> Column:
+    """Of a proxy's address: the first 12 hex digits of its MD5."""
+    return F.substring(F.md5(url), 1, 12)
+
+
+def emails(text: Column) -> Column:
+    """All addresses in a text."""
+    return F.regexp_extract_all(text, F.lit(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"), F.lit(0))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
 # The columns that a flat export takes from a record's metadata, in order; those of _LISTS are joined lists.
-METADATA = "author excerpt word_count categories content first_name last_name job_title email phone linkedin_url total_articles platform frameworks js_libraries analytics resource_type description download_url plan_name price billing_cycle features has_free_trial cta_text".split()
+METADATA = [
+    "author", "excerpt", "word_count", "categories", "content", "first_name", "last_name", "job_title", "email", "phone", "linkedin_url", "total_articles", "platform", "frameworks", "js_libraries", "analytics",
+    "resource_type", "description", "download_url", "plan_name", "price", "billing_cycle", "features", "has_free_trial", "cta_text",
+]
 _LISTS = {"categories", "frameworks", "js_libraries", "analytics", "features"}
 
 
@@ -18,25 +23,81 @@ def _cell(name: str) -> Column:
 
 
 def flat_rows(facts: DataFrame) -> DataFrame:
-    """One row of text per record (domain, data_type, url, title, scraped_at, metadata); '' for what lacks."""
-    own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("domain", "data_type", "url", "title", "scraped_at")]
+    """One row of text per record (domain, data_type, url, title, scraped_at, metadata, and published_date where there is one); '' for what lacks."""
+    if "published_date" not in facts.columns:
+        facts = facts.withColumn("published_date", F.lit(None).cast("string"))
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("domain", "data_type", "url", "title", "published_date", "scraped_at")]
     return facts.select(*own, *map(_cell, METADATA))
 
 
-def write_csv(facts: DataFrame, path: str) -> None:
-    """Flat rows as CSV files with a header, written in parallel."""
-    flat_rows(facts).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def newest(facts: DataFrame, most: int = 10_000) -> DataFrame:
+    """The newest records, as an export of everything is bounded."""
+    return facts.orderBy(F.desc("scraped_at"), F.desc("id")).limit(most)
+
+
+def write_csv(facts: DataFrame, path: str, job_id: object = None, most: int | None = None) -> None:
+    """Flat rows as CSV files with a header, written in parallel; of one job, or the newest ``most``, if given."""
+    facts = facts if job_id is None else facts.where(F.col("job_id") == job_id)
+    flat_rows(facts if most is None else newest(facts, most)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def simple_rows(facts: DataFrame) -> DataFrame:
+    """domain, data_type, url, title and metadata as JSON, one row per record."""
+    return facts.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("domain", "data_type", "url", "title", "metadata")])
+
+
+def record_json(dated: bool = True) -> Column:
+    """A record of an envelope as JSON; its metadata is an object, ``{}`` where it lacks."""
+    names = ["id", "domain", "data_type", "url", "title", *(["published_date"] if dated else []), "scraped_at"]
+    head = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in names]), {"ignoreNullFields": "false"})
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"metadata":'), F.coalesce("metadata", F.lit("{}")), F.lit("}"))
+
 
+def job_parts(facts: DataFrame, dated: bool = True, per_part: int = 1000) -> DataFrame:
+    """(job_id, part, n, data): a job's records as JSON arrays of some ``per_part``, dealt by id so that no job lies in one task."""
+    rows = facts if "published_date" in facts.columns else facts.withColumn("published_date", F.lit(None).cast("string"))
+    sizes = facts.groupBy("job_id").agg(F.ceil(F.count("*") / per_part).alias("parts"))
+    rows = rows.join(sizes, "job_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    data = F.array_sort(F.collect_list(F.struct("id", record_json(dated).alias("json"))))
+    out = rows.groupBy("job_id", "part").agg(F.count("*").alias("n"), data.alias("data"))
+    return out.select("job_id", "part", "n", F.concat(F.lit("["), F.array_join(F.transform("data", lambda x: x["json"]), ","), F.lit("]")).alias("data"))
 
-def job_envelopes(jobs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(job_id, records, payload) per job (job_id, domain, status): a JSON object with its record counts by type.
 
-    Records themselves are exported as rows; an envelope holds what is bounded by the number of types.
+def job_envelopes(jobs: DataFrame, facts: DataFrame, exported_at: Column) -> DataFrame:
+    """(job_id, records, part, parts, file_name, payload) per job (job_id, domain): JSON objects of header and records.
+
+    A job of many records has several envelopes, each with part of them; the
+    header counts all. Jobs without records have none.
     """
-    counts = facts.groupBy("job_id", "data_type").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("job_id").agg(F.sum("n").alias("records"), F.array_sort(F.collect_list(F.struct("data_type", "n"))).alias("types"))
-    both = jobs.join(counts, "job_id", "left").withColumn("records", F.coalesce("records", F.lit(0)))
-    return both.select("job_id", "records", F.to_json(F.struct("job_id", "domain", "status", "records", "types")).alias("payload"))
+    counts = facts.groupBy("job_id").agg(F.count("*").alias("records"))
+    both = jobs.join(counts, "job_id").join(job_parts(facts), "job_id")
+    head = F.to_json(F.struct(F.col("job_id").cast("string").alias("job_id"), "domain", exported_at.cast("string").alias("exported_at"), F.col("records").alias("total_records")))
+    payload = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"data":'), "data", F.lit("}"))
+    return both.select("job_id", "records", "part", "n", urls.file_name(F.col("domain"), F.col("job_id"), "json").alias("file_name"), payload.alias("payload"))
+
+
+def webhook_payloads(facts: DataFrame) -> DataFrame:
+    """(job_id, part, payload): what a scheduled export sends for each job, without the sending."""
+    parts = job_parts(facts, dated=False)
+    head = F.to_json(F.struct(F.lit("webfacts").alias("source"), F.lit("scheduled").alias("trigger"), F.col("job_id").cast("string").alias("job_id"), F.col("n").alias("count")))
+    return parts.select("job_id", "part", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"data":'), "data", F.lit("}")).alias("payload"))
+
+
+def delimited(headers: Column, rows: Column, tabs: bool = False) -> Column:
+    """A table (names, rows of cells) as CSV text, quoted only where a comma, quote or line end is, or as text with tabs."""
+    if tabs:
+        cell = lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("\t"), F.lit(" "))
+        line = lambda r: F.array_join(F.transform(r, cell), "\t")
+        return F.array_join(F.concat(F.array(F.array_join(headers, "\t")), F.transform(rows, line)), "\n")
+    cell = lambda x: F.when(x.rlike('[,"\\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(x, F.lit("")))
+    line = lambda r: F.array_join(F.transform(r, cell), ",")
+    return F.array_join(F.concat(F.array(line(headers)), F.transform(rows, line)), "\n")
+
+
+def removed_by_retention(facts: DataFrame, jobs: DataFrame, as_of: Column, **days) -> DataFrame:
+    """One row: how many records retention takes away."""
+    kept = retained(facts, jobs, as_of, **days).agg(F.count("*").alias("kept"))
+    return facts.agg(F.count("*").alias("all")).crossJoin(F.broadcast(kept)).select((F.col("all") - F.col("kept")).alias("removed"))  # one row each
 
 
 def retained(facts: DataFrame, jobs: DataFrame, as_of: Column, page_days: int = 7, failed_days: int = 30) -> DataFrame:

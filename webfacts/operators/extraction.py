@@ -28,7 +28,7 @@ CONTENT = [".entry-content", ".post-content", ".post-body", ".article-content",
 MAIN = ["main", "article", "[role='main']", "#content", ".content", ".post-content", ".entry-content", ".main-content", "#main-content", "body"]
 NOISE = "nav, footer, header, aside, .sidebar, .ads, script, style"
 FAVICONS = ["link[rel='icon'][type='image/png']", "link[rel='icon'][type='image/svg+xml']", "link[rel='icon']", "link[rel='shortcut icon']"]
-GENERIC_MAIL = "info support sales help admin contact hello noreply no-reply webmaster privacy legal".split()
+GENERIC_MAIL = ["info", "support", "sales", "help", "admin", "contact", "hello", "noreply", "no-reply", "webmaster", "privacy", "legal"]
 BLOG = {
     "link": ["a.entry-title", "h2.entry-title a", ".post-title a", "article a[rel='bookmark']", ".entry-header a"],
     "title": ["h1.entry-title", ".post-title", "h1.wp-block-post-title", ".entry-title"],
@@ -36,6 +36,29 @@ BLOG = {
     "author": [".author", ".entry-author", ".vcard .fn", "a[rel='author']", ".byline .author"],
     "content": [".entry-content", ".post-content", ".the-content", "article .content"],
 }
+# What gives a content system away, in the order in which they are tried, and selectors of each template.
+SYSTEMS = {
+    "wordpress": ["wp-content", "wp-includes", "wordpress", "wp-json", "wp-admin"],
+    "hubspot": ["js.hs-scripts.com", "hs-script-loader", "hubspot", ".hs-", "hbspt"],
+    "webflow": ["webflow.com", "wf-page", "wf-section", "w-dyn-list"],
+}
+TEMPLATES = {
+    "wordpress": BLOG,
+    "hubspot": {
+        "link": [".blog-listing a", ".hs-blog-post a", ".post-listing-wrapper a", "a.blog-post-link"],
+        "title": ["h1", ".blog-post-title", ".hs-blog-post-title"],
+        "author": [".author-name", ".blog-post-author", ".hs-author-name"],
+    },
+    "webflow": {
+        "link": [".w-dyn-item a", ".collection-item a", ".blog-link"],
+        "title": ["h1", ".blog-title", ".post-title"],
+    },
+    "directory": {"link": [], "title": []},
+    "generic": {
+        "link": ["article a", "h2 a", "h3 a", ".post a", ".entry a"],
+        "title": ["h1", "title", ".entry-title", ".post-title"],
+    },
+}
 
 _PERSON = ["first_name", "last_name", "job_title", "email", "linkedin_url", "source"]
 _LD = "array<struct<`@type`: string, name: string, jobTitle: string, email: string, sameAs: string>>"
@@ -198,6 +221,99 @@ def article_links(dom: Column, url: Column, selectors: dict[str, list[str]] = BL
     return F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), lambda x: urls.resolve_url(url, x)))
 
 
+def template(page: Column) -> Column:
+    """The first content system of which a page (HTML) has a mark, else ``generic``; the directory one is never found."""
+    low, out = F.lower(page), None
+    for name, signals in SYSTEMS.items():
+        hit = F.lit(False)
+        for x in signals:
+            hit = hit | low.contains(x)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return F.coalesce(out.otherwise("generic"), F.lit("generic"))
+
+
+def templated(dom: Column, url: Column, name: Column) -> Column:
+    """(title, author, links) of a page by the selectors of its template (see ``template``)."""
+
+    def one(selectors: dict[str, list[str]]) -> Column:
+        none = F.lit(None).cast("string")
+        text = lambda kind: D.some_text(dom, selectors[kind]) if selectors.get(kind) else none
+        links = article_links(dom, url, selectors) if selectors.get("link") else F.array().cast("array<string>")
+        return F.struct(text("title").alias("title"), text("author").alias("author"), links.alias("links"))
+
+    out = None
+    for key, selectors in TEMPLATES.items():
+        out = F.when(name == key, one(selectors)) if out is None else out.when(name == key, one(selectors))
+    return out
+
+
+def fixed_metadata(dom: Column, url: Column) -> Column:
+    """url, title, description, Open Graph title, description and image, canonical address and author; '' for what lacks, the last of a kind wins."""
+
+    def last(attribute: str, name: str) -> Column:
+        found = F.filter(D.select(dom, "meta"), lambda x: F.lower(x["attrs"][attribute]) == name)
+        return F.coalesce(F.try_element_at(found, F.lit(-1))["attrs"]["content"], F.lit(""))
+
+    values = {
+        "url": url, "title": F.coalesce(F.trim(D.raw_text(dom, D.first(dom, "title"))), F.lit("")), "description": last("name", "description"),
+        "og_title": last("property", "og:title"), "og_description": last("property", "og:description"), "og_image": last("property", "og:image"),
+        "canonical": F.coalesce(D.first(dom, "link[rel='canonical']")["attrs"]["href"], F.lit("")), "author": last("name", "author"),
+    }
+    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+
+def preferred_metadata(meta: Column, text: Column) -> Column:
+    """Of ``fixed_metadata`` and the page's Markdown: what a reader gets, Open Graph and canonical values first."""
+    some = lambda a, b: F.coalesce(F.nullif(meta[a], F.lit("")), meta[b])
+    words = texts.word_count(text)
+    return F.struct(
+        some("canonical", "url").alias("url"), some("og_title", "title").alias("title"), meta["author"].alias("author"), some("og_description", "description").alias("description"),
+        meta["og_image"].alias("og_image"), words.alias("word_count"), texts.reading_minutes(words).alias("reading_time_minutes"))
+
+
+def paged_markdown(title: Column, author: Column, pages: Column, words: Column, text: Column, tables_: Column) -> Column:
+    """A parsed document (tables: rows of cells, the first the header) as Markdown; tables of one row are left out."""
+    some = lambda x: F.coalesce(x, F.lit("")) != ""
+    head = F.array(
+        F.when(some(title), F.concat(F.lit("# "), title)), F.when(some(author), F.concat(F.lit("*Author: "), author, F.lit("*"))),
+        F.when(some(title) | some(author), F.concat(F.lit("*Pages: "), pages.cast("string"), F.lit(" | Words: "), words.cast("string"), F.lit("*"))), F.when(some(title) | some(author), F.lit("---")),
+        F.when(some(text), text), F.when(F.size(tables_) > 0, F.lit("\n---\n## Extracted Tables\n")),
+    )
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def one(t: Column, i: Column) -> Column:
+        first = t[0]
+        padded = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.size(first) - F.size(r), F.lit(0)))), F.lit(1), F.size(first))
+        rows = F.transform(F.slice(t, F.lit(2), F.size(t)), lambda r: line(padded(r)))
+        made = F.concat(F.array(F.concat(F.lit("### Table "), (i + 1).cast("string")), line(first), line(F.transform(first, lambda _: F.lit("---")))), rows, F.array(F.lit("")))
+        return F.when(F.size(t) >= 2, made).otherwise(F.array().cast("array<string>"))
+
+    return F.array_join(F.concat(F.array_compact(head), F.flatten(F.transform(F.coalesce(tables_, F.array().cast("array<array<array<string>>>")), one))), "\n\n")
+
+
+def ranked_patterns(dom: Column) -> Column:
+    """Tables, definition lists, grids and lists of repeated elements of a page by score, but for those inside one of at least their score: (kind, at, rows, score)."""
+
+    def of(kind: str, selector: str, score: Callable[[Column], Column], least: int) -> Column:
+        made = F.transform(D.select(dom, selector), lambda x: D.let(D.below(dom, x), lambda own: F.struct(F.lit(kind).alias("kind"), x["at"].alias("at"), x["last"].alias("last"), score(own).alias("s"))))
+        return F.transform(F.filter(made, lambda x: x["s"]["rows"] >= least), lambda x: F.struct(x["kind"].alias("kind"), x["at"].alias("at"), x["last"].alias("last"), x["s"]["rows"].alias("rows"), x["s"]["score"].alias("score")))
+
+    def scored(selector: str, each: float) -> Callable[[Column], Column]:
+        return lambda own: D.let(F.size(D.select(own, selector)), lambda n: F.struct(n.alias("rows"), (n * each).alias("score")))
+
+    def table_score(own: Column) -> Column:
+        return D.let(_table(own), lambda t: F.struct(F.size(t["rows"]).alias("rows"), t["score"].alias("score")))
+
+    found = F.concat(
+        of("table", "table", table_score, 2), of("definitions", "dl", scored("dt", 7.0), 2), of("grid", "[role='grid'], [role='table']", scored("[role='row']", 8.0), 3),
+        of("repeated", "ul, ol", scored("li", 6.5), 3),
+    )
+    inside = lambda x, y: (y["at"] < x["at"]) & (x["last"] <= y["last"]) & (y["score"] >= x["score"])
+    kept = D.let(found, lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: inside(x, y))))
+    order = lambda a, b: F.when(a["score"] != b["score"], F.signum(b["score"] - a["score"]).cast("int")).otherwise(a["at"] - b["at"])
+    return F.transform(F.array_sort(kept, order), lambda x: F.struct(x["kind"].alias("kind"), x["at"].alias("at"), x["rows"].alias("rows"), x["score"].alias("score")))
+
+
 @dataclass(frozen=True)
 class Field:
     """A field of an extraction schema; ``attribute`` is ``text`` or an attribute's name."""
@@ -256,19 +372,20 @@ def headers(names: Column) -> Column:
     return D.let(filled, lambda all_: F.transform(all_, lambda x, i: numbered(x, F.slice(all_, 1, i + 1))))
 
 
-def tables(dom: Column) -> Column:
-    """Tables of two rows or more: headers, rows, score; the first row, or that of the head, names the columns."""
+def _table(own: Column) -> Column:
+    top = F.coalesce(D.first(own, "thead tr"), D.first(own, "tr"))
+    parts = D.let(top, lambda head: F.struct(
+        headers(_cells(own, head, "th, td")).alias("names"),
+        F.filter(F.transform(F.filter(D.select(own, "tr"), lambda x: (x["at"] != head["at"]) & ~D.matches(own, x, "thead tr")), lambda x: _cells(own, x, "td, th")), lambda x: F.size(x) > 0).alias("rows"),
+    ))
+    score = lambda t: F.size(t["rows"]) * F.when(F.forall(t["rows"], lambda x: F.size(x) == F.size(t["names"])), 15.0).otherwise(10.0)
+    return D.let(parts, lambda t: F.struct(t["names"].alias("headers"), t["rows"].alias("rows"), score(t).alias("score")))
 
-    def one(own: Column) -> Column:
-        top = F.coalesce(D.first(own, "thead tr"), D.first(own, "tr"))
-        parts = D.let(top, lambda head: F.struct(
-            headers(_cells(own, head, "th, td")).alias("names"),
-            F.filter(F.transform(F.filter(D.select(own, "tr"), lambda x: (x["at"] != head["at"]) & ~D.matches(own, x, "thead tr")), lambda x: _cells(own, x, "td, th")), lambda x: F.size(x) > 0).alias("rows"),
-        ))
-        score = lambda t: F.size(t["rows"]) * F.when(F.forall(t["rows"], lambda x: F.size(x) == F.size(t["names"])), 15.0).otherwise(10.0)
-        return D.let(parts, lambda t: F.struct(t["names"].alias("headers"), t["rows"].alias("rows"), score(t).alias("score")))
 
-    return F.array_sort(F.filter(F.transform(D.select(dom, "table"), lambda table: D.let(D.below(dom, table), one)), lambda x: F.size(x["rows"]) >= 2), lambda a, b: F.signum(b["score"] - a["score"]).cast("int"))
+def tables(dom: Column) -> Column:
+    """Tables of two rows or more: headers, rows, score; the first row, or that of the head, names the columns."""
+    found = F.transform(D.select(dom, "table"), lambda table: D.let(D.below(dom, table), _table))
+    return F.array_sort(F.filter(found, lambda x: F.size(x["rows"]) >= 2), lambda a, b: F.signum(b["score"] - a["score"]).cast("int"))
 
 
 def definitions(dom: Column) -> Column:
@@ -357,7 +474,7 @@ def page_records(pages: DataFrame, types: list[str], raw_only: bool = False) ->
     def many(kind: str, found: Column, make: Callable[[Column], Column]) -> Column:
         return F.transform(F.when(F.col("class") == kind, found).otherwise(F.slice(found, 1, 0)), make)
 
-    links = article_links(dom, url)
+    links = F.filter(article_links(dom, url), lambda x: urls.is_article_link(x, url))
     article_meta = F.to_json(F.struct(F.col("meta")["author"].alias("author"), categories(dom).alias("categories"), F.col("meta")["description"].alias("excerpt"), "content", F.col("words").alias("word_count")))
     parts = {
         "blog_url": lambda: one("blog_url", F.col("class") == "blog_url", D.let(links, lambda x: F.to_json(F.struct(x.alias("article_urls"), F.size(x).alias("total_articles"))))),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Look-back in days and the most matches that a signal reports.
@@ -65,3 +67,77 @@ def evaluate(signals: DataFrame, facts: DataFrame, as_of: Column) -> DataFrame:
     )
     counted = found.groupBy("signal_id", "kind").agg(F.count("*").alias("match_count"))
     return counted.join(rules(signals).select("signal_id", "title", "technology"), "signal_id").select("signal_id", "kind", "match_count", said.alias("trigger"))
+
+
+# The signal types with their names and categories.
+TYPES = [
+    ("job_change", "Job Change Detected", "people"), ("funding_round", "Funding Round Announced", "company"), ("tech_stack_change", "Tech Stack Change", "technology"),
+    ("pricing_change", "Pricing Page Change", "behavior"), ("hiring_spike", "Hiring Spike", "company"),
+]
+
+
+def catalog(spark: SparkSession, category: str | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """(id, name, category) of enabled signal types, of one category if given, by category and name."""
+    rows = spark.createDataFrame(TYPES, "id string, name string, category string")
+    rows = rows.where(~F.col("id").isin(list(disabled))) if disabled else rows
+    return (rows if category is None else rows.where(F.col("category") == category)).orderBy("category", "name")
+
+
+def payloads(signals: DataFrame, facts: DataFrame, as_of: Column) -> DataFrame:
+    """(signal_id, payload): JSON of the matches, their count, the kind and the trigger's text of each signal that fires.
+
+    The matches of a kind are bounded (``MOST``); of spikes they are domains.
+    """
+    found = matches(signals, facts, as_of)
+    one = F.struct("id", "domain", F.col("scraped_at").cast("string").alias("scraped_at"))
+    lists = found.groupBy("signal_id").agg(F.array_sort(F.collect_list(one)).alias("matches"))
+    spiked = spikes(signals, facts, as_of).groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct(F.lit(None).cast("long").alias("id"), "domain", F.col("n").cast("string").alias("scraped_at")))).alias("matches"))
+    fired = evaluate(signals, facts, as_of).join(lists.unionByName(spiked), "signal_id")
+    return fired.select("signal_id", F.to_json(F.struct("matches", "match_count", F.col("kind").alias("signal_type"), "trigger")).alias("payload"))
+
+
+def events(signals: DataFrame, facts: DataFrame, as_of: Column) -> DataFrame:
+    """(channel, event): the JSON that each firing signal (with a name) publishes on its organisation's channel."""
+    fired = payloads(signals, facts, as_of).join(signals.select("signal_id", "org_id", "name"), "signal_id")
+    body = F.struct(F.lit("signal_fired").alias("event_type"), F.col("signal_id").cast("string").alias("signal_id"), F.col("name").alias("signal_name"), F.col("payload").alias("matched_data"), as_of.cast("string").alias("timestamp"))
+    return fired.select(F.concat(F.lit("intent:org:"), F.col("org_id").cast("string")).alias("channel"), F.to_json(body).alias("event"))
+
+
+def dry_run(signals: DataFrame, facts: DataFrame, as_of: Column) -> DataFrame:
+    """(signal_id, would_fire, match_count, message) of every signal, without acting on it."""
+    fired = evaluate(signals, facts, as_of).select("signal_id", "match_count")
+    n = F.coalesce("match_count", F.lit(0))
+    said = F.when(n > 0, F.concat(F.lit("Signal would fire with "), n.cast("string"), F.lit(" matches"))).otherwise("Signal would not fire - no matches found")
+    return signals.select("signal_id").join(fired, "signal_id", "left").select("signal_id", (n > 0).alias("would_fire"), n.alias("match_count"), said.alias("message"))
+
+
+def condition(tree: dict, columns: dict[str, Column]) -> Column:
+    """A tree of conditions as one expression: {operator: AND or OR, conditions: [trees or {field, op, value}]}.
+
+    Operators are =, !=, <, <=, >, >=, contains and in; an empty list holds. A field that is null fulfils none.
+    """
+    if "field" in tree:
+        x, value = columns[tree["field"]], tree["value"]
+        tests = {
+            "=": lambda: x == value, "!=": lambda: x != value, "<": lambda: x < value, "<=": lambda: x <= value, ">": lambda: x > value, ">=": lambda: x >= value,
+            "contains": lambda: _holds(x, F.lit(value)), "in": lambda: x.isin(list(value)),
+        }
+        return F.coalesce(tests[tree["op"]](), F.lit(False))
+    parts = [condition(x, columns) for x in tree.get("conditions", [])]
+    if not parts:
+        return F.lit(True)
+    return functools.reduce((lambda a, b: a & b) if tree.get("operator", "AND").upper() == "AND" else (lambda a, b: a | b), parts)
+
+
+def price_changes(snapshots: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(domain, at, plan, change, percent): plans added, removed or dearer by more than ``threshold`` percent from one snapshot of a domain to the next.
+
+    snapshots: (domain, at, plan, price), a row per plan of each time a domain was seen.
+    """
+    seen = snapshots.groupBy("domain", "at").agg(F.map_from_entries(F.collect_list(F.struct("plan", "price"))).alias("now"))
+    seen = seen.withColumn("before", F.lag("now").over(Window.partitionBy("domain").orderBy("at"))).where("before is not null")
+    all_ = F.array_sort(F.array_union(F.map_keys("now"), F.map_keys("before")))
+    rows = seen.select("domain", "at", "now", "before", F.explode(all_).alias("plan")).select("domain", "at", "plan", F.try_element_at("now", F.col("plan")).alias("new"), F.try_element_at("before", F.col("plan")).alias("old"), F.map_contains_key("now", F.col("plan")).alias("has"), F.map_contains_key("before", F.col("plan")).alias("had"))
+    percent = F.round((F.col("new") - F.col("old")) * 100.0 / F.col("old"), 2)
+    change = F.when(~F.col("had"), "added").when(~F.col("has"), "removed").when(percent > threshold, "increase")
+    return rows.withColumn("change", change).where("change is not null").select("domain", "at", "plan", "change", F.when(F.col("change") == "increase", percent).alias("percent"))

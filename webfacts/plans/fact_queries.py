@@ -49,12 +49,35 @@ def g01_signals(spark, sf_dir):
     return signals.evaluate(rules, facts(spark, sf_dir), _now())
 
 
-_EMPTY = ", ".join(f"'' AS {c}" for c in ["title", *exports.METADATA] if c not in ("job_title", "platform"))
+# the columns of a flat export, spelled out; those below that the records have no value for are ''
+_EMPTY = ", ".join(f"'' AS {c}" for c in [
+    "title", "published_date", "author", "excerpt", "word_count", "categories", "content", "first_name", "last_name", "email", "phone", "linkedin_url", "total_articles", "frameworks", "js_libraries", "analytics",
+    "resource_type", "description", "download_url", "plan_name", "price", "billing_cycle", "features", "has_free_trial", "cta_text",
+])
 
 
-@query("k04_flat_rows", _F + f"SELECT domain, data_type, coalesce(url, '') AS url, 'VP' || user_id % 7 AS job_title, 'P' || user_id % 5 AS platform, {_EMPTY} FROM f")
+@query("k04_flat_rows", _F + f"SELECT domain, data_type, coalesce(url, '') AS url, regexp_replace(CAST(scraped_at AS VARCHAR), '\\.?0+$', '') AS scraped_at, 'VP' || user_id % 7 AS job_title, 'P' || user_id % 5 AS platform, {_EMPTY} FROM f")
 def k04_flat_rows(spark, sf_dir):
-    return exports.flat_rows(facts(spark, sf_dir)).drop("scraped_at")
+    """All 31 columns of a flat export."""
+    return exports.flat_rows(facts(spark, sf_dir)).withColumn("scraped_at", F.regexp_replace("scraped_at", r"\.?0+$", ""))
+
+
+@query("k05_job_rows", _F + "SELECT job_id, domain, data_type, 'VP' || user_id % 7 AS job_title FROM f WHERE job_id = 77")
+def k05_job_rows(spark, sf_dir):
+    """The flat rows of one job."""
+    own = facts(spark, sf_dir).where("job_id = 77")
+    return own.select("job_id").crossJoin(exports.flat_rows(own).select("domain", "data_type", "job_title"))  # one row each
+
+
+@query("k06_newest_rows", _F + "SELECT domain, data_type, coalesce(url, '') AS url FROM (SELECT * FROM f ORDER BY scraped_at DESC, id DESC LIMIT 10000)")
+def k06_newest_rows(spark, sf_dir):
+    """The flat rows of everything, bounded as that export is."""
+    return exports.flat_rows(exports.newest(facts(spark, sf_dir))).select("domain", "data_type", "url")
+
+
+@query("k10_simple_rows", _F + "SELECT domain, data_type, coalesce(url, '') AS url, '' AS title, metadata FROM f")
+def k10_simple_rows(spark, sf_dir):
+    return exports.simple_rows(facts(spark, sf_dir))
 
 
 @query("k11_retained", _F + f"SELECT data_type, count(*) AS n FROM f WHERE NOT (data_type = 'page' AND scraped_at < {_NOW} - INTERVAL 7 DAY) AND job_id NOT IN (SELECT id FROM v_jobs WHERE status = 'failed' AND created_at < {_NOW} - INTERVAL 20 DAY) GROUP BY 1")
@@ -70,11 +93,86 @@ def k01_upsert(spark, sf_dir):
     return records.upsert(facts(spark, sf_dir), ["domain", "url", "data_type"], order="id").select("domain", "url", "data_type", "id")
 
 
-@query("k07_envelopes", _F + "SELECT domain AS job_id, count(*) AS records FROM f GROUP BY 1")
+_RECORD = """'{"id":"' || id || '","domain":"' || domain || '","data_type":"' || data_type || '","url":' || coalesce('"' || url || '"', 'null') || ',"title":null,"published_date":null,"scraped_at":"' || stamp || '","metadata":' || metadata || '}'"""
+_STAMPED = _F + ", g AS (SELECT *, regexp_replace(strftime(scraped_at, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') AS stamp, user_id AS owner FROM f WHERE user_id < 40) "
+
+
+def _owned(spark, sf_dir):
+    return facts(spark, sf_dir).where("user_id < 40").withColumn("job_id", F.col("user_id")).withColumn("scraped_at", F.regexp_replace(F.col("scraped_at").cast("string"), r"\.?0+$", ""))
+
+
+@query("k07_envelopes", _STAMPED + """SELECT owner AS job_id, count(*) AS records, domain_ || '_' || owner || '.json' AS file_name,
+'{"job_id":"' || owner || '","domain":"' || any_value(domain) || '","exported_at":"now","total_records":' || count(*) || ',"data":[' || string_agg(""" + _RECORD + """, ',' ORDER BY id) || ']}' AS payload
+FROM (SELECT *, replace(domain, '.', '_') AS domain_ FROM g) GROUP BY owner, domain_""")
 def k07_envelopes(spark, sf_dir):
-    own = facts(spark, sf_dir).withColumn("job_id", F.col("domain"))
-    jobs = own.select("job_id", "domain").distinct().withColumn("status", F.lit("completed"))
-    return exports.job_envelopes(jobs, own).select("job_id", "records")
+    """A JSON object of header and records for each user's job."""
+    own = _owned(spark, sf_dir)
+    out = exports.job_envelopes(own.select("job_id", "domain").distinct(), own, F.lit("now"))
+    return out.select("job_id", "records", "file_name", "payload")
+
+
+@query("k09_webhooks", _STAMPED + """SELECT owner AS job_id, '{"source":"webfacts","trigger":"scheduled","job_id":"' || owner || '","count":' || count(*) || ',"data":[' || string_agg(replace(""" + _RECORD + """, '"published_date":null,', ''), ',' ORDER BY id) || ']}' AS payload FROM g GROUP BY owner""")
+def k09_webhooks(spark, sf_dir):
+    """What a scheduled export would send for each job."""
+    return exports.webhook_payloads(_owned(spark, sf_dir)).select("job_id", "payload")
+
+
+@query("a14_removed", _F + f"SELECT count(*) AS removed FROM f WHERE data_type = 'page' AND scraped_at < {_NOW} - INTERVAL 7 DAY OR job_id IN (SELECT id FROM v_jobs WHERE status = 'failed' AND created_at < {_NOW} - INTERVAL 20 DAY)")
+def a14_removed(spark, sf_dir):
+    jobs = views.jobs(spark, sf_dir).withColumnRenamed("id", "job_id")
+    return exports.removed_by_retention(facts(spark, sf_dir), jobs, _now(), failed_days=20)
+
+
+@query("g10_payloads", _F + f""", m AS (SELECT * FROM f WHERE org_id = 1 AND user_id % 11 = 0 AND scraped_at > {_NOW} - INTERVAL 7 DAY ORDER BY scraped_at DESC, id LIMIT 50)
+SELECT 2 AS signal_id, count(*) AS matches, sum(id)::BIGINT AS ids, count(*) AS match_count, 'funding_round' AS signal_type, 'Found ' || count(*) || ' funding announcements' AS trigger FROM m HAVING count(*) > 0""")
+def g10_payloads(spark, sf_dir):
+    """The payload of a firing signal, with its matches."""
+    rules = spark.createDataFrame(_RULES[1:2], "signal_id int, org_id long, trigger_config string")
+    p = F.from_json("payload", "matches array<struct<id: long>>, match_count long, signal_type string, trigger string")
+    out = signals.payloads(rules, facts(spark, sf_dir), _now()).select("signal_id", p.alias("p"))
+    return out.select("signal_id", F.size("p.matches").cast("long").alias("matches"), F.aggregate("p.matches", F.lit(0).cast("long"), lambda n, x: n + x["id"]).alias("ids"), "p.match_count", "p.signal_type", "p.trigger")
+
+
+@query("g13_events", _F + f"SELECT 'intent:org:' || org AS channel, signal_id, 'signal_fired' AS event_type, 'rule ' || signal_id AS signal_name FROM (SELECT signal_id, signal_id - 1 AS org FROM ({_FIRE}) WHERE match_count > 0)")
+def g13_events(spark, sf_dir):
+    """What firing signals publish, and where."""
+    rules = spark.createDataFrame(_RULES, "signal_id int, org_id long, trigger_config string").withColumn("name", F.concat(F.lit("rule "), F.col("signal_id").cast("string")))
+    e = F.from_json("event", "event_type string, signal_id string, signal_name string")
+    return signals.events(rules, facts(spark, sf_dir), _now()).select("channel", e.alias("e")).select("channel", "e.event_type", F.col("e.signal_id").cast("int").alias("signal_id"), "e.signal_name")
+
+
+@query("g14_dry_run", _F + f"SELECT s AS signal_id, coalesce(match_count, 0) > 0 AS would_fire, coalesce(match_count, 0) AS match_count, CASE WHEN coalesce(match_count, 0) > 0 THEN 'Signal would fire with ' || match_count || ' matches' ELSE 'Signal would not fire - no matches found' END AS message FROM (VALUES (1), (2), (3), (4), (5)) AS v(s) LEFT JOIN ({_FIRE}) ON s = signal_id")
+def g14_dry_run(spark, sf_dir):
+    rules = spark.createDataFrame(_RULES, "signal_id int, org_id long, trigger_config string")
+    return signals.dry_run(rules, facts(spark, sf_dir), _now())
+
+
+@query("g15_catalog", "SELECT * FROM (VALUES ('job_change', 'Job Change Detected', 'people'), ('funding_round', 'Funding Round Announced', 'company'), ('tech_stack_change', 'Tech Stack Change', 'technology'), ('hiring_spike', 'Hiring Spike', 'company')) AS t(id, name, category)")
+def g15_catalog(spark, sf_dir):
+    """Enabled signal types; one is disabled here."""
+    return signals.catalog(spark, disabled=("pricing_change",))
+
+
+@query("g09_conditions", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 300000) AND NOT o_orderpriority = '1-URGENT' AND o_orderpriority ILIKE '%i%'")
+def g09_conditions(spark, sf_dir):
+    """A stored tree of conditions as one filter."""
+    either = {"operator": "OR", "conditions": [{"field": "status", "op": "=", "value": "F"}, {"field": "price", "op": ">", "value": 300_000}]}
+    tree = {"operator": "AND", "conditions": [either, {"field": "priority", "op": "!=", "value": "1-URGENT"}, {"field": "priority", "op": "contains", "value": "I"}]}
+    columns = {"status": F.col("o_orderstatus"), "price": F.col("o_totalprice"), "priority": F.col("o_orderpriority")}
+    return table(spark, sf_dir, "orders").where(signals.condition(tree, columns)).select("o_orderkey")
+
+
+@query("g08_price_changes", """WITH s AS (SELECT o_custkey AS domain, o_orderdate AS "at", o_orderpriority AS plan, max(o_totalprice) AS price FROM orders GROUP BY ALL),
+t AS (SELECT domain, "at", lag("at") OVER (PARTITION BY domain ORDER BY "at") AS before FROM (SELECT DISTINCT domain, "at" FROM s)),
+n AS (SELECT t.domain, t."at", s.plan, s.price, before FROM t JOIN s ON s.domain = t.domain AND s."at" = t."at" WHERE before IS NOT NULL),
+o AS (SELECT t.domain, t."at", s.plan, s.price FROM t JOIN s ON s.domain = t.domain AND s."at" = t.before),
+b AS (SELECT coalesce(n.domain, o.domain) AS domain, coalesce(n."at", o."at") AS "at", coalesce(n.plan, o.plan) AS plan, n.price AS new, o.price AS old FROM n FULL JOIN o ON n.domain = o.domain AND n."at" = o."at" AND n.plan = o.plan)
+SELECT domain, "at", plan, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'increase' END AS change, CASE WHEN old IS NOT NULL AND new IS NOT NULL THEN round((new - old) * 100.0::DOUBLE / old, 2) END AS percent
+FROM b WHERE old IS NULL OR new IS NULL OR round((new - old) * 100.0::DOUBLE / old, 2) > 20""")
+def g08_price_changes(spark, sf_dir):
+    """Plans that appear, go or get dearer by over 20 % from one day of a customer to the next; order priorities stand for plans."""
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("domain"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("plan")).agg(F.max("o_totalprice").alias("price"))
+    return signals.price_changes(seen, 20.0)
 
 
 @query("p06_waits", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 600 ELSE CASE WHEN event_type IN ('error', 'signup') THEN CASE event_id % 3 WHEN 0 THEN 120 ELSE 600 END ELSE 0 END END AS wait FROM events")
@@ -109,20 +207,39 @@ def h06_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), html.content(h).alias("content"), F.size(html.links(h)).alias("links"))
 
 
-_HTML = [(1, "<script src='/wp-content/x.js'></script><link href=bootstrap.min.css>gtag("), (2, "<p>plain</p>"), (3, "<DIV class=wf-page>cdn.shopify.com jquery</DIV>")]
+_SYSTEM = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(low, '{x}')" for x in signs)} THEN '{name}'" for name, signs in [
+    ("Contentful", ["contentful.com", "ctfassets.net"]), ("Ghost", ["ghost.io", "ghost-", "content/themes"]), ("Shopify", ["cdn.shopify.com", "shopify", "myshopify.com"]), ("Wix", ["wix.com", "wixsite.com", "parastorage.com"]),
+    ("Squarespace", ["squarespace.com", "sqsp", "static.squarespace"]), ("Drupal", ["/sites/default/", "drupal.settings"]), ("Webflow", ["webflow.com", "wf-page", "wf-section"]),
+    ("HubSpot", ["js.hs-scripts.com", "hubspot", ".hs-", "hbspt"]), ("WordPress", ["wp-content", "wp-includes", "wordpress", "wp-json"]),
+]) + " END"
+# every page, with marks of systems and libraries put in by its number
+_MARKS = ["wp-content", "cdn.shopify.com", "JQuery", "lodash", "bootstrap.css hubspot", "ghost.io shopify", "gtag(", "tailwind."]
 
 
-@query("x14_technologies", "SELECT * FROM (VALUES (1, 'WordPress', 'Bootstrap', 'Google Analytics'), (2, NULL, '', ''), (3, 'Shopify', 'jQuery', '')) AS t(case_id, platform, js_libraries, analytics)")
+@query("x14_technologies", f"""SELECT page_id, {_SYSTEM} AS platform, concat_ws('; ', CASE WHEN contains(low, 'jquery') THEN 'jQuery' END, CASE WHEN contains(low, 'bootstrap.min') OR contains(low, 'bootstrap.css') THEN 'Bootstrap' END,
+CASE WHEN contains(low, 'tailwindcss') OR contains(low, 'tailwind.') THEN 'Tailwind CSS' END, CASE WHEN contains(low, 'lodash') THEN 'Lodash' END) AS js_libraries
+FROM (SELECT page_id, lower(html || ['wp-content', 'cdn.shopify.com', 'JQuery', 'lodash', 'bootstrap.css hubspot', 'ghost.io shopify', 'gtag(', 'tailwind.'][page_id % 8 + 1]) AS low FROM pages)""")
 def x14_technologies(spark, sf_dir):
     """The last content system in the list wins; other categories are lists."""
-    t = html.technologies(F.col("html"))
-    rows = spark.createDataFrame(_HTML, "case_id int, html string").select("case_id", t.alias("t"))
-    return rows.select("case_id", "t.platform", F.array_join("t.js_libraries", "; ").alias("js_libraries"), F.array_join("t.analytics", "; ").alias("analytics"))
+    mark = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("page_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", html.technologies(F.concat("html", mark)).alias("t"))
+    return rows.select("page_id", "t.platform", F.array_join("t.js_libraries", "; ").alias("js_libraries"))
 
 
-_UPLOAD = [(1, 0, ["name", "Website"]), (1, 1, ["a", "https://www.A.org/x"]), (1, 2, ["b", "a.org"]), (1, 3, ["c", "nodot"]), (2, 0, ["x.io"]), (2, 1, ["www.x.io"])]
+_LINES = """WITH c AS (SELECT c_nationkey AS u, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_custkey AS k FROM customer)"""
 
 
-@query("s09_uploads", "SELECT * FROM (VALUES (1, 1, 'www.A.org', 'valid'), (1, 2, 'a.org', 'duplicate'), (1, 3, 'nodot', 'invalid'), (2, 0, 'x.io', 'valid'), (2, 1, 'www.x.io', 'duplicate')) AS t(upload_id, pos, domain, state)")
+@query("s09_uploads", _LINES + """, l AS (SELECT u, i, CASE WHEN k % 11 = 0 THEN 'nodot' WHEN k % 5 = 0 THEN ' "https://WWW.' || lower(substr('ABCDEFGHIJ', k % 7 + 1, 1)) || '.org/x" ' ELSE substr('abcdefghij', k % 7 + 1, 1) || k % 3 || '.org' END AS raw FROM c WHERE i > 0 OR u % 2 = 1),
+v AS (SELECT *, split_part(regexp_replace(trim(raw, ' "'''), '^(?i)https?://', ''), '/', 1) AS domain FROM l), o AS (SELECT *, length(domain) >= 3 AND contains(domain, '.') AND NOT contains(domain, ' ') AND regexp_matches(domain, '[A-Za-z]') AS ok FROM v)
+SELECT u AS upload_id, i AS pos, domain, CASE WHEN NOT ok THEN 'invalid' WHEN row_number() OVER (PARTITION BY u, ok, regexp_replace(lower(domain), '^www\\.', '') ORDER BY i) = 1 THEN 'valid' ELSE 'duplicate' END AS state FROM o""")
 def s09_uploads(spark, sf_dir):
-    return lists.uploaded_domains(spark.createDataFrame(_UPLOAD, "upload_id int, pos int, cells array<string>")).drop("raw")
+    """Uploads by nation, even ones with a header."""
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("upload_id"), i.cast("long").alias("pos"), F.col("c_custkey").alias("k"))
+    letter = F.substring(F.lit("abcdefghij"), (F.col("k") % 7 + 1).cast("int"), F.lit(1))
+    raw = F.when(F.col("k") % 11 == 0, "nodot").when(F.col("k") % 5 == 0, F.concat(F.lit(' "https://WWW.'), letter, F.lit('.org/x" '))).otherwise(F.concat(letter, (F.col("k") % 3).cast("string"), F.lit(".org")))
+    head = (F.col("pos") == 0) & (F.col("upload_id") % 2 == 0)
+    cells = F.when(head, F.array(F.lit("name"), F.lit(" Website "))).when(F.col("upload_id") % 2 == 0, F.array(F.lit("a"), raw)).otherwise(F.array(F.when(F.col("pos") == 0, F.coalesce(raw, raw)).otherwise(raw)))
+    return lists.uploaded_domains(rows.select("upload_id", "pos", cells.alias("cells"))).drop("raw")

@@ -75,3 +75,60 @@ def latency_states(stream: DataFrame, key: str = "domain", ttl: str = "24 hours"
 def first_seen(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Rows whose keys no earlier row within ``late`` had; state older than that goes."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def inserts(stream: DataFrame) -> DataFrame:
+    """(key, value) of a stream of new facts (id, job_id, domain, data_type, url): what listeners get of each."""
+    return stream.select(F.col("id").cast("string").alias("key"), F.to_json(F.struct("id", "job_id", "domain", "data_type", "url")).alias("value"))
+
+
+def micro_batches(stream: DataFrame, checkpoint: str, step, every: str | None = None):
+    """A query that runs ``step`` (batch, number) on what has come, once for all there is, or ``every`` so often."""
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger)
+
+
+def rate_states(stream: DataFrame, key: str = "domain", default: float = 1.0, most: float = 30.0, ttl: str = "24 hours", late: str = "10 minutes") -> DataFrame:
+    """(key, delay, expired) for update mode, of a stream (key, ts, status): 429 and 503 double a key's delay up to a bound, 200 lets it decay by a tenth.
+
+    State is one number a key and goes after ``ttl`` of event time without a row.
+    """
+    seconds = int(pd.Timedelta(ttl).total_seconds())
+
+    def run(keys, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [keys[0]], "delay": [float("nan")], "expired": [True]})
+            return
+        delay = state.get[0] if state.exists else default
+        rows = pd.concat(list(batches)).sort_values(["ts", "status"])
+        for status in rows["status"]:
+            if status in (429, 503):
+                delay = min(delay * 2, most)
+            elif status == 200:
+                delay = max(delay * 0.9, default)
+        state.update((delay,))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
+        yield pd.DataFrame({key: [keys[0]], "delay": [delay], "expired": [False]})
+
+    known = stream.where(F.col("status").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late).select(key, "ts", "status")
+    return known.groupBy(key).applyInPandasWithState(run, f"{key} string, delay double, expired boolean", "delay double", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def liveness(stream: DataFrame, key: str = "job_id", silence: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """(key, beats, stale) for update mode, of a stream of heartbeats (key, ts): a key is stale once ``silence`` of event time has passed without one."""
+    ms = int(pd.Timedelta(silence).total_seconds() * 1000)
+
+    def run(keys, batches, state):
+        beats = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [keys[0]], "beats": [beats], "stale": [True]})
+            return
+        rows = pd.concat(list(batches))
+        state.update((beats + len(rows),))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms)
+        yield pd.DataFrame({key: [keys[0]], "beats": [beats + len(rows)], "stale": [False]})
+
+    known = stream.where(F.col("ts").isNotNull()).withWatermark("ts", late).select(F.col(key).cast("string").alias(key), "ts")
+    return known.groupBy(key).applyInPandasWithState(run, f"{key} string, beats long, stale boolean", "beats long", "update", GroupStateTimeout.EventTimeTimeout)
