@@ -297,7 +297,7 @@ def _exact(rows: DataFrame, shingle: int, num: int, den: int, n: int) -> DataFra
                         root[(root == root[i]) | (root == root[j])] = min(root[i], root[j])
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return map_groups(rows.select("group", "side", "doc", "part", "text"), "group", run, "u long, v long", n, 500)
+    return map_groups(rows.select("group", "side", "doc", "part", "text"), "group", run, "u long, v long", parts=min(10_000, 1 + n // 500))
 
 
 def linked(heads: DataFrame, docs: DataFrame, scratch: Scratch, *, shingle: int, num: int, den: int, trees: int, branch: int, leaf: int, levels: int, block: int, weight: int = 2_000_000, picks: int = 8) -> DataFrame:
@@ -314,16 +314,18 @@ def linked(heads: DataFrame, docs: DataFrame, scratch: Scratch, *, shingle: int,
     rows = scratch.cut(cluster.join(sizes, "component_id"), 2 * scratch.rows(edges))
     n = scratch.rows(rows)
     parts = F.greatest(_parts(F.col("n"), block), _parts(F.col("w"), weight))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-
-    def with_text(dealt: DataFrame) -> DataFrame:
-        """Each of the rows once with its text, whichever of equal rows of the input that comes from."""
-        wanted = dealt.select("doc", "doc_id", "mark", "group", "side", "part").hint("merge")
-        both = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"]))
-        return both.select("group", "side", "doc", "part", "text")
-
-    first = scratch.cut(_with_picks(rows, "component_id", "n", parts, picks).withColumn("side", F.lit(0)).withColumn("part", F.col("doc")))
-    links = scratch.cut(_exact(with_text(first), shingle, num, den, scratch.rows(first)), n)
+    # the texts of clusters, once each, whichever of equal rows of the input they come from
+    texts, wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), rows.select("doc", "doc_id", "mark").hint("merge")
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"])).select("doc", "text")
+    texts = scratch.cut(texts)
+    texts = texts if scratch.rows(texts) == n else texts.dropDuplicates(["doc"])  # more where rows of the input repeat
+
+    def exact(dealt: DataFrame) -> DataFrame:
+        dealt = scratch.cut(dealt)
+        both = dealt.select("doc", "group", "side", "part").hint("merge").join(texts, "doc")
+        return scratch.cut(_exact(both, shingle, num, den, scratch.rows(dealt)))
+
+    links = exact(_with_picks(rows, "component_id", "n", parts, picks).withColumn("side", F.lit(0)).withColumn("part", F.col("doc")))
     # what blocks of one cluster have in common, but for what is known to be one part
     large = scratch.cut(rows.where(parts > 1), n)
     n = scratch.rows(large)
@@ -336,10 +338,9 @@ def linked(heads: DataFrame, docs: DataFrame, scratch: Scratch, *, shingle: int,
     if not scratch.rows(rows):
         return links
     few = F.col("n") - F.col("m") <= leaf
-    names = ["group", "side", "doc", "part", "doc_id", "mark"]
+    names = ["group", "side", "doc", "part"]
     dealt = _minor_in_blocks(rows.where(few), "component_id", parts).select(*names).union(_pairs_of_blocks(rows.where(~few), "component_id", parts).select(*names))
-    dealt = scratch.cut(dealt)
-    return links.union(scratch.cut(_exact(with_text(dealt), shingle, num, den, scratch.rows(dealt))))
+    return links.union(exact(dealt))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
