@@ -99,3 +99,74 @@ def h48_repeated(spark, sf_dir):
     """How many lists of a page have three or more items with a link each."""
     nodes = dom.with_nodes(table(spark, sf_dir, "pages").select("page_id", "html"))
     return extraction.repeated(nodes).where("tag = 'li'").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+_SIGNS = {"wordpress": ["wp-content", "wp-includes", "wordpress", "wp-json", "wp-admin"], "hubspot": ["js.hs-scripts.com", "hs-script-loader", "hubspot", ".hs-", "hbspt"], "webflow": ["webflow.com", "wf-page", "wf-section", "w-dyn-list"]}
+_MARKED = "html || ['<p class=w-dyn-list>', ' WP-admin ', ' hbspt ', ' plain ', ' wf-page hubspot '][page_id % 5 + 1]"
+_SYSTEM = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{x}')" for x in signs) + f" THEN '{name}'" for name, signs in _SIGNS.items()) + " ELSE 'generic' END"
+
+
+@query("x15_templates", f"SELECT page_id, {_SYSTEM} AS template FROM (SELECT page_id, lower({_MARKED}) AS low FROM pages)")
+def x15_templates(spark, sf_dir):
+    """The content system of each page, with marks put in by its number."""
+    mark = F.element_at(F.array(*map(F.lit, ["<p class=w-dyn-list>", " WP-admin ", " hbspt ", " plain ", " wf-page hubspot "])), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", extraction.template(F.concat("html", mark)).alias("template"))
+
+
+# a small page around each page's number, of which every field is known
+_CARD = """'<html><head><title> T' || page_id || ' </title><meta name="description" content="about ' || page_id || '"><meta property="og:title" content="' || CASE WHEN page_id % 2 = 0 THEN 'OG' || page_id ELSE '' END || '">
+<link rel="canonical" href="https://c.org/' || page_id || '"></head><body><h1>H' || page_id || '</h1><article><a href="/blog/' || page_id || '">x</a><h2><a href="../up/y.html">y</a></h2></article></body></html>'"""
+
+
+def _known(spark, sf_dir):
+    key = F.col("page_id").cast("string")
+    text = [
+        F.lit("<html><head><title> T"), key, F.lit(' </title><meta name="description" content="about '), key, F.lit('"><meta property="og:title" content="'), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("OG"), key)).otherwise(""),
+        F.lit('">\n<link rel="canonical" href="https://c.org/'), key, F.lit('"></head><body><h1>H'), key, F.lit('</h1><article><a href="/blog/'), key, F.lit('">x</a><h2><a href="../up/y.html">y</a></h2></article></body></html>'),
+    ]
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://a.org/s/"), key, F.lit("/z")).alias("url"), F.concat(*text).alias("html"))
+    return dom.with_nodes(pages)
+
+
+@query("h37_metadata", "SELECT page_id, 'https://a.org/s/' || page_id || '/z' AS url, 'T' || page_id AS title, 'about ' || page_id AS description, CASE WHEN page_id % 2 = 0 THEN 'OG' || page_id ELSE '' END AS og_title, '' AS og_description, '' AS og_image, 'https://c.org/' || page_id AS canonical, '' AS author FROM pages")
+def h37_metadata(spark, sf_dir):
+    return _known(spark, sf_dir).select("page_id", extraction.fixed_metadata(F.col("dom"), F.col("url")).alias("m")).select("page_id", "m.*")
+
+
+@query("h38_preferred", "SELECT page_id, 'https://c.org/' || page_id AS url, CASE WHEN page_id % 2 = 0 THEN 'OG' ELSE 'T' END || page_id AS title, '' AS author, 'about ' || page_id AS description, '' AS og_image, 3 AS word_count, 0.0::DOUBLE AS reading_time_minutes FROM pages")
+def h38_preferred(spark, sf_dir):
+    meta = extraction.fixed_metadata(F.col("dom"), F.col("url"))
+    return _known(spark, sf_dir).select("page_id", extraction.preferred_metadata(meta, F.lit("three little words")).alias("m")).select("page_id", "m.*")
+
+
+@query("h41_templated", "SELECT page_id, 'H' || page_id AS title, '[https://a.org/blog/' || page_id || ', https://a.org/s/up/y.html]' AS links FROM pages")
+def h41_templated(spark, sf_dir):
+    """Title and article links by the generic template."""
+    t = extraction.templated(F.col("dom"), F.col("url"), F.lit("generic"))
+    return _known(spark, sf_dir).select("page_id", t.alias("t")).select("page_id", "t.title", F.concat(F.lit("["), F.array_join("t.links", ", "), F.lit("]")).alias("links"))
+
+
+@query("h42_templated", "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'H' || page_id END AS title, 0 AS links FROM pages")
+def h42_templated(spark, sf_dir):
+    """The same pages by the templates of two content systems and the one of directories, which name no listing here."""
+    name = F.element_at(F.array(F.lit("hubspot"), F.lit("webflow"), F.lit("directory")), (F.col("page_id") % 3 + 1).cast("int"))
+    t = extraction.templated(F.col("dom"), F.col("url"), name)
+    return _known(spark, sf_dir).select("page_id", t.alias("t")).select("page_id", "t.title", F.size("t.links").alias("links"))
+
+
+@query("h46_documents", """SELECT page_id, '# T' || page_id || chr(10) || chr(10) || '*Pages: 2 | Words: 7*' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'body' || chr(10) || chr(10) || chr(10) || '---' || chr(10) || '## Extracted Tables' || chr(10) || chr(10) || chr(10)
+|| '### Table 2' || chr(10) || chr(10) || '| a | b |' || chr(10) || chr(10) || '| --- | --- |' || chr(10) || chr(10) || '| ' || page_id || ' |  |' || chr(10) || chr(10) AS markdown FROM pages""")
+def h46_documents(spark, sf_dir):
+    """Parsed documents as Markdown: a table of one row is left out, short rows are filled."""
+    key = F.col("page_id").cast("string")
+    tables = F.array(F.array(F.array(F.lit("alone"))), F.array(F.array(F.lit("a"), F.lit("b")), F.array(key)))
+    return table(spark, sf_dir, "pages").select("page_id", extraction.paged_markdown(F.concat(F.lit("T"), key), F.lit(""), F.lit(2), F.lit(7), F.lit("body"), tables).alias("markdown"))
+
+
+@query("h53_delimited", """SELECT page_id, 'name,n' || chr(10) || '"a, ""b""' || '",' || page_id || chr(10) || 'plain,' AS csv, 'name' || chr(9) || 'n' || chr(10) || 'a, "b"' || chr(9) || page_id || chr(10) || 'plain' || chr(9) AS tsv FROM pages""")
+def h53_delimited(spark, sf_dir):
+    """A table's rows as CSV and as text with tabs."""
+    from ..operators import exports
+
+    names, rows = F.array(F.lit("name"), F.lit("n")), F.array(F.array(F.lit('a, "b"'), F.col("page_id").cast("string")), F.array(F.lit("plain"), F.lit(None).cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", exports.delimited(names, rows).alias("csv"), exports.delimited(names, rows, tabs=True).alias("tsv"))
