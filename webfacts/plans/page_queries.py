@@ -170,3 +170,121 @@ def h53_delimited(spark, sf_dir):
 
     names, rows = F.array(F.lit("name"), F.lit("n")), F.array(F.array(F.lit('a, "b"'), F.col("page_id").cast("string")), F.array(F.lit("plain"), F.lit(None).cast("string")))
     return table(spark, sf_dir, "pages").select("page_id", exports.delimited(names, rows).alias("csv"), exports.delimited(names, rows, tabs=True).alias("tsv"))
+
+
+# one page of every kind of record around each page's number, so that an oracle can spell the records out
+_RICH = [
+    "<html><head><title>Acme ", "</title><meta name='author' content='Ann'><script type='application/ld+json'>{\"@type\": \"Person\", \"name\": \"Jo Data", "\", \"jobTitle\": \"CTO\", \"email\": \"jo", "@corp.io\"}</script></head><body>",
+    "<div class='team-member'><h3>Sam Card", "</h3><p class='title'>VP Sales</p><a href='https://linkedin.com/in/sam", "'>in</a></div><div class='team-member'><h3>JO Data", "</h3></div>",
+    "<div class='plan'><h2>Basic ", "</h2><p>$10/mo free trial</p><ul><li>one thing</li><li>two things</li></ul><button>Buy</button></div><div class='plan'><h2>Pro ", "</h2><p>$1,200.50 per year</p></div>",
+    "<div class='resource'><h3>White paper ", "</h3><a href='/r/", ".pdf'>get</a></div><p>Mail kim", "@firm.org or info@firm.org</p><a rel='tag' href='/t'>Tag ", "</a>",
+    "<table><tr><th>k</th><th>k</th><th></th></tr><tr><td>a</td><td>b</td><td>", "</td></tr><tr><td>c</td><td>d</td><td>e</td></tr></table><dl><dt>t", "</dt><dd>d1</dd><dt>u</dt><dd>d2</dd></dl>",
+    "<div role='grid'><div role='row'><span role='gridcell'>g", "</span></div><div role='row'><span role='gridcell'>h</span></div><div role='row'><span role='gridcell'>i</span></div></div><div class='entry-content'>" + "word " * 250 + "</div></body></html>",
+]
+
+
+def _rich(spark, sf_dir):
+    key = F.col("page_id").cast("string")
+    parts = [F.lit(_RICH[0])]
+    for x in _RICH[1:]:
+        parts += [key, F.lit(x)]
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://a.org/"), F.element_at(F.array(*map(F.lit, ["team/", "pricing/", "resources/", "blog/", ""])), (F.col("page_id") % 5 + 1).cast("int"))).alias("url"), F.concat(*parts).alias("html"))
+    return dom.with_nodes(pages.withColumn("_raw", F.col("html")), "_raw", keep=["page_id", "url", "html"])
+
+
+def _exploded(rows, found, *names):
+    return rows.select("page_id", F.explode(found).alias("r")).select("page_id", *[F.col(f"r.{n}").alias(n) for n in names])
+
+
+@query("h20_people_of_data", "SELECT page_id, 'Jo' AS first_name, 'Data' || page_id AS last_name, 'CTO' AS job_title, 'jo' || page_id || '@corp.io' AS email FROM pages")
+def h20_people_of_data(spark, sf_dir):
+    return _exploded(_rich(spark, sf_dir), extraction.people_from_data(F.col("dom")), "first_name", "last_name", "job_title", "email")
+
+
+@query("h21_people_of_cards", "SELECT page_id, 'Sam' AS first_name, 'Card' || page_id AS last_name, 'VP Sales' AS job_title, 'https://linkedin.com/in/sam' || page_id AS linkedin_url FROM pages UNION ALL SELECT page_id, 'JO', 'Data' || page_id, NULL, NULL FROM pages")
+def h21_people_of_cards(spark, sf_dir):
+    return _exploded(_rich(spark, sf_dir), extraction.people_from_cards(F.col("dom")), "first_name", "last_name", "job_title", "linkedin_url")
+
+
+@query("h22_people_of_text", "SELECT page_id, 'kim' || page_id || '@firm.org' AS email FROM pages")
+def h22_people_of_text(spark, sf_dir):
+    """Personal addresses in the text; those of generic mailboxes are left out."""
+    return _exploded(_rich(spark, sf_dir), extraction.people_from_text(F.col("dom")), "email")
+
+
+@query("h23_merged_people", "SELECT page_id, 'Jo' AS first_name, 'jo' || page_id || '@corp.io' AS email, NULL AS linkedin_url FROM pages UNION ALL SELECT page_id, 'Sam', NULL, 'https://linkedin.com/in/sam' || page_id FROM pages")
+def h23_merged_people(spark, sf_dir):
+    """People of data and cards, merged by address and name."""
+    return _exploded(_rich(spark, sf_dir), extraction.people(F.col("dom")), "first_name", "email", "linkedin_url")
+
+
+@query("h24_resources", "SELECT page_id, 'https://a.org/r/' || page_id || '.pdf' AS url, 'White paper ' || page_id AS title, 'whitepaper' AS resource_type, 'https://a.org/r/' || page_id || '.pdf' AS download_url FROM pages")
+def h24_resources(spark, sf_dir):
+    return _exploded(_rich(spark, sf_dir), extraction.resources(F.col("dom"), F.col("url")), "url", "title", "resource_type", "download_url")
+
+
+@query("h27_plans", "SELECT page_id, 'Basic ' || page_id AS plan_name, '$10' AS price, 'monthly' AS billing_cycle, 'one thing; two things' AS features, true AS has_free_trial, 'Buy' AS cta_text FROM pages UNION ALL SELECT page_id, 'Pro ' || page_id, '$1,200.50', 'annual', '', false, NULL FROM pages")
+def h27_plans(spark, sf_dir):
+    out = _exploded(_rich(spark, sf_dir), extraction.plans(F.col("dom")), "plan_name", "price", "billing_cycle", "features", "has_free_trial", "cta_text")
+    return out.withColumn("features", F.array_join("features", "; "))
+
+
+@query("h05_categories", "SELECT page_id, 'Tag ' || page_id AS category FROM pages")
+def h05_categories(spark, sf_dir):
+    return _rich(spark, sf_dir).select("page_id", F.explode(extraction.categories(F.col("dom"))).alias("category"))
+
+
+@query("h06_main_text", "SELECT page_id, trim(repeat('word ', 250)) AS content FROM pages")
+def h06_main_text(spark, sf_dir):
+    """The text of the first content element that is long enough."""
+    return _rich(spark, sf_dir).select("page_id", extraction.content(F.col("dom")).alias("content"))
+
+
+@query("h30_fields", "SELECT page_id, '' || page_id AS n, 'Ann' AS author, 'ACME ' || page_id AS name, 'missing' AS lacking FROM pages")
+def h30_fields(spark, sf_dir):
+    """Fields of a schema, with types, transforms and what is lacking."""
+    schema = [extraction.Field("author", "meta[name='author']", "content"), extraction.Field("name", "title", transform="upper"), extraction.Field("n", "dt"), extraction.Field("missing", ".none", required=True)]
+    rows = _rich(spark, sf_dir).select("page_id", extraction.fields(F.col("dom"), schema).alias("f"))
+    return rows.select("page_id", F.replace(F.col("f")["n"], F.lit("t"), F.lit("")).alias("n"), F.col("f")["author"].alias("author"), F.col("f")["name"].alias("name"), F.array_join(extraction.missing(F.col("f"), schema), ",").alias("lacking"))
+
+
+@query("h31_listed_fields", "SELECT page_id, unnest(['Basic ' || page_id, 'Pro ' || page_id]) AS plan, unnest(['Buy', NULL]) AS button FROM pages")
+def h31_listed_fields(spark, sf_dir):
+    schema = [extraction.Field("plan", "h2"), extraction.Field("button", "button")]
+    rows = _rich(spark, sf_dir).select("page_id", F.explode(extraction.listed_fields(F.col("dom"), ".plan", schema)).alias("f"))
+    return rows.select("page_id", F.col("f")["plan"].alias("plan"), F.col("f")["button"].alias("button"))
+
+
+@query("h47_tables", "SELECT page_id, 'k|k (2)|Column' AS headers, 'a|b|' || page_id || '/c|d|e' AS rows, 30.0::DOUBLE AS score FROM pages")
+def h47_tables(spark, sf_dir):
+    """Tables with named columns."""
+    out = _exploded(_rich(spark, sf_dir), extraction.tables(F.col("dom")), "headers", "rows", "score")
+    return out.select("page_id", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("rows"), "score")
+
+
+@query("h49_definitions", "SELECT page_id, 't' || page_id || '|u' AS terms, 'd1|d2' AS definitions, 14.0::DOUBLE AS score FROM pages")
+def h49_definitions(spark, sf_dir):
+    out = _exploded(_rich(spark, sf_dir), extraction.definitions(F.col("dom")), "terms", "definitions", "score")
+    return out.select("page_id", F.array_join("terms", "|").alias("terms"), F.array_join("definitions", "|").alias("definitions"), "score")
+
+
+@query("h50_grids", "SELECT page_id, 'g' || page_id || '|h|i' AS cells, 24.0::DOUBLE AS score FROM pages")
+def h50_grids(spark, sf_dir):
+    out = _exploded(_rich(spark, sf_dir), extraction.grids(F.col("dom")), "rows", "score")
+    return out.select("page_id", F.array_join(F.flatten("rows"), "|").alias("cells"), "score")
+
+
+@query("h51_ranked", "SELECT page_id, 'table,grid,definitions' AS kinds FROM pages")
+def h51_ranked(spark, sf_dir):
+    """Patterns of a page by score."""
+    return _rich(spark, sf_dir).select("page_id", F.array_join(F.transform(extraction.ranked_patterns(F.col("dom")), lambda x: x["kind"]), ",").alias("kinds"))
+
+
+@query("h17_records", """WITH p AS (SELECT page_id, 'Acme ' || page_id AS t, 'https://a.org/' || ['team/', 'pricing/', 'resources/', 'blog/', ''][page_id % 5 + 1] AS u, page_id % 5 AS k FROM pages)
+SELECT page_id, 'page' AS data_type, t AS title, u AS url FROM p UNION ALL SELECT page_id, 'article', t, u FROM p UNION ALL SELECT page_id, 'contact', unnest(['Jo Data' || page_id, 'Sam Card' || page_id]), u FROM p WHERE k = 0
+UNION ALL SELECT page_id, 'pricing', unnest(['Basic ' || page_id, 'Pro ' || page_id]), u FROM p WHERE k = 1 UNION ALL SELECT page_id, 'resource', 'White paper ' || page_id, 'https://a.org/r/' || page_id || '.pdf' FROM p WHERE k = 2
+UNION ALL SELECT page_id, 'blog_url', t, u FROM p WHERE k = 3 UNION ALL SELECT page_id, 'tech_stack', t, u FROM p WHERE k = 4""")
+def h17_records(spark, sf_dir):
+    """Records of all types, by the class of the page's address."""
+    types = ["blog_url", "article", "contact", "resource", "pricing", "tech_stack"]
+    return extraction.page_records(_rich(spark, sf_dir), types).select("page_id", "data_type", "title", "url")
