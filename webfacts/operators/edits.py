@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What the metadata of a record type must have; other types pass.
-REQUIRED = {
-    "article": ["word_count"], "blog_url": ["article_urls"], "pricing": ["plan_name"], "resource": ["resource_type"],
+# Fields of the metadata of a record type with their kinds; ! must be there, ? may be null; other types pass.
+FIELDS = {
+    "blog_url": {"blog_landing_url": "string!", "article_urls": "list", "total_articles": "number"},
+    "article": {"author": "string?", "categories": "list", "word_count": "number", "excerpt": "string?", "content": "string?"},
+    "contact": {"first_name": "string?", "last_name": "string?", "job_title": "string?", "email": "string?", "phone": "string?", "linkedin_url": "string?", "source": "string"},
+    "tech_stack": {"platform": "string?", "js_libraries": "list", "analytics": "list", "marketing_tools": "list", "frameworks": "list"},
+    "resource": {"resource_type": "string", "description": "string?", "gated": "boolean", "download_url": "string?"},
 }
+_KINDS = {"string": "^STRING$", "list": r"^ARRAY<(STRING|VOID)>$", "number": "^BIGINT$", "boolean": "^BOOLEAN$"}
 
 
 def patched(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -50,10 +55,17 @@ def retries(jobs: DataFrame, parameters: list[str], at: Column) -> DataFrame:
     return jobs.where("status = 'failed'").select(F.col("id").alias("retry_of"), *parameters, F.lit("pending").alias("status"), at.alias("created_at"))
 
 
+def is_object(metadata: Column) -> Column:
+    """Whether JSON is an object."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(metadata)).startswith("OBJECT"), F.lit(False))
+
+
 def is_valid(data_type: Column, metadata: Column) -> Column:
-    """Whether metadata (JSON) is an object that has what its type requires."""
-    ok = F.coalesce(F.json_object_keys(metadata).isNotNull(), F.lit(False))
-    for kind, names in REQUIRED.items():
-        for name in names:
-            ok = ok & ((data_type != kind) | F.get_json_object(metadata, f"$.{name}").isNotNull())
+    """Whether metadata (JSON) is an object whose fields are of the kinds that its type gives them; fields that it doesn't name may be anything."""
+    whole, ok = F.try_parse_json(metadata), is_object(metadata)
+    for kind, fields in FIELDS.items():
+        for name, rule in fields.items():
+            own = F.schema_of_variant(F.try_variant_get(whole, f"$.{name}", "variant"))
+            good = own.rlike(_KINDS[rule.rstrip("!?")]) | (own == "VOID" if rule.endswith("?") else F.lit(False))
+            ok = ok & ((data_type != kind) | F.coalesce(good, F.lit(not rule.endswith("!"))))
     return ok

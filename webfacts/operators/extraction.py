@@ -36,6 +36,7 @@ BLOG = {
     "author": [".author", ".entry-author", ".vcard .fn", "a[rel='author']", ".byline .author"],
     "content": [".entry-content", ".post-content", ".the-content", "article .content"],
 }
+LISTING = ["article a", "h2 a", ".post-title a", ".entry-title a", "a[rel='bookmark']"]
 # What gives a content system away, in the order in which they are tried, and selectors of each template.
 SYSTEMS = {
     "wordpress": ["wp-content", "wp-includes", "wordpress", "wp-json", "wp-admin"],
@@ -468,21 +469,30 @@ def page_records(pages: DataFrame, types: list[str], raw_only: bool = False) ->
     def record(kind: str, title: Column, metadata: Column, to: Column = url) -> Column:
         return F.struct(F.lit(kind).alias("data_type"), to.alias("url"), title.alias("title"), metadata.cast("string").alias("metadata"))
 
-    def one(kind: str, ok: Column, metadata: Column) -> Column:
-        return F.filter(F.array(F.when(ok, record(kind, F.col("title"), metadata))), lambda x: x.isNotNull())
+    def joined(**own: Column) -> Column:
+        """The page's metadata as JSON with the record's own, which replace those of the same names."""
+        head = F.to_json(F.map_filter(F.col("meta"), lambda k, _: ~k.isin(list(own))))
+        body = F.to_json(F.struct(*[v.alias(k) for k, v in own.items()]), {"ignoreNullFields": "false"})
+        return F.when(F.length(head) <= 2, body).otherwise(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substring(body, F.lit(2), F.length(body))))
+
+    def of(x: Column, *names: str) -> Column:
+        return joined(**{n: x[n] for n in names})
+
+    def one(kind: str, ok: Column, metadata: Column, title: Column = F.col("title")) -> Column:
+        return F.filter(F.array(F.when(ok, record(kind, title, metadata))), lambda x: x.isNotNull())
 
     def many(kind: str, found: Column, make: Callable[[Column], Column]) -> Column:
         return F.transform(F.when(F.col("class") == kind, found).otherwise(F.slice(found, 1, 0)), make)
 
-    links = F.filter(article_links(dom, url), lambda x: urls.is_article_link(x, url))
-    article_meta = F.to_json(F.struct(F.col("meta")["author"].alias("author"), categories(dom).alias("categories"), F.col("meta")["description"].alias("excerpt"), "content", F.col("words").alias("word_count")))
+    links = F.filter(article_links(dom, url, {"link": LISTING}), lambda x: urls.is_article_link(x, url))
+    said = F.col("meta")
     parts = {
-        "blog_url": lambda: one("blog_url", F.col("class") == "blog_url", D.let(links, lambda x: F.to_json(F.struct(x.alias("article_urls"), F.size(x).alias("total_articles"))))),
-        "article": lambda: one("article", F.col("words") >= 200, article_meta),
-        "contact": lambda: many("contact", people(dom), lambda x: record("contact", texts.full_name(x["first_name"], x["last_name"]), F.to_json(x))),
-        "resource": lambda: many("resource", resources(dom, url), lambda x: record("resource", x["title"], F.to_json(x), x["url"])),
-        "pricing": lambda: many("pricing", plans(dom), lambda x: record("pricing", x["plan_name"], F.to_json(x))),
-        "tech_stack": lambda: one("tech_stack", F.col("path").isin("", "/index.html"), F.to_json(html.technologies(F.col("html")))),
+        "blog_url": lambda: one("blog_url", F.col("class") == "blog_url", D.let(links, lambda x: joined(blog_landing_url=url, article_urls=x, total_articles=F.size(x)))),
+        "article": lambda: one("article", F.col("words") >= 200, joined(author=said["author"], categories=categories(dom), word_count=F.col("words"), excerpt=said["description"], content=F.col("content"))),
+        "contact": lambda: many("contact", people(dom), lambda x: record("contact", texts.full_name(x["first_name"], x["last_name"]), of(x, *_PERSON))),
+        "resource": lambda: many("resource", resources(dom, url), lambda x: record("resource", x["title"], of(x, "resource_type", "description", "gated", "download_url"), x["url"])),
+        "pricing": lambda: many("pricing", plans(dom), lambda x: record("pricing", x["plan_name"], of(x, "plan_name", "price", "billing_cycle", "features", "has_free_trial", "cta_text"))),
+        "tech_stack": lambda: one("tech_stack", F.col("path").isin("", "/index.html"), D.let(html.technologies(F.col("html")), lambda t: of(t, "platform", "js_libraries", "analytics", "marketing_tools", "frameworks")), F.concat(F.lit("Tech Stack: "), urls.extract_domain(url))),
     }
     page = one("page", F.lit(True), F.to_json(F.struct("meta", "content", F.col("words").alias("word_count"))))
     wanted = [] if raw_only else [parts[t]() for t in parts if t in types]

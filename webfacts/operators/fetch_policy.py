@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import texts
+from ..functions import html, texts
 
 # Tiers from cheap to dear, statuses of a block, bounds.
 TIERS = ["lightpanda", "playwright", "playwright_proxy"]
@@ -42,6 +42,14 @@ def should_escalate(blocked: Column, captcha: Column) -> Column:
     return blocked | captcha
 
 
+def fetch_results(pages: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """Pages (key, url, html) with their fetch (key, status_code, tier_used): also cost_usd, blocked and captcha_detected."""
+    both = pages.join(log, key)
+    return both.select(
+        key, "url", "html", "status_code", "tier_used", tier_cost(F.col("tier_used")).alias("cost_usd"),
+        is_blocked(F.col("status_code"), F.length("html")).alias("blocked"), html.has_captcha(F.col("html")).alias("captcha_detected"))
+
+
 def tier_order(cheapest: bool = True, proxy: bool = True) -> list[str]:
     """The tiers at hand: without a light browser the second is the first, without proxies there is no third."""
     return [t for t in TIERS if (t != TIERS[0] or cheapest) and (t != TIERS[2] or proxy)]

@@ -16,6 +16,13 @@ def best_by_score(df: DataFrame, key: str = "domain", score: str = "score", pos:
     return first_by(df, [key], F.coalesce(F.col(score), F.lit(0)).desc(), F.col(pos).asc())
 
 
+def merged_contacts(contacts: DataFrame, pages: int = 30) -> DataFrame:
+    """Contacts (email, profile_url, name, page, pos) of the first pages, each once: by the first of the three that isn't blank, the earliest one stays."""
+    blank = [F.nullif(F.col(c), F.lit("")) for c in ("email", "profile_url", "name")]
+    rows = contacts.where(F.col("page") <= pages).withColumn("_key", F.coalesce(*blank)).withColumn("email", blank[0]).withColumn("profile_url", blank[1])
+    return first_by(rows, ["_key"], F.col("page").asc(), F.col("pos").asc()).drop("_key")
+
+
 def upsert(df: DataFrame, keys: list[str], required: str = "url", order: str = "seq") -> DataFrame:
     """Last write wins per key; rows without the required column never collapse."""
     keyed = first_by(df.where(F.col(required).isNotNull()), keys, F.col(order).desc())

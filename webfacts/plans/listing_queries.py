@@ -127,9 +127,11 @@ def a12_rollup(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*counts)
 
 
-@query("a15_benchmark", WITH + "SELECT status, count(*) AS n, count(latency) AS measured, min(latency) AS least, max(latency) AS most FROM v_jobs GROUP BY 1")
+@query("a15_benchmark", WITH + "SELECT status, count(*) AS n, count(*) FILTER (status_code = 200) AS ok, round(avg(latency), 6) AS mean, round(sum(latency), 4) AS total, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99 FROM v_jobs GROUP BY 1")
 def a15_benchmark(spark, sf_dir):
-    return views.jobs(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.count("latency").alias("measured"), F.min("latency").alias("least"), F.max("latency").alias("most"))
+    """Counts, mean, total and percentiles of each tier; a status stands for a tier."""
+    p = [F.round(F.percentile("latency", q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
+    return views.jobs(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("status_code") == 200).alias("ok"), F.round(F.avg("latency"), 6).alias("mean"), F.round(F.sum("latency"), 4).alias("total"), *p)
 
 
 @query("a16_success_rate", "SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 1.0 ELSE CAST(count(*) FILTER (o_orderstatus = 'O') AS DOUBLE) / count(o_orderkey) END AS rate FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -169,11 +171,14 @@ def w09_ranked_hits(spark, sf_dir):
     return views.jobs(spark, sf_dir).withColumn("rank", rank).orderBy("rank", F.desc("created_at"), "id").limit(50).select("id", "rank")
 
 
-@query("w10_merged_contacts", "SELECT contact, arg_min(event_id, ts_id) AS event_id FROM (SELECT coalesce(nullif(event_type, 'view'), 'u' || user_id) AS contact, event_id, (ts, event_id) AS ts_id FROM events) GROUP BY 1")
+@query("w10_merged_contacts", """SELECT email, profile_url, name, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(email, profile_url, name) ORDER BY page, pos) AS n FROM (
+SELECT CASE WHEN user_id % 3 = 0 THEN 'm' || user_id % 50 END AS email, CASE WHEN user_id % 3 = 1 THEN 'u' || user_id % 50 END AS profile_url, 'n' || user_id % 20 AS name, CAST(event_id % 40 + 1 AS INT) AS page, event_id AS pos FROM events) WHERE page <= 30) WHERE n = 1""")
 def w10_merged_contacts(spark, sf_dir):
-    """Contacts of several pages: by the first key that is filled, the first page's one stays."""
-    key = F.coalesce(F.nullif(F.col("event_type"), F.lit("view")), F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    return table(spark, sf_dir, "events").groupBy(key.alias("contact")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """Contacts of up to 30 pages: by address, else profile, else name; the first page's one stays."""
+    key = lambda text, n: F.concat(F.lit(text), (F.col("user_id") % n).cast("string"))
+    rows = table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 3 == 0, key("m", 50)).otherwise("").alias("email"), F.when(F.col("user_id") % 3 == 1, key("u", 50)).alias("profile_url"), key("n", 20).alias("name"), (F.col("event_id") % 40 + 1).cast("int").alias("page"), F.col("event_id").alias("pos"))
+    return records.merged_contacts(rows)
 
 
 @query("l01_sorted_page", WITH + "SELECT id, domain, latency FROM v_jobs ORDER BY domain ASC NULLS LAST, id LIMIT 50 OFFSET 50")

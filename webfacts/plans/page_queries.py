@@ -283,8 +283,60 @@ def h51_ranked(spark, sf_dir):
 @query("h17_records", """WITH p AS (SELECT page_id, 'Acme ' || page_id AS t, 'https://a.org/' || ['team/', 'pricing/', 'resources/', 'blog/', ''][page_id % 5 + 1] AS u, page_id % 5 AS k FROM pages)
 SELECT page_id, 'page' AS data_type, t AS title, u AS url FROM p UNION ALL SELECT page_id, 'article', t, u FROM p UNION ALL SELECT page_id, 'contact', unnest(['Jo Data' || page_id, 'Sam Card' || page_id]), u FROM p WHERE k = 0
 UNION ALL SELECT page_id, 'pricing', unnest(['Basic ' || page_id, 'Pro ' || page_id]), u FROM p WHERE k = 1 UNION ALL SELECT page_id, 'resource', 'White paper ' || page_id, 'https://a.org/r/' || page_id || '.pdf' FROM p WHERE k = 2
-UNION ALL SELECT page_id, 'blog_url', t, u FROM p WHERE k = 3 UNION ALL SELECT page_id, 'tech_stack', t, u FROM p WHERE k = 4""")
+UNION ALL SELECT page_id, 'blog_url', t, u FROM p WHERE k = 3 UNION ALL SELECT page_id, 'tech_stack', 'Tech Stack: a.org', u FROM p WHERE k = 4""")
 def h17_records(spark, sf_dir):
     """Records of all types, by the class of the page's address."""
     types = ["blog_url", "article", "contact", "resource", "pricing", "tech_stack"]
     return extraction.page_records(_rich(spark, sf_dir), types).select("page_id", "data_type", "title", "url")
+
+
+@query("h10_metadata", """SELECT page_id, 'article' AS data_type, 'Ann' AS author, 250 AS words, 'Tag ' || page_id AS more, 'Acme ' || page_id AS title FROM pages UNION ALL SELECT page_id, 'tech_stack', 'Ann', NULL, NULL, 'Acme ' || page_id FROM pages WHERE page_id % 5 = 4
+UNION ALL SELECT page_id, 'blog_url', 'Ann', 0, 'https://a.org/blog/', 'Acme ' || page_id FROM pages WHERE page_id % 5 = 3""")
+def h10_metadata(spark, sf_dir):
+    """Metadata of article, listing and technology records: the page's own and the record's."""
+    rows = extraction.page_records(_rich(spark, sf_dir), ["blog_url", "article", "tech_stack"]).where("data_type <> 'page'")
+    value = lambda n: F.get_json_object("metadata", f"$.{n}")
+    return rows.select(
+        "page_id", "data_type", value("author").alias("author"), F.coalesce(value("word_count"), value("total_articles")).cast("int").alias("words"),
+        F.coalesce(value("categories[0]"), value("blog_landing_url")).alias("more"), value("title").alias("title"))
+
+
+@query("k14_valid", """SELECT c_custkey AS id, c_custkey % 8 IN (0, 2, 5, 6) AS valid FROM customer""")
+def k14_valid(spark, sf_dir):
+    """Metadata that is and is not what its type asks for."""
+    cases = [
+        ("blog_url", '{"blog_landing_url": "u", "article_urls": ["a"]}'), ("blog_url", '{"article_urls": []}'), ("contact", '{"email": null, "extra": 1}'), ("contact", '{"email": 5}'),
+        ("article", '{"categories": "x"}'), ("pricing", '{"price": 1}'), ("resource", '{"gated": true}'), ("tech_stack", "[1]"),
+    ]
+    at = (F.col("c_custkey") % 8 + 1).cast("int")
+    kind, data = (F.element_at(F.array(*[F.lit(c[k]) for c in cases]), at) for k in (0, 1))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), edits.is_valid(kind, data).alias("valid"))
+
+
+@query("x27_objects", "SELECT event_id, json_type(props) IS NOT NULL AND json_type(props) = 'OBJECT' AS ok FROM events")
+def x27_objects(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", edits.is_object(F.col("props")).alias("ok"))
+
+
+@query("x06_plain", """SELECT page_id, 'x' || page_id || chr(10) || 'b & c' || chr(10) || 'd' AS text FROM pages""")
+def x06_plain(spark, sf_dir):
+    """Text of a page, a line for each piece."""
+    from ..functions import texts
+
+    page = F.concat(F.lit("<style>no</style><p> x"), F.col("page_id").cast("string"), F.lit(" <b>b &amp; c</b></p>\n<script>no</script><i>d</i>"))
+    return table(spark, sf_dir, "pages").select("page_id", texts.plain(page).alias("text"))
+
+
+_FETCHED = "CASE event_type WHEN 'error' THEN 429 WHEN 'signup' THEN 503 ELSE 200 END"
+
+
+@query("s01_fetch_results", f"""WITH e AS (SELECT event_id % 250 AS page_id, max(event_id) AS last FROM events GROUP BY 1), f AS (SELECT e.page_id, {_FETCHED} AS status_code, ['lightpanda', 'playwright', 'playwright_proxy'][CAST(event_id % 3 + 1 AS INT)] AS tier FROM e JOIN events ON last = event_id)
+SELECT p.page_id, url, status_code, tier AS tier_used, CASE tier WHEN 'lightpanda' THEN 0.001 WHEN 'playwright' THEN 0.003 ELSE 0.0035 END::DOUBLE AS cost_usd, status_code IN (403, 429, 503) OR length(html) < 20 AS blocked, false AS captcha_detected FROM pages p JOIN f ON p.page_id = f.page_id""")
+def s01_fetch_results(spark, sf_dir):
+    """Captured pages with their last fetch: status, tier, cost, whether it was blocked or challenged."""
+    from ..operators import fetch_policy, records
+
+    log = table(spark, sf_dir, "events").selectExpr("event_id % 250 AS page_id", "event_id", f"{_FETCHED} AS status_code")
+    last = records.first_by(log, ["page_id"], F.col("event_id").desc())
+    tier = F.element_at(F.array(*map(F.lit, fetch_policy.TIERS)), (F.col("event_id") % 3 + 1).cast("int"))
+    return fetch_policy.fetch_results(table(spark, sf_dir, "pages"), last.select("page_id", "status_code", tier.alias("tier_used")), "page_id").drop("html")
