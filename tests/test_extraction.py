@@ -132,6 +132,6 @@ def test_page_records(spark):
     types = ["article", "pricing", "tech_stack", "contact"]
     got = X.page_records(nodes, types).select("page_id", "data_type", "title").collect()
     assert sorted(tuple(r) for r in got) == [
-        (1, "article", "Prices"), (1, "page", "Prices"), (1, "pricing", "Solo"), (1, "pricing", "Team"), (2, "article", "Home"), (2, "page", "Home"), (2, "tech_stack", "Home"),
+        (1, "article", "Prices"), (1, "page", "Prices"), (1, "pricing", "Solo"), (1, "pricing", "Team"), (2, "article", "Home"), (2, "page", "Home"), (2, "tech_stack", "Tech Stack: x.org"),
     ]
     assert sorted(r["page_id"] for r in X.page_records(nodes, types, raw_only=True).collect()) == [1, 2]
