@@ -105,7 +105,7 @@ class _Bins:
 
 def worth(bins: list[list[int]], length: list[int], capacity: int) -> tuple[int, float]:
     """Less is better: the number of bins, then how evenly they are filled."""
-    return len(bins), -sum((sum(length[i] for i in x) / capacity) ** 2 for x in bins)
+    return len(bins), -sum([(sum([length[i] for i in x]) / capacity) ** 2 for x in bins])
 
 
 def best_fit(length: list[int], capacity: int, order: list[int] | None = None, whole: list[list[int]] | None = None) -> list[list[int]]:
@@ -123,7 +123,7 @@ def best_fit(length: list[int], capacity: int, order: list[int] | None = None, w
 
 def cross(a: list[list[int]], b: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """The second parent with whole well-filled bins of the first; what is then double or displaced is put back best-fit."""
-    fill = lambda x: sum(length[i] for i in x)
+    fill = lambda x: sum([length[i] for i in x])
     full = [x for x in a if fill(x) >= 0.99 * capacity] or sorted(a, key=fill, reverse=True)[: max(1, len(a) // 4)]
     given = rng.sample(full, max(1, rng.randint(len(full) // 2, len(full))))
     inside = {i for x in given for i in x}
@@ -133,34 +133,34 @@ def cross(a: list[list[int]], b: list[list[int]], length: list[int], capacity: i
             stay.append(x)
         else:
             loose += [i for i in x if i not in inside]
-    if rng.random() < 0.5:  # displaced pieces of equal claim in another order
-        rng.shuffle(loose)
+    rng.shuffle(loose)
+    if rng.random() < 0.5:
         return best_fit(length, capacity, loose, stay)
-    out = _Bins(capacity)
+    out = _Bins(capacity)  # displaced pieces in another order
     for x in stay:
         out.add(list(x), fill(x))
-    rng.shuffle(loose)
     for i in loose:
         out.put([i], length)
     return out.bins
 
 
-def evolve(length: list[int], capacity: int, *, elites: list[list[list[int]]] = (), population: int = 6, generations: int = 6, seed: int = 0) -> list[list[int]]:
-    """The best packing of a population that starts with ``elites``, best fit by descending length and best fit in random orders."""
-    rng, value = random.Random(seed), lambda x: worth(x, length, capacity)
-    pop = [*elites, best_fit(length, capacity)]
+def evolve(length: list[int], capacity: int, *, elites: list[list[list[int]]] = (), population: int = 4, generations: int = 3, seed: int = 0) -> list[list[int]]:
+    """The best packing of a population that starts with ``elites``, or else with best fit by descending length, and best fit in random orders."""
+    rng = random.Random(seed)
+    valued = lambda bins: (worth(bins, length, capacity), bins)
+    pop = [valued(x) for x in elites] or [valued(best_fit(length, capacity))]
     least = -(-sum(length) // capacity)  # no packing has fewer bins
-    while len(pop) < population and min(map(len, pop)) > least:
-        pop.append(best_fit(length, capacity, rng.sample(range(len(length)), len(length))))
+    while len(pop) < (3 if elites else population) and min(x[0][0] for x in pop) > least:
+        pop.append(valued(best_fit(length, capacity, rng.sample(range(len(length)), len(length)))))
     for _ in range(generations):
-        pop.sort(key=value)
-        if len(pop[0]) <= least:
+        pop.sort(key=lambda x: x[0])
+        if pop[0][0][0] <= least or len(pop) < 3:
             break
         # both orders of a pair, each in place of a worse one
-        other = rng.choice(pop[1:])
-        pop[-1] = min((cross(pop[0], other, length, capacity, rng), pop[-1]), key=value)
-        pop[-2] = min((cross(other, pop[0], length, capacity, rng), pop[-2]), key=value)
-    return min(pop, key=value)
+        one, other = pop[0][1], rng.choice(pop[1:])[1]
+        pop[-1] = min(valued(cross(one, other, length, capacity, rng)), pop[-1], key=lambda x: x[0])
+        pop[-2] = min(valued(cross(other, one, length, capacity, rng)), pop[-2], key=lambda x: x[0])
+    return min(pop, key=lambda x: x[0])[1]
 
 
 def _bins_of(numbers: list[int]) -> list[list[int]]:
@@ -219,7 +219,7 @@ def _blocks(items: DataFrame, scratch: Scratch, capacity: int, blocks: int, turn
     return state.select("item", "length", (F.lit(turn << 56) + F.col("block") * (1 << 20) + F.col("bin")).alias("bin"), F.sum("length").over(own).alias("used"), F.coalesce(before, F.lit(0)).alias("place"))
 
 
-def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2, capacity: int = 1024, island_rows: int = 4000, rounds: int = 3, islands: int = 3, spells: int = 2, **options) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2, capacity: int = 1024, island_rows: int = 4000, rounds: int = 3, islands: int = 2, spells: int = 2, **options) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A block has some ``island_rows`` pieces and is packed by ``islands`` islands
