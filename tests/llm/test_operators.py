@@ -245,6 +245,27 @@ def test_quality_rules(docs, none):
     assert judge(none).count() == 0
 
 
+def test_host_verdicts(spark):
+    """The prior by moments, and what it makes of small and large hosts; the verdicts in place."""
+    from webfacts.llm.quality_rules import host_verdicts, judge
+
+    counts = {"big": (900, 90), "bad": (400, 360), "one": (1, 1), None: (3, 0)}
+    rows = [(h, i < bad) for h, (n, bad) in counts.items() for i in range(n)]
+    got = {r.host: r.host_rate for r in host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+    n, m = len(rows), sum(f for _, f in rows) / len(rows)
+    spread = sum(k * (bad / k - m) ** 2 for k, bad in counts.values()) / n
+    share = (spread / (m * (1 - m)) - 4 / n) / (1 - 4 / n)
+    strength = min(max(1 / share - 1, 1.0), 1000.0)
+    assert got == pytest.approx({h: (bad + m * strength) / (k + strength) for h, (k, bad) in counts.items()})
+    # hosts that differ by chance alone are taken for alike
+    same = [(f"h{i}", (i * 7 + j) % 4 == 0) for i in range(200) for j in range(4)]
+    assert all(abs(r.host_rate - 0.25) < 1e-3 for r in host_verdicts(spark.createDataFrame(same, "host string, failed boolean")).collect())
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    docs = [(i, own(i), "good") for i in range(60)] + [(100 + i, "too short", "poor") for i in range(50)] + [(200, own(200), "poor"), (201, "a b c " * 30, "good")]
+    kept = {r.doc_id for r in judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).where("kept").collect()}
+    assert kept == set(range(60))
+
+
 def test_packing(docs, none):
     from webfacts.llm.packing import encoder, evolve, pack
 
@@ -541,12 +562,36 @@ def test_mixing_prefixes(docs):
 
 
 def test_pipeline(spark, docs, tmp_path):
+    """Every stage on what the one before kept, against what its operator says or a plain version finds."""
     import corpus_pipeline as p
+    from webfacts.llm.language_id import identify
+    from webfacts.llm.mixing import mix, targets
+    from webfacts.llm.packing import encoder
+    from webfacts.llm.quality_classifier import classify
 
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(111, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for _, stage in p.STAGES[:-1]:
-        assert stage(spark, read, str(tmp_path)).schema.names == read.schema.names
-        assert stage(spark, read.limit(0), str(tmp_path)).count() == 0
-    assert len(p.STAGES) == 5 and p.run(spark, str(tmp_path)).count() > 0
+    now = read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    seen = []
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.schema.names == read.schema.names and stage(spark, read.limit(0), str(tmp_path)).count() == 0
+        out.write.parquet(f"{tmp_path}/{name}")
+        seen.append((now, spark.read.parquet(f"{tmp_path}/{name}")))
+        now = seen[-1][1]
+    assert ids(seen[0][1]) == ids(identify(read).where("not rejected"))
+    assert ids(seen[1][1]) == ids(classify(seen[1][0], spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 1"))
+    before = [(r.doc_id, r.text) for r in seen[2][0].collect()]
+    part = brute.near_duplicates([x for x in before if x[0] is not None])
+    kept = Counter(i for i, (n, c) in part.items() if i == c) + Counter(i for i, x in before if i is None)
+    assert ids(seen[2][1]) == kept
+    assert ids(seen[3][1]) == ids(mix(seen[3][0], share=0.8, weights=targets(spark)))
+    out, encode = p.run(spark, str(tmp_path)).collect(), encoder("byte_bpe_50k.json")
+    want = Counter()
+    for r in now.collect():
+        want[r.doc_id] += len(encode(r.text or "")) + 1
+    got = Counter()
+    for r in out:
+        got[r.doc_id] += r.length
+    assert len(p.STAGES) == 5 and out and got == want

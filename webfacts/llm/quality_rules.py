@@ -76,17 +76,21 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
 def host_verdicts(rows: DataFrame) -> DataFrame:
     """(host, host_rows, host_failed, host_rate) of rows (host, failed); host_rate is the posterior mean.
 
-    The prior's mean m and variance v are those of the hosts' rates, weighted by
-    their rows; its strength is m (1 - m) / v - 1. With one host, or rates that
-    do not differ, the strength is at its bounds of 1 and 1000 rows.
+    The prior is a beta one, by moments: m is the mean of all rows, and of the
+    variance of hosts' rates (weighted by rows) the part that chance alone gives
+    rates of so few rows, hosts / rows of m (1 - m), is taken off. What is left,
+    as a share r of m (1 - m), makes a strength of 1 / r - 1 rows. With one host,
+    or rates that differ no more than by chance, it is at its bound of 1000
+    rows; the other bound is 1.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_rows"), F.sum(F.col("failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_rows")
     moments = hosts.agg(
-        (F.sum("host_failed") / F.sum("host_rows")).alias("m"),
+        (F.sum("host_failed") / F.sum("host_rows")).alias("m"), (F.count("*") / F.sum("host_rows")).alias("chance"),
         (F.sum(F.col("host_rows") * rate * rate) / F.sum("host_rows")).alias("second"))
-    v = F.greatest(F.col("second") - F.col("m") * F.col("m"), F.lit(1e-9))
-    moments = moments.select("m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / v - 1, F.lit(1.0)), F.lit(1000.0)).alias("strength"))
+    spread, all_ = F.col("second") - F.col("m") * F.col("m"), F.greatest(F.col("m") * (1 - F.col("m")), F.lit(1e-9))
+    share = F.greatest((spread / all_ - F.col("chance")) / F.greatest(1 - F.col("chance"), F.lit(1e-9)), F.lit(1e-9))
+    moments = moments.select("m", F.least(F.greatest(1 / share - 1, F.lit(1.0)), F.lit(1000.0)).alias("strength"))
     # one row of moments, whatever the input
     return hosts.crossJoin(F.broadcast(moments)).select(
         "host", "host_rows", "host_failed", ((F.col("host_failed") + F.col("m") * F.col("strength")) / (F.col("host_rows") + F.col("strength"))).alias("host_rate"))
