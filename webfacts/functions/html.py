@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Markers of challenge pages, tried without regard to case.
@@ -125,3 +125,8 @@ def technologies(html: Column, headers: Column | None = None) -> Column:
     parts = [F.coalesce(*names["cms"][::-1]).alias("platform")]
     parts += [F.array_compact(F.array(*names[category])).alias(field) for field, category in _FIELDS.items()]
     return F.struct(*parts)
+
+
+def signatures(spark: SparkSession) -> DataFrame:
+    """(name, category, signals) of the known technologies."""
+    return spark.createDataFrame(TECHNOLOGIES, "name string, category string, signals array<string>")

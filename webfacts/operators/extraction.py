@@ -6,6 +6,7 @@ records of a page come from one parse and no shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -327,6 +328,14 @@ class Field:
     required: bool = False
 
 
+def specification(schema: list[Field], listed: bool = False, description: str = "") -> str:
+    """A schema as the JSON that says what is to be extracted, one object or a list of them."""
+    properties = {f.name: {"type": f.kind} for f in schema}
+    if listed:
+        return json.dumps({"type": "array", "items": {"type": "object", "properties": properties}, "description": description or "Extract one object per item."})
+    return json.dumps({"type": "object", "properties": properties, "description": description or "Extract these fields from the content."})
+
+
 def _value(own: Column, field: Field) -> Column:
     node = D.first(own, field.selector)
     text = F.array_join(F.transform(F.filter(D.below(own, node), lambda x: x["tag"] == "#text"), lambda x: F.trim(x["text"])), "")

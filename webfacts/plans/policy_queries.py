@@ -283,3 +283,78 @@ def x07_fenced(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     answer = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('```json\n{"a": '), key, F.lit("}\n```\n"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" ["), key, F.lit("] "))).otherwise(F.concat(F.lit("no {"), key))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), texts.fenced_json(answer).alias("json"))
+
+
+_REFERENCES = ["/r/a", "?q=2", "#f", "//c.org/x", "https://o.org/z", "", "d", "./d", "../d?x"]
+_BASE = r"regexp_extract(url, '^([^?#]*)', 1)"
+_ROOT = r"regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+
+
+@query("u02_resolved", f"""SELECT page_id, CASE page_id % 9 WHEN 0 THEN {_ROOT} || '/r/a' WHEN 1 THEN {_BASE} || '?q=2' WHEN 2 THEN regexp_extract(url, '^([^#]*)', 1) || '#f' WHEN 3 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//c.org/x'
+WHEN 4 THEN 'https://o.org/z' WHEN 5 THEN url WHEN 8 THEN {_ROOT} || coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/[^/]+/[^/]*$', '/'), regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)), '/') || 'd?x'
+ELSE {_ROOT} || regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '[^/]*$', '') || 'd' END AS resolved FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]+/')""")
+def u02_resolved(spark, sf_dir):
+    """References of all kinds against each page's address."""
+    from ..functions import urls
+
+    rows = table(spark, sf_dir, "pages").where("url rlike '^[a-z]+://[^/]+/'")
+    return rows.select("page_id", urls.resolve_url(F.col("url"), _of(_REFERENCES, "page_id")).alias("resolved"))
+
+
+@query("x12_error_titles", "SELECT page_id, page_id % 4 < 2 AS error FROM pages")
+def x12_error_titles(spark, sf_dir):
+    from ..functions import html
+
+    return table(spark, sf_dir, "pages").select("page_id", html.is_error_title(_of(["Page Not Found", "Error 5", "Welcome", "About"], "page_id")).alias("error"))
+
+
+@query("x18_full_names", "SELECT c_custkey AS id, ['Ada B', 'Ada', 'B', NULL][CAST(c_custkey % 4 + 1 AS INT)] AS name FROM customer")
+def x18_full_names(spark, sf_dir):
+    first, last = F.when(F.col("c_custkey") % 4 < 2, "Ada"), F.when(F.col("c_custkey") % 2 == 0, "B")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 3, F.lit(None)).otherwise(texts.full_name(first, last)).alias("name"))
+
+
+@query("x21_numbers", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey * 1000 AS VARCHAR) WHEN 1 THEN c_custkey || '.5' ELSE 'n/a' END AS value FROM customer")
+def x21_numbers(spark, sf_dir):
+    """Numbers as they are written, with marks, or left as they are."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("$"), k.cast("string"), F.lit(",000"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(".5"))).otherwise("n/a")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), texts.coerced_number(text).alias("value"))
+
+
+@query("x24_json_paths", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def x24_json_paths(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("x25_json_search", "SELECT event_id FROM events WHERE props ILIKE '%7%'")
+def x25_json_search(spark, sf_dir):
+    """Records whose JSON holds a term anywhere."""
+    return table(spark, sf_dir, "events").where(F.col("props").ilike("%7%")).select("event_id")
+
+
+@query("x26_notices", """SELECT event_id AS key, '{"id":' || event_id || ',"job_id":' || user_id || ',"domain":"d","data_type":"' || event_type || '","url":"u"}' AS value FROM events""")
+def x26_notices(spark, sf_dir):
+    """What a listener is told of each new record, as the stream tells it."""
+    from ..streaming import feeds
+
+    rows = table(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id AS job_id", "'d' AS domain", "event_type AS data_type", "'u' AS url")
+    return feeds.inserts(rows).select(F.col("key").cast("long").alias("key"), "value")
+
+
+@query("s21_signatures", "SELECT * FROM (VALUES ('cms', 9), ('analytics', 7), ('marketing', 11), ('framework', 7), ('cdn', 6), ('js_library', 4)) AS t(category, n)")
+def s21_signatures(spark, sf_dir):
+    """The catalog of technologies as a relation."""
+    from ..functions import html
+
+    return html.signatures(spark).groupBy("category").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("x28_schema_specs", """SELECT * FROM (VALUES (false, '{"type": "object", "properties": {"name": {"type": "string"}, "price": {"type": "number"}}, "description": "Extract these fields from the content."}'),
+(true, '{"type": "array", "items": {"type": "object", "properties": {"name": {"type": "string"}, "price": {"type": "number"}}}, "description": "Extract one object per item."}')) AS t(listed, spec)""")
+def x28_schema_specs(spark, sf_dir):
+    """Schemas of fields as JSON specifications."""
+    from ..operators import extraction
+
+    schema = [extraction.Field("name", "h2"), extraction.Field("price", ".price", kind="number", required=True)]
+    return spark.createDataFrame([(x, extraction.specification(schema, listed=x)) for x in (False, True)], "listed boolean, spec string")
