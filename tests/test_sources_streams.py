@@ -102,6 +102,6 @@ def test_edits(spark):
     assert {r["id"]: r["is_active"] for r in edits.toggled(rows, keys, "id", "is_active").collect()} == {1: False, 2: None, None: False}
     assert {r["id"]: r["is_active"] for r in edits.soft_deleted(rows, keys, "id").collect()} == {1: False, 2: False, None: False}
     assert [r["id"] for r in edits.cascaded(rows, keys, "id").collect()] == [None]
-    cases = [("article", '{"word_count":3}', True), ("article", "{}", False), ("other", "{}", True), ("other", "[1]", False), ("pricing", None, False)]
+    cases = [("blog_url", '{"blog_landing_url":"u"}', True), ("blog_url", "{}", False), ("article", '{"word_count":"x"}', False), ("other", "{}", True), ("other", "[1]", False), ("pricing", None, False)]
     got = spark.createDataFrame(cases, "t string, m string, w boolean").select("w", edits.is_valid(F.col("t"), F.col("m")).alias("v")).collect()
     assert all(r["w"] == r["v"] for r in got)
