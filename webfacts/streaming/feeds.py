@@ -28,22 +28,39 @@ def domain_reputation(stream: DataFrame, ok: Column) -> DataFrame:
     return stream.groupBy("domain").agg(F.count("*").alias("total"), F.count_if(ok).alias("successes"), F.max("ts").alias("last_at"))
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str = "seq"):
-    """A query that merges each batch into a table of Parquet versions; ``current`` reads the newest.
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str = "seq", buckets: int = 64):
+    """A query that merges each batch into a table of Parquet files, dealt to buckets by a hash of the keys; ``current`` reads the newest.
 
-    A batch that is run again writes the version it wrote before, so a restart neither loses nor doubles rows.
+    A batch rewrites only the buckets that it touches. Which version of each
+    bucket counts after a batch is a table of its own, written last, so a batch
+    that is run again starts from what counted before it, and a restart neither
+    loses nor doubles rows.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merged = batch if batch_id == 0 else current(spark, path, batch_id - 1).unionByName(batch)
-        upsert(merged, keys, required=keys[0], order=order).write.mode("overwrite").parquet(f"{path}/v={batch_id:08d}")
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        before = _versions(spark, path, batch_id - 1) if batch_id else {}
+        touched = sorted(r[0] for r in batch.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
+        old = [f"{path}/data/v={before[k]:08d}/_bucket={k}" for k in touched if k in before]
+        if old:
+            batch = spark.read.schema(batch.schema).option("basePath", f"{path}/data").parquet(*old).select(*batch.columns).unionByName(batch)
+        merged = upsert(batch, keys, required=keys[0], order=order)
+        merged.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={batch_id:08d}")
+        now = spark.createDataFrame(sorted({**before, **dict.fromkeys(touched, batch_id)}.items()), "bucket int, version long")
+        now.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/b={batch_id:08d}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def current(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={version:08d}")
+def _versions(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
+    return {r.bucket: r.version for r in spark.read.parquet(f"{path}/versions/b={batch_id:08d}").collect()}
+
+
+def current(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The table after a batch that had rows, or that came after one."""
+    files = [f"{path}/data/v={v:08d}/_bucket={k}" for k, v in sorted(_versions(spark, path, batch_id).items())]
+    return spark.read.option("basePath", f"{path}/data").parquet(*files).drop("_bucket", "v")
 
 
 def latency_states(stream: DataFrame, key: str = "domain", ttl: str = "24 hours", late: str = "10 minutes") -> DataFrame:
