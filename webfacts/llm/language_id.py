@@ -258,7 +258,7 @@ def identify(docs: DataFrame, *, folds: int = 3, held_out: int = 1, **options) -
     or if nothing is labelled; such texts and those beyond their language's
     limit are ``rejected``. ``lang_score`` is the share of the best language
     among all when each counts 2 ** -(bits * min(characters, 64)). Ties go to
-    the first language by name. Repeated rows come back each; input columns of
+    the first language by name. Texts of any length are scored whole. Repeated rows come back each; input columns of
     the same names as the new ones are replaced; an empty table stays empty.
     """
     model = train(docs, folds=folds, held_out=held_out, **options)

@@ -81,7 +81,7 @@ def _order(seed: int, epoch: Column, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), epoch, key)), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, *, share: float = 0.5, weights: DataFrame | None = None, domain: Column | None = None, epochs: int = 1, seed: int = 7, per_bucket: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, *, share: float = 0.5, weights: DataFrame | None = None, domain: Column | None = None, epochs: int = 1, seed: int = 7, per_bucket: int = 2_000) -> DataFrame:
     """Rows of documents (doc_id, text, lang, source, ...) with domain, n_tokens, epoch, leaf_budget.
 
     The budget is ``share`` of the corpus's tokens, at most ``epochs`` times all
