@@ -293,6 +293,14 @@ def paged_markdown(title: Column, author: Column, pages: Column, words: Column,
     return F.array_join(F.concat(F.array_compact(head), F.flatten(F.transform(F.coalesce(tables_, F.array().cast("array<array<array<string>>>")), one))), "\n\n")
 
 
+def document_records(parsed: DataFrame) -> DataFrame:
+    """(page_id, data_type, url, title, metadata) of parsed files (page_id, url, title, author, pages, text, tables): their text as Markdown with its tables."""
+    words = texts.word_count(F.col("text"))
+    whole = paged_markdown(F.col("title"), F.col("author"), F.col("pages"), words, F.col("text"), F.col("tables"))
+    meta = F.struct(F.lit("pdf").alias("source_type"), F.col("pages").alias("page_count"), "author", "tables", words.alias("word_count"), whole.alias("text_content"))
+    return parsed.select("page_id", F.lit("document").alias("data_type"), "url", texts.default_title(F.col("title"), F.col("url")).alias("title"), F.to_json(meta).alias("metadata"))
+
+
 def ranked_patterns(dom: Column) -> Column:
     """Tables, definition lists, grids and lists of repeated elements of a page by score, but for those inside one of at least their score: (kind, at, rows, score)."""
 

@@ -197,3 +197,86 @@ def s22_seeded(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("domain"), F.col("n_nationkey").alias("seed"))
     new = rows.limit(3).select("domain", F.lit(99).alias("seed")).unionByName(spark.createDataFrame([("new.example.org", 1), ("other.example.org", 2)], "domain string, seed int"))
     return jobs.seeded(rows, new, "domain")
+
+
+for _name, _table, _key in [
+    ("c06_discovery", "orders", "o_orderkey"), ("c13_search", "supplier", "s_suppkey"), ("c15_domain_stats", "customer", "c_custkey"), ("c17_tracked_domain", "nation", "n_nationkey"), ("c18_signal", "part", "p_partkey"),
+]:
+
+    def _look_up(spark, sf_dir, source=_table, key=_key):
+        """The row of one key."""
+        return jobs.found(table(spark, sf_dir, source), key, 7)
+
+    query(_name, f"SELECT * FROM {_table} WHERE {_key} = 7")(_look_up)
+
+
+@query("c05_discoveries", "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at FROM orders UNION ALL SELECT c_custkey + 90000000, 'pending', TIMESTAMP '2024-01-31 00:00:00' FROM customer")
+def c05_discoveries(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return jobs.created(rows, table(spark, sf_dir, "customer").select((F.col("c_custkey") + 90_000_000).alias("id")), _now())
+
+
+@query("c08_found_domains", "SELECT s_suppkey AS id, s_name AS domain, 'found' AS status FROM supplier UNION ALL SELECT n_nationkey + 1000000, n_name, 'found' FROM nation")
+def c08_found_domains(spark, sf_dir):
+    """Discovered domains with new ones, whose status is the default."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("domain"), F.lit("found").alias("status"))
+    return jobs.appended(rows, table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1_000_000).alias("id"), F.col("n_name").alias("domain")), status=F.lit("found"))
+
+
+@query("c09_domain_updates", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'done' ELSE 'found' END AS status, CASE WHEN s_suppkey % 8 = 0 THEN 0.5::DOUBLE ELSE s_acctbal END AS score FROM supplier")
+def c09_domain_updates(spark, sf_dir):
+    """A sparse update of discovered domains."""
+    from ..operators import edits
+
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("found").alias("status"), F.col("s_acctbal").alias("score"))
+    changes = rows.where("id % 4 = 0").select("id", F.lit("done").alias("status"), F.when(F.col("id") % 8 == 0, 0.5).alias("score"))
+    return edits.patched(rows, changes, "id")
+
+
+@query("c16_active_domains", "SELECT c_name AS domain FROM customer WHERE c_acctbal > 0")
+def c16_active_domains(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("domain"), (F.col("c_acctbal") > 0).alias("is_active"))
+    return jobs.listed(rows, F.asc("domain"), active="is_active").select("domain")
+
+
+@query("c19_executions", "SELECT event_id AS id, user_id AS signal_id, ts AS fired_at FROM events UNION ALL SELECT n_nationkey + 70000000, n_nationkey, TIMESTAMP '2024-01-31 00:00:00' FROM nation")
+def c19_executions(spark, sf_dir):
+    """A log of firings with new rows."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("signal_id"), F.col("ts").alias("fired_at"))
+    return jobs.appended(rows, table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 70_000_000).alias("id"), F.col("n_nationkey").alias("signal_id")), fired_at=_now())
+
+
+@query("c24_teams", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 2")
+def c24_teams(spark, sf_dir):
+    """An organisation's teams by name."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("org_id"))
+    return jobs.listed(jobs.visible(rows, 2), F.asc("name"), F.asc("id"), hidden=("org_id",))
+
+
+@query("s08_sitemaps", """WITH p AS (SELECT page_id % 20 AS d, page_id % 3 AS k, url FROM pages), u AS (SELECT d, k, url FROM p WHERE d % 4 > 0 OR k > 0),
+f AS (SELECT d, min(k) AS k FROM u WHERE NOT regexp_matches(lower(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)), '\\.(pdf|jpg|jpeg|png|gif|svg|ico|css|js|woff|woff2|ttf|eot|mp3|mp4|avi|mov|zip|gz|tar|xml|rss|atom)$') GROUP BY 1)
+SELECT DISTINCT 'd' || u.d AS domain, url FROM u JOIN f ON u.d = f.d AND u.k = f.k WHERE NOT regexp_matches(lower(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)), '\\.(pdf|jpg|jpeg|png|gif|svg|ico|css|js|woff|woff2|ttf|eot|mp3|mp4|avi|mov|zip|gz|tar|xml|rss|atom)$')""")
+def s08_sitemaps(spark, sf_dir):
+    """Pages of sitemaps: three paths a domain, the first of which is an index of one file for domains of even number, and empty for some."""
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("d"), (F.col("page_id") % 3).cast("int").alias("k"), "url").where("d % 4 > 0 or k > 0")
+    body = F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), "")
+    files = pages.groupBy("d", "k").agg(body.alias("xml")).select(F.concat(F.lit("d"), F.col("d").cast("string")).alias("domain"), "d", "k", "xml")
+    child = F.concat(F.lit("c"), F.col("d").cast("string"))
+    index = F.concat(F.lit("<sitemapindex><sitemap>\n<loc>"), child, F.lit("</loc></sitemap></sitemapindex>"))
+    below = (F.col("k") == 0) & (F.col("d") % 2 == 0)
+    top = files.select("domain", F.col("k").alias("path_rank"), F.lit(None).cast("string").alias("url"), F.when(below, index).otherwise(F.col("xml")).alias("xml"))
+    return lists.sitemap_urls(top.unionByName(files.where(below).select("domain", F.lit(None).cast("int").alias("path_rank"), child.alias("url"), "xml")))
+
+
+@query("s11_search_hits", "SELECT o_orderkey AS pos, unnest([0, 1]) AS rank, unnest(['https://www.A' || o_custkey || '.org/x', 'https://b.org/']) AS url, unnest(['t', NULL]) AS title, unnest([0.5, NULL])::DOUBLE AS score, unnest(['A' || o_custkey || '.org', 'b.org']) AS domain FROM orders")
+def s11_search_hits(spark, sf_dir):
+    """Results of search responses with their domains."""
+    body = F.concat(F.lit('{"query": "q", "results": [{"url": "https://www.A'), F.col("o_custkey").cast("string"), F.lit('.org/x", "title": "t", "score": 0.5}, {"url": "https://b.org/"}]}'))
+    return lists.search_hits(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), body.alias("body")))
+
+
+@query("s14_video_ids", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 < 3 THEN 'abcdefgh-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') END AS video FROM customer")
+def s14_video_ids(spark, sf_dir):
+    k = F.concat(F.lit("abcdefgh-"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
+    url = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("https://www.youtube.com/watch?t=1&v="), k)).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("https://youtu.be/"), k, F.lit("?x"))).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("https://www.youtube.com/embed/"), k)).otherwise(F.concat(F.lit("https://v.org/"), k))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), lists.video_id(url).alias("video"))

@@ -340,3 +340,29 @@ def s01_fetch_results(spark, sf_dir):
     last = records.first_by(log, ["page_id"], F.col("event_id").desc())
     tier = F.element_at(F.array(*map(F.lit, fetch_policy.TIERS)), (F.col("event_id") % 3 + 1).cast("int"))
     return fetch_policy.fetch_results(table(spark, sf_dir, "pages"), last.select("page_id", "status_code", tier.alias("tier_used")), "page_id").drop("html")
+
+
+@query("h02_meta", "SELECT page_id, 'Ann' AS author, 'about ' || page_id AS description, CASE WHEN page_id % 2 = 0 THEN 'OG' || page_id END AS og_title FROM pages")
+def h02_meta(spark, sf_dir):
+    """Meta tags by name and by property, out of the text of a page."""
+    from ..functions import html
+
+    key = F.col("page_id").cast("string")
+    page = F.concat(F.lit("<meta name='author' content='Ann'><meta content='about "), key, F.lit("' name=\"description\"><meta property='og:title' content='"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("OG"), key)).otherwise(""), F.lit("'>"))
+    return table(spark, sf_dir, "pages").select("page_id", *[html.meta(page, n).alias(n.replace(":", "_")) for n in ("author", "description", "og:title")])
+
+
+@query("h04_first_texts", "SELECT page_id, 'Basic ' || page_id AS value FROM pages")
+def h04_first_texts(spark, sf_dir):
+    """The text of the first selector that has any."""
+    return _rich(spark, sf_dir).select("page_id", dom.some_text(F.col("dom"), [".none", "h6", ".plan h2", "h3"]).alias("value"))
+
+
+@query("h16_documents", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE 'PDF: ' || page_id || '.pdf' END AS title, 3 AS word_count, 'pdf' AS source_type FROM pages")
+def h16_documents(spark, sf_dir):
+    """Document records out of what a parser of files gives."""
+    key = F.col("page_id").cast("string")
+    parsed = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://a.org/f/"), key, F.lit(".pdf")).alias("url"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("T"), key)).otherwise("").alias("title"), F.lit("Ann").alias("author"), F.lit(2).alias("pages"), F.lit("three little words").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("tables"))
+    out = extraction.document_records(parsed)
+    value = lambda n: F.get_json_object("metadata", f"$.{n}")
+    return out.select("page_id", "title", value("word_count").cast("int").alias("word_count"), value("source_type").alias("source_type"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -134,3 +134,10 @@ def crawl(edges: DataFrame, seeds: DataFrame, checkpoint, *, limit: int | None =
             raise RuntimeError(f"crawl did not end within {guard} rounds")
         seen = checkpoint(seen.unionByName(frontier))
     return seen
+
+
+def files(spark: SparkSession, path: str, most: int = 10 * 1024 * 1024) -> DataFrame:
+    """(url, content_type, content) of downloaded files of up to ``most`` bytes in a folder, the type by the name's end."""
+    rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
+    kind = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    return rows.select(F.col("path").alias("url"), F.when(kind == "pdf", "application/pdf").when(kind.isin("html", "htm"), "text/html").otherwise("application/octet-stream").alias("content_type"), "content")
