@@ -131,6 +131,45 @@ def people(dom: Column) -> Column:
     return merged(D.first_filled([known, people_from_text(dom)]))
 
 
+# Where a contact's page has its parts.
+CONTACT_PAGE = {"name": ["h1"], "job_title": ["[data-cy='contact-title']"], "company": ["[data-cy='contact-company'] a"], "email": ["a[href^='mailto:']"], "phone": ["a[href^='tel:']"]}
+_CONTACT = ["first_name", "last_name", "name", "job_title", "company", "location", "headline", "email", "phone", "profile_url"]
+
+
+def _contact(own: Column, address: Column, selectors: dict[str, list[str]]) -> Column:
+    """A contact of the texts of selectors; e-mail and phone are what their links lead to. Without a name it is null."""
+
+    def value(part: str) -> Column:
+        if part not in selectors:
+            return F.lit("")
+        if part in ("email", "phone"):
+            scheme = {"email": "mailto:", "phone": "tel:"}[part]
+            return F.coalesce(*[F.replace(D.first(own, s)["attrs"]["href"], F.lit(scheme), F.lit("")) for s in selectors[part]], F.lit(""))
+        return F.coalesce(D.some_text(own, selectors[part]), F.lit(""))
+
+    def made(name: Column) -> Column:
+        both = texts.names(name)
+        values = {"first_name": both["first"], "last_name": both["last"], "name": name, "profile_url": address}
+        return F.when(name != "", F.struct(*[values.get(c, value(c) if c not in values else None).alias(c) for c in _CONTACT]))
+
+    return D.let(value("name"), made)
+
+
+def contact_page(dom: Column, url: Column, selectors: dict[str, list[str]] | None = None) -> Column:
+    """The contact of a page of its own, a profile or a detail page; null without a name."""
+    return _contact(dom, url, CONTACT_PAGE if selectors is None else selectors)
+
+
+def contact_cards(dom: Column, url: Column, cards: str, selectors: dict[str, list[str]]) -> Column:
+    """The contacts of a page of search results; a card's address is that of the first link on its name."""
+
+    def one(own: Column) -> Column:
+        links = [D.first(own, s)["attrs"]["href"] for s in selectors["name"]]
+        return D.let(F.coalesce(*links), lambda href: _contact(own, F.coalesce(urls.resolve_url(url, href), F.lit("")), selectors))
+
+    return F.filter(F.transform(D.select(dom, cards), lambda card: D.let(D.below(dom, card), one)), lambda x: x.isNotNull())
+
+
 def plans(dom: Column) -> Column:
     """Price plans: cards with a name of the first selector that has two cards or more."""
 

@@ -366,3 +366,34 @@ def h16_documents(spark, sf_dir):
     out = extraction.document_records(parsed)
     value = lambda n: F.get_json_object("metadata", f"$.{n}")
     return out.select("page_id", "title", value("word_count").cast("int").alias("word_count"), value("source_type").alias("source_type"))
+
+
+def _filled(spark, sf_dir, parts):
+    key = F.col("page_id").cast("string")
+    out = [F.lit(parts[0])]
+    for x in parts[1:]:
+        out += [key, F.lit(x)]
+    return dom.with_nodes(table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://p.org/c/"), key).alias("url"), F.concat(*out).alias("html")))
+
+
+@query("s18_contact_pages", "SELECT page_id, 'Ada' AS first_name, 'de B' || page_id AS last_name, 'VP' AS job_title, 'Acme' AS company, 'ada' || page_id || '@a.org' AS email, '+1' || page_id AS phone, 'https://p.org/c/' || page_id AS profile_url FROM pages")
+def s18_contact_pages(spark, sf_dir):
+    """Contacts of pages of their own."""
+    pages = _filled(spark, sf_dir, ["<h1> Ada  de B", "</h1><p data-cy='contact-title'>VP</p><div data-cy='contact-company'><a>Acme</a></div><a href='mailto:ada", "@a.org'>m</a><a href='tel:+1", "'>t</a>"])
+    c = extraction.contact_page(F.col("dom"), F.col("url"))
+    return pages.select("page_id", c.alias("c")).select("page_id", *[F.col(f"c.{n}").alias(n) for n in ("first_name", "last_name", "job_title", "company", "email", "phone", "profile_url")])
+
+
+@query("s17_contact_cards", "SELECT page_id, unnest(['Ada B' || page_id, 'Cy']) AS name, unnest(['https://p.org/in/a' || page_id, '']) AS profile_url, unnest(['VP', '']) AS headline FROM pages")
+def s17_contact_cards(spark, sf_dir):
+    """Contacts of cards of search results; a card without a name is none."""
+    cards = ["<li class=r><a class=n href='/in/a", "'>Ada B", "</a><i class=h>VP</i></li><li class=r><b class=n2>Cy</b></li><li class=r><i class=h>none", "</i></li>"]
+    found = extraction.contact_cards(F.col("dom"), F.col("url"), "li.r", {"name": ["a.n", ".n2"], "headline": [".h"]})
+    return _exploded(_filled(spark, sf_dir, cards), found, "name", "profile_url", "headline")
+
+
+@query("s19_profiles", "SELECT page_id, 'B' || page_id AS name, 'Paris' AS location FROM pages")
+def s19_profiles(spark, sf_dir):
+    """Contacts of profile pages, by selectors of theirs."""
+    c = extraction.contact_page(F.col("dom"), F.col("url"), {"name": [".none", "h2"], "location": [".place"]})
+    return _filled(spark, sf_dir, ["<h2>B", "</h2><p class=place>Paris</p>"]).select("page_id", c.alias("c")).select("page_id", "c.name", "c.location")
