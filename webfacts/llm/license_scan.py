@@ -65,8 +65,8 @@ def _wanted_grams(words: Column, k: int, wanted: list[int]) -> Column:
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None, k: int = 3) -> DataFrame:
     """(gram, gram_words, template, template_at, template_words) of every k-gram; a template of fewer than k words has none."""
-    rows = list((TEMPLATES if texts is None else texts).items())
-    df = spark.createDataFrame(rows, "template string, text string").withColumn("words", words_of(F.col("text")))
+    rows = [F.struct(F.lit(name).alias("template"), F.lit(text).alias("text")) for name, text in (TEMPLATES if texts is None else texts).items()]
+    df = spark.range(1).select(F.inline(F.array(*rows).cast("array<struct<template:string,text:string>>"))).withColumn("words", words_of(F.col("text")))
     df = df.select("template", F.size("words").alias("template_words"), F.explode(_grams(F.col("words"), k)).alias("g"))
     return df.select("g.gram", F.col("g.own").alias("gram_words"), "template", F.col("g.at").alias("template_at"), "template_words")
 

@@ -67,7 +67,8 @@ def budgets(leaves: DataFrame, total: Column, weights: DataFrame | None = None)
 
 def targets(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """(level, name, weight) of the target weights, ``TARGETS`` if no others are given."""
-    return spark.createDataFrame(TARGETS if rows is None else rows, "level string, name string, weight double")
+    given = [F.struct(F.lit(level).alias("level"), F.lit(name).alias("name"), F.lit(float(weight)).alias("weight")) for level, name, weight in (TARGETS if rows is None else rows)]
+    return spark.range(1).select(F.inline(F.array(*given).cast("array<struct<level:string,name:string,weight:double>>")))
 
 
 def domain_of(source: Column) -> Column:
