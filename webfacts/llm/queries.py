@@ -174,3 +174,27 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 1024 tokens by concatenation."""
+    from .concat_cut import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned by the bytes that they cover."""
+    from .token_alignment import align
+
+    return align(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, damaged, and repaired by the cheapest edits."""
+    from .conversation_repair import repair
+
+    return repair(_table(spark, sf_dir, "conversations"), damage=True)
