@@ -125,15 +125,15 @@ def _times(s: Column) -> Column:
     return _with(starts, lambda x: F.transform(x, lambda p, k: F.coalesce(F.get(x, k + 1), F.size(s)) - p))
 
 
-def _groups(m: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids between ends that both tokenizers share."""
+def _groups(m: Column, ids_a: Column, ids_b: Column) -> Column:
+    """``a1,a2|b1;a3|b2,b3``: the ids, as strings, between ends that both tokenizers share."""
     both = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda p: _is_b(F.get(m, p)) & _tie(m, p))
     ends = F.transform(both, lambda p: F.struct((p - _number(F.get(m, p))).alias("a"), (_number(F.get(m, p)) + 1).alias("b")))
 
     def text(e: Column) -> Column:
         def one(x: Column, k: Column) -> Column:
             part = lambda ids, c: F.array_join(F.slice(ids, F.coalesce(F.get(e, k - 1)[c], F.lit(0)) + 1, x[c] - F.coalesce(F.get(e, k - 1)[c], F.lit(0))), ",")
-            return F.concat(part(F.col("text_a"), "a"), F.lit("|"), part(F.col("text_b"), "b"))
+            return F.concat(part(ids_a, "a"), F.lit("|"), part(ids_b, "b"))
 
         return F.array_join(F.transform(e, one), ";")
 
@@ -141,13 +141,16 @@ def _groups(m: Column) -> Column:
 
 
 def aligned(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): the different pairs that overlap (A's id in the high half), and how often."""
-    n = F.size("ids_a")
-    rows = rows.withColumn("text_a", F.col("ids_a").cast("array<string>")).withColumn("text_b", F.col("ids_b").cast("array<string>"))
-    merged = F.sort_array(F.concat(_keys(F.col("ends_a"), 0), _keys(F.col("ends_b"), 1)))
-    found = _with(merged, lambda m: F.struct(_links(m).alias("links"), F.sha2(_groups(m).cast("binary"), 256).alias("groups")))
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): the different pairs that overlap (A's id in the high half), and how often.
+
+    What a lambda uses for every token is bound by ``_with``: a column of an
+    earlier projection would be computed again for each of them.
+    """
+    given = F.struct(
+        F.sort_array(F.concat(_keys(F.col("ends_a"), 0), _keys(F.col("ends_b"), 1))).alias("m"), F.col("ids_a").cast("array<string>").alias("a"), F.col("ids_b").cast("array<string>").alias("b"))
+    found = _with(given, lambda g: F.struct(_links(g["m"]).alias("links"), F.sha2(_groups(g["m"], g["a"], g["b"]).cast("binary"), 256).alias("groups")))
     found = _with(found, lambda f: F.struct(f["groups"].alias("groups"), F.size(f["links"]).alias("n"), F.array_distinct(f["links"]).alias("pairs"), _times(f["links"]).alias("times")))
-    rows = rows.select("row", "doc_id", n.alias("n_a"), F.size("ids_b").alias("n_b"), F.size(F.array_intersect("ends_a", "ends_b")).alias("n_groups"), found.alias("f"))
+    rows = rows.select("row", "doc_id", F.size("ids_a").alias("n_a"), F.size("ids_b").alias("n_b"), F.size(F.array_intersect("ends_a", "ends_b")).alias("n_groups"), found.alias("f"))
     return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", F.col("f.n").alias("n_links"), F.when(F.col("n_a") > 0, F.col("f.groups")).otherwise("").alias("groups_sha256"), "f.pairs", "f.times")
 
 
