@@ -142,6 +142,21 @@ def plain_alignment(rows):
     return out
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("  ab,é\n\t\x1c\u3000\u2028▁'s1🏳"), max_size=40) | st.text(max_size=40))
+def test_tokens_of_chunks_are_those_of_the_text(text):
+    from webfacts.llm.token_alignment import _Memo, chunks, second_tokenizer
+
+    parts = chunks(text)
+    assert " ".join(parts) == text
+    if text:
+        memo = _Memo("byte_bpe_50k.json", "piece_bpe_32k.model")
+        number, count = memo.numbers(["warm up", text])
+        assert list(count) == [2, len(parts)] and memo.a.take(number[2:])[0].tolist() == ids_of(" " + text)
+        whole = second_tokenizer("piece_bpe_32k.model")[0].encode(text)
+        assert memo.b.take(number[2:])[0].tolist() == whole or not all(memo.ok[i] for i in number[2:])
+
+
 @pytest.mark.parametrize("hot", [0, 3, 50_000])
 def test_alignment(docs, hot):
     from webfacts.llm.token_alignment import align

@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 
 from .packing import encoder
 from .store import Scratch
-from .text import texts_of
+from .text import blocks, texts_of
 
 #: Pairs that are broadcast, at 24 bytes each.
 HOT_PAIRS = 50_000
-#: Texts that are encoded together by the second tokenizer.
-TEXTS = 64
 
 _tables: dict[str, tuple] = {}
 
@@ -62,36 +60,111 @@ def second_tokenizer(model: str):
 
         sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
         piece = lambda i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+        if any("▁" in sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size())):
+            raise ValueError("a piece that goes on after a blank: texts can't be encoded in parts")
         table = [piece(i) for i in range(sp.get_piece_size())]
         _tables[model] = sp, table, np.array([len(x) for x in table], dtype=np.int64)
     return _tables[model]
 
 
+def chunks(text: str) -> list[str]:
+    """Parts of a text, parted by single blanks, that neither tokenizer joins: each boundary has no white space before the blank and none after it.
+
+    A byte-level pre-tokenizer takes a blank with what follows, and no piece of the
+    other vocabulary has a blank behind another character (``second_tokenizer``
+    sees to that), so a text's tokens are those of its parts, each with its blank.
+    """
+    parts = text.split(" ")
+    if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+        return parts
+    out = [parts[0]]
+    for x in parts[1:]:
+        if out[-1] and not out[-1][-1].isspace() and x and not x[0].isspace():
+            out.append(x)
+        else:
+            out[-1] += " " + x
+    return out
+
+
+class _Ragged:
+    """Growing lists of ids, many to be read at once."""
+
+    def __init__(self):
+        self.flat, self.start, self.count, self.used = np.zeros(1 << 12, np.int32), [], [], 0
+
+    def add(self, ids: list[int]) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start.append(self.used)
+        self.count.append(len(ids))
+        self.used += len(ids)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers one after the other, and how long each is."""
+        start, count = np.array(self.start)[numbers], np.array(self.count)[numbers]
+        before = np.cumsum(count) - count
+        return self.flat[np.repeat(start - before, count) + np.arange(int(count.sum()))], count
+
+
+class _Memo:
+    """Tokens of chunks met so far by both tokenizers; emptied once it holds some ``most`` characters."""
+
+    def __init__(self, first: str, second: str, most: int = 8_000_000):
+        (self.encode, self.bytes_a, self.size_a), (self.sp, self.bytes_b, self.size_b) = first_tokenizer(first), second_tokenizer(second)
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.a, self.b, self.ok, self.held = {}, _Ragged(), _Ragged(), [], 0
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks of all texts by their numbers, and how many each text has; a text that is empty has none."""
+        if self.held > self.most:
+            self.clear()
+        split, new = [], {}
+        for text in texts:
+            parts = text.split(" ") if text else []
+            if any(x not in self.number for x in parts):
+                parts = chunks(text)
+                new.update((x, None) for x in parts if x not in self.number)
+            split.append(parts)
+        fresh = list(new)
+        for x, b in zip(fresh, self.sp.encode(fresh, num_threads=1) if fresh else []):
+            a, raw = self.encode(" " + x).tolist(), (" " + x).encode()
+            self.ok.append(b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw)
+            self.a.add(a)
+            self.b.add(b)
+            self.number[x] = len(self.number)
+            self.held += len(x) + 40
+        flat = [n for parts in split for n in map(self.number.__getitem__, parts)]
+        return np.array(flat, dtype=np.int64), np.array([len(x) for x in split], dtype=np.int64)
+
+
 def tokens(docs: DataFrame, first: str, second: str) -> DataFrame:
     """(row, doc_id, ids_a, ends_a, ids_b, ends_b) of (doc_id, text); no tokens where a text is null or empty, or its tokens' bytes aren't a blank and the text."""
 
     def run(batches):
-        (encode, bytes_a, size_a), (sp, bytes_b, size_b) = first_tokenizer(first), second_tokenizer(second)
-        at = TaskContext.get().partitionId() << 33
-        none = np.zeros(0, dtype=np.int64)
+        memo, at = _Memo(first, second), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for a in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(a, TEXTS)
-                texts = [str(x, "utf-8") for x in texts_of(part.column(1))]
-                ids, ends = ([], []), ([], [])
-                for text, b in zip(texts, sp.encode(texts, num_threads=1)):
-                    whole = " " + text
-                    x, raw = encode(whole) if text else none, whole.encode()
-                    ok = text and b"".join(map(bytes_a.__getitem__, x.tolist())) == raw and b"".join(map(bytes_b.__getitem__, b)) == raw
-                    for own, sizes, out_ids, out_ends in ((x, size_a, ids[0], ends[0]), (np.array(b, dtype=np.int64), size_b, ids[1], ends[1])):
-                        own = own if ok else none
-                        out_ids.append(own)
-                        out_ends.append(np.cumsum(sizes[own]))
-                lists = [ids[0], ends[0], ids[1], ends[1]]
-                flat = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), pa.int32())) for x in lists]
-                rows = pa.array(np.arange(at, at + len(texts)), pa.int64())
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([rows, part.column(0), *flat], ["row", "doc_id", "ids_a", "ends_a", "ids_b", "ends_b"])
+            raw = texts_of(batch.column(1))
+            for a, b in blocks(raw):
+                number, count = memo.numbers([str(x, "utf-8") for x in raw[a:b]])
+                text = np.repeat(np.arange(b - a), count)
+                bad = np.zeros(b - a, dtype=bool)
+                bad[text[~np.array(memo.ok, dtype=bool)[number]]] = True
+                number, text = number[~bad[text]], text[~bad[text]]
+                out = []
+                for side, sizes in ((memo.a, memo.size_a), (memo.b, memo.size_b)):
+                    ids, own = side.take(number)
+                    upto = np.concatenate([[0], np.cumsum(sizes[ids])])
+                    per = np.bincount(text, weights=own, minlength=b - a).astype(np.int64)
+                    offsets = np.concatenate([[0], np.cumsum(per)])
+                    ends = upto[1:] - np.repeat(upto[offsets[:-1]], per)
+                    out += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, ends)]
+                rows = pa.array(np.arange(at, at + b - a), pa.int64())
+                at += b - a
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(a, b - a), *out], ["row", "doc_id", "ids_a", "ends_a", "ids_b", "ends_b"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>")
 
@@ -125,19 +198,23 @@ def _times(s: Column) -> Column:
     return _with(starts, lambda x: F.transform(x, lambda p, k: F.coalesce(F.get(x, k + 1), F.size(s)) - p))
 
 
-def _groups(m: Column, ids_a: Column, ids_b: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids, as strings, between ends that both tokenizers share."""
+def _groups(m: Column) -> Column:
+    """``a1,a2|b1;a3|b2,b3``: the ids between ends that both tokenizers share."""
     both = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda p: _is_b(F.get(m, p)) & _tie(m, p))
-    ends = F.transform(both, lambda p: F.struct((p - _number(F.get(m, p))).alias("a"), (_number(F.get(m, p)) + 1).alias("b")))
 
     def text(e: Column) -> Column:
-        def one(x: Column, k: Column) -> Column:
-            part = lambda ids, c: F.array_join(F.slice(ids, F.coalesce(F.get(e, k - 1)[c], F.lit(0)) + 1, x[c] - F.coalesce(F.get(e, k - 1)[c], F.lit(0))), ",")
-            return F.concat(part(ids_a, "a"), F.lit("|"), part(ids_b, "b"))
+        def one(p: Column, k: Column) -> Column:
+            # p entries have come: those of B by its last one's number, the others of A
+            b, q = _number(F.get(m, p)), F.coalesce(F.get(e, k - 1), F.lit(-1))
+            alone = F.concat(F.get("ids_a", p - b - 1).cast("string"), F.lit("|"), F.get("ids_b", b).cast("string"))
+            before = F.when(k == 0, 0).otherwise(_number(F.get(m, q)) + 1)
+            part = lambda ids, start, stop: F.array_join(F.slice(ids, start + 1, stop - start).cast("array<string>"), ",")
+            more = F.concat(part("ids_a", q + 1 - before, p - b), F.lit("|"), part("ids_b", before, b + 1))
+            return F.when(p - q == 2, alone).otherwise(more)
 
         return F.array_join(F.transform(e, one), ";")
 
-    return _with(ends, text)
+    return _with(both, text)
 
 
 def aligned(rows: DataFrame) -> DataFrame:
@@ -146,9 +223,8 @@ def aligned(rows: DataFrame) -> DataFrame:
     What a lambda uses for every token is bound by ``_with``: a column of an
     earlier projection would be computed again for each of them.
     """
-    given = F.struct(
-        F.sort_array(F.concat(_keys(F.col("ends_a"), 0), _keys(F.col("ends_b"), 1))).alias("m"), F.col("ids_a").cast("array<string>").alias("a"), F.col("ids_b").cast("array<string>").alias("b"))
-    found = _with(given, lambda g: F.struct(_links(g["m"]).alias("links"), F.sha2(_groups(g["m"], g["a"], g["b"]).cast("binary"), 256).alias("groups")))
+    merged = F.sort_array(F.concat(_keys(F.col("ends_a"), 0), _keys(F.col("ends_b"), 1)))
+    found = _with(merged, lambda m: F.struct(_links(m).alias("links"), F.sha2(_groups(m).cast("binary"), 256).alias("groups")))
     found = _with(found, lambda f: F.struct(f["groups"].alias("groups"), F.size(f["links"]).alias("n"), F.array_distinct(f["links"]).alias("pairs"), _times(f["links"]).alias("times")))
     rows = rows.select("row", "doc_id", F.size("ids_a").alias("n_a"), F.size("ids_b").alias("n_b"), F.size(F.array_intersect("ends_a", "ends_b")).alias("n_groups"), found.alias("f"))
     return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", F.col("f.n").alias("n_links"), F.when(F.col("n_a") > 0, F.col("f.groups")).otherwise("").alias("groups_sha256"), "f.pairs", "f.times")
