@@ -24,6 +24,10 @@ from .packing import encoder
 from .store import Scratch
 from .text import blocks, texts_of
 
+#: Bytes of text in a block.
+BLOCK = 4 << 20
+#: Columns of a block: arrays over its different chunks, and over its texts.
+CHUNKS, TEXTS = ["ids_a", "ends_a", "ids_b", "ends_b"], ["row", "doc_id", "n_a", "n_b", "places"]
 #: Pairs that are broadcast, at 24 bytes each.
 HOT_PAIRS = 50_000
 
@@ -142,31 +146,37 @@ class _Memo:
 
 
 def tokens(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """(row, doc_id, ids_a, ends_a, ids_b, ends_b) of (doc_id, text); no tokens where a text is null or empty, or its tokens' bytes aren't a blank and the text."""
+    """Tokens of (doc_id, text) in blocks: the different chunks of some texts (arrays ids_a, ends_a, ids_b, ends_b, of each), and the texts (row, doc_id, n_a, n_b, and the places of their chunks).
+
+    A text has no tokens if it is null or empty, or if its tokens' bytes aren't a blank and the text.
+    """
+    lists = lambda flat, count: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(flat, pa.int32()))
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def run(batches):
         memo, at = _Memo(first, second), TaskContext.get().partitionId() << 33
         for batch in batches:
             raw = texts_of(batch.column(1))
-            for a, b in blocks(raw):
+            for a, b in blocks(raw, BLOCK):
                 number, count = memo.numbers([str(x, "utf-8") for x in raw[a:b]])
                 text = np.repeat(np.arange(b - a), count)
                 bad = np.zeros(b - a, dtype=bool)
                 bad[text[~np.array(memo.ok, dtype=bool)[number]]] = True
                 number, text = number[~bad[text]], text[~bad[text]]
-                out = []
+                own, place = np.unique(number, return_inverse=True)
+                cols, n = [], []
                 for side, sizes in ((memo.a, memo.size_a), (memo.b, memo.size_b)):
-                    ids, own = side.take(number)
+                    ids, per = side.take(own)
                     upto = np.concatenate([[0], np.cumsum(sizes[ids])])
-                    per = np.bincount(text, weights=own, minlength=b - a).astype(np.int64)
-                    offsets = np.concatenate([[0], np.cumsum(per)])
-                    ends = upto[1:] - np.repeat(upto[offsets[:-1]], per)
-                    out += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, ends)]
-                rows = pa.array(np.arange(at, at + b - a), pa.int64())
+                    ends = upto[1:] - np.repeat(upto[np.cumsum(per) - per], per)
+                    cols += [one(lists(ids, per)), one(lists(ends, per))]
+                    n.append(pa.array(np.bincount(text, weights=per[place], minlength=b - a).astype(np.int64), pa.int64()))
+                cols += [one(pa.array(np.arange(at, at + b - a), pa.int64())), one(batch.column(0).slice(a, b - a)), *map(one, n), one(lists(place, np.bincount(text, minlength=b - a)))]
                 at += b - a
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(a, b - a), *out], ["row", "doc_id", "ids_a", "ends_a", "ids_b", "ends_b"])
+                yield pa.RecordBatch.from_arrays(cols, [*CHUNKS, *TEXTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>")
+    schema = ", ".join([*(f"{c} array<array<int>>" for c in CHUNKS), *(f"{c} array<{'array<int>' if c == 'places' else 'long'}>" for c in TEXTS)])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _with(value: Column, use) -> Column:
@@ -184,11 +194,15 @@ _is_b = lambda x: F.shiftright(x, 31).bitwiseAND(F.lit(1).cast("long")) == 1  #
 _tie = lambda m, p: F.coalesce(F.shiftright(F.get(m, p - 1).bitwiseXOR(F.get(m, p)), 32) == 0, F.lit(False))
 
 
-def _links(m: Column) -> Column:
-    """Of sorted ends: pairs of overlapping ids, in ascending order. Of two equal ends, the second token's says nothing new."""
-    pair = lambda a, b: F.shiftleft(F.get("ids_a", a).cast("long"), 32) + F.get("ids_b", b)
+def _pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32) + b
+
+
+def _links(m: Column, ids_a: Column, ids_b: Column) -> Column:
+    """Of sorted ends: pairs of overlapping ids. Of two equal ends, the second token's says nothing new."""
+    pair = lambda a, b: _pair(F.get(ids_a, a), F.get(ids_b, b))
     entry = lambda x, p: F.when(~_is_b(x), pair(_number(x), p - _number(x))).when(~_tie(m, p), pair(p - _number(x), _number(x))).otherwise(F.lit(-1).cast("long"))
-    return F.sort_array(F.array_remove(F.transform(m, entry), F.lit(-1).cast("long")))
+    return F.array_remove(F.transform(m, entry), F.lit(-1).cast("long"))
 
 
 def _times(s: Column) -> Column:
@@ -198,36 +212,60 @@ def _times(s: Column) -> Column:
     return _with(starts, lambda x: F.transform(x, lambda p, k: F.coalesce(F.get(x, k + 1), F.size(s)) - p))
 
 
-def _groups(m: Column) -> Column:
+def _groups(m: Column, ids_a: Column, ids_b: Column) -> Column:
     """``a1,a2|b1;a3|b2,b3``: the ids between ends that both tokenizers share."""
     both = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda p: _is_b(F.get(m, p)) & _tie(m, p))
 
     def text(e: Column) -> Column:
         def one(p: Column, k: Column) -> Column:
-            # p entries have come: those of B by its last one's number, the others of A
+            # p + 1 entries have come: those of B by its last one's number, the others of A
             b, q = _number(F.get(m, p)), F.coalesce(F.get(e, k - 1), F.lit(-1))
-            alone = F.concat(F.get("ids_a", p - b - 1).cast("string"), F.lit("|"), F.get("ids_b", b).cast("string"))
+            alone = F.concat(F.get(ids_a, p - b - 1).cast("string"), F.lit("|"), F.get(ids_b, b).cast("string"))
             before = F.when(k == 0, 0).otherwise(_number(F.get(m, q)) + 1)
             part = lambda ids, start, stop: F.array_join(F.slice(ids, start + 1, stop - start).cast("array<string>"), ",")
-            more = F.concat(part("ids_a", q + 1 - before, p - b), F.lit("|"), part("ids_b", before, b + 1))
-            return F.when(p - q == 2, alone).otherwise(more)
+            return F.when(p - q == 2, alone).otherwise(F.concat(part(ids_a, q + 1 - before, p - b), F.lit("|"), part(ids_b, before, b + 1)))
 
         return F.array_join(F.transform(e, one), ";")
 
     return _with(both, text)
 
 
-def aligned(rows: DataFrame) -> DataFrame:
+def _chunk(c: Column) -> Column:
+    """(groups, text, links) of a chunk's tokens; where all ends are shared, tokens pair off one by one."""
+    a, b = c["ids_a"], c["ids_b"]
+    merged = F.sort_array(F.concat(_keys(c["ends_a"], 0), _keys(c["ends_b"], 1)))
+
+    def out(n: Column, text: Column, links: Column) -> Column:
+        return F.struct(n.alias("groups"), text.alias("text"), links.alias("links")).cast("struct<groups: int, text: string, links: array<bigint>>")
+
+    def of(n: Column) -> Column:
+        even = out(n, F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";"), F.zip_with(a, b, _pair))
+        other = _with(merged, lambda m: out(n, _groups(m, a, b), _links(m, a, b)))
+        return F.when((F.size(a) == n) & (F.size(b) == n), even).otherwise(other)
+
+    return _with(F.size(F.array_intersect(c["ends_a"], c["ends_b"])), of)
+
+
+def aligned(parts: DataFrame) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): the different pairs that overlap (A's id in the high half), and how often.
 
-    What a lambda uses for every token is bound by ``_with``: a column of an
-    earlier projection would be computed again for each of them.
+    Each chunk ends where tokens of both end, so a text's groups and links are
+    those of its chunks, of which each different one of a block is aligned once.
+    What a lambda uses again and again is bound by ``_with``: a column of an
+    earlier projection would be computed each time.
     """
-    merged = F.sort_array(F.concat(_keys(F.col("ends_a"), 0), _keys(F.col("ends_b"), 1)))
-    found = _with(merged, lambda m: F.struct(_links(m).alias("links"), F.sha2(_groups(m).cast("binary"), 256).alias("groups")))
-    found = _with(found, lambda f: F.struct(f["groups"].alias("groups"), F.size(f["links"]).alias("n"), F.array_distinct(f["links"]).alias("pairs"), _times(f["links"]).alias("times")))
-    rows = rows.select("row", "doc_id", F.size("ids_a").alias("n_a"), F.size("ids_b").alias("n_b"), F.size(F.array_intersect("ends_a", "ends_b")).alias("n_groups"), found.alias("f"))
-    return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", F.col("f.n").alias("n_links"), F.when(F.col("n_a") > 0, F.col("f.groups")).otherwise("").alias("groups_sha256"), "f.pairs", "f.times")
+    chunk = F.transform(F.arrays_zip(*CHUNKS), _chunk)
+
+    def text(d: Column, known: Column) -> Column:
+        at = d["places"]
+        groups = F.aggregate(at, F.lit(0).cast("long"), lambda n, w: n + F.get(known, w)["groups"])
+        said = F.array_join(F.transform(at, lambda w: F.get(known, w)["text"]), ";")
+        links = F.sort_array(F.flatten(F.transform(at, lambda w: F.get(known, w)["links"])))
+        counted = _with(links, lambda x: F.struct(F.size(x).alias("n_links"), F.array_distinct(x).alias("pairs"), _times(x).alias("times")))
+        return F.struct(d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), groups.alias("n_groups"), F.when(d["n_a"] > 0, F.sha2(said.cast("binary"), 256)).otherwise("").alias("groups_sha256"), counted.alias("c"))
+
+    texts = _with(chunk, lambda known: F.transform(F.arrays_zip(*TEXTS), lambda d: text(d, known)))
+    return parts.select(F.inline(texts)).select("row", "doc_id", "n_a", "n_b", "n_groups", "c.n_links", "groups_sha256", "c.pairs", "c.times")
 
 
 def align(docs: DataFrame, *, first: str = "byte_bpe_50k.json", second: str = "piece_bpe_32k.model", hot: int = HOT_PAIRS) -> DataFrame:
