@@ -25,7 +25,7 @@ from .store import Scratch
 from .text import blocks, texts_of
 
 #: Bytes of text in a block.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: Columns of a block: arrays over its different chunks, and over its texts.
 CHUNKS, TEXTS = ["ids_a", "ends_a", "ids_b", "ends_b"], ["row", "doc_id", "n_a", "n_b", "places"]
 #: Pairs that are broadcast, at 24 bytes each.
@@ -94,33 +94,35 @@ class _Ragged:
     """Growing lists of ids, many to be read at once."""
 
     def __init__(self):
-        self.flat, self.start, self.count, self.used = np.zeros(1 << 12, np.int32), [], [], 0
+        self.flat, self.stop, self.used, self.n = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
 
     def add(self, ids: list[int]) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        if self.n + 1 >= len(self.stop):
+            self.stop = np.concatenate([self.stop, np.zeros_like(self.stop)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start.append(self.used)
-        self.count.append(len(ids))
-        self.used += len(ids)
+        self.used, self.n = self.used + len(ids), self.n + 1
+        self.stop[self.n] = self.used
 
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of these numbers one after the other, and how long each is."""
-        start, count = np.array(self.start)[numbers], np.array(self.count)[numbers]
+        start = self.stop[numbers]
+        count = self.stop[numbers + 1] - start
         before = np.cumsum(count) - count
         return self.flat[np.repeat(start - before, count) + np.arange(int(count.sum()))], count
 
 
 class _Memo:
-    """Tokens of chunks met so far by both tokenizers; emptied once it holds some ``most`` characters."""
+    """Tokens of chunks met so far by both tokenizers; emptied once it holds some ``most`` characters, 50 and more for each chunk."""
 
-    def __init__(self, first: str, second: str, most: int = 8_000_000):
+    def __init__(self, first: str, second: str, most: int = 25_000_000):
         (self.encode, self.bytes_a, self.size_a), (self.sp, self.bytes_b, self.size_b) = first_tokenizer(first), second_tokenizer(second)
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.a, self.b, self.ok, self.held = {}, _Ragged(), _Ragged(), [], 0
+        self.number, self.a, self.b, self.ok, self.held = {}, _Ragged(), _Ragged(), bytearray(), 0
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of all texts by their numbers, and how many each text has; a text that is empty has none."""
@@ -129,9 +131,11 @@ class _Memo:
         split, new = [], {}
         for text in texts:
             parts = text.split(" ") if text else []
-            if any(x not in self.number for x in parts):
+            missing = [x for x in parts if x not in self.number]  # parts that are known are chunks
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in missing):
                 parts = chunks(text)
-                new.update((x, None) for x in parts if x not in self.number)
+                missing = [x for x in parts if x not in self.number]
+            new.update(dict.fromkeys(missing))
             split.append(parts)
         fresh = list(new)
         for x, b in zip(fresh, self.sp.encode(fresh, num_threads=1) if fresh else []):
@@ -140,7 +144,7 @@ class _Memo:
             self.a.add(a)
             self.b.add(b)
             self.number[x] = len(self.number)
-            self.held += len(x) + 40
+            self.held += len(x) + 50
         flat = [n for parts in split for n in map(self.number.__getitem__, parts)]
         return np.array(flat, dtype=np.int64), np.array([len(x) for x in split], dtype=np.int64)
 
@@ -161,7 +165,7 @@ def tokens(docs: DataFrame, first: str, second: str) -> DataFrame:
                 number, count = memo.numbers([str(x, "utf-8") for x in raw[a:b]])
                 text = np.repeat(np.arange(b - a), count)
                 bad = np.zeros(b - a, dtype=bool)
-                bad[text[~np.array(memo.ok, dtype=bool)[number]]] = True
+                bad[text[np.frombuffer(memo.ok, dtype=np.uint8)[number] == 0]] = True
                 number, text = number[~bad[text]], text[~bad[text]]
                 own, place = np.unique(number, return_inverse=True)
                 cols, n = [], []
@@ -260,12 +264,12 @@ def aligned(parts: DataFrame) -> DataFrame:
         at = d["places"]
         groups = F.aggregate(at, F.lit(0).cast("long"), lambda n, w: n + F.get(known, w)["groups"])
         said = F.array_join(F.transform(at, lambda w: F.get(known, w)["text"]), ";")
-        links = F.sort_array(F.flatten(F.transform(at, lambda w: F.get(known, w)["links"])))
-        counted = _with(links, lambda x: F.struct(F.size(x).alias("n_links"), F.array_distinct(x).alias("pairs"), _times(x).alias("times")))
-        return F.struct(d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), groups.alias("n_groups"), F.when(d["n_a"] > 0, F.sha2(said.cast("binary"), 256)).otherwise("").alias("groups_sha256"), counted.alias("c"))
+        links = F.flatten(F.transform(at, lambda w: F.get(known, w)["links"]))
+        return F.struct(d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), groups.alias("n_groups"), F.when(d["n_a"] > 0, F.sha2(said.cast("binary"), 256)).otherwise("").alias("groups_sha256"), links.alias("links"))
 
     texts = _with(chunk, lambda known: F.transform(F.arrays_zip(*TEXTS), lambda d: text(d, known)))
-    return parts.select(F.inline(texts)).select("row", "doc_id", "n_a", "n_b", "n_groups", "c.n_links", "groups_sha256", "c.pairs", "c.times")
+    rows = parts.select(F.inline(texts)).withColumn("links", F.sort_array("links"))
+    return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups_sha256", F.array_distinct("links").alias("pairs"), _with(F.col("links"), _times).alias("times"))
 
 
 def align(docs: DataFrame, *, first: str = "byte_bpe_50k.json", second: str = "piece_bpe_32k.model", hot: int = HOT_PAIRS) -> DataFrame:
