@@ -1,10 +1,7 @@
-"""Decisions over a fetch log: blocks, escalation, waits, back-off, adaptive delays."""
+"""Decisions over a fetch log: blocks, escalation, waits, back-off."""
 
 from __future__ import annotations
 
-import math
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +9,7 @@ from ..functions import html, texts
 
 # Tiers from cheap to dear, statuses of a block, bounds.
 TIERS = ["lightpanda", "playwright", "playwright_proxy"]
-BLOCK_STATUS, MIN_HTML, MAX_DELAY = [403, 429, 503], 20, 30.0
-#: Rows of a log that become one map; 2 ** STEPS is still a double.
-STEPS = 1000
+BLOCK_STATUS, MIN_HTML = [403, 429, 503], 20
 
 
 def is_blocked(status: Column, html_length: Column) -> Column:
@@ -113,30 +108,6 @@ def is_stale(status: Column, last_activity: Column, created: Column, as_of: Colu
     return (status == "running") & (F.coalesce(last_activity, created) < as_of - F.make_dt_interval(mins=F.lit(minutes)))
 
 
-def adaptive_delay(log: DataFrame, key: str, status: str, order: str, default: float) -> DataFrame:
-    """(key, delay): 429 and 503 double the delay up to a bound, 200 lets it decay by a tenth to the default.
-
-    A run of steps is one map x -> greatest(lo, least(hi, k * x)). The log is
-    dealt by ranges of (key, order, status), so a long log lies in several
-    partitions; runs of at most STEPS rows become one map each, and a key's maps
-    are applied in turn. Products of k may differ from single steps in the last bits.
-    """
-    default = F.lit(float(default))
-    rows = log.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(status).alias("_status"))
-    rows = rows.repartitionByRange("_key", "_order", "_status").sortWithinPartitions("_key", "_order", "_status")
-    runs = rows.withColumn("_run", F.floor(F.monotonically_increasing_id() / STEPS)).groupBy("_key", "_run").agg(F.array_sort(F.collect_list(F.struct("_order", F.col("_status").alias("s")))).alias("steps"))
-
-    def step(m: Column, x: Column) -> Column:
-        up, down = x["s"].isin(429, 503), x["s"] == 200
-        bound = lambda d: F.when(up, F.least(d * 2, F.lit(MAX_DELAY))).when(down, F.greatest(d * 0.9, default)).otherwise(d)
-        return F.struct(F.when(up, m["k"] * 2).when(down, m["k"] * 0.9).otherwise(m["k"]).alias("k"), bound(m["lo"]).alias("lo"), bound(m["hi"]).alias("hi"))
-
-    same = F.struct(F.lit(1.0).alias("k"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    maps = runs.select("_key", F.struct("_run", F.aggregate("steps", same, step).alias("m")).alias("run"))
-    fold = F.aggregate(F.array_sort(F.collect_list("run")), default, lambda d, x: F.greatest(x["m"]["lo"], F.least(x["m"]["hi"], x["m"]["k"] * d)))
-    return maps.groupBy("_key").agg(fold.alias("delay")).withColumnRenamed("_key", key)
-
-
 # Seconds to wait between tiers when a server limits the rate, and before giving up.
 WAITS, LAST_WAIT = {"lightpanda": 120, "playwright": 600}, 600
 
@@ -147,34 +118,6 @@ def escalation_wait(tier: Column, following: Column, status: Column, proxy: bool
     return F.when(following.isNull(), LAST_WAIT if proxy else 0).when(status.isin(429, 503), waits).otherwise(0)
 
 
-def latency_average(log: DataFrame, key: str, latency: str, order: str) -> DataFrame:
-    """(key, avg_latency): the first latency as it is, then whole parts of 0.7 old + 0.3 new; 0 counts as unset.
-
-    A null latency makes the average null. Each key's rows are streamed in order
-    through one task, whose state is the key and the average, however long the log.
-    """
-    rows = log.select(key, F.col(order).alias("_order"), F.col(latency).alias("_raw"), F.col(latency).cast("int").alias("_latency"))
-    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_order", "_raw").select(key, "_latency")
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(batches):
-        began, last, average, schema = False, None, 0, None
-        for batch in batches:
-            done, values, schema = [], [], batch.schema
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not began or k != last:
-                    if began:
-                        done.append(last)
-                        values.append(average)
-                    began, last, average = True, k, 0
-                average = x if average == 0 else None if average is None or x is None else math.floor(average * 0.7 + x * 0.3)
-            yield pa.RecordBatch.from_arrays([pa.array(done, schema.field(0).type), pa.array(values, pa.int32())], [key, "avg_latency"])
-        if began:
-            yield pa.RecordBatch.from_arrays([pa.array([last], schema.field(0).type), pa.array([average], pa.int32())], [key, "avg_latency"])
-
-    return rows.mapInArrow(run, f"`{key}` {kind}, avg_latency int")
-
-
 def recovered(jobs: DataFrame, as_of: Column, minutes: int = 10, retries: int = 2) -> DataFrame:
     """Stale running jobs (id, retry_count, active_at) with next_status: pending for another try, failed after the last."""
     stale = jobs.where((F.col("status") == "running") & (F.col("active_at") < as_of - F.make_dt_interval(mins=F.lit(minutes))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..operators import exports, fetch_policy, records, signals
+from ..operators import exports, fetch_policy, folds, records, signals
 from ..sources import lists
 from . import views
 from .registry import query
@@ -189,10 +189,22 @@ def p14_recovered(spark, sf_dir):
     return fetch_policy.recovered(jobs, _now())
 
 
-@query("w05_latency_average")
+#: A fold in SQL: a key's rows in order, each step joined with the state before it.
+_FOLD = """, o AS (SELECT domain, {x} AS x, row_number() OVER (PARTITION BY domain ORDER BY id, {x} NULLS FIRST) AS n FROM v_jobs),
+r(domain, n, a) AS (SELECT DISTINCT domain, 0::BIGINT, {start} FROM o UNION ALL SELECT r.domain, r.n + 1, {step} FROM r JOIN o ON o.domain = r.domain AND o.n = r.n + 1)
+SELECT domain, {out} FROM r JOIN (SELECT domain, max(n) AS n FROM o GROUP BY 1) USING (domain, n)"""
+
+
+@query("w05_latency_average", WITH.replace("WITH", "WITH RECURSIVE", 1).rstrip() + _FOLD.format(x="CAST(trunc(latency) AS INT)", start="0", out="a AS avg_latency", step="CASE WHEN a = 0 THEN x WHEN a IS NULL OR x IS NULL THEN NULL ELSE CAST(floor(a * 0.7::DOUBLE + x * 0.3::DOUBLE) AS INT) END"))
 def w05_latency_average(spark, sf_dir):
-    """A fold, which SQL can't express."""
-    return fetch_policy.latency_average(views.jobs(spark, sf_dir), "domain", "latency", "id")
+    return folds.latency_average(views.jobs(spark, sf_dir), "domain", "latency", "id")
+
+
+@query("p09_adaptive_delay", WITH.replace("WITH", "WITH RECURSIVE", 1).rstrip() + _FOLD.format(x="status_code", start="1.0::DOUBLE", out="round(a, 6) AS delay", step="CASE WHEN x IN (429, 503) THEN least(a * 2, 30.0::DOUBLE) WHEN x = 200 THEN greatest(a * 0.9::DOUBLE, 1.0::DOUBLE) ELSE a END"))
+def p09_adaptive_delay(spark, sf_dir):
+    """Each domain's delay after its whole fetch log."""
+    out = folds.adaptive_delay(views.jobs(spark, sf_dir), "domain", "status_code", "id", 1.0)
+    return out.select("domain", F.round("delay", 6).alias("delay"))
 
 
 @query("x13_captcha", "SELECT count(*) AS pages, count(*) FILTER (regexp_matches(html, '(?i){}')) AS challenged FROM pages".format("|".join(html.CAPTCHA).replace("'", "''")))

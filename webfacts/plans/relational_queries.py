@@ -146,9 +146,3 @@ def p01_blocked(spark, sf_dir):
 def p05_next_tier(spark, sf_dir):
     tier = F.try_element_at(F.array(*map(F.lit, [*fetch_policy.TIERS, "unknown"])), (F.col("event_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", fetch_policy.next_tier(tier).alias("next"))
-
-
-@query("p09_adaptive_delay")
-def p09_adaptive_delay(spark, sf_dir):
-    """Each domain's delay after its whole fetch log; a fold, which SQL can't express."""
-    return fetch_policy.adaptive_delay(views.jobs(spark, sf_dir), "domain", "status_code", "id", 1.0)
