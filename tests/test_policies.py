@@ -119,23 +119,12 @@ def test_patterns_inside_better_ones(spark):
     assert [(x.kind, x.rows) for x in out] == [("repeated", 20), ("table", 4), ("definitions", 2)]
 
 
-def test_rates_and_heartbeats(spark, tmp_path):
+def test_inserts(spark, tmp_path):
     from webfacts.streaming import feeds
 
-    rows = [("a", "2024-01-01 00:00:00", 429), ("a", "2024-01-01 00:00:01", 503), ("a", "2024-01-01 00:00:02", 200), ("b", "2024-01-01 00:00:00", 200)]
-    spark.createDataFrame(rows, "domain string, ts string, status int").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in/1.parquet")
-    stream = spark.readStream.schema("domain string, ts timestamp, status int").parquet(f"{tmp_path}/in/*")
-    got, beats = {}, {}
-
-    def keep(batch, _):
-        got.update({r.domain: r.delay for r in batch.collect() if not r.expired})
-
-    feeds.rate_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination(120)
-    assert {k: round(v, 6) for k, v in got.items()} == {"a": 3.6, "b": 1.0}
-    alive = feeds.liveness(stream.withColumnRenamed("domain", "job_id").select("job_id", "ts"))
-    alive.writeStream.outputMode("update").foreachBatch(lambda b, _: beats.update({r.job_id: (r.beats, r.stale) for r in b.collect()})).option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(120)
-    assert beats == {"a": (3, False), "b": (1, False)}
-    sent = []
+    rows = [("a", 429), ("a", 503), ("a", 200), ("b", 200)]
+    spark.createDataFrame(rows, "domain string, status int").write.parquet(f"{tmp_path}/in/1.parquet")
+    stream, sent = spark.readStream.schema("domain string, status int").parquet(f"{tmp_path}/in/*"), []
     facts = stream.selectExpr("status AS id", "1 AS job_id", "domain", "'page' AS data_type", "CAST(NULL AS STRING) AS url")
     feeds.micro_batches(feeds.inserts(facts), f"{tmp_path}/c3", lambda b, _: sent.extend(r.value for r in b.collect())).start().awaitTermination(120)
     assert len(sent) == 4 and '{"id":429,"job_id":1,"domain":"a","data_type":"page"}' in sent

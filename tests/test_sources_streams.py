@@ -75,17 +75,6 @@ def test_first_seen(spark, tmp_path):
     assert sorted(r["domain"] for r in spark.table("firsts").collect()) == ["a", "b"]
 
 
-def test_latency_states(spark, tmp_path):
-    for k, rows in enumerate([_rows([0, 1]), _rows([2], "b"), _rows([60], "c"), _rows([61], "c")]):
-        _events(spark, tmp_path, rows, k)
-        stream = feeds.latency_states(feeds.read_events(spark, f"{tmp_path}/in", SCHEMA))
-        out = stream.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/state")
-        out.trigger(availableNow=True).start().awaitTermination(120)
-    got = sorted((r["domain"], r["expired"], r["avg_latency"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert [x for x in got if not x[1]] == [("a", False, 100, 2), ("b", False, 102, 1), ("c", False, 160, 1), ("c", False, 160, 2)]
-    assert [x[0] for x in got if x[1]] == ["a", "b"]
-
-
 def test_upsert_batches(spark, tmp_path):
     for k, rows in enumerate([_rows([0]) + _rows([1], "b"), _rows([2])]):
         _events(spark, tmp_path, rows, k)
@@ -105,3 +94,47 @@ def test_edits(spark):
     cases = [("blog_url", '{"blog_landing_url":"u"}', True), ("blog_url", "{}", False), ("article", '{"word_count":"x"}', False), ("other", "{}", True), ("other", "[1]", False), ("pricing", None, False)]
     got = spark.createDataFrame(cases, "t string, m string, w boolean").select("w", edits.is_valid(F.col("t"), F.col("m")).alias("v")).collect()
     assert all(r["w"] == r["v"] for r in got)
+
+
+FACTS = "id long, org_id long, domain string, data_type string, metadata string, scraped_at timestamp_ntz"
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [5, 6, 20], list(range(1, 40))])
+def test_changes_in_any_split_into_batches(spark, tmp_path, cuts):
+    from webfacts.operators.records import transitions
+
+    values = ["pending", "pending", "running", None, None, "failed", "running", "running", "completed"]
+    rows = [(i, f"j{i % 4}" if i % 4 else None, values[(i * 5 + i // 7) % 9]) for i in range(40)]
+    want = {tuple(r) for r in transitions(spark.createDataFrame(rows, "seq int, job string, status string"), "job", "status", "seq").select("job", "seq", "old", "status").collect()}
+    step = feeds.change_step(f"{tmp_path}/c", "job", "status", "seq", buckets=3)
+    for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, 40])):
+        for _ in range(1 + (n == 1)):  # the second batch is run twice
+            step(spark.createDataFrame(rows[a:b], "seq int, job string, status string"), n)
+    got = [tuple(r) for r in feeds.changes(spark, f"{tmp_path}/c").select("job", "seq", "old", "status").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_change_feed_goes_on_after_a_restart(spark, tmp_path):
+    for k, ok in enumerate([True, True, False]):
+        _events(spark, tmp_path, [(k, "a", T0 + dt.timedelta(hours=k), 1, ok)], k)
+        stream = feeds.read_events(spark, f"{tmp_path}/in", SCHEMA)
+        feeds.change_feed(stream, f"{tmp_path}/c", f"{tmp_path}/cp", "domain", "ok", "seq").start().awaitTermination(60)
+    assert sorted((r.seq, r.old, r.ok) for r in feeds.changes(spark, f"{tmp_path}/c").collect()) == [(0, None, True), (2, True, False)]
+
+
+def test_alerts_fire_once(spark, tmp_path):
+    """A batch that is run again fires nothing twice, a window fires once, and counts are those of one evaluation of all facts."""
+    from webfacts.operators import signals
+
+    fact = lambda i, hour: (i, 1, f"d{i % 2}", "job_posting", "{}", T0 + dt.timedelta(hours=hour))
+    rules = spark.createDataFrame([(1, 1, '{"type": "hiring_spike", "filters": {"spike_threshold": 1}}'), (2, 1, '{"type": "funding_round"}')], "signal_id int, org_id long, trigger_config string")
+    batches = [[fact(0, 0.1)], [fact(2, 0.2), fact(1, 0.3)], [fact(3, 0.4)], [fact(4, 1.5)], []]
+    step = feeds.alert_step(rules, f"{tmp_path}/a")
+    for n, rows in enumerate(batches):
+        for _ in range(2):
+            step(spark.createDataFrame(rows, FACTS), n)
+    got = sorted((r.signal_id, r.window_start.hour, r.match_count) for r in feeds.alerts(spark, f"{tmp_path}/a").collect())
+    assert got == [(1, 0, 1), (1, 1, 2)]
+    every = spark.createDataFrame([r for b in batches for r in b], FACTS)
+    last = signals.evaluate(rules, every, F.lit(T0 + dt.timedelta(hours=1.5, microseconds=1)).cast("timestamp_ntz")).collect()
+    assert [(r.signal_id, r.match_count) for r in last] == [(1, 2)]

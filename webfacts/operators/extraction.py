@@ -414,6 +414,40 @@ def missing(found: Column, schema: list[Field]) -> Column:
     return F.array_except(required, F.map_keys(found))
 
 
+def coverage(found: Column, schema: list[Field]) -> Column:
+    """The share of a schema's fields that a map of ``fields`` has; 1 for a schema without fields."""
+    names = F.array(*[F.lit(f.name) for f in schema]).cast("array<string>")
+    return F.size(F.array_intersect(F.map_keys(found), names)) / F.lit(float(len(schema))) if schema else F.lit(1.0)
+
+
+def extracted(pages: DataFrame, schema: list[Field], second: Callable[[DataFrame], DataFrame], *, mode: str = "auto", least: float = 0.5) -> DataFrame:
+    """(page_id, mode, fields, coverage) of pages (page_id, html): fields by selectors, and where these cover too little, by another extractor.
+
+    ``second`` makes (page_id, fields), a map of texts, of pages (page_id, html); it
+    gets only pages whose coverage is below ``least``, and its fields come over
+    those found by selectors. Mode "css" never calls it, mode "ai" gives it every
+    page. A page that it gives nothing for keeps what it had. page_id is a key.
+    """
+    if mode not in ("css", "ai", "auto"):
+        raise ValueError(f"unknown mode {mode}")
+    none = F.create_map().cast("map<string,string>")
+    rows = pages.select("page_id", "html")
+    if mode == "ai":
+        rows = rows.withColumn("fields", none)
+    else:
+        rows = D.with_nodes(rows.withColumn("_raw", F.col("html")), "_raw", keep=["page_id", "html"])
+        rows = rows.select("page_id", "html", F.coalesce(fields(F.col("dom"), schema), none).alias("fields"))
+    rows = rows.withColumn("coverage", coverage(F.col("fields"), schema))
+    weak = F.lit(mode == "ai") | (F.lit(mode == "auto") & (F.col("coverage") < least))
+    done = rows.where(~weak).select("page_id", F.lit("css").alias("mode"), "fields", "coverage")
+    if mode == "css":
+        return done
+    more = second(rows.where(weak).select("page_id", "html")).select("page_id", F.col("fields").alias("_more"))
+    both = rows.where(weak).drop("html").join(more, "page_id", "left").withColumn("_more", F.coalesce("_more", none))
+    both = both.withColumn("fields", F.map_concat(F.map_filter("fields", lambda k, v: ~F.map_contains_key("_more", k)), "_more"))
+    return done.unionByName(both.select("page_id", F.lit("ai").alias("mode"), "fields", coverage(F.col("fields"), schema).alias("coverage")))
+
+
 def _cells(dom: Column, row: Column, selector: str) -> Column:
     return D.let(D.below(dom, row), lambda own: F.transform(D.select(own, selector), lambda x: D.text_of(own, x)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..operators import jobs
 from ..sources import lists
 from . import views
@@ -280,3 +281,18 @@ def s14_video_ids(spark, sf_dir):
     k = F.concat(F.lit("abcdefgh-"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
     url = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("https://www.youtube.com/watch?t=1&v="), k)).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("https://youtu.be/"), k, F.lit("?x"))).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("https://www.youtube.com/embed/"), k)).otherwise(F.concat(F.lit("https://v.org/"), k))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), lists.video_id(url).alias("video"))
+
+
+#: A page stands for its first reference, which leads to its other ones; a crawl begins where nothing leads.
+_EDGES = """p AS (SELECT list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|mailto:|tel:|javascript:)')) AS h FROM pages),
+e AS (SELECT DISTINCT h[1] AS src, unnest(h) AS dst FROM p), l AS (SELECT src, dst FROM e WHERE src <> dst)"""
+
+
+@query("j14_closure", f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT src AS url FROM l WHERE src NOT IN (SELECT dst FROM l)),
+r(url, depth) AS (SELECT url, 0 FROM s UNION ALL SELECT DISTINCT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.url WHERE r.depth < 5) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+def j14_closure(spark, sf_dir):
+    """Addresses reached in five steps over the references of pages."""
+    refs = table(spark, sf_dir, "pages").select(html.links(F.col("html")).alias("h"))
+    edges = refs.select(F.get("h", F.lit(0)).alias("src"), F.explode("h").alias("dst")).where("src <> dst").distinct()
+    seeds = edges.select(F.col("src").alias("url")).distinct().join(edges.select(F.col("dst").alias("url")).distinct(), "url", "left_anti")
+    return lists.closure(edges, seeds, 5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dom
+from ..functions import dom, html, signatures
 from ..operators import edits, extraction
 from . import views
 from .registry import query
@@ -397,3 +397,28 @@ def s19_profiles(spark, sf_dir):
     """Contacts of profile pages, by selectors of theirs."""
     c = extraction.contact_page(F.col("dom"), F.col("url"), {"name": [".none", "h2"], "location": [".place"]})
     return _filled(spark, sf_dir, ["<h2>B", "</h2><p class=place>Paris</p>"]).select("page_id", c.alias("c")).select("page_id", "c.name", "c.location")
+
+
+_MARK = "['wp-content', 'cdn.shopify.com', 'JQuery', 'lodash', 'bootstrap.css hubspot', 'ghost.io shopify', 'gtag(', 'tailwind.'][page_id % 8 + 1]"
+_SIGNALS = ", ".join(f"('{n}', '{c}', '{s}')" for n, c, signals in html.TECHNOLOGIES for s in signals)
+
+
+@query("j13_signatures", f"SELECT page_id, name, category, signal FROM (SELECT page_id, lower(html || {_MARK}) AS low FROM pages) JOIN (SELECT DISTINCT * FROM (VALUES {_SIGNALS}) AS v(name, category, signal)) ON contains(low, signal)")
+def j13_signatures(spark, sf_dir):
+    """Pages, with marks of systems and libraries put in by their number, joined with the relation of signatures."""
+    mark = F.element_at(F.array(*map(F.lit, ["wp-content", "cdn.shopify.com", "JQuery", "lodash", "bootstrap.css hubspot", "ghost.io shopify", "gtag(", "tailwind."])), (F.col("page_id") % 8 + 1).cast("int"))
+    known = html.signatures(spark).select("name", "category", F.explode("signals").alias("signal"))
+    return signatures.matched(table(spark, sf_dir, "pages"), "page_id", signatures.searched(F.concat("html", mark)), known)
+
+
+_WORDS = ["and", "the", "to"]
+_HAS = " + ".join(f"CAST(list_contains({_HREFS}, '/{w}') AS INT)" for w in _WORDS)
+
+
+@query("h34_auto_fields", f"SELECT page_id, CASE WHEN n < 2 THEN 'ai' ELSE 'css' END AS mode, n / 3.0::DOUBLE AS coverage, CASE WHEN n < 2 THEN t END AS title FROM (SELECT page_id, {_HAS} AS n, {_TITLE} AS t FROM pages)")
+def h34_auto_fields(spark, sf_dir):
+    """References of a page by selectors; where it has less than half of them, its title by a second extractor."""
+    schema = [extraction.Field(w, f"a[href='/{w}']", "href") for w in _WORDS]
+    second = lambda rows: rows.select("page_id", F.map_filter(F.create_map(F.lit("title"), html.title(F.col("html"))), lambda k, v: v.isNotNull()).alias("fields"))
+    out = extraction.extracted(table(spark, sf_dir, "pages"), schema, second)
+    return out.select("page_id", "mode", "coverage", F.col("fields")["title"].alias("title"))

@@ -136,6 +136,24 @@ def crawl(edges: DataFrame, seeds: DataFrame, checkpoint, *, limit: int | None =
     return seen
 
 
+def closure(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(url, depth) reachable from seeds (url) over edges (src, dst) in up to ``depth`` steps, in one plan.
+
+    A recursive common table expression: each level joins the one before it alone,
+    each address of a level once, so cycles go round until the depth ends them.
+    Null addresses lead nowhere. For deep graphs ``crawl`` is the better one, as it
+    takes off what is known and cuts its plan each round.
+    """
+    spark = edges.sparkSession
+    links = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    found = spark.sql(
+        f"""WITH RECURSIVE reached(url, depth) MAX RECURSION LEVEL {depth + 2} AS (
+          SELECT DISTINCT url, 0 FROM {{seeds}} WHERE url IS NOT NULL
+          UNION ALL SELECT DISTINCT l.dst, r.depth + 1 FROM reached r JOIN {{links}} l ON r.url = l.src WHERE r.depth < {depth})
+        SELECT url, depth FROM reached""", seeds=seeds, links=links)
+    return found.groupBy("url").agg(F.min("depth").alias("depth"))
+
+
 def files(spark: SparkSession, path: str, most: int = 10 * 1024 * 1024) -> DataFrame:
     """(url, content_type, content) of downloaded files of up to ``most`` bytes in a folder, the type by the name's end."""
     rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)

@@ -1,15 +1,12 @@
-"""Streams over fetch logs and facts: look-back windows, keyed reputations, upserting sinks."""
+"""Streams over fetch logs and facts: look-back windows, keyed reputations, upserting sinks, changes, alerts."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.records import upsert
+from ..operators import signals
+from ..operators.records import first_by, transitions, upsert
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -38,21 +35,34 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        before = _versions(spark, path, batch_id - 1) if batch_id else {}
-        touched = sorted(r[0] for r in batch.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
-        old = [f"{path}/data/v={before[k]:08d}/_bucket={k}" for k in touched if k in before]
-        if old:
-            batch = spark.read.schema(batch.schema).option("basePath", f"{path}/data").parquet(*old).select(*batch.columns).unionByName(batch)
-        merged = upsert(batch, keys, required=keys[0], order=order)
-        merged.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={batch_id:08d}")
-        now = spark.createDataFrame(sorted({**before, **dict.fromkeys(touched, batch_id)}.items()), "bucket int, version long")
-        now.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/b={batch_id:08d}")
+        _replaced(batch, batch_id, path, keys, buckets, lambda rows: upsert(rows, keys, required=keys[0], order=order))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def _bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def _touched(batch: DataFrame, batch_id: int, path: str) -> tuple[list[int], dict[int, int], DataFrame | None]:
+    """The buckets of a bucketed batch, the versions that count before it, and what these hold of its buckets."""
+    spark = batch.sparkSession
+    before = _versions(spark, path, batch_id - 1) if batch_id else {}
+    touched = sorted(r[0] for r in batch.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
+    old = [f"{path}/data/v={before[k]:08d}/_bucket={k}" for k in touched if k in before]
+    return touched, before, spark.read.schema(batch.schema).option("basePath", f"{path}/data").parquet(*old).select(*batch.columns) if old else None
+
+
+def _replaced(batch: DataFrame, batch_id: int, path: str, keys: list[str], buckets: int, merged) -> None:
+    """Writes anew the buckets that a batch touches, as ``merged`` makes of the rows there and the batch's, and then the versions that count."""
+    batch = _bucketed(batch, keys, buckets)
+    touched, before, old = _touched(batch, batch_id, path)
+    rows = merged(batch if old is None else old.unionByName(batch))
+    rows.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={batch_id:08d}")
+    now = batch.sparkSession.createDataFrame(sorted({**before, **dict.fromkeys(touched, batch_id)}.items()), "bucket int, version long")
+    now.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/b={batch_id:08d}")
+
+
 def _versions(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
     return {r.bucket: r.version for r in spark.read.parquet(f"{path}/versions/b={batch_id:08d}").collect()}
 
@@ -63,32 +73,6 @@ def current(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.read.option("basePath", f"{path}/data").parquet(*files).drop("_bucket", "v")
 
 
-def latency_states(stream: DataFrame, key: str = "domain", ttl: str = "24 hours", late: str = "10 minutes") -> DataFrame:
-    """(key, avg_latency, n, expired) for update mode, of a stream (key, ts, latency_ms): a running average per key, forgotten after ``ttl`` of event time without a row.
-
-    The first latency counts as it is, then whole parts of 0.7 old + 0.3 new, in
-    the order of ``ts`` within a batch. The row that says that a key has expired
-    has null figures. A key's state is two numbers, however many rows it has.
-    """
-    seconds = int(pd.Timedelta(ttl).total_seconds())
-
-    def run(keys, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [keys[0]], "avg_latency": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "expired": [True]})
-            return
-        average, n = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "latency_ms"])
-        for x in rows["latency_ms"]:
-            average, n = int(x) if not average else math.floor(average * 0.7 + int(x) * 0.3), n + 1
-        state.update((average, n))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
-        yield pd.DataFrame({key: [keys[0]], "avg_latency": [average], "n": [n], "expired": [False]})
-
-    known = stream.where(F.col("latency_ms").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late).select(key, "ts", "latency_ms")
-    return known.groupBy(key).applyInPandasWithState(run, f"{key} string, avg_latency long, n long, expired boolean", "average long, n long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def first_seen(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Rows whose keys no earlier row within ``late`` had; state older than that goes."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
@@ -105,47 +89,73 @@ def micro_batches(stream: DataFrame, checkpoint: str, step, every: str | None =
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger)
 
 
-def rate_states(stream: DataFrame, key: str = "domain", default: float = 1.0, most: float = 30.0, ttl: str = "24 hours", late: str = "10 minutes") -> DataFrame:
-    """(key, delay, expired) for update mode, of a stream (key, ts, status): 429 and 503 double a key's delay up to a bound, 200 lets it decay by a tenth.
+def change_step(path: str, key: str, value: str, order: str, buckets: int = 64):
+    """A step (batch, number) that writes a batch's changes of a value, (key, order, old, value), to ``path``/changes.
 
-    State is one number a key and goes after ``ttl`` of event time without a row.
+    A row is a change where its value differs from the key's row before it, by
+    ``order``, in this batch or in an earlier one; null is a value of its own, and
+    before a key's first row stands null. The last row of each key is a table of
+    buckets, of which a batch reads and writes those that it touches. A batch that
+    is run again writes the same again. Rows must not come in a later batch than
+    rows after them; a null key is a key.
     """
-    seconds = int(pd.Timedelta(ttl).total_seconds())
 
-    def run(keys, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [keys[0]], "delay": [float("nan")], "expired": [True]})
-            return
-        delay = state.get[0] if state.exists else default
-        rows = pd.concat(list(batches)).sort_values(["ts", "status"])
-        for status in rows["status"]:
-            if status in (429, 503):
-                delay = min(delay * 2, most)
-            elif status == 200:
-                delay = max(delay * 0.9, default)
-        state.update((delay,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
-        yield pd.DataFrame({key: [keys[0]], "delay": [delay], "expired": [False]})
-
-    known = stream.where(F.col("status").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late).select(key, "ts", "status")
-    return known.groupBy(key).applyInPandasWithState(run, f"{key} string, delay double, expired boolean", "delay double", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def liveness(stream: DataFrame, key: str = "job_id", silence: str = "10 minutes", late: str = "1 minute") -> DataFrame:
-    """(key, beats, stale) for update mode, of a stream of heartbeats (key, ts): a key is stale once ``silence`` of event time has passed without one."""
-    ms = int(pd.Timedelta(silence).total_seconds() * 1000)
-
-    def run(keys, batches, state):
-        beats = state.get[0] if state.exists else 0
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [keys[0]], "beats": [beats], "stale": [True]})
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(order).alias("_o"), F.lit(True).alias("_new"))
+        bucketed = _bucketed(rows, ["_k"], buckets)
+        _, _, old = _touched(bucketed, number, f"{path}/last")
+        known = bucketed if old is None else old.withColumn("_new", F.lit(False)).unionByName(bucketed)
+        changed = transitions(known, "_k", "_v", "_o", "_new").where("_new")
+        changed.select(F.col("_k").alias(key), F.col("_o").alias(order), "old", F.col("_v").alias(value)).write.mode("overwrite").parquet(f"{path}/changes/b={number:08d}")
+        _replaced(rows, number, f"{path}/last", ["_k"], buckets, lambda both: first_by(both, ["_k"], F.col("_o").desc(), F.col("_new").desc()))
+
+    return step
+
+
+def change_feed(stream: DataFrame, path: str, checkpoint: str, key: str, value: str, order: str, every: str | None = None):
+    """A query that writes the changes of a value (see ``change_step``); ``changes`` reads them."""
+    return micro_batches(stream, checkpoint, change_step(path, key, value, order), every)
+
+
+def changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/changes").drop("b")
+
+
+def alert_step(rules: DataFrame, path: str, window: str = "hour", days: int = 7):
+    """A step (batch, number) that evaluates signals over the facts so far and writes alerts: (signal_id, window_start, kind, match_count, trigger), each signal once a window.
+
+    The time of evaluation is that of the newest fact so far, so a batch that is
+    run again finds the same facts, the same time and the same alerts, and writes
+    them over its own. Alerts of earlier batches of the same window stand. Facts lie
+    by the day of their ``scraped_at``; a batch reads those of the look-back alone.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("day", F.to_date("scraped_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/facts/b={number:08d}")
+        facts = spark.read.schema(batch.withColumn("day", F.to_date("scraped_at")).withColumn("b", F.lit(0)).schema).option("basePath", f"{path}/facts").parquet(*[f"{path}/facts/b={n:08d}" for n in range(number + 1)])
+        as_of = facts.agg(F.max("scraped_at")).first()[0]
+        schema = "signal_id int, kind string, match_count long, trigger string, window_start timestamp"
+        if as_of is None:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/alerts/b={number:08d}")
             return
-        rows = pd.concat(list(batches))
-        state.update((beats + len(rows),))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms)
-        yield pd.DataFrame({key: [keys[0]], "beats": [beats + len(rows)], "stale": [False]})
+        at = F.lit(as_of).cast(batch.schema["scraped_at"].dataType)
+        # a fact of just this time counts, as in an evaluation a moment later
+        recent = facts.where(F.col("day") >= F.date_sub(F.to_date(at), days + 1))
+        found = signals.evaluate(rules, recent, at + F.expr("INTERVAL 1 MICROSECOND"))
+        found = found.select(F.col("signal_id").cast("int").alias("signal_id"), "kind", F.col("match_count").cast("long").alias("match_count"), "trigger", F.date_trunc(window, at).cast("timestamp").alias("window_start"))
+        if number:
+            earlier = spark.read.schema(schema).parquet(*[f"{path}/alerts/b={n:08d}" for n in range(number)])
+            found = found.join(earlier.select("signal_id", "window_start"), ["signal_id", "window_start"], "left_anti")
+        found.write.mode("overwrite").parquet(f"{path}/alerts/b={number:08d}")
+
+    return step
+
+
+def alert_feed(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str, every: str | None = None, **options):
+    """A query that evaluates signals with each batch of facts (see ``alert_step``); ``alerts`` reads what has fired."""
+    return micro_batches(stream, checkpoint, alert_step(rules, path, **options), every)
+
 
-    known = stream.where(F.col("ts").isNotNull()).withWatermark("ts", late).select(F.col(key).cast("string").alias(key), "ts")
-    return known.groupBy(key).applyInPandasWithState(run, f"{key} string, beats long, stale boolean", "beats long", "update", GroupStateTimeout.EventTimeTimeout)
+def alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/alerts").drop("b")
