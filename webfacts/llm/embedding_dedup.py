@@ -31,7 +31,7 @@ SALTS = 64
 
 
 def vectors(df: DataFrame) -> DataFrame:
-    """Of (vec_id, label, embedding): vec_id, label, dim, key, vec (float64 bytes); key and vec null where a vector cannot link."""
+    """Of (vec_id, label, embedding): vec_id, label, dim, key, vec (float64 bytes, the largest component from a half to one); key and vec null where a vector cannot link."""
 
     def run(batches):
         for batch in batches:
@@ -41,12 +41,15 @@ def vectors(df: DataFrame) -> DataFrame:
                 if label is not None and x.is_valid and x.values.null_count == 0 and len(x.values):
                     v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
                     v = v if np.isfinite(v).all() and np.any(v) else None
-                vecs.append(None if v is None else v.tobytes())
+                # times a power of two, which changes no angle, so that no square is too large or too small for a double
+                vecs.append(None if v is None else np.ldexp(v, -np.frexp(np.abs(v).max())[1]).tobytes())
                 dims.append(0 if v is None else len(v))
                 keys.append(None if v is None else hashlib.blake2b((v + 0.0).tobytes(), digest_size=16, person=str(label).encode()[:16]).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "label", "dim", "key", "vec"])
 
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    whole = dict(df.dtypes)["label"] in ("tinyint", "smallint", "int", "bigint")
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string")))
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(run, "vec_id long, label long, dim int, key binary, vec binary")
 
 
@@ -170,7 +173,9 @@ def near_vectors(df: DataFrame, *, cosine: float = 0.93, recall: float = 0.98, s
 
     Rows of one label and dimension are linked at a cosine of ``cosine`` or
     more. Null, empty and zero vectors, those with null or non-finite
-    components and those without a label link with nothing. Equal vectors of a
+    components and those without a label link with nothing; others may be as long
+    or as short as doubles can be. Labels that are no whole numbers count by a hash
+    of 64 bits of their text. Equal vectors of a
     label are one vertex that counts as often as it occurs. Rows of one vec_id
     are one vertex too. Rotations are learned on at most ``sample_rows``
     vectors, taken by a hash of vec_id; all vectors are indexed. An empty table
