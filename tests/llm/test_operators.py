@@ -57,7 +57,7 @@ def test_near_duplicates_split_nodes(spark):
             w[(i * 13 + k * 31) % 120] = f"w{i}x{k}"
         family.append((i, " ".join(w)))
     want = brute.near_duplicates(family)
-    for levels, block in ((1, 256), (3, 8)):  # whole clusters, and clusters in blocks
+    for levels, block in ((1, 256), (1, 8), (3, 8)):  # whole clusters, clusters in blocks, and at the last level
         out = near_duplicates(spark.createDataFrame(family, "doc_id long, text string"), leaf=8, levels=levels, block=block).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
         assert sum(r.stays for r in out) == sum(r.kept for r in out) == len({c for _, c in want.values()})

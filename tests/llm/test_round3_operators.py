@@ -273,3 +273,42 @@ def test_repair_in_many_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == plain_conversations(rows)
+
+
+def plain_spans(found):
+    """Of (template, start, end, matched, coverage): those that stay, best first."""
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[3], -x[4], x[0], x[1], x[2])):
+        if not any(y[0] != x[0] and y[1] < x[2] and x[1] < y[2] for y in kept):
+            kept.append(x)
+    return kept
+
+
+def test_license_spans_are_settled_best_first(spark):
+    """A span that is dropped drops no other one."""
+    from webfacts.llm.license_scan import scan
+
+    w = [f"w{chr(97 + i)}" for i in range(26)]
+    texts = {"aa": " ".join(w[0:10]), "bb": " ".join(w[6:15]), "cc": " ".join(w[12:20])}
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[6:20])), (3, " ".join(w[12:]))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan(df, texts).collect()}
+    assert got == {1: "aa,cc", 2: "bb", 3: "cc"}
+
+
+def test_license_spans_of_many_templates(spark):
+    from webfacts.llm.license_scan import scan
+
+    rng = random.Random(2)
+    w = [f"x{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(26)]
+    texts = {f"t{k:02d}": " ".join(w[a : a + n]) for k in range(30) for a, n in [(rng.randint(0, 140), rng.randint(4, 16))]}
+    got = {(x.template, x.start_word, x.end_word, x.matched) for r in scan(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string"), texts).collect() for x in r.spans}
+    runs = []
+    for name, t in texts.items():
+        own = t.split()
+        for end in range(len(own), 2, -1):  # at the text's end a template may be cut
+            at = next((i for i in range(len(w)) if w[i : i + end] == own[:end]), None)
+            if at is not None:
+                if end / len(own) >= 0.7:
+                    runs.append((name, at, at + end, end, end / len(own)))
+                break
+    assert got == {x[:4] for x in plain_spans(runs)} and 3 < len(got) < 30

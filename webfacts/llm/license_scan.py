@@ -5,8 +5,8 @@ their positions there. A hit at word i of a text and word j of a template votes
 for the diagonal i - j; an insertion or deletion moves a passage to a
 neighbouring diagonal, so diagonals that lie close together are merged. A merged
 run is a span if the hits, compared word by word and not by hash alone, cover
-enough of the template's words, and if no span of another template that fits
-better lies over it.
+enough of the template's words, and if no span of another template that stays
+lies over it.
 """
 
 from __future__ import annotations
@@ -81,9 +81,9 @@ def spans(rows: DataFrame, wanted: DataFrame, *, k: int = 3, slack: int = 3, cov
     """License passages of (row, hits): row, template, start_word, end_word, matched, coverage; ``wanted`` are ``templates``.
 
     Hits of one template on diagonals at most ``slack`` apart make a run; it counts if the different
-    template words under its hits are at least ``coverage`` of the template's. Of runs of different
-    templates that share words of the text, the one of more matched words stays, then of the higher
-    coverage, then of the first name.
+    template words under its hits are at least ``coverage`` of the template's. Runs are settled best
+    first, by matched words, then coverage, then the first name and place: one stays unless it shares
+    words of the text with one of another template that stays.
     """
     hits = rows.select("row", F.explode("hits").alias("g")).select("row", "g.at", "g.gram", "g.own")
     # the words themselves confirm a hit, so that no two grams that share a hash are taken for one
@@ -106,11 +106,12 @@ def spans(rows: DataFrame, wanted: DataFrame, *, k: int = 3, slack: int = 3, cov
     chains = runs.withColumn("apart", apart.cast("int")).withColumn("chain", F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     chains = chains.groupBy("row", "chain").agg(F.collect_list(F.struct("template", "start_word", "end_word", "matched", "coverage")).alias("s"))
 
-    def beaten(x: Column) -> Column:
-        better = lambda y: (y["matched"] > x["matched"]) | ((y["matched"] == x["matched"]) & ((y["coverage"] > x["coverage"]) | ((y["coverage"] == x["coverage"]) & (y["template"] < x["template"]))))
-        return F.exists("s", lambda y: (y["template"] != x["template"]) & (y["start_word"] < x["end_word"]) & (x["start_word"] < y["end_word"]) & better(y))
-
-    return chains.select("row", F.explode(F.filter("s", lambda x: ~beaten(x))).alias("x")).select("row", "x.*")
+    # best first; what stays drops rivals that share words with it, and what is dropped drops none
+    ranked = F.array_sort(F.transform("s", lambda x: F.struct((-x["matched"]).alias("m"), (-x["coverage"]).alias("c"), x["template"].alias("t"), x["start_word"].alias("a"), x["end_word"].alias("z"), x.alias("x"))))
+    none = F.filter("s", lambda x: F.lit(False))
+    rival = lambda kept, x: F.exists(kept, lambda y: (y["template"] != x["template"]) & (y["start_word"] < x["end_word"]) & (x["start_word"] < y["end_word"]))
+    kept = F.aggregate(ranked, none, lambda kept, r: F.when(rival(kept, r["x"]), kept).otherwise(F.concat(kept, F.array(r["x"]))))
+    return chains.select("row", F.explode(kept).alias("x")).select("row", "x.*")
 
 
 def _stands(words: Column, parts: list[str]):

@@ -31,7 +31,7 @@ def _op2_sql() -> str:
     labels = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{x}' END" for n, x in enumerate(PHRASES.values()))
     own = f"list_sort(list_distinct(list_filter([{labels}], lambda x: x IS NOT NULL)))"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
 b AS (SELECT r, doc_id, len(w) AS n_words, {places} FROM d),
 t AS (SELECT name, {words("x")} AS w FROM (VALUES {given}) AS v(name, x)),
 tg AS (SELECT name, len(w) AS n, j, w[j + 1] || ' ' || w[j + 2] || ' ' || w[j + 3] AS gram FROM (SELECT name, w, unnest(range(0, len(w) - 2)) AS j FROM t)),
@@ -41,8 +41,11 @@ f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, name OR
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY r, name ORDER BY diagonal) AS run FROM f),
 s AS (SELECT r, name, min(a) AS a, max(z) + 3 AS z, len(list_distinct(flatten(list(flatten(list_transform(under, lambda j: [j, j + 1, j + 2])))))) AS m, n FROM g GROUP BY r, name, n, run),
 k AS (SELECT r, name, a, z, m, m::DOUBLE / n AS c FROM s WHERE m::DOUBLE / n >= 0.7),
-e AS (SELECT r, max(c) AS best, list(DISTINCT name) AS more FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.r = x.r AND y.name <> x.name AND y.a < x.z AND x.a < y.z
-  AND (y.m > x.m OR y.m = x.m AND (y.c > x.c OR y.c = x.c AND y.name < x.name))) GROUP BY r)
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY m DESC, c DESC, name, a, z) AS n FROM k),
+q(r, n, kept) AS (SELECT DISTINCT r, 0::BIGINT, []::STRUCT(name VARCHAR, a BIGINT, z BIGINT, c DOUBLE)[] FROM o UNION ALL SELECT q.r, q.n + 1,
+  CASE WHEN len(list_filter(q.kept, lambda y: y.name <> o.name AND y.a < o.z AND o.a < y.z)) > 0 THEN q.kept ELSE list_append(q.kept, {{'name': o.name, 'a': o.a::BIGINT, 'z': o.z::BIGINT, 'c': o.c}}) END
+  FROM q JOIN o ON o.r = q.r AND o.n = q.n + 1),
+e AS (SELECT r, list_max(list_transform(kept, lambda y: y.c)) AS best, list_distinct(list_transform(kept, lambda y: y.name)) AS more FROM q JOIN (SELECT r, max(n) AS n FROM o GROUP BY r) USING (r, n))
 SELECT doc_id, n_words, len({both}) AS n_base, list_min({both}) AS first_word, list_max({both}) AS last_word, array_to_string({own}, ',') AS base_labels,
 array_to_string(list_sort(list_distinct({own} || coalesce(more, []))), ',') AS labels, CASE WHEN len({both}) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
 FROM b LEFT JOIN e USING (r)"""
