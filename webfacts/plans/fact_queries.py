@@ -94,11 +94,11 @@ def k01_upsert(spark, sf_dir):
 
 
 _RECORD = """'{"id":"' || id || '","domain":"' || domain || '","data_type":"' || data_type || '","url":' || coalesce('"' || url || '"', 'null') || ',"title":null,"published_date":null,"scraped_at":"' || stamp || '","metadata":' || metadata || '}'"""
-_STAMPED = _F + ", g AS (SELECT *, regexp_replace(strftime(scraped_at, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') AS stamp, user_id AS owner FROM f WHERE user_id < 40) "
+_STAMPED = _F + ", g AS (SELECT *, regexp_replace(strftime(scraped_at, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') AS stamp, user_id AS owner FROM f) "
 
 
 def _owned(spark, sf_dir):
-    return facts(spark, sf_dir).where("user_id < 40").withColumn("job_id", F.col("user_id")).withColumn("scraped_at", F.regexp_replace(F.col("scraped_at").cast("string"), r"\.?0+$", ""))
+    return facts(spark, sf_dir).withColumn("job_id", F.col("user_id")).withColumn("scraped_at", F.regexp_replace(F.col("scraped_at").cast("string"), r"\.?0+$", ""))
 
 
 @query("k07_envelopes", _STAMPED + """SELECT owner AS job_id, count(*) AS records, domain_ || '_' || owner || '.json' AS file_name,

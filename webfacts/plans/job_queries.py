@@ -196,7 +196,7 @@ def s12_ingested(spark, sf_dir):
 def s22_seeded(spark, sf_dir):
     """Rows that are put in unless their key is there."""
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("domain"), F.col("n_nationkey").alias("seed"))
-    new = rows.limit(3).select("domain", F.lit(99).alias("seed")).unionByName(spark.createDataFrame([("new.example.org", 1), ("other.example.org", 2)], "domain string, seed int"))
+    new = rows.select("domain", F.lit(99).alias("seed")).unionByName(spark.createDataFrame([("new.example.org", 1), ("other.example.org", 2)], "domain string, seed int"))
     return jobs.seeded(rows, new, "domain")
 
 
