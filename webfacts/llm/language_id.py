@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .store import Scratch
-from .text import blocks, texts_of
+from .text import blocks, kept, texts_of
 
 _SPACE = 32
 #: Labelled rows of a language are counted by so many ranges of a hash, so that its first rows are found without sorting all of them.
@@ -259,17 +260,18 @@ def identify(docs: DataFrame, *, folds: int = 3, held_out: int = 1, **options) -
     limit are ``rejected``. ``lang_score`` is the share of the best language
     among all when each counts 2 ** -(bits * min(characters, 64)). Ties go to
     the first language by name. Texts of any length are scored whole. Repeated rows come back each; input columns of
-    the same names as the new ones are replaced; an empty table stays empty.
+    the same names as the new ones, in any case, are replaced; an empty table stays empty.
     """
     model = train(docs, folds=folds, held_out=held_out, **options)
     held = fold(F.col("doc_id"), folds) == held_out
     names = ["lang_pred", "lang_score", "bits", "rejected"]
-    kept = [c for c in docs.columns if c not in [*names, "held_out"]]
+    own = kept(docs, *names, "held_out")
     if model is None:
-        return docs.select(*kept, held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(None).cast("double").alias("bits"), F.lit(True).alias("rejected"))
+        return docs.select(*own, held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(None).cast("double").alias("bits"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the grams of a bounded sample of each language
-    rows = docs.select(*kept, held.alias("held_out"))
-    text_at = rows.columns.index("text")
+    rows = docs.select(*own, held.alias("held_out"))
+    text_at, given = rows.columns.index("text"), rows.schema
+    rows = rows.toDF(*map(str, range(len(given))))  # names that need no quoting, for the Arrow stage
 
     def run(batches):
         model = shared.value
@@ -285,7 +287,7 @@ def identify(docs: DataFrame, *, folds: int = 3, held_out: int = 1, **options) -
                 best[~ok] = len(model.langs)
                 share[~ok] = 0
                 new = [pa.array(names_of[best], pa.string()), pa.array(share), pa.array(low, mask=~ok), pa.array(far | ~ok)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], [*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], [*given.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, bits double, rejected boolean")
+    schema = StructType([*given.fields, *StructType.fromDDL("lang_pred string, lang_score double, bits double, rejected boolean").fields])
+    return rows.mapInArrow(run, schema)

@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .language_id import fold
-from .text import blocks, span_hashes, texts_of, words_of
+from .store import Scratch
+from .text import blocks, kept, span_hashes, texts_of, words_of
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
@@ -66,14 +68,18 @@ def _sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int, epochs: int,
     return vectors @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 3000, folds: int = 4, held_out: int = 2, dim: int = 8, epochs: int = 5, rate: float = 0.2, seed: int = 11) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 3000, sample_features: int = 20_000_000, folds: int = 4, held_out: int = 2, dim: int = 8, epochs: int = 5, rate: float = 0.2, seed: int = 11) -> tuple[np.ndarray, float] | None:
     """Bucket weights and bias from at most ``sample_docs`` labelled documents outside the held-out fold, taken by a hash of doc_id.
 
-    Of a doc_id with several labels the smallest counts. None without labels.
+    Of a doc_id with several labels the smallest counts, and of several texts the
+    one of the least hash. What comes to the driver are a document's different
+    buckets and their shares, 8 bytes each and ``sample_features`` of them at most:
+    documents beyond that, by the same hash, are not learned from. None without labels.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     marks = marks.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "text")  # bounded by sample_docs
+    sample = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("x"))
+    sample = sample.select("doc_id", "x.quality", "x.text")
 
     def run(batches):
         for batch in batches:
@@ -81,11 +87,19 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 3000, folds:
                 parts = [x for x, _ in _buckets([text])]
                 at, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, 1), batch.column(1).slice(i, 1),
+                    batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([len(at)], pa.int64()),
                     pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([(n / max(1, n.sum())).astype(np.float32).tobytes()], pa.binary())],
-                    ["doc_id", "quality", "at", "share"])
-
-    rows = sample.mapInArrow(run, "doc_id long, quality int, at binary, share binary").collect()
+                    ["doc_id", "quality", "n", "at", "share"])
+
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.cut(sample.mapInArrow(run, "doc_id long, quality int, n long, at binary, share binary"), sample_docs).withColumn("place", F.xxhash64("doc_id"))
+        last = total = 0
+        for r in found.select("place", "n").orderBy("place", "doc_id").collect():  # sample_docs numbers
+            if total and total + r.n > sample_features:
+                found = found.where(F.col("place") <= last)
+                break
+            last, total = r.place, total + r.n
+        rows = found.select("doc_id", "quality", "at", "share").collect()
     rows = sorted(((r.doc_id, np.frombuffer(r.at, np.int32), np.frombuffer(r.share, np.float32), int(r.quality == 1)) for r in rows if len(r.at)), key=lambda r: (r[0], r[3], len(r[1])))
     if not rows:
         return None
@@ -98,13 +112,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: in
     ``score`` is the softmax's share of label 1, from the bias alone for null
     and empty texts, 0.5 if nothing is labelled; ``predicted`` is 1 from
     ``least`` on. Texts of any length are scored whole. Repeated rows come back each; input columns of the same names
-    as the new ones are replaced; an empty table stays empty.
+    as the new ones, in any case, are replaced; an empty table stays empty.
     """
     model = train(docs, labels, folds=folds, held_out=held_out, **options)
     weights, bias = model if model is not None else (np.zeros(BUCKETS, dtype=np.float32), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS numbers
-    rows = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], (fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
-    text_at = rows.columns.index("text")
+    rows = docs.select(*kept(docs, "held_out", "score", "predicted"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
+    text_at, given = rows.columns.index("text"), rows.schema
+    rows = rows.toDF(*map(str, range(len(given))))  # names that need no quoting, for the Arrow stage
 
     def run(batches):
         weights = shared.value
@@ -118,7 +133,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: in
                     n += np.diff(first)
                 score = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -50, 50)))
                 new = [pa.array(score), pa.array((score >= least).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], [*batch.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], [*given.names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(run, StructType([*given.fields, *StructType.fromDDL("score double, predicted int").fields]))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -127,3 +129,8 @@ def ngram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarr
         own = words[first[d] : first[d + 1]]
         out[at[d]] = np.uint64(len(own)) + (own * POWERS[1 : len(own) + 1]).sum(dtype=np.uint64)
     return mix(out), at
+
+
+def kept(df: DataFrame, *new: str) -> list[Column]:
+    """The columns of a table but those that new ones replace, whatever their case and the signs in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in new]
