@@ -11,6 +11,7 @@ from webfacts.llm.mixing import mix, targets
 from webfacts.llm.packing import pack
 from webfacts.llm.quality_classifier import classify
 from webfacts.llm.store import Scratch
+from webfacts.llm.text import kept
 
 #: No SQL expresses the trained models of the first two stages.
 ORACLE_SQL = None
@@ -21,13 +22,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows fare alike, and a text of any length is judged whole.
     """
-    return identify(docs).where("not rejected").select(*docs.columns)
+    return identify(docs).where("not rejected").select(*kept(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; blank ones have the score of no words at all, and repeated rows fare alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    return classify(docs, labels).where("predicted = 1").select(*kept(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,8 @@ def with_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
     stays = stays.distinct().withColumnRenamed("_id", "_d").withColumnRenamed("_mark", "_m")
     stays = stays.join(times, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))).select("_id", "_mark", "_again").hint("merge")
     both = marked.join(stays, own.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
-    once = both.where("not _again").select(*docs.columns)
-    again = both.where("_again").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    once = both.where("not _again").select(*kept(docs))
+    again = both.where("_again").dropDuplicates(["_id", "_mark"]).select(*kept(docs))
     return once.unionByName(again)
 
 
@@ -61,7 +62,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaf gives its documents in a seeded order until its budget is reached;
     repeated rows go together.
     """
-    return mix(docs, share=0.8, weights=targets(spark)).select(*docs.columns)
+    return mix(docs, share=0.8, weights=targets(spark)).select(*kept(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
