@@ -99,8 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 3000, sample
                 found = found.where(F.col("place") <= last)
                 break
             last, total = r.place, total + r.n
-        rows = found.select("doc_id", "quality", "at", "share").collect()
-    rows = sorted(((r.doc_id, np.frombuffer(r.at, np.int32), np.frombuffer(r.share, np.float32), int(r.quality == 1)) for r in rows if len(r.at)), key=lambda r: (r[0], r[3], len(r[1])))
+        table = found.where("n > 0").select("doc_id", "quality", "at", "share").toArrow()
+    cells = zip(*(table.column(c) for c in ("doc_id", "quality", "at", "share")))  # views of the table, no copies
+    rows = sorted(((d.as_py(), np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32), int(q.as_py() == 1)) for d, q, a, w in cells), key=lambda r: (r[0], r[3], len(r[1])))
     if not rows:
         return None
     return _sgd([r[1:] for r in rows], dim, epochs, rate, seed)
