@@ -7,7 +7,8 @@ other, bins with pieces that are then double are dissolved, and displaced pieces
 are put back best-fit by descending length. Between two spells the islands of a
 block exchange their elites round a ring, through a written table; at last the
 block takes the best packing of its islands. Between rounds, full bins are final
-and the pieces of the others go to new blocks; the last round keeps every bin.
+and the pieces of the others go to new blocks; after some rounds, all bins over
+half are final, and the few pieces of the others go on until they are one block.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import random
 import zlib
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -121,36 +123,92 @@ def best_fit(length: list[int], capacity: int, order: list[int] | None = None, w
     return b.bins
 
 
+def least_bins(length: list[int], capacity: int) -> int:
+    """A number that no packing goes below: pieces over half a bin each need their own, and small ones what room is left.
+
+    For every t, pieces over capacity - t leave no room for those of t or more.
+    """
+    x = np.sort(np.asarray(length, dtype=np.int64))
+    before = np.concatenate([[0], np.cumsum(x)])
+    t = np.concatenate([[0], np.unique(x[2 * x <= capacity])])
+    half, top, small = np.searchsorted(x, capacity // 2, "right"), np.searchsorted(x, capacity - t, "right"), np.searchsorted(x, t)
+    top = np.maximum(top, half)  # pieces from ``half`` to ``top`` share their bins with small ones
+    room = (top - half) * capacity - (before[top] - before[half])
+    return int(np.max(len(x) - half + np.maximum(0, -(-(before[half] - before[np.minimum(small, half)] - room) // capacity))))
+
+
+def _fuller(bins: list[list[int]], loose: list[int], length: list[int], capacity: int) -> list[int]:
+    """Exchanges pieces of bins with longer loose ones that still fit, the closest fit first; what is loose then.
+
+    Each exchange makes a bin fuller and the loose pieces shorter, so it ends.
+    """
+    short = [(k, capacity - sum([length[i] for i in x])) for k, x in enumerate(bins)]
+    home = np.array([k for k, left in short if left for _ in bins[k]], dtype=np.int64)
+    item = np.array([i for k, left in short if left for i in bins[k]], dtype=np.int64)
+    size = np.array([length[i] for i in item], dtype=np.int64)
+    room = np.array([left for k, left in short if left for _ in bins[k]], dtype=np.int64)
+    queue, out = sorted(loose, key=lambda i: length[i]), []
+    while queue:
+        i = queue.pop()
+        gain = length[i] - size
+        at = np.flatnonzero((gain > 0) & (gain <= room))
+        if not len(at):
+            out.append(i)
+            continue
+        left = room[at] - gain[at]
+        k = at[np.lexsort((-gain[at], left))[0]]
+        given = int(item[k])
+        own = bins[home[k]]
+        own[own.index(given)] = i
+        room[home == home[k]] -= gain[k]
+        item[k], size[k] = i, length[i]
+        insort(queue, given, key=lambda i: length[i])
+    return out
+
+
 def cross(a: list[list[int]], b: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """The second parent with whole well-filled bins of the first; what is then double or displaced is put back best-fit."""
+    """The second parent with whole well-filled bins of the first; what is then double or displaced is put back best-fit.
+
+    Some of the emptiest bins are dissolved too. Before they are put back,
+    displaced pieces are exchanged with shorter ones where that fills a bin.
+    """
     fill = lambda x: sum([length[i] for i in x])
     full = [x for x in a if fill(x) >= 0.99 * capacity] or sorted(a, key=fill, reverse=True)[: max(1, len(a) // 4)]
-    given = rng.sample(full, max(1, rng.randint(len(full) // 2, len(full))))
+    given = rng.sample(full, rng.randint(1, max(1, len(full) // 2)))
     inside = {i for x in given for i in x}
-    stay, loose = list(given), []
+    stay, loose = [list(x) for x in given], []
     for x in b:
-        if inside.isdisjoint(x) and fill(x) >= 0.99 * capacity:
-            stay.append(x)
+        if inside.isdisjoint(x):
+            stay.append(list(x))
         else:
             loose += [i for i in x if i not in inside]
+    stay.sort(key=fill)
+    for x in stay[: (gone := rng.randint(1, 4))]:
+        loose += x
+    stay = stay[gone:]
     rng.shuffle(loose)
+    loose = _fuller(stay, loose, length, capacity)
     if rng.random() < 0.5:
         return best_fit(length, capacity, loose, stay)
     out = _Bins(capacity)  # displaced pieces in another order
     for x in stay:
-        out.add(list(x), fill(x))
+        out.add(x, fill(x))
+    rng.shuffle(loose)
     for i in loose:
         out.put([i], length)
     return out.bins
 
 
-def evolve(length: list[int], capacity: int, *, elites: list[list[list[int]]] = (), population: int = 4, generations: int = 3, seed: int = 0) -> list[list[int]]:
-    """The best packing of a population that starts with ``elites``, or else with best fit by descending length, and best fit in random orders."""
+def evolve(length: list[int], capacity: int, *, elites: list[list[list[int]]] = (), population: int = 6, generations: int = 6, seed: int = 0) -> list[list[int]]:
+    """The best packing of a population that starts with ``elites``, or else with best fit by descending length, and best fit in random orders.
+
+    It ends where a packing has no more bins than the lengths admit (``least_bins``).
+    """
     rng = random.Random(seed)
     valued = lambda bins: (worth(bins, length, capacity), bins)
     pop = [valued(x) for x in elites] or [valued(best_fit(length, capacity))]
-    least = -(-sum(length) // capacity)  # no packing has fewer bins
-    while len(pop) < (3 if elites else population) and min(x[0][0] for x in pop) > least:
+    least = least_bins(length, capacity)
+    while len(pop) < population and min(x[0][0] for x in pop) > least:
         pop.append(valued(best_fit(length, capacity, rng.sample(range(len(length)), len(length)))))
     for _ in range(generations):
         pop.sort(key=lambda x: x[0])
@@ -219,11 +277,12 @@ def _blocks(items: DataFrame, scratch: Scratch, capacity: int, blocks: int, turn
     return state.select("item", "length", (F.lit(turn << 56) + F.col("block") * (1 << 20) + F.col("bin")).alias("bin"), F.sum("length").over(own).alias("used"), F.coalesce(before, F.lit(0)).alias("place"))
 
 
-def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2, capacity: int = 1024, island_rows: int = 4000, rounds: int = 3, islands: int = 2, spells: int = 2, **options) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2, capacity: int = 1024, island_rows: int = 4000, rounds: int = 3, islands: int = 3, spells: int = 2, **options) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A block has some ``island_rows`` pieces and is packed by ``islands`` islands
-    in ``spells`` spells; further options are those of ``evolve``.
+    in ``spells`` spells; for ``rounds`` rounds only full bins settle, then those
+    over half. Further options are those of ``evolve``.
     A document is its ids and ``end``; a null or empty text is ``end`` alone.
     Only documents of more than ``capacity`` ids are cut. Repeated rows are
     packed each; further columns are ignored; an empty table gives an empty
@@ -234,14 +293,19 @@ def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", end: int = 2
         rows = scratch.cut(pieces(rows, vocabulary=vocabulary, end=end, capacity=capacity))
         rows = scratch.cut(rows.withColumn("item", F.monotonically_increasing_id()))
         left, done = rows.where(F.col("length") < capacity).select("item", "length"), []
-        for turn in range(1, rounds + 1):
+        turn = 0
+        while True:
+            turn += 1
             n = left.count() if turn > 1 else scratch.rows(rows)
-            packed = scratch.cut(_blocks(left, scratch, capacity, max(1, -(-n // island_rows)), turn, islands, spells, options), n)
-            if turn == rounds or n <= island_rows:
+            # light bins hold fewer pieces than ``capacity``, so their number shrinks while blocks are larger
+            block = island_rows if turn < rounds else max(island_rows, 2 * capacity)
+            packed = scratch.cut(_blocks(left, scratch, capacity, max(1, -(-n // block)), turn, islands, spells, options), n)
+            if n <= block:
                 done.append(packed)
                 break
-            done.append(packed.where(F.col("used") == capacity))
-            left = packed.where(F.col("used") < capacity).select("item", "length")
+            settled = F.col("used") == capacity if turn < rounds else 2 * F.col("used") > capacity
+            done.append(packed.where(settled))
+            left = packed.where(~settled).select("item", "length")
         placed = done[0]
         for x in done[1:]:
             placed = placed.union(x)
