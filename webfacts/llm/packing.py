@@ -77,50 +77,52 @@ def pieces(docs: DataFrame, *, vocabulary: str, end: int, capacity: int) -> Data
 class _Bins:
     """A packing in the making: bins by their free space, for best fit in constant time."""
 
-    def __init__(self, capacity: int):
-        self.capacity, self.bins, self.free, self.open, self.mask = capacity, [], [], [[] for _ in range(capacity + 1)], 0
-
-    def add(self, items: list[int], used: int) -> None:
-        self._list(len(self.bins), left := self.capacity - used)
-        self.bins.append(items)
-        self.free.append(left)
-
-    def _list(self, k: int, left: int) -> None:
-        self.open[left].append(k)
-        self.mask |= 1 << left
-
-    def put(self, items: list[int], length: list[int]) -> None:
-        """Best fit by descending length."""
-        for i in sorted(items, key=lambda i: (-length[i], i)):
-            fit = self.mask >> length[i]
-            if not fit:
-                self.add([i], length[i])
-                continue
-            left = length[i] + (fit & -fit).bit_length() - 1
-            k = self.open[left].pop()
-            if not self.open[left]:
-                self.mask ^= 1 << left
-            self.bins[k].append(i)
-            self.free[k] = left - length[i]
-            self._list(k, self.free[k])
-
-
-def worth(bins: list[list[int]], length: list[int], capacity: int) -> tuple[int, float]:
-    """Less is better: the number of bins, then how evenly they are filled."""
-    return len(bins), -sum([(sum([length[i] for i in x]) / capacity) ** 2 for x in bins])
-
-
-def best_fit(length: list[int], capacity: int, order: list[int] | None = None, whole: list[list[int]] | None = None) -> list[list[int]]:
-    """Bins of item numbers, best-fit by descending length; with ``order``, one after the other in that order, and with ``whole``, besides bins that stay."""
-    b = _Bins(capacity)
-    for x in whole or []:
-        b.add(list(x), sum(length[i] for i in x))
-    if order is None or whole is not None:
-        b.put(list(range(len(length))) if order is None else order, length)
-    else:
-        for i in order:
-            b.put([i], length)
-    return b.bins
+    def __init__(self, capacity: int, bins: list[list[int]] = (), free: list[int] = ()):
+        self.capacity, self.bins, self.free, self.open, self.mask = capacity, list(bins), list(free), [[] for _ in range(capacity + 1)], 0
+        for k, left in enumerate(self.free):
+            self.open[left].append(k)
+        for left in set(self.free):
+            self.mask |= 1 << left
+
+    def put(self, items: list[int], length: list[int]) -> _Bins:
+        """Best fit of one piece after the other, in the order given."""
+        bins, free, open_, mask = self.bins, self.free, self.open, self.mask
+        for i in items:
+            n = length[i]
+            fit = mask >> n
+            if fit:
+                left = n + (fit & -fit).bit_length() - 1
+                k = open_[left].pop()
+                if not open_[left]:
+                    mask ^= 1 << left
+                bins[k].append(i)
+                left -= n
+                free[k] = left
+            else:
+                k, left = len(bins), self.capacity - n
+                bins.append([i])
+                free.append(left)
+            open_[left].append(k)
+            mask |= 1 << left
+        self.mask = mask
+        return self
+
+    def worth(self) -> tuple[int, float]:
+        """Less is better: the number of bins, then how evenly they are filled."""
+        return len(self.bins), -sum([((self.capacity - x) / self.capacity) ** 2 for x in self.free])
+
+
+def _descending(items: list[int], length: list[int]) -> list[int]:
+    return sorted(items, key=lambda i: (-length[i], i))
+
+
+def _packing(bins: list[list[int]], length: list[int], capacity: int) -> _Bins:
+    return _Bins(capacity, bins, [capacity - sum([length[i] for i in x]) for x in bins])
+
+
+def best_fit(length: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers, best-fit by descending length."""
+    return _Bins(capacity).put(_descending(list(range(len(length))), length), length).bins
 
 
 def least_bins(length: list[int], capacity: int) -> int:
@@ -137,88 +139,91 @@ def least_bins(length: list[int], capacity: int) -> int:
     return int(np.max(len(x) - half + np.maximum(0, -(-(before[half] - before[np.minimum(small, half)] - room) // capacity))))
 
 
-def _fuller(bins: list[list[int]], loose: list[int], length: list[int], capacity: int) -> list[int]:
+def _fuller(bins: list[list[int]], free: list[int], loose: list[int], length: list[int]) -> list[int]:
     """Exchanges pieces of bins with longer loose ones that still fit, the closest fit first; what is loose then.
 
     Each exchange makes a bin fuller and the loose pieces shorter, so it ends.
     """
-    short = [(k, capacity - sum([length[i] for i in x])) for k, x in enumerate(bins)]
-    home = np.array([k for k, left in short if left for _ in bins[k]], dtype=np.int64)
-    item = np.array([i for k, left in short if left for i in bins[k]], dtype=np.int64)
+    short = [k for k, left in enumerate(free) if left]
+    item = [i for k in short for i in bins[k]]
+    ends = np.cumsum([0, *[len(bins[k]) for k in short]])
+    home, bounds = np.repeat(np.arange(len(short)), np.diff(ends)).tolist(), ends.tolist()
     size = np.array([length[i] for i in item], dtype=np.int64)
-    room = np.array([left for k, left in short if left for _ in bins[k]], dtype=np.int64)
-    queue, out = sorted(loose, key=lambda i: length[i]), []
+    most = size + np.repeat(np.array([free[k] for k in short], dtype=np.int64), np.diff(ends))  # the longest piece that could take its place
+    place = np.arange(len(item))
+    rank = (most << 44) | (size << 24) | place
+    queue, out = sorted([(length[i], i) for i in loose]), []
     while queue:
-        i = queue.pop()
-        gain = length[i] - size
-        at = np.flatnonzero((gain > 0) & (gain <= room))
-        if not len(at):
+        n, i = queue.pop()
+        fits = rank[(size < n) & (most >= n)]
+        if not len(fits):
             out.append(i)
             continue
-        left = room[at] - gain[at]
-        k = at[np.lexsort((-gain[at], left))[0]]
-        given = int(item[k])
-        own = bins[home[k]]
-        own[own.index(given)] = i
-        room[home == home[k]] -= gain[k]
-        item[k], size[k] = i, length[i]
-        insort(queue, given, key=lambda i: length[i])
+        at = int(fits.min()) & 0xFFFFFF
+        given, own = item[at], short[home[at]]
+        bins[own][bins[own].index(given)] = i
+        free[own] -= n - length[given]
+        item[at], size[at] = i, n
+        all_ = slice(bounds[home[at]], bounds[home[at] + 1])
+        most[all_] = size[all_] + free[own]
+        rank[all_] = (most[all_] << 44) | (size[all_] << 24) | place[all_]
+        insort(queue, (length[given], given))
     return out
 
 
-def cross(a: list[list[int]], b: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def cross(a: _Bins, b: _Bins, length: list[int], rng: random.Random) -> _Bins:
     """The second parent with whole well-filled bins of the first; what is then double or displaced is put back best-fit.
 
     Some of the emptiest bins are dissolved too. Before they are put back,
     displaced pieces are exchanged with shorter ones where that fills a bin.
     """
-    fill = lambda x: sum([length[i] for i in x])
-    full = [x for x in a if fill(x) >= 0.99 * capacity] or sorted(a, key=fill, reverse=True)[: max(1, len(a) // 4)]
+    few = a.capacity - 0.99 * a.capacity
+    full = [k for k, left in enumerate(a.free) if left <= few] or sorted(range(len(a.bins)), key=a.free.__getitem__)[: max(1, len(a.bins) // 4)]
     given = rng.sample(full, rng.randint(1, max(1, len(full) // 2)))
-    inside = {i for x in given for i in x}
-    stay, loose = [list(x) for x in given], []
-    for x in b:
+    inside = {i for k in given for i in a.bins[k]}
+    stay, free, loose = [list(a.bins[k]) for k in given], [a.free[k] for k in given], []
+    for x, left in zip(b.bins, b.free):
         if inside.isdisjoint(x):
             stay.append(list(x))
+            free.append(left)
         else:
             loose += [i for i in x if i not in inside]
-    stay.sort(key=fill)
-    for x in stay[: (gone := rng.randint(1, 4))]:
-        loose += x
-    stay = stay[gone:]
-    rng.shuffle(loose)
-    loose = _fuller(stay, loose, length, capacity)
+    order = sorted(range(len(stay)), key=free.__getitem__)
+    gone = max(0, len(order) - rng.randint(1, 4))
+    for k in order[gone:]:
+        loose += stay[k]
+    stay, free = [stay[k] for k in order[:gone]], [free[k] for k in order[:gone]]
+    loose = _fuller(stay, free, loose, length)
     if rng.random() < 0.5:
-        return best_fit(length, capacity, loose, stay)
-    out = _Bins(capacity)  # displaced pieces in another order
-    for x in stay:
-        out.add(x, fill(x))
-    rng.shuffle(loose)
-    for i in loose:
-        out.put([i], length)
-    return out.bins
+        loose = _descending(loose, length)
+    else:  # displaced pieces in another order
+        rng.shuffle(loose)
+    return _Bins(a.capacity, stay, free).put(loose, length)
 
 
-def evolve(length: list[int], capacity: int, *, elites: list[list[list[int]]] = (), population: int = 6, generations: int = 6, seed: int = 0) -> list[list[int]]:
+def evolve(length: list[int], capacity: int, *, elites: list[list[list[int]]] = (), population: int = 6, generations: int | None = None, seed: int = 0) -> list[list[int]]:
     """The best packing of a population that starts with ``elites``, or else with best fit by descending length, and best fit in random orders.
 
     It ends where a packing has no more bins than the lengths admit (``least_bins``).
+    Unless ``generations`` is given, they are as many as put back some 24,000 pieces, six at least.
     """
-    rng = random.Random(seed)
-    valued = lambda bins: (worth(bins, length, capacity), bins)
-    pop = [valued(x) for x in elites] or [valued(best_fit(length, capacity))]
+    generations = max(6, 24_000 // max(1, len(length))) if generations is None else generations
+    rng, every = random.Random(seed), list(range(len(length)))
+    pop = [_packing(x, length, capacity) for x in elites or [best_fit(length, capacity)]]
     least = least_bins(length, capacity)
-    while len(pop) < population and min(x[0][0] for x in pop) > least:
-        pop.append(valued(best_fit(length, capacity, rng.sample(range(len(length)), len(length)))))
+    while len(pop) < population and min(len(x.bins) for x in pop) > least:
+        rng.shuffle(every)
+        pop.append(_Bins(capacity).put(every, length))
+    pop = [(x.worth(), x) for x in pop]
     for _ in range(generations):
         pop.sort(key=lambda x: x[0])
         if pop[0][0][0] <= least or len(pop) < 3:
             break
         # both orders of a pair, each in place of a worse one
         one, other = pop[0][1], rng.choice(pop[1:])[1]
-        pop[-1] = min(valued(cross(one, other, length, capacity, rng)), pop[-1], key=lambda x: x[0])
-        pop[-2] = min(valued(cross(other, one, length, capacity, rng)), pop[-2], key=lambda x: x[0])
-    return min(pop, key=lambda x: x[0])[1]
+        for k, child in ((-1, cross(one, other, length, rng)), (-2, cross(other, one, length, rng))):
+            pop[k] = min((child.worth(), child), pop[k], key=lambda x: x[0])
+    return min(pop, key=lambda x: x[0])[1].bins
 
 
 def _bins_of(numbers: list[int]) -> list[list[int]]:
@@ -247,7 +252,7 @@ def _spell(rows: DataFrame, capacity: int, islands: int, blocks: int, spell: int
             number = np.zeros(b - a, dtype=np.int64)
             for k, members in enumerate(bins):
                 number[members] = k
-            count, even = worth(bins, own, capacity)
+            count, even = _packing(bins, own, capacity).worth()
             same = np.ones(b - a, dtype=np.int64)
             out.append((same * (key[a] // islands), same * (key[a] % islands), item[order], length[order], number, same * count, same * even))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["block", "island", "item", "length", "bin", "bins", "worth"])
