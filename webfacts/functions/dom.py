@@ -1,10 +1,12 @@
 """Documents as node tables: a page is an array of nodes in document order, and selectors are expressions over it.
 
-A node is (at, last, up, kids, depth, tag, attrs, text): its number, that of
-its last descendant and of its parent (-1 at the top), how many elements are
-right below it, its level. ``b`` lies in ``a`` if a.at < b.at <= a.last, so nested
+A node is (at, last, up, kids, depth, tag, classes, attrs, text): its number,
+that of its last descendant and of its parent (-1 at the top), how many elements
+are right below it, its level. ``b`` lies in ``a`` if a.at < b.at <= a.last, so nested
 selection is a comparison of numbers and a subtree is a slice. Only the
-splitting of HTML into nodes runs in Python, Arrow batch by Arrow batch.
+splitting of HTML into nodes runs in Python, Arrow batch by Arrow batch. What is
+asked of nodes is written as SQL lambdas, which cost one call of the JVM each
+where columns put together operator by operator cost dozens.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "array<struct<at int, last int, up int, kids int, depth int, tag string, attrs map<string,string>, text string>>"
-_ARROW = pa.list_(pa.struct([("at", pa.int32()), ("last", pa.int32()), ("up", pa.int32()), ("kids", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+NODES = "array<struct<at int, last int, up int, kids int, depth int, tag string, classes array<string>, attrs map<string,string>, text string>>"
+_ARROW = pa.list_(pa.struct([("at", pa.int32()), ("last", pa.int32()), ("up", pa.int32()), ("kids", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
 
 # Fixed values of HTML: elements without an end; elements whose start ends an open one of the kinds beside them.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -26,6 +28,7 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
     "tbody": {"td", "th", "tr", "thead", "tbody"}, "tfoot": {"td", "th", "tr", "tbody"},
 } | dict.fromkeys("p div ul ol dl table section article h1 h2 h3 h4 h5 h6 form blockquote pre header footer nav aside main".split(), {"p"})
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 class _Splitter(HTMLParser):
@@ -37,7 +40,8 @@ class _Splitter(HTMLParser):
         at, up = len(self.nodes), self.open[-1] if self.open else -1
         if self.open and text is None:
             self.nodes[up]["kids"] += 1
-        self.nodes.append({"at": at, "last": at, "up": up, "kids": 0, "depth": len(self.open), "tag": tag, "attrs": attrs, "text": text})
+        classes = next((_BLANKS.split(v) for k, v in attrs if k == "class"), [])
+        self.nodes.append({"at": at, "last": at, "up": up, "kids": 0, "depth": len(self.open), "tag": tag, "classes": classes, "attrs": attrs, "text": text})
 
     def _end(self, upto: int) -> None:
         for at in self.open[upto:]:
@@ -95,13 +99,17 @@ _SIMPLE = re.compile(r"([.#])([\w-]+)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"
 _STEP = re.compile(r"(>)|([\w-]+|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)")
 
 
-def _has(node: Column, kind: str, name: str, attribute: str, how: str, value: str) -> Column:
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _has(x: str, kind: str, name: str, attribute: str, how: str, value: str) -> str:
     if kind == ".":
-        return F.array_contains(F.split(node["attrs"]["class"], r"\s+"), name)
-    if kind == "#":
-        return node["attrs"]["id"] == name
-    own = node["attrs"][attribute]
-    return {"": own.isNotNull, "=": lambda: own == value, "*=": lambda: own.contains(value), "^=": lambda: own.startswith(value), "$=": lambda: own.endswith(value)}[how]()
+        return f"array_contains({x}.classes, {_quoted(name)})"
+    own, value = f"{x}.attrs[{_quoted('id' if kind == '#' else attribute)}]", _quoted(name if kind == "#" else value)
+    if kind != "#" and not how:
+        return f"{own} IS NOT NULL"
+    return {"=": f"coalesce({own} = {value}, false)", "*=": f"coalesce(contains({own}, {value}), false)", "^=": f"coalesce(startswith({own}, {value}), false)", "$=": f"coalesce(endswith({own}, {value}), false)"}[how or "="]
 
 
 def _steps(selector: str) -> list[tuple[bool, str, str]]:
@@ -119,23 +127,28 @@ def _steps(selector: str) -> list[tuple[bool, str, str]]:
     return out
 
 
-def matches(dom: Column, node: Column, selector: str) -> Column:
-    """Whether a node is one that the selector (one or several, comma-joined) selects within ``dom``."""
-
-    def fits(x: Column, steps: list) -> Column:
-        child, tag, conditions = steps[-1]
-        ok = x["tag"] == tag if tag != "*" else ~x["tag"].startswith("#")
-        for c in _SIMPLE.findall(conditions):
-            ok = ok & F.coalesce(_has(x, *c), F.lit(False))
-        if len(steps) > 1:
-            step = (lambda y: y["depth"] == x["depth"] - 1) if child else (lambda y: F.lit(True))
-            ok = ok & F.exists(dom, lambda y: (y["at"] < x["at"]) & (x["at"] <= y["last"]) & step(y) & fits(y, steps[:-1]))
-        return ok
-
-    out = F.lit(False)
-    for one in selector.split(","):
-        out = out | fits(node, _steps(one.strip()))
-    return out
+def _fits(dom: str, steps: list, level: int = 0) -> str:
+    """SQL for whether the node ``x0`` (``x1`` and so on for those around it) fits the last of the steps within ``dom``."""
+    x, y = f"x{level}", f"x{level + 1}"
+    child, tag, conditions = steps[-1]
+    ok = [f"{x}.tag = {_quoted(tag)}" if tag != "*" else f"NOT startswith({x}.tag, '#')"]
+    ok += [_has(x, *c) for c in _SIMPLE.findall(conditions)]
+    if len(steps) > 1:
+        right = [f"{y}.depth = {x}.depth - 1"] if child else []
+        ok.append(f"exists({dom}, {y} -> {' AND '.join([f'{y}.at < {x}.at', f'{x}.at <= {y}.last', *right, _fits(dom, steps[:-1], level + 1)])})")
+    return " AND ".join(ok)
+
+
+def _selected(dom: str, selector: str) -> str:
+    """SQL for the nodes of ``dom`` that the selector (one or several, comma-joined) selects."""
+    ways = [_fits(dom, _steps(one.strip())) for one in selector.split(",")]
+    return f"filter({dom}, x0 -> {' OR '.join(f'({w})' for w in ways)})"
+
+
+def _of(text: str, **values: Column) -> Column:
+    """A SQL expression over values, which it names ``s.`` and their name."""
+    one = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.call_function("transform", one, F.expr(f"s -> {text}")), F.lit(0))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -145,32 +158,50 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def select(dom: Column, selector: str) -> Column:
     """All nodes that the selector selects, in document order."""
-    return F.filter(dom, lambda x: matches(dom, x, selector))
+    return _of(_selected("s.d", selector), d=dom)
+
+
+def matches(dom: Column, node: Column, selector: str) -> Column:
+    """Whether a node is one that the selector selects within ``dom``; null for a null node."""
+    return _of(f"exists({_selected('s.d', selector)}, y -> y.at = s.x.at)", d=dom, x=node)
 
 
 def first(dom: Column, selector: str) -> Column:
     """The first selected node; null if there is none."""
-    return F.get(select(dom, selector), F.lit(0))
+    return _of(f"get({_selected('s.d', selector)}, 0)", d=dom)
+
+
+def _below(dom: str, node: str) -> str:
+    return f"slice({dom}, {node}.at - get({dom}, 0).at + 2, {node}.last - {node}.at)"
 
 
 def below(dom: Column, node: Column) -> Column:
     """The nodes in ``node``, itself not included; ``dom`` may be such a subtree itself."""
-    return let(node, lambda x: F.slice(dom, x["at"] - F.get(dom, F.lit(0))["at"] + 2, x["last"] - x["at"]))
+    return _of(_below("s.d", "s.x"), d=dom, x=node)
+
+
+def _raw(dom: str, node: str, tag: str = "#text") -> str:
+    return f"array_join(transform(filter({_below(dom, node)}, t -> t.tag = {_quoted(tag)}), t -> t.text), '')"
+
+
+def _collapsed(text: str) -> str:
+    return f"trim(regexp_replace({text}, {_quoted('(?U)' + chr(92) + 's+')}, ' '))"
 
 
 def raw_text(dom: Column, node: Column, tag: str = "#text") -> Column:
     """Text in a node as it stands; that of scripts and styles has the tag ``#code``."""
-    return F.array_join(F.transform(F.filter(below(dom, node), lambda x: x["tag"] == tag), lambda x: x["text"]), "")
+    return _of(_raw("s.d", "s.x", tag), d=dom, x=node)
 
 
 def text_of(dom: Column, node: Column) -> Column:
     """Text in a node with blanks collapsed; null for a null node."""
-    return F.trim(F.regexp_replace(raw_text(dom, node), r"(?U)\s+", " "))
+    return _of(_collapsed(_raw("s.d", "s.x")), d=dom, x=node)
 
 
-def some_text(dom: Column, selectors: list[str]) -> Column:
-    """The text of the first selector whose first node has any, collapsed; null if none has."""
-    return F.get(F.filter(F.array(*[text_of(dom, first(dom, s)) for s in selectors]), lambda x: x != ""), F.lit(0))
+def some_text(dom: Column, selectors: list[str], ok: str = "t <> ''") -> Column:
+    """The text of the first selector whose first node has any, collapsed, or one that is ``ok``; null if none has. Later ones are not looked for."""
+    texts = [f"transform(array(get({_selected('s.d', s)}, 0)), n -> {_collapsed(_raw('s.d', 'n'))})" for s in selectors]
+    return _of(f"coalesce({', '.join(f'get(filter({t}, t -> {ok}), 0)' for t in texts)})", d=dom)
 
 
 def first_filled(lists: list[Column]) -> Column:
@@ -180,11 +211,7 @@ def first_filled(lists: list[Column]) -> Column:
 
 def first_yielding(dom: Column, selectors: list[str], make: Callable[[Column], Column], ok: Callable[[Column], Column], least: int = 1) -> Column:
     """What ``make`` gives for the nodes of the first selector that has ``least`` of them and a result that is ``ok``; those results."""
-
-    def ranked(rank: int) -> Column:
-        some = F.flatten(F.filter(F.array(select(dom, selectors[rank])), lambda x: F.size(x) >= least))
-        return F.transform(some, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("node")))
-
-    made = F.transform(F.concat(*map(ranked, range(len(selectors)))), lambda x: F.struct(x["rank"].alias("rank"), make(x["node"]).alias("value")))
+    ranked = [f"transform(flatten(filter(array({_selected('s.d', x)}), n -> size(n) >= {least})), n -> named_struct('rank', {rank}, 'node', n))" for rank, x in enumerate(selectors)]
+    made = F.transform(_of(f"concat({', '.join(ranked)})", d=dom), lambda x: F.struct(x["rank"].alias("rank"), make(x["node"]).alias("value")))
     kept = let(F.filter(made, lambda x: ok(x["value"])), lambda all_: F.filter(all_, lambda x: x["rank"] == F.array_min(F.transform(all_, lambda y: y["rank"]))))
     return F.transform(kept, lambda x: x["value"])

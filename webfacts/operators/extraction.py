@@ -218,8 +218,7 @@ def categories(dom: Column) -> Column:
 
 def content(dom: Column, most: int = 50_000) -> Column:
     """The text of the first content element with over 100 characters, cut to ``most``."""
-    found = F.filter(F.array(*[D.text_of(dom, D.first(dom, s)) for s in CONTENT]), lambda x: F.length(x) > 100)
-    return F.substring(F.get(found, F.lit(0)), 1, most)
+    return F.substring(D.some_text(dom, CONTENT, "length(t) > 100"), 1, most)
 
 
 def rich_metadata(dom: Column, url: Column) -> Column:
