@@ -83,6 +83,24 @@ def test_upsert_batches(spark, tmp_path):
     assert sorted((r["domain"], r["seq"]) for r in feeds.current(spark, f"{tmp_path}/t", 1).collect()) == [("a", 2), ("b", 1)]
 
 
+def test_upserts_expire_what_no_kept_table_needs(spark, tmp_path):
+    """Five batches of which two can be read: the newest two are right, an older one is an error, and no other version stays."""
+    where = f"{tmp_path}/t"
+    for k, rows in enumerate([_rows([0]) + _rows([1], "b"), _rows([2]), _rows([3]) + _rows([4], "c"), _rows([5]), _rows([6], "c")]):
+        _events(spark, tmp_path, rows, k)
+        stream = feeds.read_events(spark, f"{tmp_path}/in", SCHEMA)
+        feeds.upsert_batches(stream, where, f"{tmp_path}/cp", ["domain"], buckets=64, keep=2).start().awaitTermination(120)
+    read = lambda n: sorted((r["domain"], r["seq"]) for r in feeds.current(spark, where, n).collect())
+    assert read(4) == [("a", 5), ("b", 1), ("c", 6)] and read(3) == [("a", 5), ("b", 1), ("c", 4)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        feeds.current(spark, where, 2)
+    # b's first version, a's of the fourth batch, c's of the third and the fifth
+    assert sorted(int(p.parent.name[2:]) for p in (tmp_path / "t" / "data").glob("v=*/_bucket=*")) == [0, 2, 3, 4]
+    assert feeds.expire(spark, where, 4, 2) == 0 and read(4) == [("a", 5), ("b", 1), ("c", 6)]
+    with pytest.raises(ValueError):
+        feeds.expire(spark, where, 4, 1)
+
+
 def test_edits(spark):
     rows = spark.createDataFrame([(1, "a", True), (2, None, None), (None, "c", False)], "id int, x string, is_active boolean")
     changes = spark.createDataFrame([(1, None), (2, "z"), (9, "q")], "id int, x string")

@@ -25,17 +25,22 @@ def domain_reputation(stream: DataFrame, ok: Column) -> DataFrame:
     return stream.groupBy("domain").agg(F.count("*").alias("total"), F.count_if(ok).alias("successes"), F.max("ts").alias("last_at"))
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str = "seq", buckets: int = 64):
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str = "seq", buckets: int = 64, keep: int | None = None):
     """A query that merges each batch into a table of Parquet files, dealt to buckets by a hash of the keys; ``current`` reads the newest.
 
     A batch rewrites only the buckets that it touches. Which version of each
     bucket counts after a batch is a table of its own, written last, so a batch
     that is run again starts from what counted before it, and a restart neither
-    loses nor doubles rows.
+    loses nor doubles rows. With ``keep`` the tables after the last ``keep``
+    batches can be read, and what only older ones need is removed (see ``expire``).
     """
+    if keep is not None and keep < 2:
+        raise ValueError("a batch that is run again needs the table before it: keep at least 2")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         _replaced(batch, batch_id, path, keys, buckets, lambda rows: upsert(rows, keys, required=keys[0], order=order))
+        if keep is not None:
+            expire(batch.sparkSession, path, batch_id, keep)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -73,6 +78,34 @@ def current(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.read.option("basePath", f"{path}/data").parquet(*files).drop("_bucket", "v")
 
 
+def expire(spark: SparkSession, path: str, batch_id: int, keep: int = 10) -> int:
+    """Removes what none of the tables after the last ``keep`` batches up to ``batch_id`` needs; returns how many versions of buckets went.
+
+    The lists of versions go first, so a reader that comes too late for an old table
+    gets an error and never a part of it, and a run that is cut off leaves only
+    versions that the next one removes. Those of batches after ``batch_id``, which
+    another may be writing, stay.
+    """
+    if keep < 2:
+        raise ValueError("a batch that is run again needs the table before it: keep at least 2")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    number = lambda name: int(name.split("=")[1])
+    lists = {number(x.getPath().getName()): x.getPath() for x in files.globStatus(hadoop(f"{path}/versions/b=*"))}
+    held = set()
+    for n, where in lists.items():
+        if n <= batch_id - keep:
+            files.delete(where, True)
+        else:
+            held |= {(v, k) for k, v in _versions(spark, path, n).items()}
+    gone = 0
+    for x in files.globStatus(hadoop(f"{path}/data/v=*/_bucket=*")):
+        version, bucket = number(x.getPath().getParent().getName()), number(x.getPath().getName())
+        if version <= batch_id and (version, bucket) not in held:
+            gone += files.delete(x.getPath(), True)
+    return gone
+
+
 def first_seen(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Rows whose keys no earlier row within ``late`` had; state older than that goes."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
