@@ -31,10 +31,18 @@ ENDS = {
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
+# an ampersand that starts no reference with its semicolon, and what may stand for it while a page is split
+_BARE = re.compile(r"&(?!#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)")
+_MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]  # no characters by Unicode
+
+
 class _Splitter(HTMLParser):
-    def __init__(self):
+    def __init__(self, mark: str | None = None):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open = [], []
+        self.nodes, self.open, self.mark = [], [], mark
+
+    def _own(self, text: str | None) -> str | None:
+        return text.replace(self.mark, "&") if text and self.mark else text
 
     def _add(self, tag: str, attrs=(), text: str | None = None) -> None:
         at, up = len(self.nodes), self.open[-1] if self.open else -1
@@ -49,6 +57,7 @@ class _Splitter(HTMLParser):
         del self.open[upto:]
 
     def handle_starttag(self, tag, attrs):
+        tag, attrs = self._own(tag), [(self._own(k), self._own(v)) for k, v in attrs]
         while self.open and self.nodes[self.open[-1]]["tag"] in ENDS.get(tag, ()):
             self._end(len(self.open) - 1)
         self._add(tag, list({k: v or "" for k, v in reversed(attrs)}.items()))
@@ -61,21 +70,26 @@ class _Splitter(HTMLParser):
             self._end(len(self.open) - 1)
 
     def handle_endtag(self, tag):
+        tag = self._own(tag)
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]]["tag"] == tag:
                 return self._end(k)
 
     def handle_data(self, data):
         code = self.open and self.nodes[self.open[-1]]["tag"] in ("script", "style")
-        self._add("#code" if code else "#text", text=data)
+        self._add("#code" if code else "#text", text=self._own(data))
 
 
 def nodes_of(html: str | None) -> list[dict] | None:
-    """The nodes of a page; null for null. Unclosed elements end with their parent, stray ends are ignored."""
+    """The nodes of a page; null for null. Unclosed elements end with their parent, stray ends are ignored.
+
+    A character reference ends with a semicolon; without one it is text, in addresses as in titles.
+    """
     if html is None:
         return None
-    splitter = _Splitter()
-    splitter.feed(html)
+    mark = next((m for m in _MARKS if m not in html), None) if _BARE.search(html) else None
+    splitter = _Splitter(mark)
+    splitter.feed(_BARE.sub(mark, html) if mark else html)
     splitter.close()
     splitter._end(0)
     return splitter.nodes
