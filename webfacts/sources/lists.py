@@ -74,16 +74,17 @@ def ingested(batches: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     return jobs, good.select("job_id", "domain", "org_id", "user_id", F.explode("records").alias("r")).select("job_id", "domain", "r.*", "org_id", "user_id")
 
 
-def uploaded_domains(lines: DataFrame, column: int = 0) -> DataFrame:
+def uploaded_domains(lines: DataFrame, column: int = 0, guess: bool = True) -> DataFrame:
     """(upload_id, pos, raw, domain, state) of cells (upload_id, pos, cells): state is valid, duplicate or invalid.
 
-    A first line with a known column name, or without a domain in its first cell, is a header. Duplicates are those
-    of a domain without ``www.`` and case that an earlier line of the upload has.
+    A first line with a known column name is a header; with ``guess`` one without a domain in its first cell is too,
+    which is to be left out for lists known to have no other headers, whose first line may be an invalid one like any.
+    Duplicates are those of a domain without ``www.`` and case that an earlier line of the upload has.
     """
     head = lines.where("pos = 0").select("upload_id", F.col("cells").alias("head"))
     named = F.array_position(F.transform("head", lambda c: F.lower(F.trim(c)).isin(_HEADERS)), True)
     first = urls.listed_domain(F.try_element_at("head", F.lit(column + 1)))
-    head = head.select("upload_id", F.when(named > 0, named - 1).otherwise(column).cast("int").alias("at"), (F.coalesce(named > 0, F.lit(False)) | ~F.coalesce(urls.is_domain(first), F.lit(False))).alias("has_header"))
+    head = head.select("upload_id", F.when(named > 0, named - 1).otherwise(column).cast("int").alias("at"), (F.coalesce(named > 0, F.lit(False)) | (F.lit(guess) & ~F.coalesce(urls.is_domain(first), F.lit(False)))).alias("has_header"))
     rows = lines.join(head, "upload_id").where(~F.col("has_header") | (F.col("pos") > 0))
     rows = rows.select("upload_id", "pos", F.trim(F.try_element_at("cells", F.col("at") + 1)).alias("raw")).where("raw <> ''")
     rows = rows.withColumn("domain", urls.listed_domain(F.col("raw"))).withColumn("ok", F.coalesce(urls.is_domain(F.col("domain")), F.lit(False)))
