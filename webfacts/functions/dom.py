@@ -4,7 +4,8 @@ A node is (at, last, up, kids, depth, tag, classes, attrs, text): its number,
 that of its last descendant and of its parent (-1 at the top), how many elements
 are right below it, its level. ``b`` lies in ``a`` if a.at < b.at <= a.last, so nested
 selection is a comparison of numbers and a subtree is a slice. Only the
-splitting of HTML into nodes runs in Python, Arrow batch by Arrow batch. What is
+splitting of HTML into nodes runs in Python, a slice of an Arrow batch at a time,
+as the nodes of a whole batch take many times its bytes. What is
 asked of nodes is written as SQL lambdas, which cost one call of the JVM each
 where columns put together operator by operator cost dozens.
 """
@@ -16,6 +17,7 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,32 +39,75 @@ _MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]  # no characters by Unicode
 
 
 class _Splitter(HTMLParser):
-    def __init__(self, mark: str | None = None):
+    """The nodes of pages put one after the other, a list for each of their parts, so that a node is no object of its own."""
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.mark = [], [], mark
+        self.ats, self.lasts, self.ups, self.kids, self.depths, self.tags, self.texts = [], [], [], [], [], [], []
+        self.classes, self.class_ends, self.keys, self.values, self.key_ends = [], [0], [], [], [0]
+        self.starts: list[int | None] = []
+        self.base, self.open, self.mark = 0, [], None
+
+    def page(self, html: str | None) -> None:
+        """Adds a page; null for null. Unclosed elements end with their parent, stray ends are ignored.
+
+        A character reference ends with a semicolon; without one it is text, in addresses as in titles.
+        """
+        self.base, self.open = len(self.tags), []
+        self.starts.append(None if html is None else self.base)
+        if html is None:
+            return
+        self.mark = next((m for m in _MARKS if m not in html), None) if _BARE.search(html) else None
+        self.reset()
+        self.feed(_BARE.sub(self.mark, html) if self.mark else html)
+        self.close()
+        self._end(0)
+
+    def arrow(self) -> pa.Array:
+        """An array of nodes for each page."""
+        at = [pa.array(x, pa.int32()) for x in (self.ats, self.lasts, self.ups, self.kids, self.depths)]
+        classes = pa.ListArray.from_arrays(pa.array(self.class_ends, pa.int32()), pa.array(self.classes, pa.string()))
+        attrs = pa.MapArray.from_arrays(pa.array(self.key_ends, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        nodes = pa.StructArray.from_arrays([*at, pa.array(self.tags, pa.string()), classes, attrs, pa.array(self.texts, pa.string())], fields=list(_ARROW.value_type))
+        return pa.ListArray.from_arrays(pa.array([*self.starts, len(self.tags)], pa.int32()), nodes)
 
     def _own(self, text: str | None) -> str | None:
         return text.replace(self.mark, "&") if text and self.mark else text
 
     def _add(self, tag: str, attrs=(), text: str | None = None) -> None:
-        at, up = len(self.nodes), self.open[-1] if self.open else -1
+        at = len(self.tags) - self.base
         if self.open and text is None:
-            self.nodes[up]["kids"] += 1
-        classes = next((_BLANKS.split(v) for k, v in attrs if k == "class"), [])
-        self.nodes.append({"at": at, "last": at, "up": up, "kids": 0, "depth": len(self.open), "tag": tag, "classes": classes, "attrs": attrs, "text": text})
+            self.kids[self.base + self.open[-1]] += 1
+        self.ats.append(at)
+        self.lasts.append(at)
+        self.ups.append(self.open[-1] if self.open else -1)
+        self.kids.append(0)
+        self.depths.append(len(self.open))
+        self.tags.append(tag)
+        self.texts.append(text)
+        for k, v in attrs:
+            self.keys.append(k)
+            self.values.append(v)
+            if k == "class":
+                self.classes += _BLANKS.split(v)
+        self.class_ends.append(len(self.classes))
+        self.key_ends.append(len(self.keys))
+
+    def _tag(self, at: int) -> str:
+        return self.tags[self.base + at]
 
     def _end(self, upto: int) -> None:
         for at in self.open[upto:]:
-            self.nodes[at]["last"] = len(self.nodes) - 1
+            self.lasts[self.base + at] = len(self.tags) - self.base - 1
         del self.open[upto:]
 
     def handle_starttag(self, tag, attrs):
         tag, attrs = self._own(tag), [(self._own(k), self._own(v)) for k, v in attrs]
-        while self.open and self.nodes[self.open[-1]]["tag"] in ENDS.get(tag, ()):
+        while self.open and self._tag(self.open[-1]) in ENDS.get(tag, ()):
             self._end(len(self.open) - 1)
-        self._add(tag, list({k: v or "" for k, v in reversed(attrs)}.items()))
+        self._add(tag, {k: v or "" for k, v in reversed(attrs)}.items())
         if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
+            self.open.append(len(self.tags) - self.base - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -72,27 +117,28 @@ class _Splitter(HTMLParser):
     def handle_endtag(self, tag):
         tag = self._own(tag)
         for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]]["tag"] == tag:
+            if self._tag(self.open[k]) == tag:
                 return self._end(k)
 
     def handle_data(self, data):
-        code = self.open and self.nodes[self.open[-1]]["tag"] in ("script", "style")
+        code = self.open and self._tag(self.open[-1]) in ("script", "style")
         self._add("#code" if code else "#text", text=self._own(data))
 
 
-def nodes_of(html: str | None) -> list[dict] | None:
-    """The nodes of a page; null for null. Unclosed elements end with their parent, stray ends are ignored.
+#: Bytes of HTML whose nodes are made and handed on together (a page at least), whatever rows an Arrow batch has.
+AT_ONCE = 1 << 20
+
 
-    A character reference ends with a semicolon; without one it is text, in addresses as in titles.
-    """
-    if html is None:
-        return None
-    mark = next((m for m in _MARKS if m not in html), None) if _BARE.search(html) else None
-    splitter = _Splitter(mark)
-    splitter.feed(_BARE.sub(mark, html) if mark else html)
-    splitter.close()
-    splitter._end(0)
-    return splitter.nodes
+def _slices(html: pa.Array, most: int = AT_ONCE):
+    """(start, length) of slices of a batch, each of up to ``most`` bytes or one page."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(html).fill_null(0).to_pylist()):
+        if i > start and size + n > most:
+            yield start, i - start
+            start, size = i, 0
+        size += n
+    if len(html) > start:
+        yield start, len(html) - start
 
 
 def with_nodes(pages: DataFrame, html: str = "html", name: str = "dom", keep: list[str] | None = None) -> DataFrame:
@@ -100,9 +146,14 @@ def with_nodes(pages: DataFrame, html: str = "html", name: str = "dom", keep: li
     keep = [c for c in pages.columns if c not in (html, name)] if keep is None else keep
 
     def run(batches):
+        part = splitter = None
         for batch in batches:
-            dom = pa.array([nodes_of(x.as_py()) for x in batch.column(0)], _ARROW)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], dom], [*keep, name])
+            for start, n in _slices(batch.column(0)):
+                part, splitter = batch.slice(start, n), _Splitter()
+                for x in part.column(0):
+                    splitter.page(x.as_py())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], splitter.arrow()], [*keep, name])
+            batch = part = splitter = None  # before the next batch is read
 
     rows = pages.select(F.col(html).alias("_html"), *keep)
     schema = rows.drop("_html").withColumn(name, F.lit(None).cast(NODES)).schema

@@ -183,13 +183,14 @@ _RICH = [
 ]
 
 
-def _rich(spark, sf_dir):
+def _rich(spark, sf_dir, *more):
+    """Nodes of rich pages with page_id, url and ``more`` of their columns."""
     key = F.col("page_id").cast("string")
     parts = [F.lit(_RICH[0])]
     for x in _RICH[1:]:
         parts += [key, F.lit(x)]
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://a.org/"), F.element_at(F.array(*map(F.lit, ["team/", "pricing/", "resources/", "blog/", ""])), (F.col("page_id") % 5 + 1).cast("int"))).alias("url"), F.concat(*parts).alias("html"))
-    return dom.with_nodes(pages.withColumn("_raw", F.col("html")), "_raw", keep=["page_id", "url", "html"])
+    return dom.with_nodes(pages.withColumn("_raw", F.col("html")), "_raw", keep=["page_id", "url", *more])
 
 
 def _exploded(rows, found, *names):
@@ -287,14 +288,14 @@ UNION ALL SELECT page_id, 'blog_url', t, u FROM p WHERE k = 3 UNION ALL SELECT p
 def h17_records(spark, sf_dir):
     """Records of all types, by the class of the page's address."""
     types = ["blog_url", "article", "contact", "resource", "pricing", "tech_stack"]
-    return extraction.page_records(_rich(spark, sf_dir), types).select("page_id", "data_type", "title", "url")
+    return extraction.page_records(_rich(spark, sf_dir, "html"), types).select("page_id", "data_type", "title", "url")
 
 
 @query("h10_metadata", """SELECT page_id, 'article' AS data_type, 'Ann' AS author, 250 AS words, 'Tag ' || page_id AS more, 'Acme ' || page_id AS title FROM pages UNION ALL SELECT page_id, 'tech_stack', 'Ann', NULL, NULL, 'Acme ' || page_id FROM pages WHERE page_id % 5 = 4
 UNION ALL SELECT page_id, 'blog_url', 'Ann', 0, 'https://a.org/blog/', 'Acme ' || page_id FROM pages WHERE page_id % 5 = 3""")
 def h10_metadata(spark, sf_dir):
     """Metadata of article, listing and technology records: the page's own and the record's."""
-    rows = extraction.page_records(_rich(spark, sf_dir), ["blog_url", "article", "tech_stack"]).where("data_type <> 'page'")
+    rows = extraction.page_records(_rich(spark, sf_dir, "html"), ["blog_url", "article", "tech_stack"]).where("data_type <> 'page'")
     value = lambda n: F.get_json_object("metadata", f"$.{n}")
     return rows.select(
         "page_id", "data_type", value("author").alias("author"), F.coalesce(value("word_count"), value("total_articles")).cast("int").alias("words"),
