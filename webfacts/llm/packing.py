@@ -81,14 +81,15 @@ def pieces(docs: DataFrame, *, vocabulary: str, end: int, capacity: int) -> Data
     """Of (doc_id, text): doc_id, piece, start, length, ids_crc32; a longer document's first piece takes what full ones leave."""
 
     def run(batches):
-        encode = encoder(vocabulary)
+        encode, last = encoder(vocabulary), end.to_bytes(4, "little")
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids = np.append(encode(str(text, "utf-8")), np.uint32(end)).astype("<u4")
-                a, b, piece = 0, len(ids) % capacity or min(capacity, len(ids)), 0
-                while a < len(ids):
-                    out.append((doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                ids = encode(str(text, "utf-8")).astype("<u4", copy=False).tobytes() + last
+                n = len(ids) // 4
+                a, b, piece = 0, n % capacity or min(capacity, n), 0
+                while a < n:
+                    out.append((doc, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
                     a, b, piece = b, b + capacity, piece + 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -174,9 +175,12 @@ def _fuller(bins: list[list[int]], free: list[int], loose: list[int], length: li
     most = size + np.repeat(np.array([free[k] for k in short], dtype=np.int64), np.diff(ends))  # the longest piece that could take its place
     place = np.arange(len(item))
     rank = (most << 44) | (size << 24) | place
-    queue, out = sorted([(length[i], i) for i in loose]), []
+    queue, out, top = sorted([(length[i], i) for i in loose]), [], int(most.max(initial=0))  # exchanges make ``most`` no larger
     while queue:
         n, i = queue.pop()
+        if n > top:
+            out.append(i)
+            continue
         fits = rank[(size < n) & (most >= n)]
         if not len(fits):
             out.append(i)
