@@ -179,6 +179,27 @@ def test_alignment_of_long_texts(spark):
     assert sorted((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got) == sorted(plain_alignment(rows))
 
 
+def test_new_chunks_are_encoded_and_aligned_together():
+    """One call for all new chunks of a block but those at a text's ends that have white space there; changed texts have no links."""
+    from webfacts.llm.token_alignment import _Memo
+
+    memo, calls = _Memo("byte_bpe_50k.json", "piece_bpe_32k.model"), []
+    own = memo.encode
+    memo.encode = lambda x: calls.append(x) or own(x)
+    texts = [" ".join(f"w{i}ord naïve  gap" for i in range(300)), "end of line\n", "\u2581 é", "", "w7ord naïve"]
+    number, count = memo.numbers(texts)
+    assert len(calls) == 2 and calls[1] == " line\n" and list(count) == [600, 3, 2, 0, 2]
+    ends = np.cumsum(count)
+    for text, part in zip(texts, np.split(number, ends[:-1])):
+        if text and all(memo.ok[i] for i in part):
+            [(_, n_a, n_b, n_groups, n_links, *_, sha)] = plain_alignment([(0, text)])
+            got = [len(memo.a.take(part)[0]), len(memo.b.take(part)[0]), sum(memo.groups[i] for i in part), len(memo.links.take(part)[0])]
+            assert got == [n_a, n_b, n_groups, n_links] and hashlib.sha256(b";".join(memo.said[i] for i in part)).hexdigest() == sha
+        elif text:
+            assert text[0] == "\u2581" and any(not memo.links.sizes(part[k : k + 1])[0] for k in range(len(part)))
+    memo.numbers(texts)
+    assert len(calls) == 2
+
 def plain_repair(turns):
     """(cost, audit, repaired) of (role, text, fault) turns: all edits, by exhaustive search with memory."""
     after = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}

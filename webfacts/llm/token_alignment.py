@@ -1,23 +1,27 @@
 """Alignment of two tokenizers' tokens by the bytes that they cover.
 
-Texts are encoded once, in Arrow batches. All else is made of Spark's array
-functions: ends that both tokenizers share cut a text into groups, and the sorted
-ends of both, each with its token's number, tell which token of the other one lies
-under it: where the k-th entry is the i-th token of one side, k - i tokens of the
-other side have ended. An entry is one pair of tokens that overlap, so there are as
-many links as different ends, and everything is linear but for the sort.
-
-How many documents hold a pair of ids linked is counted over the corpus. The pairs
-found in most documents, a bounded number of them, go back to their documents by a
-broadcast; all others by a shuffle, where none is hot any more.
+Texts are cut into chunks that no token of either side crosses. A task encodes and
+aligns each chunk once, by arrays over all new chunks of a block of texts: tokens of
+both sides overlap where one's first and last byte lie between ends of the other's,
+and ends that both share cut a chunk into groups. A text's groups and links are
+those of its chunks.
+
+How many documents hold a pair of ids linked is counted over the corpus by Spark.
+The pairs found in most documents, a bounded number of them, go back to their
+documents by a broadcast; all others by a shuffle, where none is hot any more.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from array import array
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import encoder
@@ -26,12 +30,13 @@ from .text import blocks, texts_of
 
 #: Bytes of text in a block.
 BLOCK = 3 << 20
-#: Columns of a block: arrays over its different chunks, and over its texts.
-CHUNKS, TEXTS = ["ids_a", "ends_a", "ids_b", "ends_b"], ["row", "doc_id", "n_a", "n_b", "places"]
+#: A text's row of tokens and links: the different pairs that overlap (A's id in the high half), and how often.
+ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 #: Pairs that are broadcast, at 24 bytes each.
 HOT_PAIRS = 50_000
 
 _tables: dict[str, tuple] = {}
+_memos: dict[tuple[str, str], _Memo] = {}
 
 
 def _byte_level() -> dict[str, int]:
@@ -90,186 +95,173 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+# white space beside a blank or at an end of a text: its parts by blanks aren't all chunks
+_ODD = re.compile(r" \s|\s |\A\s|\s\Z")
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``start[i]`` and the numbers after it, ``count[i]`` of them, one run after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class _Ragged:
-    """Growing lists of ids, many to be read at once."""
+    """Growing lists of numbers, many to be read at once."""
+
+    def __init__(self, kind):
+        self.flat, self.stop, self.used, self.n = np.zeros(1 << 12, kind), np.zeros(1 << 12, np.int64), 0, 0
 
-    def __init__(self):
-        self.flat, self.stop, self.used, self.n = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), 0, 0
+    def extend(self, values: np.ndarray, count: np.ndarray) -> None:
+        """Adds lists that stand one after the other."""
+        if self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(values)), self.flat.dtype)])
+        if self.n + len(count) >= len(self.stop):
+            self.stop = np.concatenate([self.stop, np.zeros(max(len(self.stop), len(count)), np.int64)])
+        self.flat[self.used : self.used + len(values)] = values
+        self.stop[self.n + 1 : self.n + 1 + len(count)] = self.used + np.cumsum(count)
+        self.used, self.n = self.used + len(values), self.n + len(count)
 
-    def add(self, ids: list[int]) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-        if self.n + 1 >= len(self.stop):
-            self.stop = np.concatenate([self.stop, np.zeros_like(self.stop)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used, self.n = self.used + len(ids), self.n + 1
-        self.stop[self.n] = self.used
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.stop[numbers + 1] - self.stop[numbers]
 
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of these numbers one after the other, and how long each is."""
-        start = self.stop[numbers]
-        count = self.stop[numbers + 1] - start
-        before = np.cumsum(count) - count
-        return self.flat[np.repeat(start - before, count) + np.arange(int(count.sum()))], count
+        count = self.sizes(numbers)
+        return self.flat[_runs(self.stop[numbers], count)], count
+
+
+class _Vocabulary:
+    """The bytes of tokens by their ids, one after the other."""
+
+    def __init__(self, table: list[bytes], size: np.ndarray):
+        self.flat, self.size, self.start = np.frombuffer(b"".join(table), dtype=np.uint8), size, np.cumsum(size) - size
+
+    def agrees(self, ids: np.ndarray, count: np.ndarray, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each list's tokens are those of its part of ``raw``."""
+        size = self.size[ids]
+        upto, ends = np.concatenate([[0], np.cumsum(size)]), np.cumsum(count)
+        own = upto[ends] - upto[ends - count]
+        ok, at = own == length, np.cumsum(length) - length
+        said = self.flat[_runs(self.start[ids], size)]
+        differs = np.concatenate([[0], np.cumsum(said[_runs((np.cumsum(own) - own)[ok], own[ok])] != raw[_runs(at[ok], length[ok])])])
+        last = np.cumsum(length[ok])
+        ok[ok] = differs[last] == differs[last - length[ok]]
+        return ok
 
 
 class _Memo:
-    """Tokens of chunks met so far by both tokenizers; emptied once it holds some ``most`` characters, 50 and more for each chunk."""
+    """Tokens of chunks met so far by both tokenizers, their links and groups; emptied once it holds some ``most`` characters, 50 and more for each chunk."""
 
     def __init__(self, first: str, second: str, most: int = 25_000_000):
-        (self.encode, self.bytes_a, self.size_a), (self.sp, self.bytes_b, self.size_b) = first_tokenizer(first), second_tokenizer(second)
-        self.most = most
+        (self.encode, table_a, size_a), (self.sp, table_b, size_b) = first_tokenizer(first), second_tokenizer(second)
+        self.bytes_a, self.bytes_b = _Vocabulary(table_a, size_a), _Vocabulary(table_b, size_b)
+        self.wide, self.most = len(table_b), most
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.a, self.b, self.ok, self.held = {}, _Ragged(), _Ragged(), bytearray(), 0
+        self.number, self.a, self.b, self.ok, self.held = {}, _Ragged(np.int32), _Ragged(np.int32), bytearray(), 0
+        self.links, self.groups, self.said = _Ragged(np.int64), array("q"), []
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of all texts by their numbers, and how many each text has; a text that is empty has none."""
         if self.held > self.most:
             self.clear()
-        split, new = [], {}
+        split, new, known = [], {}, self.number
         for text in texts:
-            parts = text.split(" ") if text else []
-            missing = [x for x in parts if x not in self.number]  # parts that are known are chunks
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in missing):
-                parts = chunks(text)
-                missing = [x for x in parts if x not in self.number]
-            new.update(dict.fromkeys(missing))
+            parts = (chunks(text) if _ODD.search(text) else text.split(" ")) if text else []
+            new.update(dict.fromkeys([x for x in parts if x not in known]))
             split.append(parts)
-        fresh = list(new)
-        for x, b in zip(fresh, self.sp.encode(fresh, num_threads=1) if fresh else []):
-            a, raw = self.encode(" " + x).tolist(), (" " + x).encode()
-            self.ok.append(b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw)
-            self.a.add(a)
-            self.b.add(b)
-            self.number[x] = len(self.number)
-            self.held += len(x) + 50
-        flat = [n for parts in split for n in map(self.number.__getitem__, parts)]
+        if new:
+            self._learn(list(new))
+        flat = array("q")
+        for parts in split:
+            flat.extend(map(known.__getitem__, parts))
         return np.array(flat, dtype=np.int64), np.array([len(x) for x in split], dtype=np.int64)
 
-
-def tokens(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """Tokens of (doc_id, text) in blocks: the different chunks of some texts (arrays ids_a, ends_a, ids_b, ends_b, of each), and the texts (row, doc_id, n_a, n_b, and the places of their chunks).
+    def _first_ids(self, new: list[str], joined: int, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of new chunks and how many each has; the first ``joined`` are encoded as one text if its tokens end with them."""
+        ids, count = [self.encode("".join([" " + x for x in new[:joined]]))], []
+        ends, upto = np.cumsum(self.bytes_a.size[ids[0]]), np.cumsum(length[:joined])
+        stop = np.searchsorted(ends, upto, "right")
+        if len(ends) == (stop[-1] if joined else 0) and np.array_equal(ends[stop - 1], upto):
+            count += np.diff(stop, prepend=0).tolist()
+        else:
+            ids, joined = [], 0
+        ids += [self.encode(" " + x) for x in new[joined:]]
+        count += map(len, ids[len(ids) - (len(new) - joined) :])
+        return np.concatenate(ids).astype(np.int64), np.array(count, dtype=np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        outer = [x for x in new if x[:1].isspace() or x[-1:].isspace()]  # of a text's ends
+        if outer:
+            own = set(outer)
+            new = [x for x in new if x not in own] + outer
+        raw = [(" " + x).encode() for x in new]
+        length, whole = np.array([len(x) for x in raw], dtype=np.int64), np.frombuffer(b"".join(raw), dtype=np.uint8)
+        a, n_a = self._first_ids(new, len(new) - len(outer), length)
+        lists = self.sp.encode(new, num_threads=1)
+        b, n_b = np.fromiter(chain.from_iterable(lists), dtype=np.int64), np.array([len(x) for x in lists], dtype=np.int64)
+        ok = self.bytes_a.agrees(a, n_a, whole, length) & self.bytes_b.agrees(b, n_b, whole, length)
+        self.a.extend(a, n_a)
+        self.b.extend(b, n_b)
+        self._align(a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)], np.where(ok, length, 0))
+        self.ok += ok.tobytes()
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.held += sum(map(len, new)) + 50 * len(new)
+
+    def _align(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> None:
+        """Links and groups of chunks, of which these are all tokens one after the other; ends count from the first chunk's start, and none is crossed."""
+        size, end_b = self.bytes_a.size[a], np.cumsum(self.bytes_b.size[b])
+        end_a, upto = np.cumsum(size), np.concatenate([[0], np.cumsum(length)])
+        low, high = np.searchsorted(end_b, end_a - size, "right"), np.searchsorted(end_b, end_a, "left")
+        count = high - low + 1
+        before = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(end_a, upto, "right")]
+        self.links.extend(np.repeat(a, count) * self.wide + b[_runs(low, count)], np.diff(before))
+        shared = np.flatnonzero(end_b[high] == end_a)
+        cut_a, cut_b, ids_a, ids_b = (shared + 1).tolist(), (high[shared] + 1).tolist(), list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups = [f"{ids_a[i] if j - i == 1 else ','.join(ids_a[i:j])}|{ids_b[k] if m - k == 1 else ','.join(ids_b[k:m])}" for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
+        stop = np.searchsorted(end_a[shared], upto, "right")
+        self.groups.frombytes(np.diff(stop).astype(np.int64).tobytes())
+        stop = stop.tolist()
+        self.said += [groups[i].encode() if j - i == 1 else ";".join(groups[i:j]).encode() for i, j in zip(stop, stop[1:])]
+
+
+def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of (doc_id, text): see ``ALIGNED``.
 
     A text has no tokens if it is null or empty, or if its tokens' bytes aren't a blank and the text.
     """
-    lists = lambda flat, count: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(flat, pa.int32()))
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    names = [x.split()[0] for x in ALIGNED.split(", ")]
 
     def run(batches):
-        memo, at = _Memo(first, second), TaskContext.get().partitionId() << 33
+        memo = _memos.get((first, second)) or _memos.setdefault((first, second), _Memo(first, second))  # tasks of a worker share it
+        at = TaskContext.get().partitionId() << 33
         for batch in batches:
             raw = texts_of(batch.column(1))
-            for a, b in blocks(raw, BLOCK):
-                number, count = memo.numbers([str(x, "utf-8") for x in raw[a:b]])
-                text = np.repeat(np.arange(b - a), count)
-                bad = np.zeros(b - a, dtype=bool)
+            for start, stop in blocks(raw, BLOCK):
+                n = stop - start
+                number, count = memo.numbers([str(x, "utf-8") for x in raw[start:stop]])
+                text = np.repeat(np.arange(n), count)
+                bad = np.zeros(n, dtype=bool)
                 bad[text[np.frombuffer(memo.ok, dtype=np.uint8)[number] == 0]] = True
                 number, text = number[~bad[text]], text[~bad[text]]
-                own, place = np.unique(number, return_inverse=True)
-                cols, n = [], []
-                for side, sizes in ((memo.a, memo.size_a), (memo.b, memo.size_b)):
-                    ids, per = side.take(own)
-                    upto = np.concatenate([[0], np.cumsum(sizes[ids])])
-                    ends = upto[1:] - np.repeat(upto[np.cumsum(per) - per], per)
-                    cols += [one(lists(ids, per)), one(lists(ends, per))]
-                    n.append(pa.array(np.bincount(text, weights=per[place], minlength=b - a).astype(np.int64), pa.int64()))
-                cols += [one(pa.array(np.arange(at, at + b - a), pa.int64())), one(batch.column(0).slice(a, b - a)), *map(one, n), one(lists(place, np.bincount(text, minlength=b - a)))]
-                at += b - a
-                yield pa.RecordBatch.from_arrays(cols, [*CHUNKS, *TEXTS])
-
-    schema = ", ".join([*(f"{c} array<array<int>>" for c in CHUNKS), *(f"{c} array<{'array<int>' if c == 'places' else 'long'}>" for c in TEXTS)])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def _with(value: Column, use) -> Column:
-    """``use(value)``, where the value is computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _keys(ends: Column, side: int) -> Column:
-    """A sortable number of each token: its end, its side, its number from 0."""
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + F.lit(side << 31).cast("long") + i)
-
-
-_number = lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")
-_is_b = lambda x: F.shiftright(x, 31).bitwiseAND(F.lit(1).cast("long")) == 1
-_tie = lambda m, p: F.coalesce(F.shiftright(F.get(m, p - 1).bitwiseXOR(F.get(m, p)), 32) == 0, F.lit(False))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32) + b
-
-
-def _links(m: Column, ids_a: Column, ids_b: Column) -> Column:
-    """Of sorted ends: pairs of overlapping ids. Of two equal ends, the second token's says nothing new."""
-    pair = lambda a, b: _pair(F.get(ids_a, a), F.get(ids_b, b))
-    entry = lambda x, p: F.when(~_is_b(x), pair(_number(x), p - _number(x))).when(~_tie(m, p), pair(p - _number(x), _number(x))).otherwise(F.lit(-1).cast("long"))
-    return F.array_remove(F.transform(m, entry), F.lit(-1).cast("long"))
-
-
-def _times(s: Column) -> Column:
-    """Of sorted values: how often each of them comes."""
-    places = F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(s) - 1))
-    starts = F.filter(places, lambda p: (p == 0) | (F.get(s, p) != F.get(s, p - 1)))
-    return _with(starts, lambda x: F.transform(x, lambda p, k: F.coalesce(F.get(x, k + 1), F.size(s)) - p))
-
-
-def _groups(m: Column, ids_a: Column, ids_b: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids between ends that both tokenizers share."""
-    both = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda p: _is_b(F.get(m, p)) & _tie(m, p))
-
-    def text(e: Column) -> Column:
-        def one(p: Column, k: Column) -> Column:
-            # p + 1 entries have come: those of B by its last one's number, the others of A
-            b, q = _number(F.get(m, p)), F.coalesce(F.get(e, k - 1), F.lit(-1))
-            alone = F.concat(F.get(ids_a, p - b - 1).cast("string"), F.lit("|"), F.get(ids_b, b).cast("string"))
-            before = F.when(k == 0, 0).otherwise(_number(F.get(m, q)) + 1)
-            part = lambda ids, start, stop: F.array_join(F.slice(ids, start + 1, stop - start).cast("array<string>"), ",")
-            return F.when(p - q == 2, alone).otherwise(F.concat(part(ids_a, q + 1 - before, p - b), F.lit("|"), part(ids_b, before, b + 1)))
-
-        return F.array_join(F.transform(e, one), ";")
-
-    return _with(both, text)
-
-
-def _chunk(c: Column) -> Column:
-    """(groups, text, links) of a chunk's tokens; where all ends are shared, tokens pair off one by one."""
-    a, b = c["ids_a"], c["ids_b"]
-    merged = F.sort_array(F.concat(_keys(c["ends_a"], 0), _keys(c["ends_b"], 1)))
-
-    def out(n: Column, text: Column, links: Column) -> Column:
-        return F.struct(n.alias("groups"), text.alias("text"), links.alias("links")).cast("struct<groups: int, text: string, links: array<bigint>>")
-
-    def of(n: Column) -> Column:
-        even = out(n, F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";"), F.zip_with(a, b, _pair))
-        other = _with(merged, lambda m: out(n, _groups(m, a, b), _links(m, a, b)))
-        return F.when((F.size(a) == n) & (F.size(b) == n), even).otherwise(other)
-
-    return _with(F.size(F.array_intersect(c["ends_a"], c["ends_b"])), of)
-
-
-def aligned(parts: DataFrame) -> DataFrame:
-    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): the different pairs that overlap (A's id in the high half), and how often.
-
-    Each chunk ends where tokens of both end, so a text's groups and links are
-    those of its chunks, of which each different one of a block is aligned once.
-    What a lambda uses again and again is bound by ``_with``: a column of an
-    earlier projection would be computed each time.
-    """
-    chunk = F.transform(F.arrays_zip(*CHUNKS), _chunk)
-
-    def text(d: Column, known: Column) -> Column:
-        at = d["places"]
-        groups = F.aggregate(at, F.lit(0).cast("long"), lambda n, w: n + F.get(known, w)["groups"])
-        said = F.array_join(F.transform(at, lambda w: F.get(known, w)["text"]), ";")
-        links = F.flatten(F.transform(at, lambda w: F.get(known, w)["links"]))
-        return F.struct(d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), groups.alias("n_groups"), F.when(d["n_a"] > 0, F.sha2(said.cast("binary"), 256)).otherwise("").alias("groups_sha256"), links.alias("links"))
-
-    texts = _with(chunk, lambda known: F.transform(F.arrays_zip(*TEXTS), lambda d: text(d, known)))
-    rows = parts.select(F.inline(texts)).withColumn("links", F.sort_array("links"))
-    return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups_sha256", F.array_distinct("links").alias("pairs"), _with(F.col("links"), _times).alias("times"))
+                total = lambda x: pa.array(np.bincount(text, weights=x, minlength=n).astype(np.int64))  # noqa: B023, E731
+                links, per = memo.links.take(number)
+                wide = memo.bytes_a.size.size * memo.wide
+                key = np.sort(np.repeat(text, per) * wide + links)
+                place = np.flatnonzero(np.diff(key, prepend=-1))
+                times = np.diff(place, append=len(key)).astype(np.int32)
+                pair, ends = key[place] % wide, np.searchsorted(key[place], np.arange(n + 1) * wide)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))  # noqa: B023, E731
+                upto = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).tolist()
+                said = map(memo.said.__getitem__, number.tolist())
+                digest = [hashlib.sha256(b";".join([next(said) for _ in range(j - i)])).hexdigest() if j > i else "" for i, j in zip(upto, upto[1:])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(at, at + n)), batch.column(0).slice(start, n), total(memo.a.sizes(number)), total(memo.b.sizes(number)), total(np.frombuffer(memo.groups, dtype=np.int64)[number]), total(per),
+                    pa.array(digest, pa.string()), lists((pair // memo.wide << 32) | pair % memo.wide), lists(times),
+                ], names)
+                at += n
+
+    return docs.select("doc_id", "text").mapInArrow(run, ALIGNED)
 
 
 def align(docs: DataFrame, *, first: str = "byte_bpe_50k.json", second: str = "piece_bpe_32k.model", hot: int = HOT_PAIRS) -> DataFrame:
@@ -283,7 +275,7 @@ def align(docs: DataFrame, *, first: str = "byte_bpe_50k.json", second: str = "p
     """
     with Scratch(docs.sparkSession) as scratch:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        rows = scratch.cut(aligned(tokens(docs, first, second)))
+        rows = scratch.cut(aligned(docs, first, second))
         counts = scratch.cut(rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")))
         own = F.shiftright("pair", 32)
         most = counts.groupBy(own.alias("a")).agg(F.max("docs").alias("most"))
